@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import bound_batches
+
 PARTS = "conv_id long, part int, formatted binary, loss array<long>"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 PART_BYTES = 4 << 20
@@ -112,6 +114,7 @@ def _format(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa.R
 
 def format_conversations(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """(conv_id, part, formatted, loss): formatted is UTF-8, loss the byte ranges of it that are trained on."""
+    bound_batches(conversations.sparkSession)
     rows = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"), F.col(turn).alias("turn"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text").select("conv_id", "role", "text")
     return rows.mapInArrow(lambda it: _format(it, part_bytes), PARTS)

@@ -14,7 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bytes of text that a task turns into numpy arrays at once; a single longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Most bytes and rows of an Arrow batch that goes to a Python worker, as rows hold whole texts.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of this session small enough for rows that hold whole texts (a row is never split)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:

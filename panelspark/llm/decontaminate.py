@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, text_slices, word_spans
+from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, bound_batches, text_slices, word_spans
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Windows of the benchmark that are broadcast at once.
@@ -128,6 +128,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: st
                        item_text: str = "text", window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, items (ids as sorted strings), hit_spans (word ranges, flat)."""
     spark = documents.sparkSession
+    bound_batches(spark)
     found = documents.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<string>").alias("items"), F.array().cast("array<long>").alias("hit_spans"))
@@ -146,6 +147,7 @@ def _sealed(spark, benchmark, item_id, item_text, window, block_windows):
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                   window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """documents without those that hold a window of the benchmark; all columns and rows of the others stay as they are."""
+    bound_batches(documents.sparkSession)
     kept = documents
     for table in _sealed(documents.sparkSession, benchmark, item_id, item_text, window, block_windows):
         kept = kept.mapInArrow(lambda it, t=table: _drop(it, t, text), documents.schema)

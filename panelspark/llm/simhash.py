@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.llm.common import materialize, prefix_sums
+from panelspark.llm.common import bound_batches, materialize, prefix_sums
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 #: Nodes of a bucket that one task searches; larger buckets are cut into runs of this many.
@@ -78,6 +78,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 def fingerprints(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp), a row per document; fp holds the 64 bits in a long."""
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
 

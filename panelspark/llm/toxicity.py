@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, materialize, text_slices, word_spans
+from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, bound_batches, materialize, text_slices, word_spans
 
 #: Most rows of the fitted sample.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -125,6 +125,7 @@ class Model:
 def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES,
           unlabelled: int = UNLABELLED, max_features: int = MAX_FEATURES, min_df: int = MIN_DF) -> Model:
     spark = documents.sparkSession
+    bound_batches(spark)
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("y")).filter(~held_out(F.col("__id")) & F.col("__id").isNotNull() & F.col("y").isNotNull())
     known = known.groupBy("__id").agg(F.max("y").alias("y"))
     n, n_pos = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
@@ -183,6 +184,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, column: str) -> Iterator[pa
 
 def score(documents: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:
     """documents with the score of each text."""
+    bound_batches(documents.sparkSession)
     table = documents.sparkSession.sparkContext.broadcast(model)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     return documents.mapInArrow(lambda it: _score(it, table, text), f"{types}, __score double").withColumnRenamed("__score", name)

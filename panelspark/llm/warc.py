@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import new_folder
+from panelspark.llm.common import bound_batches, new_folder
 
 MIN_REVISIT = 1000
 GAP, SPAN = 64 << 10, 8 << 20
@@ -103,6 +103,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT) -> str:
     """Write pages as archives under folder, then their index; returns the path of the index."""
     spark = pages.sparkSession
+    bound_batches(spark)
     payload = F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     slim = rows.select("page_id", "digest", F.length("payload").alias("bytes")).filter(F.col("bytes") >= min_revisit)
@@ -145,6 +146,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, gap: int, span: int) -
 
 def read_records(spark: SparkSession, index: DataFrame, folder: str, *, gap: int = GAP, span: int = SPAN) -> DataFrame:
     """The records that index (all rows of an index, or any selection of them) points at."""
+    bound_batches(spark)
     chosen = index.select("archive", "offset", "length", F.floor(F.col("offset") / span).alias("span"))
     chosen = chosen.repartition("archive", "span").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
     return chosen.mapInArrow(lambda it: _read(it, folder, gap, span), RECORD)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Abbreviations and legal endings that the matching of company names relies on.
 ABBREVIATIONS = {
@@ -75,11 +76,11 @@ def token_set(a: str, b: str) -> float:
     return max(indel_ratio(left, right), indel_ratio(both, left) if both else 0.0, indel_ratio(both, right) if both else 0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else token_sort(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else token_set(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -66,6 +66,7 @@ def tier(method: Column, ratio: Column, score: Column) -> Column:
 
 def spells(df: DataFrame, keys: list[str], spans: list[tuple[str, str, str]], code: str = "code") -> DataFrame:
     """Wide (first year, years or last year, code) columns as rows: a count up to 1799 is a number of years, else a last year."""
-    rows = F.array(*[F.struct(F.col(f).alias("first"), F.col(n).alias("n"), F.col(c).alias(code)) for f, n, c in spans])
-    long = df.select(*keys, F.explode(rows).alias("s")).select(*keys, "s.*").filter(F.col("first").isNotNull() & F.col(code).isNotNull())
-    return long.withColumn("last", F.when(F.col("n") >= 1800, F.col("n")).when(F.col("n") >= 1, F.col("first") + F.col("n") - 1)).drop("n")
+    rows = F.array(*[F.struct(F.col(f).alias("__first"), F.col(n).alias("__n"), F.col(c).alias("__code")) for f, n, c in spans])
+    long = df.select(*keys, F.explode(rows).alias("__s")).select(*keys, "__s.*").filter(F.col("__first").isNotNull() & F.col("__code").isNotNull())
+    last = F.when(F.col("__n") >= 1800, F.col("__n")).when(F.col("__n") >= 1, F.col("__first") + F.col("__n") - 1)
+    return long.select(*keys, F.col("__first").alias("first"), F.col("__code").alias(code), last.alias("last"))

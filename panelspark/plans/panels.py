@@ -58,10 +58,10 @@ def percentile_in_group(t):
     return t.part.select("p_partkey", "p_type", F.round(F.percent_rank().over(Window.partitionBy("p_type").orderBy("p_retailprice", "p_partkey")), 6).alias("pct"))
 
 
-@query(f"WITH y AS ({_YEARLY}) SELECT o_custkey, yr, round((v - avg(v) OVER (PARTITION BY yr)) / stddev_samp(v) OVER (PARTITION BY yr), 5) AS z, round(v - avg(v) OVER (PARTITION BY o_custkey), 4) AS demeaned FROM y")
+@query(f"WITH y AS ({_YEARLY}) SELECT o_custkey, yr, round((v - avg(v) OVER (PARTITION BY yr)) / stddev_samp(v) OVER (PARTITION BY yr), 5) + 0.0 AS z, round(v - avg(v) OVER (PARTITION BY o_custkey), 4) + 0.0 AS demeaned FROM y")
 def zscore_in_year(t):
     y, u = Window.partitionBy("yr"), Window.partitionBy("o_custkey")
-    return customer_years(t).select("o_custkey", "yr", F.round((F.col("v") - F.avg("v").over(y)) / F.stddev_samp("v").over(y), 5).alias("z"), F.round(F.col("v") - F.avg("v").over(u), 4).alias("demeaned"))
+    return customer_years(t).select("o_custkey", "yr", (F.round((F.col("v") - F.avg("v").over(y)) / F.stddev_samp("v").over(y), 5) + 0.0).alias("z"), (F.round(F.col("v") - F.avg("v").over(u), 4) + 0.0).alias("demeaned"))
 
 
 @query(f"WITH y AS ({_YEARLY}) SELECT o_custkey, yr, ntile(5) OVER (PARTITION BY yr ORDER BY v, o_custkey)::INTEGER AS fifth FROM y")
@@ -365,7 +365,7 @@ def node_strength(t):
     return f.join(top.withColumnRenamed("node", "origin"), "origin").join(top.select(F.col("node").alias("dest")), "dest").groupBy("origin", "dest").agg(F.sum("returns").alias("w"), F.first("strength").alias("strength"))
 
 
-_RANKS = ", ".join(f"r{k + 1} AS (SELECT n.node, 0.15::DOUBLE / c.n + 0.85::DOUBLE * coalesce(sum(p * r{k}.rank), 0) AS rank FROM nodes n CROSS JOIN c LEFT JOIN p ON p.dest = n.node LEFT JOIN r{k} ON r{k}.node = p.origin GROUP BY n.node, c.n)" for k in range(5))
+_RANKS = ", ".join(f"r{k + 1} AS (SELECT n.node, 0.15::DOUBLE / c.n + 0.85::DOUBLE * (coalesce(sum(p * r{k}.rank), 0) + (SELECT coalesce(sum(rank), 0) FROM r{k} WHERE node NOT IN (SELECT origin FROM p)) / c.n) AS rank FROM nodes n CROSS JOIN c LEFT JOIN p ON p.dest = n.node LEFT JOIN r{k} ON r{k}.node = p.origin GROUP BY n.node, c.n)" for k in range(5))
 
 
 @query(f"WITH f AS (SELECT origin, dest, sum(returns)::DOUBLE AS w FROM ({_FLOW}) GROUP BY 1, 2), p AS (SELECT origin, dest, w / sum(w) OVER (PARTITION BY origin) AS p FROM f), nodes AS (SELECT origin AS node FROM f UNION SELECT dest FROM f), c AS (SELECT count(*) AS n FROM nodes), r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nodes, c), {_RANKS} SELECT node, round(rank, 7) AS rank FROM r5")

@@ -154,3 +154,35 @@ def pagerank(edges: DataFrame, src: str, dst: str, weight: str, damping: float =
         got = share.join(rank, "node").groupBy(F.col("to").alias("node")).agg(F.sum(F.col("p") * F.col("rank")).alias("in"))
         rank = staged(nodes.join(got, "node", "left").select("node", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + loose / n)).alias("rank")), "pagerank")
     return rank
+
+
+def ladder(df: DataFrame, y: str, x: str, controls: list[list[str]], period: str, **options) -> list[tuple]:
+    """(period, number of control sets, estimate of x, error, n) of nested regressions: x alone, then with one more set of
+    controls each. The periods are few by nature; the input is written once."""
+    kept = staged(df.select(*{y, x, period, *[c for s in controls for c in s], *[options[k] for k in ("weight", "cluster") if options.get(k)], *options.get("absorb", [])}), "ladder")
+    out = []
+    for (p,) in kept.select(period).distinct().orderBy(period).collect():
+        for k in range(len(controls) + 1):
+            fit = least_squares(kept.filter(F.col(period) == p), y, [x, *[c for s in controls[:k] for c in s]], **options)
+            estimate = next(e for e in fit["terms"] if e[0] == x)
+            out.append((str(p), k, estimate[1], estimate[2], fit["n"]))
+    return out
+
+
+def moran_permutations(values: DataFrame, edges: DataFrame, unit: str, x: str, draws: int = 999, seed: int = 0) -> DataFrame:
+    """(i, p): Moran's I and the share of random placements of the values with an I as far from its mean or farther.
+
+    Placement d orders the units by a hash of (unit, d) and hands them the values in their own order; all placements are one
+    table (units x draws) with a draw column.
+    """
+    place = values.select(unit, x, F.row_number().over(Window.orderBy(unit)).alias("__r"))
+    each = values.select(unit, F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
+    key = F.when(F.col("draw") > 0, F.xxhash64(F.lit(seed), F.col(unit), F.col("draw"))).otherwise(F.lit(0))
+    each = each.withColumn("__r", F.row_number().over(Window.partitionBy("draw").orderBy(key, unit)))
+    by = Window.partitionBy("draw")
+    z = each.join(place.select("__r", x), "__r").select("draw", unit, ((F.col(x) - F.avg(x).over(by)) / F.stddev_pop(x).over(by)).alias("z"))
+    lag = edges.join(z.select(F.col(unit).alias("neighbour"), "draw", F.col("z").alias("zn")), "neighbour").groupBy("draw", unit).agg(F.avg("zn").alias("lag"))
+    i = z.join(lag, ["draw", unit]).groupBy("draw").agg((F.sum(F.col("z") * F.col("lag")) / F.sum(F.col("z") * F.col("z"))).alias("i"))
+    mean = i.agg(F.avg(F.when(F.col("draw") > 0, F.col("i"))).alias("__m"), F.max(F.when(F.col("draw") == 0, F.col("i"))).alias("__own"))
+    far = F.abs(F.col("i") - F.col("__m")) >= F.abs(F.col("__own") - F.col("__m"))
+    return i.join(F.broadcast(mean), F.lit(True)).groupBy(F.col("__own").alias("i")).agg(((F.count_if(far & (F.col("draw") > 0)) + 1) / (draws + 1)).alias("p"))  # one row

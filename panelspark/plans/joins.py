@@ -179,3 +179,18 @@ def topk_per_group(t):
 def latest_slice(t):
     last = yearly(t).filter("o_orderstatus = 'F'").agg(F.max("yr").alias("yr"))
     return yearly(t).join(F.broadcast(last), "yr").select("o_orderkey", "o_orderdate")  # one row
+
+
+@query("""WITH d AS (SELECT o_orderkey, year(o_orderdate) AS y FROM orders), c AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem), last AS (SELECT max(y) AS m FROM d),
+f AS (SELECT cited, count(*) AS n, count(*) FILTER (WHERE a.y - b.y BETWEEN 0 AND 2) AS n2 FROM c JOIN d a ON citing = a.o_orderkey JOIN d b ON cited = b.o_orderkey GROUP BY 1), b AS (SELECT citing, count(*) AS n FROM c GROUP BY 1)
+SELECT o_orderkey, coalesce(b.n, 0) AS back, coalesce(f.n, 0) AS forward, CASE WHEN y + 2 <= m THEN coalesce(f.n2, 0) END AS forward2 FROM d CROSS JOIN last LEFT JOIN f ON cited = o_orderkey LEFT JOIN b ON citing = o_orderkey""")
+def citation_counts(t):
+    """An order cites the orders whose keys are its parts' keys. Forward counts need both ends; a window that is not over is unknown."""
+    d = yearly(t).select("o_orderkey", "yr")
+    c = t.lineitem.select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited")).distinct()
+    both = c.join(d.toDF("citing", "y1"), "citing").join(d.toDF("cited", "y0"), "cited")
+    forward = both.groupBy(F.col("cited").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("f"), F.count_if((F.col("y1") - F.col("y0")).between(0, 2)).alias("f2"))
+    back = c.groupBy(F.col("citing").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("b"))
+    last = d.agg(F.max("yr").alias("m"))  # one row
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return d.join(forward, "o_orderkey", "left").join(back, "o_orderkey", "left").join(F.broadcast(last), F.lit(True)).select("o_orderkey", zero("b").alias("back"), zero("f").alias("forward"), F.when(F.col("yr") + 2 <= F.col("m"), zero("f2")).alias("forward2"))

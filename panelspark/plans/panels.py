@@ -411,3 +411,68 @@ def panel_state_year(t):
 def distance_and_balance(t):
     p = t.customer.select("c_custkey", (40 + F.col("c_custkey") % 10).cast("double").alias("lat"), (-100 + F.col("c_nationkey")).cast("double").alias("lon"))
     return p.select("c_custkey", F.round(codes.haversine_km(F.col("lat"), F.col("lon"), F.lit(45.0), F.lit(-90.0)), 3).alias("km"), F.round(codes.balance((F.col("c_custkey") % 10) / 10.0), 6).alias("balance"))
+
+
+@query("""WITH s AS (SELECT p_brand AS code, p_type AS sector, sum(l_quantity) AS emp, sum(l_quantity * l_discount) / sum(l_quantity) AS rate FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), r AS (SELECT sector, sum(rate * emp) / sum(emp) AS rate FROM s GROUP BY 1),
+a AS (SELECT code, sum(s.emp) AS emp, sum(s.rate * s.emp) / sum(s.emp) AS actual, sum(r.rate * s.emp) / sum(s.emp) AS predicted, count(*) AS sectors FROM s JOIN r USING (sector) GROUP BY 1)
+SELECT substr(code, 1, 7) AS code4, sum(emp) AS emp, round(sum(actual * emp) / sum(emp), 6) AS actual, round(sum(predicted * emp) / sum(emp), 6) AS predicted, round(sum(actual * emp) / sum(emp) - sum(predicted * emp) / sum(emp), 6) + 0.0 AS gap, sum(sectors)::BIGINT AS sectors FROM a GROUP BY 1""")
+def panel_industry(t):
+    s = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("code"), F.col("p_type").alias("sector")).agg(F.sum("l_quantity").alias("emp"), (F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_quantity")).alias("rate"))
+    r = s.groupBy("sector").agg(panels.weighted_mean(F.col("rate"), F.col("emp")).alias("norm"))
+    a = s.join(r, "sector").groupBy("code").agg(F.sum("emp").alias("e"), panels.weighted_mean(F.col("rate"), F.col("emp")).alias("actual"), panels.weighted_mean(F.col("norm"), F.col("emp")).alias("predicted"), F.count(F.lit(1)).alias("k"))
+    out = a.groupBy(F.substring("code", 1, 7).alias("code4")).agg(F.sum("e").alias("emp"), panels.weighted_mean(F.col("actual"), F.col("e")).alias("x"), panels.weighted_mean(F.col("predicted"), F.col("e")).alias("y"), F.sum("k").alias("sectors"))
+    return out.select("code4", "emp", F.round("x", 6).alias("actual"), F.round("y", 6).alias("predicted"), (F.round(F.col("x") - F.col("y"), 6) + 0.0).alias("gap"), "sectors")
+
+
+@query("""WITH u AS (SELECT p_type AS soc, p_brand AS kind, year(l_shipdate)::INTEGER AS yr, sum(l_quantity) AS emp, sum(l_extendedprice) / sum(l_quantity) AS wage FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3), y AS (SELECT soc, yr, sum(emp) AS emp, ln(sum(wage * emp) / sum(emp)) AS log_wage, sum(emp) FILTER (WHERE kind IN ('Brand#11', 'Brand#12')) / sum(emp) AS part_share FROM u GROUP BY 1, 2)
+SELECT soc, yr, emp, round(log_wage, 6) AS log_wage, round(part_share, 6) AS part_share, round(emp / first_value(emp) OVER (PARTITION BY soc ORDER BY yr) - 1, 6) AS growth, round(percent_rank() OVER (PARTITION BY yr ORDER BY emp, soc), 6) AS pct FROM y""")
+def panel_occupation_year(t):
+    u = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("soc"), F.col("p_brand").alias("kind"), F.year("l_shipdate").alias("yr")).agg(F.sum("l_quantity").alias("emp"), (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("wage"))
+    y = u.groupBy("soc", "yr").agg(F.sum("emp").alias("n"), F.log(panels.weighted_mean(F.col("wage"), F.col("emp"))).alias("w"), (F.sum(F.when(F.col("kind").isin("Brand#11", "Brand#12"), F.col("emp"))) / F.sum("emp")).alias("s"))
+    first = F.first("n").over(Window.partitionBy("soc").orderBy("yr"))
+    return y.select("soc", "yr", F.col("n").alias("emp"), F.round("w", 6).alias("log_wage"), F.round("s", 6).alias("part_share"), F.round(F.col("n") / first - 1, 6).alias("growth"), F.round(F.percent_rank().over(Window.partitionBy("yr").orderBy("n", "soc")), 6).alias("pct"))
+
+
+@query(f"""WITH k AS (SELECT s_suppkey AS county, y::INTEGER AS yr FROM supplier CROSS JOIN (SELECT unnest(range(1995, 2002)) AS y)), v AS ({PARTIES}), b AS (SELECT l_suppkey AS county, year(l_shipdate)::INTEGER AS yr, count(*) AS returns, round(sum(l_extendedprice), 2) AS agi FROM lineitem GROUP BY 1, 2)
+SELECT k.county AS county, k.yr AS yr, s_nationkey AS state, coalesce(returns, 0) AS returns, agi, v.yr AS vote_year, round(rep / nullif(dem + rep, 0)::DOUBLE, 6) AS vote FROM k JOIN supplier ON s_suppkey = k.county LEFT JOIN b ON b.county = k.county AND b.yr = k.yr
+LEFT JOIN v ON v.l_suppkey = k.county AND v.yr = (SELECT max(w.yr) FROM v w WHERE w.l_suppkey = k.county AND w.yr % 4 = 0 AND w.yr <= k.yr)""")
+def panel_county_year(t):
+    from panelspark.operators import joins
+
+    base = joins.skeleton(t.supplier.select(F.col("s_suppkey").alias("county"), F.col("s_nationkey").alias("state")), 1995, 2001, "yr")
+    b = t.lineitem.groupBy(F.col("l_suppkey").alias("county"), F.year("l_shipdate").alias("yr")).agg(F.count(F.lit(1)).alias("returns"), F.round(F.sum("l_extendedprice"), 2).alias("agi"))
+    v = parties(t).filter("yr % 4 = 0").select(F.col("l_suppkey").alias("county"), "yr", F.col("yr").alias("vote_year"), F.round(F.try_divide(F.col("rep").cast("double"), F.col("dem") + F.col("rep")), 6).alias("vote"))
+    return joins.asof(base.join(b, ["county", "yr"], "left").fillna(0, ["returns"]), v, ["county"], "yr", ["vote_year", "vote"]).select("county", "yr", "state", "returns", "agi", "vote_year", "vote")
+
+
+@query(f"""WITH m AS (SELECT s_nationkey AS metro, year(l_shipdate)::INTEGER AS yr, p_type AS industry, sum(l_quantity) AS emp FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3), x AS (SELECT p_type AS industry, avg(p_size) AS score FROM part WHERE p_type <> 'PROMO' GROUP BY 1)
+SELECT r_name AS region, n_name AS metro, yr, sum(emp) AS emp, round(sum(score * emp) / sum(emp) FILTER (WHERE score IS NOT NULL), 6) AS exposure, round(sum(emp) FILTER (WHERE score IS NOT NULL) / sum(emp), 6) AS coverage FROM m LEFT JOIN x USING (industry) JOIN nation ON metro = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3""")
+def panel_metro_year(t):
+    lines = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", F.year("l_shipdate").alias("yr")).join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    m = lines.groupBy("s_nationkey", "yr", "p_type").agg(F.sum("l_quantity").alias("e"))
+    x = t.part.filter("p_type <> 'PROMO'").groupBy("p_type").agg(F.avg("p_size").alias("score"))
+    known = F.sum(F.when(F.col("score").isNotNull(), F.col("e")))
+    place = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("metro"), F.col("r_name").alias("region"))
+    out = m.join(x, "p_type", "left").groupBy("s_nationkey", "yr").agg(F.sum("e").alias("emp"), F.round(panels.weighted_mean(F.col("score"), F.col("e")), 6).alias("exposure"), F.round(known / F.sum("e"), 6).alias("coverage"))
+    return out.join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("region", "metro", "yr", "emp", "exposure", "coverage")
+
+
+@query("""WITH t AS (SELECT DISTINCT p_type AS a FROM part), n AS (SELECT DISTINCT p_name AS b FROM part) SELECT a, b FROM t, n WHERE contains(lower(b), lower(substr(a, 1, 1))) AND starts_with(lower(b), lower(substr(a, 1, 1)))""")
+def title_containment(t):
+    """Titles that begin alike: the containment test of two dictionaries as an equi-join on what both must share."""
+    head = lambda c: F.lower(F.substring(c, 1, 1))
+    a, b = t.part.select(F.col("p_type").alias("a")).distinct(), t.part.select(F.col("p_name").alias("b")).distinct()
+    return a.join(b, head(F.col("a")) == head(F.col("b"))).select("a", "b")
+
+
+@query()
+def control_ladder(t):
+    fits = stats.ladder(t.lineitem, "l_extendedprice", "l_quantity", [["l_discount"], ["l_tax"]], "l_returnflag", cluster="l_suppkey")
+    return t.spark.createDataFrame(fits, "period string, controls int, estimate double, se double, n long")
+
+
+@query()
+def moran_permutations(t):
+    v = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("unit"), "n_regionkey").agg(F.coalesce(F.avg("c_acctbal"), F.lit(0.0)).alias("x"))
+    e = t.nation.select(F.col("n_nationkey").alias("unit"), "n_regionkey").join(t.nation.select(F.col("n_nationkey").alias("neighbour"), "n_regionkey"), "n_regionkey").filter("unit <> neighbour").select("unit", "neighbour")
+    return stats.moran_permutations(v.select("unit", "x"), e, "unit", "x", draws=99)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words too common to carry a task.
@@ -17,11 +17,22 @@ def unseen(documents: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return documents.join(stored.select(key).distinct(), key, "left_anti")
 
 
+def _words(text: str, stop: list[str]) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z]+", " "), " "), lambda w: (w != "") & ~w.isin(stop))
+
+
 def word_pairs(df: DataFrame, key: list[str], text: str, stop: list[str] = STOP) -> DataFrame:
     """Distinct (first, second) of adjacent words, neither of them a stop word."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z]+", " "), " "), lambda w: (w != "") & ~w.isin(stop))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
-    return df.select(*key, words.alias("w")).select(*key, F.explode(F.array_distinct(pairs)).alias("p")).select(*key, "p.first", "p.second")
+    # as strings, since distinct values of an array of strings are found by hash, those of structs by comparing all
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+    each = df.select(*key, _words(text, stop).alias("w")).select(*key, F.explode(F.array_distinct(pairs)).alias("p"))
+    return each.select(*key, F.substring_index("p", " ", 1).alias("first"), F.substring_index("p", " ", -1).alias("second"))
+
+
+def with_pairs(df: DataFrame, text: str, stop: list[str] = STOP) -> DataFrame:
+    """The rows that have any pair."""
+    return df.filter(F.size(_words(text, stop)) > 1)
 
 
 def extracted_pairs(df: DataFrame, key: str, text: str, extract: Callable[[str], list[tuple[str, str]]]) -> DataFrame:

@@ -248,7 +248,7 @@ SELECT soc, round(sum(coalesce(e, 0) * importance) / sum(importance), 6) AS expo
 def task_exposure(t):
     dp = tasks.word_pairs(t.documents, ["doc_id"], "text")
     wanted = tasks.word_pairs(t.benchmark.withColumnRenamed("item_id", "task"), ["task"], "text")
-    total = dp.select("doc_id").distinct().agg(F.count(F.lit(1)).cast("double").alias("n"))
+    total = tasks.with_pairs(t.documents, "text").agg(F.count(F.lit(1)).cast("double").alias("n"))
     share = dp.join(wanted.select("first", "second").distinct(), ["first", "second"], "left_semi").groupBy("first", "second").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(total), F.lit(True)).select("first", "second", (F.col("c") / F.col("n")).alias("share"))  # one row
     e = wanted.join(share, ["first", "second"]).groupBy("task").agg(F.sum("share").alias("e"))
     unit = _importance(t).join(e, "task", "left").groupBy("soc").agg(F.round(F.sum(F.coalesce("e", F.lit(0.0)) * F.col("importance")) / F.sum("importance"), 6).alias("exposure"), F.count("e").alias("matched"), F.count(F.lit(1)).alias("tasks"))

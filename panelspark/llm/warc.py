@@ -34,6 +34,8 @@ from panelspark.llm.common import bound_batches, new_folder
 
 MIN_REVISIT = 1000
 GAP, SPAN = 64 << 10, 8 << 20
+#: Archive bytes that a reading task is dealt: index rows are too small for Spark to tell the work from their size.
+TASK_BYTES = 32 << 20
 INDEX = "archive string, offset long, length long, url string, digest string, page_id long, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _DATE = "1970-01-01T00:00:00Z"  # records carry no time of their own
@@ -148,7 +150,8 @@ def read_records(spark: SparkSession, index: DataFrame, folder: str, *, gap: int
     """The records that index (all rows of an index, or any selection of them) points at."""
     bound_batches(spark)
     chosen = index.select("archive", "offset", "length", F.floor(F.col("offset") / span).alias("span"))
-    chosen = chosen.repartition("archive", "span").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    chosen = chosen.repartition(max(1, -(-total // TASK_BYTES)), "archive", "span").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
     return chosen.mapInArrow(lambda it: _read(it, folder, gap, span), RECORD)
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelspark.llm import similar
 from panelspark.llm.common import bound_batches, materialize, prefix_sums
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -70,17 +71,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, sketched: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        columns = {"doc_id": batch.column(0), "fp": pa.array(prints.view(np.int64))}
+        if sketched:
+            columns["content"], columns["bands"] = similar.sketch(batch, "text", sketched)
+        yield pa.RecordBatch.from_pydict(columns)
 
 
-def fingerprints(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp), a row per document; fp holds the 64 bits in a long."""
+def fingerprints(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sketched: int = 0) -> DataFrame:
+    """(doc_id, fp), a row per document; fp holds the 64 bits in a long. With `sketched`, the length of shingles in words,
+    also content and bands as similar.py takes them."""
     bound_batches(documents.sparkSession)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
+    return rows.mapInArrow(lambda it: _fingerprints(it, shingle, sketched), "doc_id long, fp long" + (", content long, bands array<long>" if sketched else ""))
 
 
 # ---------------------------------------------------------------- Gray order and the index
@@ -264,12 +269,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS,
-                    bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id), a row per document; component_id is the smallest doc_id reachable over links."""
-    prints = materialize(fingerprints(documents, doc_id=doc_id, text=text, shingle=shingle), "simhash-fp")
+                    bucket_rows: int = BUCKET_ROWS, similarity: float | None = None, similar_shingle: int = similar.SHINGLE) -> DataFrame:
+    """(doc_id, fp, component_id), a row per document; component_id is the smallest doc_id reachable over links.
+
+    With `similarity`, texts whose sets of `similar_shingle`-word shingles are that similar are linked too (similar.py).
+    """
+    prints = materialize(fingerprints(documents, doc_id=doc_id, text=text, shingle=shingle, sketched=similar_shingle if similarity else 0), "simhash-fp")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), max_bits=max_bits, bucket_rows=bucket_rows))
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    if similarity:
+        labelled = materialize(labelled, "simhash-labelled")
+        texts = prints.filter(F.col("doc_id").isNotNull()).groupBy("content").agg(F.min(F.struct("doc_id", "fp", "bands")).alias("t")).select("content", "t.*")
+        texts = texts.join(labelled, "fp").select("content", "doc_id", F.col("root").alias("label"), "bands")
+        joined = similar.similar_labels(documents, texts, components, doc_id=doc_id, text=text, shingle=similar_shingle, similarity=similarity)
+        labelled = labelled.join(joined.toDF("root", "joined"), "root", "left").select("fp", "least", F.coalesce("joined", "root").alias("root"))
     names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = labelled.join(names, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")

@@ -9,7 +9,7 @@ import corpus_pipeline
 from panelspark.llm import toxicity
 from panelspark.llm.common import materialize
 from tests.llm.test_layout_queries import brute_mix
-from tests.llm.test_simhash import brute
+from tests.llm.test_similar import brute_similar
 from tests.llm.test_text_queries import contamination
 
 SF = "/root/testdata/sf0.01"
@@ -38,7 +38,7 @@ def test_toxic_documents_go_and_others_stay_as_they_are(spark, stages):
 
 def test_one_document_of_each_group_stays(stages):
     before = [(r.doc_id, r.text) for r in stages[1].collect()]
-    assert sorted(r.doc_id for r in stages[2].collect()) == sorted({c for _, _, c in brute(before)}) and len(before) > stages[2].count()
+    assert sorted(r.doc_id for r in stages[2].collect()) == sorted({c for _, c in brute_similar(before)}) and len(before) > stages[2].count()
 
 
 def test_contaminated_documents_go(spark, stages):

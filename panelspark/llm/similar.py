@@ -62,20 +62,23 @@ def sketch(batch: pa.RecordBatch, column: str, shingle: int) -> tuple[pa.Array,
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, off in text_slices(batch, "text"):
+        wanted = batch.column(0).to_numpy().view(np.uint64)
+        for row, end, data, off in text_slices(batch, "text"):
             hashes, n, content = shingle_hashes(data, off, shingle)
-            sets = [np.unique(h) for h in np.split(hashes, np.cumsum(n)[:-1])]
+            mine = np.flatnonzero(content == wanted[row:end])
+            parts = np.split(hashes, np.cumsum(n)[:-1])
+            sets = [np.unique(parts[i]) for i in mine]
             at = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(content.view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], names=["content", "shingles"])
+            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(content[mine].view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["content", "shingles"])
 
 
 def shingle_sets(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(content, n, shingles) of the texts that wanted (doc_id, content) names; equal texts once."""
+    """(content, n, shingles) of the texts that wanted (doc_id, content) names; a repeated row gives one more."""
     bound_batches(documents.sparkSession)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted.select("doc_id"), "doc_id", "left_semi").select("text")
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("content", "text")
     sets = rows.mapInArrow(lambda it: _sets(it, shingle), "content long, shingles array<long>")
-    return sets.join(wanted.select("content"), "content", "left_semi").dropDuplicates(["content"]).select("content", F.size("shingles").alias("n"), "shingles")
+    return sets.select("content", F.size("shingles").alias("n"), "shingles")
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -91,7 +94,7 @@ def similar_labels(documents: DataFrame, texts: DataFrame, components: Callable[
     members = texts.filter(F.col("doc_id").isNotNull()).select("content", "doc_id", "label", F.explode("bands").alias("bucket"))
     members = materialize(_open(members), "similar-members")
     sets = materialize(shingle_sets(documents, members.select("doc_id", "content").distinct(), doc_id, text, shingle), "similar-sets")
-    left = materialize(members.join(sets.select("content", "n"), "content").select("bucket", "content", "n", "label"), "similar-left")
+    left = materialize(members.join(sets.select("content", "n").distinct(), "content").select("bucket", "content", "n", "label"), "similar-left")
     linked = tested = None
     roots = spark.createDataFrame([], "node long, root long")
     k = 0

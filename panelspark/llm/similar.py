@@ -6,10 +6,11 @@ words: all of them as one). Two texts are linked where their sets have a Jaccard
  1. Each text gets BANDS hashes of ROWS min-wise hashes each. Texts with a band in common form a bucket. At similarity 0.8
     a linked pair misses all bands once in 300,000 pairs; nothing else is left to chance.
  2. Equal texts are one member. A bucket whose members are already in one component is closed.
- 3. Each round takes pivots from every open bucket, twice as many a bucket as the round before, and compares them with the
-    members of other components, by the whole shingle sets and natively; what they link is joined into one component. A
-    pivot leaves its bucket. So members that hang together are compared with a pivot, not with each other, and no pair of
-    components in a bucket stays uncompared.
+ 3. Each round takes pivots from every open bucket, GROWTH times as many a bucket as the round before, and compares them
+    with the members of other components, by the whole shingle sets and natively; what they link is joined into one
+    component, at once if the round found a good part of all links, else after later rounds. A pivot leaves its bucket. So
+    members that hang together are compared with a pivot, not with each other, and no pair of components in a bucket stays
+    uncompared.
 
 Defined results: texts without words, null texts and rows without an id have no links here.
 """
@@ -27,6 +28,10 @@ from panelspark.llm.common import LOWER, NON_SPACE, Rolling, bound_batches, mate
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
+#: Each round takes so many times the pivots of the round before.
+GROWTH = 8
+#: Components are joined after a round that found at least this part of all links; links change the work left, not the result.
+MERGE_PART = 0.1
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -97,9 +102,9 @@ def similar_labels(documents: DataFrame, texts: DataFrame, components: Callable[
     left = materialize(members.join(sets.select("content", "n").distinct(), "content").select("bucket", "content", "n", "label"), "similar-left")
     linked = tested = None
     roots = spark.createDataFrame([], "node long, root long")
-    k = 0
+    k = links = waiting = 0
     while not left.isEmpty():
-        pivots = left.groupBy("bucket", F.pmod(F.xxhash64("content", F.lit(k)), F.lit(1 << k)).alias("class")).agg(F.min(F.struct("content", "n", "label")).alias("p"))
+        pivots = left.groupBy("bucket", F.pmod(F.xxhash64("content", F.lit(k)), F.lit(GROWTH**k)).alias("class")).agg(F.min(F.struct("content", "n", "label")).alias("p"))
         pivots = materialize(pivots.select("bucket", "p.*").toDF("bucket", "pivot", "m", "other"), f"similar-pivots-{k}")
         pairs = (
             left.join(pivots, "bucket").filter((F.col("label") != F.col("other")) & (F.least("n", "m") >= similarity * F.greatest("n", "m")))
@@ -115,10 +120,13 @@ def similar_labels(documents: DataFrame, texts: DataFrame, components: Callable[
             close.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
         close = materialize(close.distinct(), f"similar-links-{k}")
         left = left.join(pivots, (left["bucket"] == pivots["bucket"]) & (left["content"] == pivots["pivot"]), "left_anti")
-        if not close.isEmpty():
+        found = close.count()
+        links, waiting = links + found, waiting + found
+        if found:
             linked = linked.unionAll(close) if linked else close
-            roots = materialize(components(linked), f"similar-roots-{k}")
+        if waiting and waiting >= MERGE_PART * links:
+            roots, waiting = materialize(components(linked), f"similar-roots-{k}"), 0
             left = left.join(roots, F.col("label") == F.col("node"), "left").select("bucket", "content", "n", F.coalesce("root", "label").alias("label"))
         left = materialize(_open(left), f"similar-left-{k}")
         k += 1
-    return roots
+    return materialize(components(linked), "similar-roots") if waiting else roots

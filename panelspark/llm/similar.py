@@ -112,8 +112,9 @@ def similar_labels(documents: DataFrame, texts: DataFrame, components: Callable[
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, f"similar-pairs-{k}")
         tested = tested.unionAll(pairs) if tested else pairs
         shared = F.size(F.array_intersect("x", "y"))
+        other = sets.join(pairs.select(F.col("b").alias("content")).distinct(), "content", "left_semi")
         close = (
-            pairs.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("y")), "b")
+            pairs.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), "a").join(other.select(F.col("content").alias("b"), F.col("shingles").alias("y")), "b")
             .withColumn("shared", shared).filter(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b"))
         label = left.groupBy("content").agg(F.first("label").alias("label"))
         close = (

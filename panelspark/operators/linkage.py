@@ -50,13 +50,53 @@ def title_cascade(left: DataFrame, right: DataFrame, title: str, code: str, cuto
     return same.unionByName(best)
 
 
-def place_cascade(left: DataFrame, right: DataFrame, key: str, code: str) -> DataFrame:
-    """(key, code, score) from tables with cities and states arrays: 3 same first city, 2 shared city (states must meet), 0 none."""
-    wide = lambda df, k: df.select(F.col(k).alias(f"__{k}"), F.col("cities")[0].alias(f"__f_{k}"), F.explode("states").alias("state"), "cities").select("*", F.explode("cities").alias("city")).drop("cities")
-    pairs = wide(left, key).join(wide(right, code), ["state", "city"])
-    score = F.when((F.col(f"__f_{key}") == F.col(f"__f_{code}")) & (F.col("city") == F.col(f"__f_{key}")), 3).otherwise(2)
-    best = pairs.withColumn("score", score).groupBy(f"__{key}").agg(F.min_by(F.struct(F.col(f"__{code}").alias(code), "score"), F.struct(-F.col("score"), F.col(f"__{code}"))).alias("b"))
-    return left.select(key).join(best, F.col(key) == F.col(f"__{key}"), "left").select(key, F.col("b")[code].alias(code), F.coalesce(F.col("b.score"), F.lit(0)).alias("score"))
+def _runs(words: Column) -> Column:
+    """Every run of whole words of a name; the name itself is one of them."""
+    n = F.size(words)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: F.array_join(F.slice(words, i, m), " ")))))
+
+
+def _within(a: Column, b: Column) -> Column:
+    """a's words appear, as whole words, in b."""
+    return (a != "") & (b != "") & F.contains(F.concat(F.lit(" "), b, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
+
+
+def place_cascade(left: DataFrame, right: DataFrame, key: str, code: str, own: str | None = None, principal: DataFrame | None = None) -> DataFrame:
+    """(key, code, score) of places with cities and states arrays (key and code are unique):
+
+    4 the left row's `own` code is known and shares a city with it, as whole words of one within the other; 3 the same first
+    city, in the left row's first state; 2 a shared city, there; 1 a city, in any of its states, is a principal city (`principal`:
+    code, city, state) of exactly one code, equal ones before whole words within; 0 none. Of equal scores the smallest code.
+
+    The right side is reduced to the smallest code of each (state, city) before the join, so no group of all pairs arises.
+    """
+    names_of = lambda df, k, states: df.select(k, F.col("cities")[0].alias("__first"), F.explode(states).alias("state"), "cities").select(k, "__first", "state", F.explode(F.array_distinct("cities")).alias("city"))
+    is_first = F.col("city") == F.col("__first")
+    known = names_of(right, code, "states").groupBy("state", "city").agg(F.min(code).alias("__any"), F.min(F.when(is_first, F.col(code))).alias("__head"))
+    pairs = names_of(left, key, F.slice("states", 1, 1)).join(known, ["state", "city"])
+    head = is_first & F.col("__head").isNotNull()
+    found = pairs.select(key, F.when(head, 3).otherwise(2).alias("score"), F.when(head, F.col("__head")).otherwise(F.col("__any")).alias(code))
+    if principal is not None:
+        principal = principal.select(code, "city", "state").filter("city <> ''").join(right.select(code), code, "left_semi").distinct()
+    if own is not None:
+        places = right.select(code, F.explode("cities").alias("city"))
+        places = (places if principal is None else places.unionByName(principal.select(code, "city"))).groupBy(code).agg(F.collect_set("city").alias("__known"))
+        meets = F.exists("cities", lambda c: F.exists("__known", lambda k: _within(c, k) | _within(k, c)))
+        same = left.select(key, "cities", F.col(own).alias(code)).join(places, code).filter(meets)
+        found = found.unionByName(same.select(key, F.lit(4).alias("score"), code))
+    if principal is not None:
+        runs = principal.select("*", F.explode(_runs(F.split("city", " "))).alias("__run"))
+        whole = F.when(F.col("__run") == F.col("city"), F.col(code))
+        runs = runs.groupBy("state", "__run").agg(F.min(whole).alias("__w0"), F.max(whole).alias("__w1"), F.min(code).alias("__a0"), F.max(code).alias("__a1"))
+        each = left.select(key, "states", F.posexplode("cities").alias("__c", "city")).filter("city <> ''").select(key, "__c", "city", F.posexplode("states").alias("__s", "state"))
+        hits = each.select("*", F.explode(_runs(F.split("city", " "))).alias("__run")).join(runs, ["state", "__run"])
+        all_of_it = F.col("__run") == F.col("city")
+        pick = lambda f, w, a: f(F.when(all_of_it, F.col(a)).otherwise(F.col(w)))
+        hits = hits.groupBy(key, "__c", "__s").agg(F.min(F.when(all_of_it, F.col("__w0"))).alias("__e0"), F.max(F.when(all_of_it, F.col("__w1"))).alias("__e1"), pick(F.min, "__w0", "__a0").alias("__h0"), pick(F.max, "__w1", "__a1").alias("__h1"))
+        low, high = F.coalesce("__e0", "__h0"), F.coalesce("__e1", "__h1")
+        found = found.unionByName(hits.filter(low == high).groupBy(key).agg(F.min_by(low, F.struct("__c", "__s")).alias(code)).select(key, F.lit(1).alias("score"), code))
+    best = found.groupBy(F.col(key).alias("__key")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(code).alias("c"))).alias("b"))
+    return left.select(key).join(best, F.col(key) == F.col("__key"), "left").select(key, F.col("b.c").alias(code), F.coalesce(-F.col("b.s"), F.lit(0)).alias("score"))
 
 
 def tier(method: Column, ratio: Column, score: Column) -> Column:

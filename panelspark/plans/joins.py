@@ -103,6 +103,16 @@ def prefix_fallback_join(t):
     return joins.longest_prefix(t.orders.select("o_orderkey", code("o_custkey").alias("code")), table, "code", "key", [4, 3, 2], "value")
 
 
+@query("""WITH c AS (SELECT o_orderkey, lpad((o_custkey % 2000)::VARCHAR, 4, '0') AS code FROM orders), k AS (SELECT DISTINCT substr(lpad((c_custkey % 2000)::VARCHAR, 4, '0'), 1, 2 + (c_custkey % 3)::INTEGER) AS key FROM customer),
+m AS (SELECT o_orderkey, key, length(key) AS n, row_number() OVER (PARTITION BY o_orderkey ORDER BY length(key) DESC) AS r FROM c JOIN k ON starts_with(code, key))
+SELECT o_orderkey, code, key AS value, n::INTEGER AS matched FROM c LEFT JOIN (SELECT * FROM m WHERE r = 1) USING (o_orderkey)""")
+def prefix_fallback_whole(t):
+    """The longest prefix over the whole lookup table."""
+    code = lambda c: F.lpad((F.col(c) % 2000).cast("string"), 4, "0")
+    table = t.customer.select(F.substring(code("c_custkey"), F.lit(1), (2 + F.col("c_custkey") % 3).cast("int")).alias("key")).distinct().withColumn("value", F.col("key"))
+    return joins.longest_prefix(t.orders.select("o_orderkey", code("o_custkey").alias("code")), table, "code", "key", [4, 3, 2], "value")
+
+
 _FLOW = """SELECT s_nationkey AS origin, c_nationkey AS dest, year(l_shipdate)::INTEGER AS yr, count(*) AS returns, sum(l_extendedprice) AS agi FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3"""
 
 

@@ -152,6 +152,22 @@ def place_match_cascade(t):
     return linkage.place_cascade(left, right, "k", "code")
 
 
+@query("""WITH l AS (SELECT s_suppkey AS k, ['city' || (s_suppkey * 13 % 60), 'city' || (s_suppkey * 17 % 90)] AS cs, 'S' || (s_suppkey % 3) AS st, s_suppkey * 3 AS own FROM supplier), r AS (SELECT c_custkey AS code, ['city' || (c_custkey % 40), 'city' || (c_custkey % 11)] AS cs, 'S' || (c_custkey % 3) AS st FROM customer),
+pc AS (SELECT c_custkey AS code, 'city' || (40 + c_custkey % 47) AS city, 'S' || (c_custkey % 3) AS st FROM customer WHERE c_custkey % 5 = 0), kn AS (SELECT code, unnest(cs) AS city FROM r UNION SELECT code, city FROM pc),
+p AS (SELECT k, 4 AS s, code FROM l JOIN kn ON own = code AND list_contains(cs, city) UNION ALL SELECT k, CASE WHEN l.cs[1] = r.cs[1] THEN 3 ELSE 2 END, code FROM l JOIN r ON l.st = r.st AND len(list_intersect(l.cs, r.cs)) > 0),
+o AS (SELECT k, i, min(code) AS code FROM (SELECT k, st, unnest(cs) AS city, generate_subscripts(cs, 1) AS i FROM l) JOIN pc USING (st, city) GROUP BY 1, 2 HAVING count(DISTINCT code) = 1), u AS (SELECT * FROM p UNION ALL SELECT k, 1, arg_min(code, i) FROM o GROUP BY 1),
+b AS (SELECT k, code, s, row_number() OVER (PARTITION BY k ORDER BY s DESC, code) AS n FROM u) SELECT k, code, coalesce(s, 0)::INTEGER AS score FROM l LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (k)""")
+def place_match_levels(t):
+    """All levels of the cascade over the whole customer table."""
+    city = lambda n: F.concat(F.lit("city"), n.cast("string"))
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    state = lambda k: F.concat(F.lit("S"), (k % 3).cast("string"))
+    left = t.supplier.select(s.alias("k"), F.array(city(s * 13 % 60), city(s * 17 % 90)).alias("cities"), F.array(state(s)).alias("states"), (s * 3).alias("own"))
+    right = t.customer.select(c.alias("code"), F.array(city(c % 40), city(c % 11)).alias("cities"), F.array(state(c)).alias("states"))
+    principal = t.customer.filter(c % 5 == 0).select(c.alias("code"), city(40 + c % 47).alias("city"), state(c).alias("state"))
+    return linkage.place_cascade(left, right, "k", "code", own="own", principal=principal)
+
+
 @query("""SELECT o_orderkey, CASE WHEN m = 'exact' AND r BETWEEN 0.5 AND 2 THEN 'high' WHEN m = 'exact' OR (s >= 95 AND r BETWEEN 0.5 AND 2) THEN 'medium' ELSE 'low' END AS tier FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'exact' ELSE 'fuzzy' END AS m, o_totalprice / 150000 AS r, 90 + o_custkey % 10 AS s FROM orders)""")
 def match_tiers(t):
     return t.orders.select("o_orderkey", linkage.tier(F.when(F.col("o_orderstatus") == "F", "exact").otherwise("fuzzy"), F.col("o_totalprice") / 150000, 90 + F.col("o_custkey") % 10).alias("tier"))

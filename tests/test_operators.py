@@ -97,6 +97,17 @@ def test_links(spark):
     assert rows(titles) == [("cook", "1", "exact"), ("head cook chef", "1", "fuzzy")]
 
 
+def test_place_cascade_has_all_levels(spark):
+    left = spark.createDataFrame([
+        ("own", ["west fargo"], ["ND"], "f"), ("wrong own", ["dallas"], ["TX"], "f"), ("first", ["dallas", "irving"], ["TX", "OK"], None), ("shared", ["irving"], ["TX"], None), ("second state", ["tulsa"], ["TX", "OK"], None),
+        ("within", ["honolulu"], ["HI"], None), ("two", ["kaneohe", "hilo"], ["HI"], None), ("exact before within", ["kahului"], ["HI"], None), ("title city", ["plano", "irving"], ["TX"], None), ("none", ["ocean"], ["NJ"], None), ("no city", [""], ["HI"], None)], "k string, cities array<string>, states array<string>, own string")
+    right = spark.createDataFrame([("f", ["fargo"], ["ND", "MN"]), ("d", ["dallas", "irving"], ["TX"]), ("c", ["irving", "dallas"], ["TX"]), ("t", ["tulsa"], ["OK"]), ("h", ["oahu"], ["HI"]), ("m", ["maui"], ["HI"])], "code string, cities array<string>, states array<string>")
+    principal = spark.createDataFrame([("h", "urban honolulu", "HI"), ("h", "kaneohe", "HI"), ("m", "kaneohe", "HI"), ("m", "hilo", "HI"), ("m", "kahului", "HI"), ("h", "kahului town", "HI"), ("t", "tulsa", "OK"), ("gone", "ocean", "NJ")], "code string, city string, state string")
+    got = {r.k: (r.code, r.score) for r in linkage.place_cascade(left, right, "k", "code", own="own", principal=principal).collect()}
+    assert got == {"own": ("f", 4), "wrong own": ("d", 3), "first": ("d", 3), "shared": ("c", 3), "second state": ("t", 1), "within": ("h", 1), "two": ("m", 1), "exact before within": ("m", 1), "title city": ("c", 2), "none": (None, 0), "no city": (None, 0)}
+    assert {r.k: r.score for r in linkage.place_cascade(left, right, "k", "code").collect()}["second state"] == 0
+
+
 def test_least_squares_agrees_with_dummies(spark):
     rng = np.random.default_rng(1)
     n = 300

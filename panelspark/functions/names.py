@@ -36,6 +36,11 @@ def title(x: Column) -> Column:
     return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
+def squash(x: Column) -> Column:
+    """Letters and digits only, in lower case."""
+    return F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
+
+
 def place(x: Column) -> Column:
     """(cities, states) of a name like `Dallas-Fort Worth, TX-OK`."""
     split = lambda part: F.filter(F.transform(F.split(part, "[-/]"), lambda s: F.trim(s)), lambda s: s != "")

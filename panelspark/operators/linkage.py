@@ -50,6 +50,24 @@ def title_cascade(left: DataFrame, right: DataFrame, title: str, code: str, cuto
     return same.unionByName(best)
 
 
+def containment(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b): distinct titles of which one, squashed, contains the other. A title without letters or digits meets none.
+
+    Each title is cut into its substrings of the lengths that the other dictionary has, so whole titles meet by an equi-join;
+    the lengths are one row.
+    """
+    x, y = (df.select(F.col(c).alias(n)).distinct().withColumn(f"__{n}", names.squash(F.col(n))).filter(f"__{n} <> ''") for df, c, n in ((left, a, "a"), (right, b, "b")))
+
+    def inside(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
+        lengths = inner.agg(F.collect_set(F.length(i)).alias("__lengths"))
+        cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(o) - n + 1), lambda k: F.substring(o, k, n))
+        parts = F.flatten(F.transform(F.filter("__lengths", lambda n: n <= F.length(o)), cut))
+        return outer.select(o).distinct().join(F.broadcast(lengths), F.lit(True)).select(o, F.explode(F.array_distinct(parts)).alias(i)).join(inner.select(i).distinct(), i)  # one row
+
+    pairs = inside(x, "__a", y, "__b").unionByName(inside(y, "__b", x, "__a")).distinct()
+    return pairs.join(x, "__a").join(y, "__b").select(F.col("a").alias(a), F.col("b").alias(b))
+
+
 def _runs(words: Column) -> Column:
     """Every run of whole words of a name; the name itself is one of them."""
     n = F.size(words)

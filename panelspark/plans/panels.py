@@ -475,12 +475,18 @@ def panel_metro_year(t):
 
 @query("""WITH t AS (SELECT DISTINCT p_type AS a FROM part), n AS (SELECT DISTINCT p_name AS b FROM part) SELECT a, b FROM t, n WHERE contains(lower(b), lower(substr(a, 1, 1))) AND starts_with(lower(b), lower(substr(a, 1, 1)))""")
 def title_containment(t):
-    """Titles that begin alike: the containment test of two dictionaries as an equi-join on what both must share."""
+    """Titles with the same first letter, as the SQL has it; title_containment_whole compares whole titles."""
     head = lambda c: F.lower(F.substring(c, 1, 1))
     a, b = t.part.select(F.col("p_type").alias("a")).distinct(), t.part.select(F.col("p_name").alias("b")).distinct()
     return a.join(b, head(F.col("a")) == head(F.col("b"))).select("a", "b")
 
 
+@query("""WITH t AS (SELECT DISTINCT p_type AS a, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS x FROM part), n AS (SELECT DISTINCT p_name AS b, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS y FROM part)
+SELECT a, b FROM t, n WHERE x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x))""")
+def title_containment_whole(t):
+    return linkage.containment(t.part, t.part, "p_type", "p_name").toDF("a", "b")
+
+
 @query()
 def control_ladder(t):
     fits = stats.ladder(t.lineitem, "l_extendedprice", "l_quantity", [["l_discount"], ["l_tax"]], "l_returnflag", cluster="l_suppkey")

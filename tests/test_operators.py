@@ -108,6 +108,13 @@ def test_place_cascade_has_all_levels(spark):
     assert {r.k: r.score for r in linkage.place_cascade(left, right, "k", "code").collect()}["second state"] == 0
 
 
+def test_containment_is_of_whole_titles_either_way(spark):
+    a = spark.createDataFrame([("Retail Trade",), ("Mining",), ("Information",), ("mining",), ("--",), (None,), ("Public administration, all",)], "a string")
+    b = spark.createDataFrame([("44-45 retail-trade",), ("44-45 retail-trade",), ("Mines",), ("Information",), ("Public administration",), ("determining",), ("",), (None,)], "b string")
+    assert rows(linkage.containment(a, b, "a", "b")) == sorted([("Retail Trade", "44-45 retail-trade"), ("Information", "Information"), ("Public administration, all", "Public administration"), ("Mining", "determining"), ("mining", "determining")], key=str)
+    assert linkage.containment(a.limit(0), b, "a", "b").count() == 0
+
+
 def test_least_squares_agrees_with_dummies(spark):
     rng = np.random.default_rng(1)
     n = 300

@@ -49,7 +49,7 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, weight: str | None = Non
 
 def least_squares(df: DataFrame, y: str, xs: list[str], weight: str | None = None, absorb: list[str] = (), cluster: str | None = None, rounds: int = 50) -> dict:
     """Weighted least squares with HC1 or clustered errors; `absorb` are fixed effects, taken out by group means (one set in one
-    pass; several in turn, `rounds` times at most, until the means are below 1e-10).
+    pass; several in turn until the means are below 1e-10; an error if they aren't after `rounds` rounds).
 
     Spark computes X'WX, X'Wy and the sums of squared scores; the driver solves a system of len(xs) + 1 unknowns.
     """
@@ -69,6 +69,9 @@ def least_squares(df: DataFrame, y: str, xs: list[str], weight: str | None = Non
             rows = rows.drop(*[f"m_{c}" for c in ["y", *names]])
         if most < 1e-10:
             break
+    else:
+        if len(absorb) > 1:
+            raise RuntimeError(f"fixed effects not absorbed after {rounds} rounds: a group mean of {most:.3g} is left")
     if absorb:
         groups = sum(rows.agg(*[F.count_distinct(f"g{g}") for g in range(len(absorb))]).first()) - (len(absorb) - 1)
     else:

@@ -263,6 +263,15 @@ def matrix_weighted_score(t):
     return s.select("label", F.round("score", 6).alias("score"), F.round((F.col("score") - F.avg("score").over(Window.partitionBy())) / F.stddev_samp("score").over(Window.partitionBy()), 4).alias("z"))
 
 
+@query("""WITH m AS (SELECT label, i, avg(v) AS rel FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2),
+s AS (SELECT label, sum((i % 5 + 1)::DOUBLE * rel) / sum((i % 5 + 1)::DOUBLE) AS score FROM m GROUP BY 1) SELECT label, round(score, 6) AS score, round((score - avg(score) OVER ()) / stddev_samp(score) OVER (), 4) AS z FROM s""")
+def matrix_weighted_whole(t):
+    """The score over all coordinates."""
+    m = t.embeddings.select("label", F.posexplode("embedding").alias("p", "v")).groupBy("label", (F.col("p") + 1).alias("i")).agg(F.avg(F.col("v").cast("double")).alias("rel"))
+    s = m.withColumn("w", (F.col("i") % 5 + 1).cast("double")).groupBy("label").agg((F.sum(F.col("w") * F.col("rel")) / F.sum("w")).alias("score"))
+    return s.select("label", F.round("score", 6).alias("score"), F.round((F.col("score") - F.avg("score").over(Window.partitionBy())) / F.stddev_samp("score").over(Window.partitionBy()), 4).alias("z"))
+
+
 @query("SELECT n_regionkey AS state, sum(n)::BIGINT AS n, round(avg(CASE WHEN c_nationkey % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) AS multistate FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def first_state_rollup(t):
     c = t.customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))

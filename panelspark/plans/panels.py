@@ -307,7 +307,7 @@ def rank_corr(t):
 
 @query()
 def bootstrap_ci(t):
-    return stats.bootstrap_mean(t.orders, "o_orderkey", "o_totalprice", draws=200)
+    return stats.bootstrap_mean(t.orders, "o_orderkey", "o_totalprice", draws=1000)
 
 
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, count(*) AS n FROM lineitem")
@@ -326,7 +326,7 @@ def wls_coefficients(t):
 @query()
 def twfe_within(t):
     y = customer_years(t).withColumn("before", F.lag("n").over(Window.partitionBy("o_custkey").orderBy("yr"))).filter("before is not null")
-    fit = stats.least_squares(y, "v", ["before"], absorb=["o_custkey", "yr"], cluster="o_custkey", rounds=6)
+    fit = stats.least_squares(y, "v", ["before"], absorb=["o_custkey", "yr"], cluster="o_custkey")
     return t.spark.createDataFrame(fit["terms"], "term string, estimate double, se double").withColumn("n", F.lit(fit["n"]))
 
 
@@ -367,7 +367,7 @@ def kmeans_clusters(t):
     from pyspark.ml.functions import array_to_vector
 
     rows = t.embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    best = max((ClusteringEvaluator().evaluate(m.transform(rows)), -k, m) for k in (2, 4) for m in [KMeans(k=k, seed=7, maxIter=10).fit(rows)])[2]
+    best = max((ClusteringEvaluator().evaluate(m.transform(rows)), -k, m) for k in (3, 4, 5, 6) for m in [KMeans(k=k, seed=7, maxIter=10).fit(rows)])[2]
     return best.transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
 
 
@@ -497,4 +497,4 @@ def control_ladder(t):
 def moran_permutations(t):
     v = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("unit"), "n_regionkey").agg(F.coalesce(F.avg("c_acctbal"), F.lit(0.0)).alias("x"))
     e = t.nation.select(F.col("n_nationkey").alias("unit"), "n_regionkey").join(t.nation.select(F.col("n_nationkey").alias("neighbour"), "n_regionkey"), "n_regionkey").filter("unit <> neighbour").select("unit", "neighbour")
-    return stats.moran_permutations(v.select("unit", "x"), e, "unit", "x", draws=99)
+    return stats.moran_permutations(v.select("unit", "x"), e, "unit", "x", draws=999)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import codes, names
 from panelspark.operators import joins, linkage, novelty, panels, stats, tasks
+from panelspark.plans import QUERIES
 from panelspark.sources import readers
 from panelspark.streaming.incremental import ingest_new
 
@@ -136,6 +137,25 @@ def test_least_squares_agrees_with_dummies(spark):
     assert np.allclose([t[1] for t in plain["terms"]], beta) and np.allclose([t[2] for t in plain["terms"]], se)
 
 
+def test_fixed_effects_are_absorbed_or_an_error(spark):
+    rng = np.random.default_rng(2)
+    panel = [(g, h) for g in range(8) for h in range(6) if rng.random() < 0.85]
+    x = [float(v) for v in rng.normal(size=len(panel)) + [g * h for g, h in panel]]
+    df = spark.createDataFrame([(3 * v + 2.0 * g - h, v, g, h) for v, (g, h) in zip(x, panel)], "y double, x double, g int, h int")
+    assert abs(stats.least_squares(df, "y", ["x"], absorb=["g", "h"])["terms"][0][1] - 3) < 1e-8
+    with pytest.raises(RuntimeError, match="not absorbed"):
+        stats.least_squares(df, "y", ["x"], absorb=["g", "h"], rounds=2)
+
+
+def test_kmeans_can_choose_five_and_the_whole_matrix_counts(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    spark.createDataFrame([(i, i % 2, [float(v) for v in 20 * np.eye(64)[i % 5] + 0.01 * rng.normal(size=64)]) for i in range(200)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["kmeans_clusters"](spark, str(tmp_path))
+    assert got.select("cluster").distinct().count() == 5
+    spark.createDataFrame([(0, 0, [0.0] * 64), (1, 1, [0.0] * 63 + [1.0]), (2, 2, [0.0] * 64)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/last/embeddings.parquet")
+    assert {r.label: r.score for r in QUERIES["matrix_weighted_whole"](spark, f"{tmp_path}/last").collect()} == {0: 0.0, 1: round(5 / 194, 6), 2: 0.0}
+
+
 def test_bootstrap_is_steady_and_near_the_normal_interval(spark):
     df = spark.range(2000).select("id", ((F.col("id") * 7919) % 1000).cast("double").alias("v"))
     a, b = (stats.bootstrap_mean(df, "id", "v", draws=300).first() for _ in range(2))

@@ -38,13 +38,35 @@ def fuzzy(left: DataFrame, right: DataFrame, name: str, code: str, cutoff: float
     return scored.groupBy("name").agg(best.alias("b")).select("name", "b.match", "b.code", "b.score")
 
 
+def _alike(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
+    """Pairs with every (a, b) whose sorted words have an indel ratio of `cutoff` or more, and some others.
+
+    A text of length n allows at most k = n * 2 (1 - r) / r insertions and deletions at a ratio r. So of its k + 1 parts one
+    stands unharmed in the other text, moved by no more than their number: texts meet on (length, number of part, part).
+    """
+    r = cutoff / 100
+    low, high = F.ceil(F.col("__m") * (r / (2 - r)) - 1e-9), F.floor(F.col("__m") * ((2 - r) / r) + 1e-9)
+    words = lambda df, c: df.withColumn("__t", F.array_join(F.array_sort(F.array_distinct(F.split(F.trim(c), r"\s+"))), " ")).filter("__t <> ''")
+    count = F.floor(F.col("__n") * (2 * (1 - r) / r) + 1e-9).cast("int") + 1
+    cuts = lambda df: df.withColumn("__k", count).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__k") - 1))).withColumns({"__at": F.floor(F.col("__i") * F.col("__n") / F.col("__k")).cast("int"), "__to": F.floor((F.col("__i") + 1) * F.col("__n") / F.col("__k")).cast("int")})
+    part = lambda at: F.substring(F.col("__t"), at + 1, F.col("__to") - F.col("__at"))
+    x = cuts(words(left, a).withColumn("__n", F.length("__t"))).select(*left.columns, "__n", "__i", part(F.col("__at")).alias("__part"))
+    y = words(right, b).withColumn("__m", F.length("__t")).withColumn("__n", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    moved = F.floor((F.col("__n") + F.col("__m")) * (1 - r) + 1e-9).cast("int")
+    y = cuts(y).withColumns({"__p": F.greatest(F.lit(0), F.col("__at") - moved), "__q": F.least(F.col("__at") + moved, F.col("__m") - (F.col("__to") - F.col("__at")))}).filter("__p <= __q")
+    y = y.withColumn("__p", F.explode(F.sequence("__p", "__q"))).select(*right.columns, "__n", "__i", part(F.col("__p")).alias("__part")).distinct()
+    return x.join(y, ["__n", "__i", "__part"]).select(*left.columns, *right.columns).distinct()
+
+
 def title_cascade(left: DataFrame, right: DataFrame, title: str, code: str, cutoff: float = 92.0) -> DataFrame:
-    """(title, code, method): equal titles first, then the best dictionary title that shares a word with it."""
+    """(title, code, method): equal titles first, then the best dictionary title at a token-set ratio of `cutoff` or more: of
+    those that share a word with it and, since without a shared word that is the indel ratio of the sorted words, of those alike."""
     a, b = left.select(title).distinct(), right.groupBy(title).agg(F.min(code).alias(code))
     same = a.join(b, title).withColumn("method", F.lit("exact"))
     rest = a.join(b, title, "left_anti")
     word = lambda df, new: df.select(F.col(title).alias(new), *([code] if code in df.columns else []), F.explode(F.array_distinct(F.split(title, " "))).alias("__w"))
-    pairs = word(rest, "__l").join(word(b, "__r"), "__w").select("__l", "__r", code).distinct()
+    pairs = word(rest, "__l").join(word(b, "__r"), "__w").select("__l", "__r", code)
+    pairs = pairs.unionByName(_alike(rest.select(F.col(title).alias("__l")), b.select(F.col(title).alias("__r"), code), "__l", "__r", cutoff)).distinct()
     scored = pairs.withColumn("__s", names.token_set_ratio("__l", "__r")).filter(F.col("__s") >= cutoff)
     best = scored.groupBy(F.col("__l").alias(title)).agg(F.min_by(code, F.struct((-F.col("__s")).alias("s"), F.col("__r").alias("r"))).alias(code)).withColumn("method", F.lit("fuzzy"))
     return same.unionByName(best)

@@ -116,6 +116,20 @@ def test_containment_is_of_whole_titles_either_way(spark):
     assert linkage.containment(a.limit(0), b, "a", "b").count() == 0
 
 
+def test_titles_meet_without_a_shared_word(spark):
+    frame = lambda texts: spark.createDataFrame([(x, str(i)) for i, x in enumerate(texts)], "t string, c string")
+    got = linkage.title_cascade(frame(["statisticians", "engineers", "cooks", "physicists nuclear"]), frame(["statistician", "engineer", "cook", "nuclears physicist"]), "t", "c")
+    assert rows(got) == [("engineers", "1", "fuzzy"), ("physicists nuclear", "3", "fuzzy"), ("statisticians", "0", "fuzzy")]
+    rng = np.random.default_rng(4)
+    base = ["".join(rng.choice(list("abc"), rng.integers(1, 40))) for _ in range(40)]
+    edit = lambda x: "".join(rng.choice(["", c + "a", c], p=[0.04, 0.04, 0.92]) for c in x) or "a"
+    left, right = sorted({edit(x) for x in base for _ in range(2)}), sorted({*base, *map(edit, base)})
+    for cutoff in (92.0, 80.0):
+        pairs = linkage._alike(spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string"), "a", "b", cutoff)
+        want = {(x, y) for x in left for y in right if names.token_set(x, y) >= cutoff}
+        assert len(want) > 60 and want <= {tuple(p) for p in pairs.collect()}
+
+
 def test_least_squares_agrees_with_dummies(spark):
     rng = np.random.default_rng(1)
     n = 300

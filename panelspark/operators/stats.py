@@ -103,8 +103,8 @@ def least_squares(df: DataFrame, y: str, xs: list[str], weight: str | None = Non
 def neighbours(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query, key, distance, rank): the k nearest points of each query row by Euclidean distance.
 
-    The queries are a stated set that is broadcast in blocks; every task keeps the k best of its own points for each query
-    (a bounded list), and only those are ranked.
+    The queries are a stated set that is collected and broadcast whole; every task keeps the k best of its own points by
+    (distance, key) for each query, and only those are ranked.
     """
     from collections.abc import Iterator
 
@@ -117,16 +117,22 @@ def neighbours(points: DataFrame, queries: DataFrame, key: str, vector: str, k:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q = table.value
+        best = (np.full((len(q), k), np.inf), np.zeros((len(q), k), dtype=np.int64))
         for b in batches:
             if not len(b) or not len(q):
                 continue
-            p = np.stack(b[vector].to_numpy()).astype(np.float64)
-            d = np.sqrt(((q[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)) if len(q) * len(p) < 2_000_000 else np.stack([np.sqrt(((p - x) ** 2).sum(axis=1)) for x in q])
-            d[q_ids[:, None] == b[key].to_numpy()[None, :]] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, : k + 8]
-            rows, cols = np.repeat(np.arange(len(q)), near.shape[1]), near.ravel()
-            out = pd.DataFrame({"query": q_ids[rows], key: b[key].to_numpy()[cols], "distance": d[rows, cols]})
-            yield out[np.isfinite(out["distance"])]
+            b = b.sort_values(key)  # the stable sorts by distance below then go by (distance, key)
+            p, p_ids = np.stack(b[vector].to_numpy()).astype(np.float64), b[key].to_numpy()
+            for at in range(0, len(q), 64):
+                part = slice(at, at + 64)
+                d = np.stack([np.sqrt(((p - x) ** 2).sum(axis=1)) for x in q[part]])
+                d[q_ids[part, None] == p_ids[None, :]] = np.inf
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                both, ids = np.hstack([best[0][part], np.take_along_axis(d, near, 1)]), np.hstack([best[1][part], p_ids[near]])
+                first = np.lexsort((ids, both), axis=-1)[:, :k]
+                best[0][part], best[1][part] = np.take_along_axis(both, first, 1), np.take_along_axis(ids, first, 1)
+        out = pd.DataFrame({"query": np.repeat(q_ids, k), key: best[1].ravel(), "distance": best[0].ravel()})
+        yield out[np.isfinite(out["distance"])]
 
     best = points.select(key, vector).mapInPandas(run, f"query long, {key} long, distance double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key)))

@@ -170,6 +170,12 @@ def test_kmeans_can_choose_five_and_the_whole_matrix_counts(spark, tmp_path):
     assert {r.label: r.score for r in QUERIES["matrix_weighted_whole"](spark, f"{tmp_path}/last").collect()} == {0: 0.0, 1: round(5 / 194, 6), 2: 0.0}
 
 
+def test_nearest_of_many_copies_are_the_smallest_keys(spark):
+    points = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(40, 0, -1)] + [(100, [0.0, 0.0]), (101, [0.5, 0.0])], "id long, v array<double>").coalesce(1)
+    got = stats.neighbours(points, points.filter("id >= 100"), "id", "v", 3)
+    assert rows(got.select("query", "rank", "id")) == sorted([(100, 1, 101), (100, 2, 1), (100, 3, 2), (101, 1, 1), (101, 2, 2), (101, 3, 3)], key=str)
+
+
 def test_bootstrap_is_steady_and_near_the_normal_interval(spark):
     df = spark.range(2000).select("id", ((F.col("id") * 7919) % 1000).cast("double").alias("v"))
     a, b = (stats.bootstrap_mean(df, "id", "v", draws=300).first() for _ in range(2))

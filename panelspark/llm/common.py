@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: the shared folder, vectorised words, distributed prefix sums."""
+"""What the operators of this subpackage share: bounded Arrow batches, keys of rows, vectorised words and their hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from panelspark.sources.staging import Scratch, new_folder  # noqa: F401
+from panelspark.sources.staging import staged as materialize  # noqa: F401
 
 #: Bytes of text that a task turns into numpy arrays at once; a single longer text is taken alone.
 SLICE_BYTES = 1 << 20
@@ -25,27 +25,12 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a new temporary folder
-    (local mode only, as in tests), set for the session so that checkpoint() uses it too."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def row_key(documents: DataFrame) -> Column:
+    """64 bits of all columns of a row (a null differs from every value); columns that Spark can't hash are left out. Rows
+    with equal keys and equal ids count as one another's copies."""
+    fields = [f for f in documents.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "void"))]
+    named = [F.col(f"`{f.name}`") for f in fields]
+    return F.xxhash64(*[x for c in named for x in (c, c.isNull())]) if named else F.lit(0).cast("long")
 
 
 # ---------------------------------------------------------------- words in numpy
@@ -144,30 +129,3 @@ class HashSet:
         place = np.minimum(np.searchsorted(self.sorted, hashes[maybe]), len(self.sorted) - 1)
         same = self.sorted[place] == hashes[maybe]
         return maybe[same], place[same]
-
-
-# ---------------------------------------------------------------- prefix sums without a group in one task
-
-def prefix_sums(df: DataFrame, group: str, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
-    """df with, for each (new column: value column) of sums, the sum of the rows before it within its group.
-
-    The rows are range-partitioned on (group, order), written once with the number of their partition, summed by
-    partition and group (a row each), and only those few rows are accumulated by group. A group of any size is spread
-    over as many tasks as it fills. Rows that tie in order are interchangeable.
-    """
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keys = {f"__k{i}": c for i, c in enumerate(order)}
-    laid = df.withColumns(keys).repartitionByRange(parts, F.col(group).asc_nulls_first(), *[F.col(k) for k in keys])
-    laid = materialize(laid.withColumn("__part", F.spark_partition_id()), name)
-    totals = laid.groupBy(group, "__part").agg(*[F.sum(v).alias(f"__t_{c}") for c, v in sums.items()])
-    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        F.col(group).alias("__g"), F.col("__part").alias("__p"),
-        *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums],
-    )
-    inside = Window.partitionBy("__part", group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    own = laid.withColumns({c: F.coalesce(F.sum(v).over(inside), F.lit(0)) for c, v in sums.items()})
-    joined = own.join(offsets, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")), "left")
-    return joined.withColumns({c: F.col(c) + F.col(f"__o_{c}") for c in sums}).drop(
-        "__part", "__g", "__p", *keys, *[f"__o_{c}" for c in sums])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.llm.common import prefix_sums
+from panelspark.operators.spread import prefix_sums
 
 WEIGHTS, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 3, "mix"
 

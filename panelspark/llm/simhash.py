@@ -5,14 +5,17 @@ included; fewer words: all of them as one), XXH64 with seed 42 of each; a bit is
 
 Linking, exact for every pair of fingerprints at `max_bits` or fewer differing bits:
  1. Equal fingerprints are one node (a group of copies of any size is aggregated map-side into one row).
- 2. The 64 bits are cut into max_bits + 2 blocks. Two linked fingerprints agree on at least two blocks, so each node is
-    put under each pair of blocks; nodes that share a pair and its value form a bucket. Rows here are 20 bytes.
- 3. In a bucket the nodes are sorted by Gray rank, and the hierarchical index is laid over that order: leaves of
-    neighbours, then levels of FANOUT nodes; each holds the bits that all fingerprints below share (mask and value). A
-    search goes down only where the bits that differ from the shared pattern are at most max_bits, so whole groups go at
-    once. A bucket gives the edges of a forest over its links, not all pairs.
- 4. A bucket of more than `bucket_rows` nodes is cut into runs of that many in Gray order, over as many tasks; pairs of
-    runs whose shared patterns already differ by more than max_bits are dropped, each other pair is searched as a task.
+ 2. The 64 bits are cut into max_bits + 1 blocks. Two linked fingerprints agree on at least one block, so each node is
+    turned (rotated) so that each block comes first once: as many turns of the table as blocks, 21 bytes a row.
+ 3. Each turn is range-partitioned and sorted by Gray rank. Fingerprints that agree on the first block have neighbouring
+    ranks and come to one task. Over its sorted rows a task lays the hierarchical index: leaves of neighbours, then
+    levels of FANOUT nodes; each holds the bits that all fingerprints below share (mask and value). A search for each
+    fingerprint goes down from the top and only where the shared pattern agrees on the first block and differs in at most
+    max_bits bits, so whole groups go at once. All candidates come from this index. What comes out is a forest over the
+    links, not all pairs.
+ 4. Fingerprints of one first block that are more than `bucket_rows` are cut into runs of that many in Gray order, over as
+    many tasks; pairs of runs whose shared patterns already differ by more than max_bits are dropped, each other pair is
+    searched as a task by the same index.
  5. Components: alternating large-star and small-star steps over the edges, written to the shared folder each round.
 
 Defined results: null or wordless texts have fingerprint zero and link like others; a null doc_id is in its group but
@@ -22,9 +25,9 @@ other than id and text are not read.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.llm import similar
-from panelspark.llm.common import bound_batches, materialize, prefix_sums
+from panelspark.llm.common import Scratch, bound_batches, materialize, row_key
+from panelspark.operators.spread import prefix_sums, spread_join
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
-#: Nodes of a bucket that one task searches; larger buckets are cut into runs of this many.
-BUCKET_ROWS = 4096
+#: Nodes of one first block that one index holds; larger groups are cut into runs of this many.
+BUCKET_ROWS = 1 << 16
+#: Rows of a turn that a task puts under one index, and more until the last first block is whole.
+CHUNK_ROWS = 1 << 15
 LEAF, FANOUT = 16, 8
 #: Bytes of a text that are split into words at once, so that a very long text needs no long list.
 BLOCK_BYTES = 1 << 20
@@ -74,18 +80,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, sketched: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1)], np.uint64)
-        columns = {"doc_id": batch.column(0), "fp": pa.array(prints.view(np.int64))}
+        columns = {"rid": batch.column(2), "doc_id": batch.column(0), "fp": pa.array(prints.view(np.int64))}
         if sketched:
             columns["content"], columns["bands"] = similar.sketch(batch, "text", sketched)
         yield pa.RecordBatch.from_pydict(columns)
 
 
 def fingerprints(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sketched: int = 0) -> DataFrame:
-    """(doc_id, fp), a row per document; fp holds the 64 bits in a long. With `sketched`, the length of shingles in words,
-    also content and bands as similar.py takes them."""
+    """(rid, doc_id, fp), a row per document; rid is common.row_key, fp holds the 64 bits in a long. With `sketched`, the
+    length of shingles in words, also content and bands as similar.py takes them."""
     bound_batches(documents.sparkSession)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(lambda it: _fingerprints(it, shingle, sketched), "doc_id long, fp long" + (", content long, bands array<long>" if sketched else ""))
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), row_key(documents).alias("rid"))
+    return rows.mapInArrow(lambda it: _fingerprints(it, shingle, sketched), "rid long, doc_id long, fp long" + (", content long, bands array<long>" if sketched else ""))
 
 
 # ---------------------------------------------------------------- Gray order and the index
@@ -119,20 +125,22 @@ class GrayIndex:
             width = FANOUT
         self.levels.reverse()
 
-    def near(self, queries: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(place of a query, place of a print) at max_bits or fewer differing bits, by slices of queries."""
+    def near(self, queries: np.ndarray, max_bits: int, same: np.uint64 = np.uint64(0)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place of a query, place of a print) at max_bits or fewer differing bits, none of them in `same`, by slices of queries."""
         for first in range(0, len(queries), 256):
             q = np.arange(first, min(first + 256, len(queries)))
             at = np.zeros(len(q), np.int64)
             widths = [FANOUT] * (len(self.levels) - 1) + [LEAF]
             sizes = [len(m) for m, _ in self.levels[1:]] + [len(self.prints)]
             for (mask, value), width, size in zip(self.levels, widths, sizes):
-                fits = np.bitwise_count((queries[q] ^ value[at]) & mask[at]) <= max_bits
+                differ = (queries[q] ^ value[at]) & mask[at]
+                fits = (np.bitwise_count(differ) <= max_bits) & ((differ & same) == 0)
                 q, at = q[fits], at[fits]
                 below = (at[:, None] * width + np.arange(width)).ravel()
                 q = np.repeat(q, width)[below < size]
                 at = below[below < size]
-            fits = np.bitwise_count(queries[q] ^ self.prints[at]) <= max_bits
+            differ = queries[q] ^ self.prints[at]
+            fits = (np.bitwise_count(differ) <= max_bits) & ((differ & same) == 0)
             yield q[fits], self.order[at[fits]]
 
 
@@ -156,85 +164,80 @@ def _lowest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return label
 
 
-def _forest(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(prints: np.ndarray, max_bits: int, first: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what the index finds linked, each to the lowest of its tree."""
     index = GrayIndex(prints)
-    label = _lowest(len(prints), index.near(prints, max_bits))
+    label = _lowest(len(prints), index.near(prints, max_bits, first))
     mine = np.flatnonzero(label != np.arange(len(prints)))
     return prints[mine], prints[label[mine]]
 
 
-def _search(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Buckets arrive whole, one after another, as (bucket, fp); the last one of a batch may go on in the next."""
-    key_left, fp_left = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _search(batches: Iterator[pa.RecordBatch], max_bits: int, lead: int) -> Iterator[pa.RecordBatch]:
+    """Turns arrive as (turn, print), one after another and each in Gray order; prints that share the first `lead` bits are
+    searched together, as many such groups at a time as make CHUNK_ROWS."""
+    turn_left, print_left = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    first = np.uint64((1 << 64) - (1 << (64 - lead)))
 
-    def edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        starts, ends = np.r_[0, cuts], np.r_[cuts, len(key)]
-        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        group, size = np.repeat(np.arange(len(starts)), ends - starts), ends - starts
-        small = (size <= LEAF)[group]  # within one leaf there is nothing to prune: compare neighbours at each distance
-        for step in range(1, LEAF):
-            i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if len(key) > step else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= max_bits]
-            a.append(fp[i + step])
-            b.append(fp[i])
-        for g in np.flatnonzero(size > LEAF):
-            x, y = _forest(fp[starts[g] : ends[g]], max_bits)
-            a.append(x)
-            b.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+    def edges(turn: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for t in np.unique(turn):
+            a, b = _forest(prints[turn == t], max_bits, first)
+            back = [np.uint64(64) - np.uint64(t * lead), np.uint64(t * lead)]
+            a, b = ((x << back[0] | x >> back[1]) if t else x for x in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     for batch in batches:
-        key = np.concatenate([key_left, batch.column(0).to_numpy()])
-        fp = np.concatenate([fp_left, batch.column(1).to_numpy().view(np.uint64)])
-        if not len(key):
-            continue
-        others = np.flatnonzero(key != key[-1])
-        cut = int(others[-1]) + 1 if len(others) else 0
-        key_left, fp_left = key[cut:], fp[cut:]
+        turn = np.concatenate([turn_left, batch.column(0).to_numpy()])
+        prints = np.concatenate([print_left, batch.column(1).to_numpy().view(np.uint64)])
+        cut = 0
+        if len(turn) >= CHUNK_ROWS:  # the last group may go on in the next batch
+            group = prints & first
+            others = np.flatnonzero((group != group[-1]) | (turn != turn[-1]))
+            cut = int(others[-1]) + 1 if len(others) else 0
+        turn_left, print_left = turn[cut:], prints[cut:]
         if cut:
-            yield edges(key[:cut], fp[:cut])
-    if len(key_left):
-        yield edges(key_left, fp_left)
+            yield from edges(turn[:cut], prints[:cut])
+    if len(turn_left):
+        yield from edges(turn_left, print_left)
 
 
 def _search_runs(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
     """Pairs of runs, each of at most BUCKET_ROWS prints."""
     for batch in batches:
         for left, right in zip(batch.column(0), batch.column(1)):
-            x, y = (np.array(v.as_py(), np.int64).view(np.uint64) for v in (left, right))
-            both = np.unique(np.concatenate([x, y]))
+            both = np.unique(np.concatenate([v.values.to_numpy().view(np.uint64) for v in (left, right)]))
             a, b = _forest(both, max_bits)
             yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (a, b)], names=["a", "b"])
 
 
 def links(nodes: DataFrame, *, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Edges (a, b) of a forest over all links between distinct fingerprints; nodes has a unique column fp."""
-    n_blocks = max_bits + 2
-    cuts = [round(64 * i / n_blocks) for i in range(n_blocks + 1)]
-    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:])]
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    tables = F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(a | b))).alias("value")) for i, (a, b) in enumerate(combinations(masks, 2))])
-    entries = nodes.select("fp", F.explode(tables).alias("t")).select("fp", F.xxhash64("t.table", "t.value").alias("bucket"))
-    # Two values that fell on one 64-bit hash would only share a bucket; links are decided on whole fingerprints.
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    entries = materialize(entries.join(sizes.filter("n > 1"), "bucket"), "simhash-entries")
+    spark = nodes.sparkSession
+    lead = 64 // (max_bits + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    turned = lambda t: F.shiftleft("fp", t * lead).bitwiseOR(F.shiftrightunsigned("fp", 64 - t * lead)) if t else F.col("fp")
+    turns = F.array(*[F.struct(F.lit(t).alias("turn"), turned(t).alias("print")) for t in range(max_bits + 1)])
+    rows = nodes.select(F.explode(turns).alias("t")).select("t.*")
+    rows = rows.withColumn("rank", _gray_rank(F.col("print")).bitwiseXOR(F.lit(-(1 << 63)))).withColumn("block", F.shiftright("rank", 64 - lead))
+    rows = materialize(rows, "simhash-turns")
+    # at most (max_bits + 1) * 2**lead groups, and no more than rows / bucket_rows of them are large
+    large = materialize(rows.groupBy("turn", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_rows).select("turn", "block"), "simhash-large")
+    some = not large.isEmpty()
+    small = rows.join(large, ["turn", "block"], "left_anti") if some else rows
     found = (
-        entries.filter(F.col("n") <= bucket_rows).repartition("bucket").sortWithinPartitions("bucket").select("bucket", "fp")
-        .mapInArrow(lambda it: _search(it, max_bits), "a long, b long"))
-    large = entries.filter(F.col("n") > bucket_rows)
-    if not large.isEmpty():
-        runs = prefix_sums(large.withColumn("one", F.lit(1).cast("long")), "bucket", [_gray_rank(F.col("fp")).bitwiseXOR(F.lit(-(1 << 63)))], {"place": "one"}, "simhash-runs")
+        small.repartitionByRange(parts, "turn", "block").sortWithinPartitions("turn", "rank").select("turn", "print")
+        .mapInArrow(lambda it: _search(it, max_bits, lead), "a long, b long"))
+    if some:
+        bucket = F.col("block") * (max_bits + 1) + F.col("turn")
+        runs = prefix_sums(rows.join(large, ["turn", "block"]).withColumns({"one": F.lit(1).cast("long"), "bucket": bucket}), "bucket", [F.col("rank")], {"place": "one"}, "simhash-runs")
         runs = materialize(
-            runs.groupBy("bucket", F.floor(F.col("place") / bucket_rows).alias("run"))
-            .agg(F.collect_list("fp").alias("fps"), F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros")), "simhash-run")
+            runs.groupBy("bucket", "turn", F.floor(F.col("place") / bucket_rows).alias("run"))
+            .agg(F.collect_list("print").alias("fps"), F.bit_and("print").alias("ones"), F.bit_and(F.bitwise_not("print")).alias("zeros")), "simhash-run")
         slim = runs.select("bucket", "run", "ones", "zeros")
         left, right = slim.toDF("bucket", "i", "ones", "zeros"), slim.toDF("bucket", "j", "ones2", "zeros2")
         apart = F.bit_count(F.col("ones").bitwiseAND(F.col("zeros2"))) + F.bit_count(F.col("zeros").bitwiseAND(F.col("ones2")))
         pairs = left.join(right, "bucket").filter((F.col("i") <= F.col("j")) & (apart <= max_bits)).select("bucket", "i", "j")
-        fps = runs.select("bucket", "run", "fps")
+        back = lambda c: F.transform(c, lambda p: functools.reduce(lambda w, t: w.when(F.col("turn") == t, F.shiftrightunsigned(p, t * lead).bitwiseOR(F.shiftleft(p, 64 - t * lead))), range(1, max_bits + 1), F.when(F.col("turn") == 0, p)))
+        fps = runs.select("bucket", "run", back("fps").alias("fps"))
         pairs = (pairs.join(fps.toDF("bucket", "i", "left"), ["bucket", "i"]).join(fps.toDF("bucket", "j", "right"), ["bucket", "j"])
                  .select("left", "right"))
         found = found.unionAll(pairs.mapInArrow(lambda it: _search_runs(it, max_bits), "a long, b long"))
@@ -247,17 +250,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the lowest node that it is connected with.
 
     Large-star and small-star in turn until a round changes nothing. A hub's neighbours are aggregated map-side to their
-    minimum; the join back on a hub is one that adaptive execution may split.
+    minimum, which is joined back in pieces (spread_join), so a hub of any size is no task's load.
     """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc-0")
+    scratch = Scratch(edges.sparkSession, "components")
+    edges = scratch.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "round-0")
     before = None
     for k in range(max_rounds):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = spread_join(both.filter("b > a"), low, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = materialize(small.filter("a <> b").distinct(), f"cc-{k + 1}")
+        small = spread_join(large, low, ["a"], ["b"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        edges = scratch.put(small.filter("a <> b").distinct(), f"round-{k + 1}")
+        scratch.drop(f"round-{k}")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
@@ -268,36 +273,58 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS,
-                    bucket_rows: int = BUCKET_ROWS, similarity: float | None = None, similar_shingle: int = similar.SHINGLE) -> DataFrame:
+def _grouped(documents: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+             bucket_rows: int = BUCKET_ROWS, similarity: float | None = None, similar_shingle: int = similar.SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(rid, doc_id, fp) of all documents and (fp, root) of all fingerprints, both written."""
+    prints = scratch.put(fingerprints(documents, doc_id=doc_id, text=text, shingle=shingle, sketched=similar_shingle if similarity else 0), "prints")
+    nodes = scratch.put(prints.select("fp").distinct(), "nodes")
+    roots = components(links(nodes, max_bits=max_bits, bucket_rows=bucket_rows))
+    labelled = scratch.put(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "labelled")
+    if similarity:
+        texts = prints.filter(F.size("bands") > 0).groupBy("content").agg(F.min(F.struct("rid", "fp", "bands")).alias("t")).select("content", "t.*")
+        texts = texts.join(labelled.withColumnRenamed("root", "label"), "fp").select("content", "rid", "label", "bands")
+        rows = documents.select(row_key(documents).alias("rid"), F.col(text).cast("string").alias("text"))
+        joined = similar.similar_labels(rows, texts, components, shingle=similar_shingle, similarity=similarity)
+        labelled = scratch.put(labelled.join(joined.toDF("root", "joined"), "root", "left").select("fp", F.coalesce("joined", "root").alias("root")), "joined")
+    scratch.keep("prints", "joined" if similarity else "labelled")
+    return prints.select("rid", "doc_id", "fp"), labelled
+
+
+def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, fp, component_id), a row per document; component_id is the smallest doc_id reachable over links.
 
-    With `similarity`, texts whose sets of `similar_shingle`-word shingles are that similar are linked too (similar.py).
+    Options: shingle, max_bits, bucket_rows; with `similarity`, texts whose sets of `similar_shingle`-word shingles are that
+    similar are linked too (similar.py).
     """
-    prints = materialize(fingerprints(documents, doc_id=doc_id, text=text, shingle=shingle, sketched=similar_shingle if similarity else 0), "simhash-fp")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), max_bits=max_bits, bucket_rows=bucket_rows))
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    if similarity:
-        labelled = materialize(labelled, "simhash-labelled")
-        texts = prints.filter(F.col("doc_id").isNotNull()).groupBy("content").agg(F.min(F.struct("doc_id", "fp", "bands")).alias("t")).select("content", "t.*")
-        texts = texts.join(labelled, "fp").select("content", "doc_id", F.col("root").alias("label"), "bands")
-        joined = similar.similar_labels(documents, texts, components, doc_id=doc_id, text=text, shingle=similar_shingle, similarity=similarity)
-        labelled = labelled.join(joined.toDF("root", "joined"), "root", "left").select("fp", "least", F.coalesce("joined", "root").alias("root"))
-    names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = labelled.join(names, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    scratch = Scratch(documents.sparkSession, "simhash")
+    prints, labelled = _grouped(documents, scratch, doc_id=doc_id, text=text, **options)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(labelled, "fp")
+    names = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_print = spread_join(least, names, ["root"], ["fp"]).select("fp", "component_id")
+    return spread_join(prints, by_print, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """documents with one row of each group, the one that component_id names; all columns stay.
+    """documents with one row of each group; all columns stay.
 
-    Of rows that repeat that id, the least by all columns stays. Rows without an id can't be named: they are not compared
-    with the others, and one of each distinct text stays.
+    Of a group the row with the smallest id stays (rows without an id come last); of rows that tie in that, the one with the
+    smallest common.row_key; of rows that are equal in all columns, one. Rows are told apart by id and key, not by id alone:
+    different texts under one id are in different groups, and rows without an id are compared like others.
     """
-    found = near_duplicates(documents, doc_id=doc_id, text=text, **options)
-    names = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    ordered = [F.col(c) for c in documents.columns if not documents.schema[c].dataType.simpleString().startswith(("map", "variant"))]
-    kept = documents.join(names, F.col(doc_id) == F.col("__id"), "left_semi")
-    kept = kept.withColumn("__nth", F.row_number().over(Window.partitionBy(doc_id).orderBy(*ordered))).filter("__nth = 1").drop("__nth")
-    return kept.unionByName(documents.filter(F.col(doc_id).isNull()).dropDuplicates([text]))
+    scratch = Scratch(documents.sparkSession, "keep-one")
+    prints, labelled = _grouped(documents, scratch, doc_id=doc_id, text=text, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
+    least = prints.groupBy("fp").agg(F.min(order).alias("t")).join(labelled, "fp").groupBy("root").agg(F.min("t").alias("t"))
+    names = scratch.put(least.select(F.col("t.doc_id").alias("__id"), F.col("t.rid").alias("__rid")).distinct(), "names")
+    # rows that are there more than once; few or many, their texts meet map-side
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__rid") == F.col("rid"))
+    twice = scratch.put(prints.groupBy("doc_id", "rid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(names, same, "left_semi").select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid")), "twice")
+    scratch.keep("names", "twice")
+    rows = documents.withColumn("__key", row_key(documents))
+    same = F.col("__id").eqNullSafe(F.col(doc_id).cast("long")) & (F.col("__rid") == F.col("__key"))
+    kept = rows.join(names, same, "left_semi")
+    if twice.isEmpty():
+        return kept.select(*documents.columns)
+    once = kept.join(twice, same, "left_anti")
+    repeated = kept.join(twice, same, "left_semi").dropDuplicates([doc_id, "__key"])
+    return once.unionByName(repeated).select(*documents.columns)

@@ -1,6 +1,5 @@
 import random
 import re
-from itertools import combinations
 
 import numpy as np
 import pytest
@@ -113,13 +112,37 @@ def test_one_of_each_group_stays(spark, odd_documents):
     named = [r.doc_id for r in rows if r.doc_id is not None]
     groups = {c for i, _, c in brute([(r[0], r[1]) for r in odd_documents]) if c is not None}
     assert sorted(named) == sorted(groups)
-    assert sum(r.doc_id is None for r in rows) == 2
+    assert len(rows) == len(named)  # each row without an id has a copy or is a null text
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def test_rows_without_ids_and_rows_that_share_an_id_are_compared_one_by_one(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(5, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (7, text(5)), (8, text(5)), (9, text(4)), (6, text(1))]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("rid", F.lit("clash")).repartition(4))
+    assert kept.columns == ["doc_id", "text", "rid"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5))], key=str)
+
+
+def test_all_candidates_come_from_the_gray_index(spark, monkeypatch):
+    prints = [0, 1, 3, 7 << 40, 1 << 20]
+    nodes = spark.createDataFrame([(p,) for p in prints], "fp long")
+    assert simhash.links(nodes).count() > 0
+    monkeypatch.setattr(simhash.GrayIndex, "near", lambda self, queries, max_bits, same=0: iter(()))
+    assert simhash.links(nodes).count() == 0
+
+
+def test_the_index_prunes_whole_groups():
+    rng = np.random.default_rng(2)
+    index = simhash.GrayIndex(rng.integers(0, 1 << 63, 40_000).astype(np.uint64))
+    mask, value = index.levels[-1]
+    query = index.prints[:1]
+    near = (np.bitwise_count((query ^ value) & mask) <= 3).mean()
+    assert near < 0.4  # leaves that a search has to open
+
+
 def test_a_very_long_text_is_read_in_blocks(monkeypatch):
     text = ("Aa bb\tcc  dd\nee " * 40).strip()
     whole = simhash.fingerprint(text.encode())
     monkeypatch.setattr(simhash, "BLOCK_BYTES", 37)
     assert simhash.fingerprint(text.encode()) == whole == brute_print(text)
-    assert len(list(combinations(range(5), 2))) == 10  # pairs of blocks at three bits

@@ -24,6 +24,18 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], by: list[str],
     return salted.join(pairs, [*on, "__salt"]).drop("__salt")
 
 
+#: Most rows of a written table of a few numbers a row that sized_join broadcasts: some 10 MB in memory.
+BROADCAST_ROWS = 200_000
+
+
+def sized_join(rows: DataFrame, table: DataFrame, on: list[str], by: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """Join of rows with a written narrow table: broadcast if its rows, which are counted here, are at most BROADCAST_ROWS; else
+    spread_join with the salt columns `by` (inner joins of hot values), or without `by` a shuffle join."""
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, how)
+    return spread_join(rows, table, on, by) if by and how == "inner" else rows.join(table, on, how)
+
+
 def prefix_sums(df: DataFrame, group: str, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
     """df with, for each (new column: value column) of sums, the sum of the rows before it within its group.
 

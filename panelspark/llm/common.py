@@ -14,7 +14,7 @@ from panelspark.sources.staging import Scratch, new_folder  # noqa: F401
 from panelspark.sources.staging import staged as materialize  # noqa: F401
 
 #: Bytes of text that a task turns into numpy arrays at once; a single longer text is taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Most bytes and rows of an Arrow batch that goes to a Python worker, as rows hold whole texts.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 

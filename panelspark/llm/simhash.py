@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from panelspark.llm import similar
 from panelspark.llm.common import Scratch, bound_batches, materialize, row_key
-from panelspark.operators.spread import prefix_sums, spread_join
+from panelspark.operators.spread import BROADCAST_ROWS, prefix_sums, sized_join
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 #: Nodes of one first block that one index holds; larger groups are cut into runs of this many.
@@ -249,24 +249,23 @@ def links(nodes: DataFrame, *, max_bits: int = MAX_BITS, bucket_rows: int = BUCK
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the lowest node that it is connected with.
 
-    Large-star and small-star in turn until a round changes nothing. A hub's neighbours are aggregated map-side to their
-    minimum, which is joined back in pieces (spread_join), so a hub of any size is no task's load.
+    Large-star and small-star in turn until each node hangs on its root. A hub's neighbours are aggregated map-side to their
+    minimum, which is written and joined back by sized_join, so a hub of any size is no task's load.
     """
     scratch = Scratch(edges.sparkSession, "components")
     edges = scratch.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "round-0")
-    before = None
     for k in range(max_rounds):
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("child")), F.struct(F.col("b").alias("n"), F.lit(0).alias("child")))).alias("e")).select("e.*")
+        times = ends.groupBy("n").agg(F.sum("child").alias("c"), F.min("child").alias("low"))
+        if times.filter("c > 1 or (c = 1 and low = 0)").isEmpty():  # each node has one parent, and no parent has one
+            break
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = spread_join(both.filter("b > a"), low, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = spread_join(large, low, ["a"], ["b"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        low = scratch.put(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"low-{k}")
+        large = scratch.put(sized_join(both.filter("b > a"), low, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b"), f"large-{k}")
+        low = scratch.put(large.groupBy("a").agg(F.min("b").alias("m")), f"low-again-{k}")
+        small = sized_join(large, low, ["a"], ["b"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = scratch.put(small.filter("a <> b").distinct(), f"round-{k + 1}")
-        scratch.drop(f"round-{k}")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
+        scratch.keep(f"round-{k + 1}")
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -278,15 +277,16 @@ def _grouped(documents: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id",
     """(rid, doc_id, fp) of all documents and (fp, root) of all fingerprints, both written."""
     prints = scratch.put(fingerprints(documents, doc_id=doc_id, text=text, shingle=shingle, sketched=similar_shingle if similarity else 0), "prints")
     nodes = scratch.put(prints.select("fp").distinct(), "nodes")
-    roots = components(links(nodes, max_bits=max_bits, bucket_rows=bucket_rows))
-    labelled = scratch.put(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "labelled")
+    edges = scratch.put(links(nodes, max_bits=max_bits, bucket_rows=bucket_rows), "links")
     if similarity:
-        texts = prints.filter(F.size("bands") > 0).groupBy("content").agg(F.min(F.struct("rid", "fp", "bands")).alias("t")).select("content", "t.*")
-        texts = texts.join(labelled.withColumnRenamed("root", "label"), "fp").select("content", "rid", "label", "bands")
+        texts = prints.filter(F.size("bands") > 0).groupBy("content").agg(F.min(F.struct("rid", F.col("fp").alias("label"), "bands")).alias("t"))
+        texts = scratch.put(texts.select("content", "t.*"), "texts")
         rows = documents.select(row_key(documents).alias("rid"), F.col(text).cast("string").alias("text"))
-        joined = similar.similar_labels(rows, texts, components, shingle=similar_shingle, similarity=similarity)
-        labelled = scratch.put(labelled.join(joined.toDF("root", "joined"), "root", "left").select("fp", F.coalesce("joined", "root").alias("root")), "joined")
-    scratch.keep("prints", "joined" if similarity else "labelled")
+        roots = similar.similar_labels(rows, texts, edges, components, shingle=similar_shingle, similarity=similarity)
+    else:
+        roots = components(edges)
+    labelled = scratch.put(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "labelled")
+    scratch.keep("prints", "labelled")
     return prints.select("rid", "doc_id", "fp"), labelled
 
 
@@ -298,10 +298,11 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     """
     scratch = Scratch(documents.sparkSession, "simhash")
     prints, labelled = _grouped(documents, scratch, doc_id=doc_id, text=text, **options)
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(labelled, "fp")
-    names = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = spread_join(least, names, ["root"], ["fp"]).select("fp", "component_id")
-    return spread_join(prints, by_print, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
+    least = scratch.put(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(labelled, "fp"), "least")
+    names = scratch.put(least.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    by_print = scratch.put(sized_join(least, names, ["root"], ["fp"]).select("fp", "component_id"), "by-print")
+    scratch.keep("prints", "by-print")
+    return sized_join(prints, by_print, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -314,17 +315,18 @@ def keep_one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str
     scratch = Scratch(documents.sparkSession, "keep-one")
     prints, labelled = _grouped(documents, scratch, doc_id=doc_id, text=text, **options)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
-    least = prints.groupBy("fp").agg(F.min(order).alias("t")).join(labelled, "fp").groupBy("root").agg(F.min("t").alias("t"))
-    names = scratch.put(least.select(F.col("t.doc_id").alias("__id"), F.col("t.rid").alias("__rid")).distinct(), "names")
-    # rows that are there more than once; few or many, their texts meet map-side
-    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__rid") == F.col("rid"))
-    twice = scratch.put(prints.groupBy("doc_id", "rid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(names, same, "left_semi").select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid")), "twice")
-    scratch.keep("names", "twice")
-    rows = documents.withColumn("__key", row_key(documents))
+    least = scratch.put(prints.groupBy("fp").agg(F.min(order).alias("t")).join(labelled, "fp"), "least")
+    names = scratch.put(least.groupBy("root").agg(F.min("t").alias("t")).select(F.struct("t.last", "t.doc_id", "t.rid").alias("t"), F.lit(True).alias("kept")), "names")
+    # keys of rows that go, and of rows that stay but are there more than once
+    keys = scratch.put(prints.groupBy(order.alias("t")).agg(F.count(F.lit(1)).alias("n")), "keys")
+    marked = keys.join(names, "t", "left").select(F.col("t.doc_id").alias("__id"), F.col("t.rid").alias("__rid"), F.coalesce("kept", F.lit(False)).alias("kept"), "n")
+    marked = scratch.put(marked.filter("not kept or n > 1"), "marked")
+    scratch.keep("marked")
     same = F.col("__id").eqNullSafe(F.col(doc_id).cast("long")) & (F.col("__rid") == F.col("__key"))
-    kept = rows.join(names, same, "left_semi")
-    if twice.isEmpty():
-        return kept.select(*documents.columns)
-    once = kept.join(twice, same, "left_anti")
-    repeated = kept.join(twice, same, "left_semi").dropDuplicates([doc_id, "__key"])
-    return once.unionByName(repeated).select(*documents.columns)
+    rows = documents.withColumn("__key", row_key(documents))
+    gone = marked.select("__id", "__rid")
+    once = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
+    twice = marked.filter("kept").select("__id", "__rid")
+    if not twice.isEmpty():  # few or many, their texts meet map-side
+        once = once.unionByName(rows.join(twice, same, "left_semi").dropDuplicates([doc_id, "__key"]))
+    return once.select(*documents.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import LOWER, NON_SPACE, Rolling, Scratch, bound_batches, mix, text_slices, word_spans
-from panelspark.operators.spread import spread_join
+from panelspark.operators.spread import sized_join, spread_join
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -84,9 +84,9 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
 
 
 def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(content, n, shingles) of the texts that wanted (rid, content) names in rows (rid, text), one row for each."""
+    """(content, n, shingles) of the texts that the written table wanted (rid, content) names in rows (rid, text), one row for each."""
     bound_batches(rows.sparkSession)
-    sets = rows.join(wanted, "rid").select("content", "text").mapInArrow(lambda it: _sets(it, shingle), "content long, shingles array<long>")
+    sets = sized_join(rows, wanted, ["rid"]).select("content", "text").mapInArrow(lambda it: _sets(it, shingle), "content long, shingles array<long>")
     return sets.select("content", F.size("shingles").alias("n"), "shingles")
 
 
@@ -117,53 +117,54 @@ def close_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return both.withColumn("shared", shared).filter(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).drop("x", "y", "shared")
 
 
-def similar_labels(rows: DataFrame, texts: DataFrame, components: Callable[[DataFrame], DataFrame], *, shingle: int = SHINGLE, similarity: float = SIMILARITY,
-                   levels: int = LEVELS) -> DataFrame:
-    """(node, root) that joins the labels of texts (content, rid, label, bands; unique content) over similar texts.
+def similar_labels(rows: DataFrame, texts: DataFrame, edges: DataFrame, components: Callable[[DataFrame], DataFrame], *, shingle: int = SHINGLE,
+                   similarity: float = SIMILARITY, levels: int = LEVELS) -> DataFrame:
+    """(node, root) that joins the labels of texts (content, rid, label, bands; unique content) over similar texts and over the
+    written edges (a, b) between labels that are known already.
 
     rows (rid, text) holds the texts; rid names a row that has the content.
     """
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "similar")
+    scratch = Scratch(rows.sparkSession, "similar")
     entries = texts.select("content", "rid", "label", F.explode("bands").alias("bucket"))
     shared = scratch.put(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("bucket", "size"), "shared")
-    entries = scratch.put(entries.join(shared, "bucket"), "entries")
+    entries = scratch.put(sized_join(entries, shared, ["bucket"], ["content"]), "entries")
     members = scratch.put(entries.groupBy("content").agg(F.first("rid").alias("rid"), F.first("label").alias("label"), F.sum("size").alias("spread")), "members")
     sets = scratch.put(shingle_sets(rows, members.select("rid", "content"), shingle), "sets")
-    sized = members.join(sets.select("content", "n"), "content").select("content", "label", "spread", "n")
-    left = scratch.put(entries.select("content", "bucket").join(sized, "content"), "left-0")
-    scratch.drop("shared", "entries", "members")
-    linked, roots = [], spark.createDataFrame([], "node long, root long")
+    sized = scratch.put(members.join(sets.select("content", "n"), "content").select("content", "label", "spread", "n"), "sized")
+    left = scratch.put(sized_join(entries.select("content", "bucket"), sized, ["content"]), "left-0")
+    scratch.drop("shared", "entries", "members", "sized")
+    roots = None
     for k in range(levels):
         middle = F.max(F.struct("spread", "content", "n", "label"))
         buckets = left.groupBy("bucket").agg(middle.alias("p"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h")
-        pivots = buckets.select("bucket", F.col("p.content").alias("pivot"), F.col("p.n").alias("m"), F.col("p.label").alias("other"))
-        met = scratch.put(spread_join(left, pivots, ["bucket"], ["content"]).filter("content <> pivot"), f"met-{k}")
+        pivots = scratch.put(buckets.select("bucket", F.col("p.content").alias("pivot"), F.col("p.n").alias("m"), F.col("p.label").alias("other")), f"pivots-{k}")
+        met = scratch.put(sized_join(left, pivots, ["bucket"], ["content"]).filter("content <> pivot"), f"met-{k}")
         apart = met.filter((F.col("label") != F.col("other")) & (F.least("n", "m") >= similarity * F.greatest("n", "m")))
         pairs = scratch.put(apart.select(F.col("content").alias("a"), F.col("pivot").alias("b"), F.col("label").alias("la"), F.col("other").alias("lb")).distinct(), f"pairs-{k}")
         close = scratch.put(close_pairs(pairs, sets, similarity).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), f"close-{k}")
+        scratch.drop(f"left-{k}", f"pivots-{k}", f"pairs-{k}")
         found = not close.isEmpty()
-        scratch.drop(f"left-{k}", f"pairs-{k}")
         met = met.select("bucket", "content", "label", "spread", "n")
-        if found:
-            linked.append(close)
-            every = linked[0]
-            for more in linked[1:]:
-                every = every.unionAll(more)
-            roots = scratch.put(components(every), f"roots-{k}")
-            scratch.drop(f"roots-{k - 1}")
-            moved = met.select("label").distinct().join(roots.toDF("label", "root"), "label", "left").select("label", F.coalesce("root", "label").alias("root"))
-            met = spread_join(met, moved, ["label"], ["content"]).select("bucket", "content", F.col("root").alias("label"), "spread", "n")
+        if found or not k:
+            merged = scratch.put(components(close if k else close.unionByName(edges)), f"merged-{k}")
+            moved = merged.toDF("label", "root")
+            labels = scratch.put(met.select("label").distinct().join(moved, "label", "left").select("label", F.coalesce("root", "label").alias("root")), f"labels-{k}")
+            met = sized_join(met, labels, ["label"], ["content"]).select("bucket", "content", F.col("root").alias("label"), "spread", "n")
+            if roots is None:
+                roots = merged
+            else:  # what was joined before goes where its root goes now
+                later = moved.select(F.col("label").alias("root"), F.col("root").alias("last"))
+                own = merged.join(roots.select("node"), "node", "left_anti")
+                roots = scratch.put(roots.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")).unionByName(own), f"roots-{k}")
         elif k:
             break
-        still = met.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("bucket")
-        still = scratch.put(spread_join(met, still, ["bucket"], ["content"]), f"still-{k}")
-        if still.isEmpty():
+        open_ = scratch.put(met.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("bucket"), f"open-{k}")
+        if open_.isEmpty():
             break
-        own = still.groupBy("content").agg(F.collect_list("bucket").alias("buckets"), F.first("label").alias("label"), F.first("spread").alias("spread"), F.first("n").alias("n"))
+        still = sized_join(met, open_, ["bucket"], ["content"])
+        own = scratch.put(still.groupBy("content").agg(F.collect_list("bucket").alias("buckets"), F.first("label").alias("label"), F.first("spread").alias("spread"), F.first("n").alias("n")), f"own-{k}")
         finer = own.select("content", "buckets").join(sets.select("content", "shingles"), "content").mapInArrow(lambda it, k=k: _finer(it, k), "content long, bucket long")
         left = scratch.put(finer.join(own.drop("buckets"), "content"), f"left-{k + 1}")
-        scratch.drop(f"met-{k}", f"still-{k}")
-    last = sorted((n for n in scratch.names if n.startswith("roots-")), key=lambda n: int(n[6:]))[-1:]
-    scratch.keep(*last)
+        scratch.drop(f"met-{k}", f"open-{k}", f"own-{k}", f"labels-{k}", f"close-{k}")
+    scratch.keep(*[n for n in scratch.names if n.startswith(("roots-", "merged-"))])
     return roots

@@ -11,8 +11,9 @@ it fills; only a row per task and source is accumulated (common.prefix_sums). Ta
 filling is a closed form over caps in order, done with windows over that table.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source; repeated rows are documents of their
-own (which of two equal rows comes first doesn't show); a null id sorts as ''; an empty table, or one without words,
-takes nothing. Reruns agree: nothing depends on how rows are partitioned.
+own (which of two equal rows comes first doesn't show), rows that only share an id are told apart by all their columns; a
+null id sorts as ''; very long texts are documents like others; an empty table, or one without words, takes nothing; extra
+columns stay whatever their names. Reruns agree: nothing depends on how rows are partitioned.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelspark.llm.common import materialize, row_key
 from panelspark.operators.spread import prefix_sums
 
 WEIGHTS, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 3, "mix"
@@ -45,25 +47,42 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, max_epoch
     return rows.select("source", "source_size", F.least(F.col("cap"), water * F.col("weight")).alias("target"))
 
 
-def mix(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS,
-        max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken), a row per document; taken counts words with repeats."""
-    slim = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+def _laid(documents: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], max_epochs: int, seed: str) -> DataFrame:
+    slim = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), row_key(documents).alias("rid"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    slim = slim.withColumn("__key", F.conv(F.substring(key, 1, 15), 16, 10).cast("long"))
-    laid = prefix_sums(slim, "source", [F.col("__key"), F.col("doc_id"), F.col("size")], {"before": "size"}, "mix")
-    goals = targets(laid.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, max_epochs=max_epochs)
+    # the texts are read once; the sort samples and moves these narrow rows
+    slim = materialize(slim.withColumn("__key", F.conv(F.substring(key, 1, 15), 16, 10).cast("long")), "mix-sizes")
+    laid = prefix_sums(slim, "source", [F.col("__key"), F.col("doc_id"), F.col("size"), F.col("rid")], {"before": "size"}, "mix")
+    goals = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, max_epochs=max_epochs)
     goals = goals.withColumnRenamed("source", "__source")
     rows = laid.join(goals, F.col("source").eqNullSafe(F.col("__source")))
     whole = F.floor(F.coalesce(F.try_divide(F.floor("target"), F.col("source_size").cast("double")), F.lit(0.0)))
     left = F.floor("target") - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("before")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("rid", "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS,
+        max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken), a row per document; taken counts words with repeats."""
+    return _laid(documents, doc_id, text, source, weights, max_epochs, seed).drop("rid")
+
 
+def mixed_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS,
+                    max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """documents, each row as often as the mix takes it; the document at a source's cut comes whole. All columns stay.
 
-def mixed_documents(documents: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """documents, each row as often as the mix takes it; the document at a source's cut comes whole. All columns stay."""
-    taken = mix(documents, doc_id=doc_id, **options).filter("taken > 0")
-    copies = taken.groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).alias("__copies")).withColumnRenamed("doc_id", "__id")
-    rows = documents.join(copies, F.col(doc_id).eqNullSafe(F.col("__id"))).drop("__id")
-    return rows.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    Copies go back to rows by id and row key; of rows equal in all columns one stands for all, with the copies of all.
+    """
+    laid = _laid(documents, doc_id, text, source, weights, max_epochs, seed)
+    copies = F.coalesce(F.ceil(F.try_divide(F.col("taken").cast("double"), F.col("size"))), F.lit(0)).cast("long")
+    each = laid.groupBy(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid")).agg(F.sum(copies).alias("__copies"), F.count(F.lit(1)).alias("__n")).filter("__copies > 0")
+    each = materialize(each, "mix-copies")
+    same = F.col("__id").eqNullSafe(F.col(doc_id)) & (F.col("__rid") == F.col("__key"))
+    rows = documents.withColumn("__key", row_key(documents))
+    out = rows.join(each.filter("__n = 1"), same)
+    repeated = each.filter("__n > 1")
+    if not repeated.isEmpty():
+        once = rows.join(repeated, same, "left_semi").dropDuplicates([doc_id, "__key"])
+        out = out.unionByName(once.join(repeated, same))
+    return out.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")

@@ -1,17 +1,20 @@
 """Sharding by histogram sort: probes are refined against exact byte counts until splitters are within tolerance, then one exchange.
 
-A document's key is 64 bits: 32 of a hash of its text, then 32 of a hash of its id. So equal texts lie side by side, and a
-group of copies that is larger than a shard is cut between ids. Law `bytes`: a document's size is its UTF-8 bytes plus 16,
+A document's key is 64 bits: 44 of a hash of its text, then 20 of a hash of its id. So equal texts lie side by side (of 10^10
+different texts one in some thousands has a stranger among them), and a group of copies that is larger than a shard is cut
+between ids, in up to a million pieces. Law `bytes`: a document's size is its UTF-8 bytes plus 16,
 and shards get sizes near equal.
 
-Rounds: all keys are counted in 2**BITS intervals; the intervals that hold a splitter are counted again, each in 2**BITS
-parts, until each splitter is off by at most `tolerance` of a shard or the interval is one key. Each round is one map-side
-aggregation over (key, size), which were written once; the driver sees at most splitters x 2**BITS counts. The same rounds
-place the cuts of runs within shards, so that no task has to hold or number a whole shard, and count the rows before
-each, so a row's slot is that count plus its place in its run. Texts move once: hashed by run, sorted by key within it.
+Rounds: all keys are counted in 2**BITS intervals; the intervals that hold a splitter are counted again, each in as many parts
+as make at most COUNTS together, until each splitter is off by at most `tolerance` of a shard or the interval is one key.
+Each round is one map-side aggregation over (key, size), which were written once; the driver sees at most COUNTS counts of
+it, however many documents and shards. The same rounds place the cuts of runs within shards, so that no task has to hold or
+number a whole shard, and count the rows before each, so a row's slot is that count plus its place in its run. A run has
+`run_bytes`, more where a shard would have over MAX_RUNS of them (its sort spills then). Texts move once: hashed by run,
+sorted by key within it.
 
 Defined results: a null text is empty (16 bytes) and has checksum 0; a null id hashes like ''; rows that repeat both id and
-text share a key and a shard; columns named shard or slot are replaced; with an empty table nothing is returned.
+text share a key and a shard; columns named shard or slot are replaced; very long texts are rows like others; with an empty table nothing is returned.
 """
 
 from __future__ import annotations
@@ -28,14 +31,16 @@ from panelspark.llm.common import materialize
 
 SHARDS, OVERHEAD, TOLERANCE, BITS = 40, 16, 0.001, 10
 #: Bytes of a run, the piece of a shard that one task sorts.
-RUN_BYTES = 64 << 20
+RUN_BYTES, MAX_RUNS = 64 << 20, 256
+#: Most counts of a round that the driver sees.
+COUNTS = 1 << 18
 
 
 def sort_key(doc_id: Column, text: Column) -> Column:
     """Unsigned order of 64 bits, kept in a long by turning the top bit."""
-    high = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
-    low = F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(high, 32).bitwiseOR(low).bitwiseXOR(F.lit(-(1 << 63)))
+    high = F.shiftleft(F.xxhash64(F.coalesce(text, F.lit(""))), 20)
+    low = F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 20) - 1))
+    return high.bitwiseOR(low).bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def splitters(keys: DataFrame, wanted: list[float], tolerance: float) -> list[tuple[int, int, int]]:
@@ -48,10 +53,11 @@ def splitters(keys: DataFrame, wanted: list[float], tolerance: float) -> list[tu
     open_, shift = {0: (0, 0, list(range(len(wanted))))}, 64
     unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
     while open_ and shift > 0:
-        last, shift = shift, max(0, shift - BITS)
+        last, shift = shift, max(0, shift - max(1, min(BITS, (COUNTS // len(open_)).bit_length() - 1)))
         rows = keys
         if last < 64:
-            rows = rows.filter(F.shiftrightunsigned(unsigned, last).isin([s >> last for s in open_]))
+            starts = keys.sparkSession.createDataFrame([(s >> last,) for s in open_], "__start long")
+            rows = rows.join(F.broadcast(starts), F.shiftrightunsigned(unsigned, last) == F.col("__start"), "left_semi")  # at most a row per splitter
         counted = rows.groupBy(F.shiftrightunsigned(unsigned, shift).alias("p")).agg(F.sum("size"), F.count(F.lit(1))).collect()
         parts: dict[int, list[tuple[int, int, int]]] = {}
         for p, size, n in counted:
@@ -83,7 +89,7 @@ def shard_documents(documents: DataFrame, *, shards: int = SHARDS, doc_id: str =
     key = sort_key(F.col(doc_id), content)
     keys = materialize(documents.select(key.alias("key"), (F.octet_length(content) + OVERHEAD).cast("long").alias("size")), "shard-keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    runs = max(1, round(total / shards / run_bytes))
+    runs = min(MAX_RUNS, max(1, round(total / shards / run_bytes)))
     cuts = splitters(keys, [total * i / (shards * runs) for i in range(1, shards * runs)], tolerance * total / shards / runs)
     bounds = np.array([min(c[0], (1 << 64) - 1) for c in cuts], np.uint64)
     rows_before = [0, *[c[2] for c in cuts]]

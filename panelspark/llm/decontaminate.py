@@ -5,10 +5,10 @@ Words are runs of `[0-9a-z]` and non-ASCII characters after lower-casing A-Z. A
 in the broadcast set, and each hit is verified word by word, so a hash collision can't count.
 
 Size of the broadcast: the items are taken in blocks of at most `block_windows` windows and one item (about 300 bytes a
-window in a task, so some 60 MB), each block being one pass that adds its hits to those found before; a small benchmark
-is one block.
+window in a task, so some 60 MB). Each block is one pass, whose result is written and whose broadcast is destroyed before
+the next block is read, so no two are in memory together; a small benchmark is one block and one pass, nothing written.
 
-Nulls: a null text has no words; an item without words has no window; an item with a null id still marks words, but has no
+Nulls and such: a very long text is scanned whole, alone in its slice; a null text has no words; an item without words has no window; an item with a null id still marks words, but has no
 name to list. Repeated items count one by one by their distinct ids. An empty benchmark or document table gives no hit.
 Columns of the documents other than id and text are not read; names that clash don't matter.
 """
@@ -16,14 +16,15 @@ Columns of the documents other than id and text are not read; names that clash d
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, bound_batches, text_slices, word_spans
+from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, Scratch, bound_batches, text_slices, word_spans
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Windows of the benchmark that are broadcast at once.
@@ -132,26 +133,61 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: st
     found = documents.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<string>").alias("items"), F.array().cast("array<long>").alias("hit_spans"))
-    blocks = list(_sealed(spark, benchmark, item_id, item_text, window, block_windows)) or [spark.sparkContext.broadcast([])]
-    for table in blocks:
-        found = found.mapInArrow(lambda it, t=table: _add_block(it, t), _STATE)
+    found = _block_by_block(spark, found, benchmark, item_id, item_text, window, block_windows, lambda df, t: df.mapInArrow(lambda it: _add_block(it, t), _STATE))
     covered = F.aggregate("hit_spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")),
                           lambda acc, x: F.struct((acc.sum + acc.sign * x).alias("sum"), (-acc.sign).alias("sign")), lambda acc: acc.sum)
     return found.select("doc_id", "n_words", covered.alias("n_hit"), "items", "hit_spans")
 
 
-def _sealed(spark, benchmark, item_id, item_text, window, block_windows):
-    return (spark.sparkContext.broadcast(b.sealed()) for b in _blocks(benchmark, item_id, item_text, window, block_windows))
+def _block_by_block(spark: SparkSession, rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, window: int, block_windows: int,
+                    scan: Callable[[DataFrame, Broadcast], DataFrame]) -> DataFrame:
+    """rows after scan(rows, block) for each block of the benchmark in turn; all results but the last one's are written."""
+    scratch = Scratch(spark, "decontaminate")
+    blocks = enumerate(_blocks(benchmark, item_id, item_text, window, block_windows))
+    k, block = next(blocks, (0, Windows(window)))
+    while True:
+        table = spark.sparkContext.broadcast(block.sealed())
+        scanned = scan(rows, table)
+        k, block = next(blocks, (k, None))
+        if block is None:
+            return scanned
+        rows = scratch.put(scanned, f"block-{k}")
+        scratch.keep(f"block-{k}")
+        table.destroy()
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                   window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """documents without those that hold a window of the benchmark; all columns and rows of the others stay as they are."""
     bound_batches(documents.sparkSession)
-    kept = documents
-    for table in _sealed(documents.sparkSession, benchmark, item_id, item_text, window, block_windows):
-        kept = kept.mapInArrow(lambda it, t=table: _drop(it, t, text), documents.schema)
-    return kept
+    return _block_by_block(documents.sparkSession, documents, benchmark, item_id, item_text, window, block_windows, lambda df, t: df.mapInArrow(lambda it: _drop(it, t, text), documents.schema))
+
+
+def remove_spans(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                 window: int = 10, block_windows: int = BLOCK_WINDOWS, mark: str = " ") -> DataFrame:
+    """documents with all that windows of the benchmark cover cut out of their texts, from the first word's beginning to the
+    last one's end, `mark` in its place; texts without a hit stay as they are, all rows and columns stay."""
+    bound_batches(documents.sparkSession)
+    return _block_by_block(documents.sparkSession, documents, benchmark, item_id, item_text, window, block_windows, lambda df, t: df.mapInArrow(lambda it: _cut(it, t, text, mark.encode()), documents.schema))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], table, text: str, mark: bytes) -> Iterator[pa.RecordBatch]:
+    sets = table.value
+    for batch in batches:
+        place = batch.schema.get_field_index(text)
+        slim = pa.RecordBatch.from_arrays([batch.column(place)], names=["text"])
+        hits = _hits(slim, sets)[1]
+        if hits:
+            texts = batch.column(place).to_pylist()
+            for row, (_, spans) in hits.items():
+                raw = texts[row].encode("utf-8", "surrogatepass")
+                words = [m.span() for m in _WORD.finditer(raw.lower())]
+                flat = _united(spans)
+                for a, b in reversed(list(zip(flat[::2], flat[1::2]))):
+                    raw = raw[: words[a][0]] + mark + raw[words[b - 1][1] :]
+                texts[row] = raw.decode("utf-8", "surrogatepass")
+            batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+        yield batch
 
 
 def _drop(batches: Iterator[pa.RecordBatch], table, text: str) -> Iterator[pa.RecordBatch]:

@@ -2,22 +2,23 @@
 
 Base kinds are patterns (assign, access, hex); spans are code points, end exclusive, leftmost and without overlap per kind.
 
-Battery: runs of 20 or more characters of `[A-Za-z0-9+/_-]` with a letter and a digit are taken as text encoded in hex,
-base32 or base64 (the narrowest alphabet that holds them). Three statistics compare a string with uniformly random symbols
-of that alphabet: chi-squared of the symbol counts, runs (changes between upper-case, lower-case and digit against the
-number that random symbols give), and lag-1 serial correlation of the symbol codes. Their squared z-scores are added and
-give one p-value (chi-squared, 3 degrees of freedom).
-
-False-discovery control by length: strings are grouped by encoding and length octave. In each group p-values above LAMBDA
-tell how many random strings there are (they are uniform on 0..1 under randomness, language piles up at 0); a string is
-reported if its p-value is above the lowest cut at which the estimated share of other strings among those reported is at
-most `fdr`. The p-values go through a histogram of BINS bins per group (a bounded table however large the corpus; counts
-are added map-side), so no group of strings meets in a task. Strings inside a base span are not reported again.
-
-A string without a digit is not a candidate (3 % of random base64 strings of 20 characters have none).
-
-Defined results: null or empty texts have no spans; rows are judged one by one, so repeated rows agree; no column but id
-and text is read; on an empty table nothing is estimated and nothing returned.
+Battery: runs of 20 or more characters of `[A-Za-z0-9+/_-]` are taken as text encoded in hex, base32 or base64 (the narrowest
+alphabet that holds them), if they mix letters with digits or upper with lower case, or are all upper-case. Three statistics
+compare a string with uniformly random symbols of that alphabet: chi-squared of the symbol counts, runs (changes between
+upper-case, lower-case and digit against the number that random symbols give), and lag-1 serial correlation of the symbol
+codes. Their squared z-scores are added and give one p-value (chi-squared, 3 degrees of freedom).
+
+False-discovery control by length: strings are grouped by encoding, length octave and whether they have a digit (most strings
+without one are words and paths, and would hide the few that are not). In each group p-values above LAMBDA tell how many random
+strings there are (they are uniform on 0..1 under randomness, language piles up at 0); a string is reported if its p-value
+is above the lowest cut at which the estimated share of other strings among those reported is at most `fdr`. Each group
+starts from PRIOR strings, half of them random, half language, which many strings outweigh and few don't: the rule is the
+same at every size. The p-values go through a histogram of BINS bins per group (a bounded table however large the corpus;
+counts are added map-side), so no group of strings meets in a task. Strings inside a base span are not reported again.
+
+Defined results: null or empty texts have no spans; very long texts are read whole (places of n matches cost about n ** 1.5
+steps); rows are judged one by one, so repeated rows agree; no column but id and text is read, so clashing names don't
+matter; on an empty table nothing is estimated and nothing returned.
 """
 
 from __future__ import annotations
@@ -32,13 +33,17 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Tokens of one kind of characters are words, numbers or rulers; upper-case alone may be base32.
+MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]|^[A-Z]+=*$"
 #: Alphabets with the share of neighbours of different character class among random symbols.
 ALPHABETS = {"hex": ("0123456789abcdef", 0.46875), "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.3046875),
              "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.6435547)}
 LAMBDA, BINS, FDR = 0.5, 100, 0.05
-#: In a group of fewer strings than FEW there is nothing to estimate from: its cut is the level fdr itself.
-FEW = 20
+#: Strings that each group starts from, half random, half language with these shares in the lowest bins.
+PRIOR, LANGUAGE = 60.0, (0.8, 0.1, 0.05, 0.03, 0.02)
+#: Matches of a text whose places are added up together.
+CHUNK = 64
 
 
 def let(value: Column, body) -> Column:
@@ -46,22 +51,33 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (start, end, found) of all matches; found is the text of the group."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+def running(values: Column) -> Column:
+    """Sums of the values before each one, of an array of integers. An array that grows by concat costs its length each time, so
+    sums run inside chunks, and over the totals of chunks."""
 
-    def step(acc, x):
-        begin = acc.at + x["before"]
-        end = begin + x["size"]
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out"))
+    def sums(v: Column, first: Column) -> Column:
+        start = F.struct(first.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(v, start, lambda acc, x: F.struct((acc.at + x).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")), lambda acc: acc.out)
 
-    before = F.transform(F.split(text, pattern, -1), F.length)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda i: F.slice(values, i * CHUNK + 1, CHUNK))
+    totals = lambda c: F.transform(c, lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x))
+    return F.when(F.size(values) > 0, let(chunks, lambda c: F.flatten(F.zip_with(c, sums(totals(c), F.lit(0)), sums)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def spans(text: Column, pattern: str, group: int = 0) -> Column:
+    """Array of (start, end, found) of all matches; found is the text of the group."""
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
     size = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    # what stands before each match; the last piece of the split has no match after it
+    before = F.transform(F.split(text, pattern, -1), F.length)
+
+    def placed(rows: Column) -> Column:
+        at = running(F.transform(rows, lambda r: r["before"] + r["size"]))
+        return F.zip_with(rows, at, lambda r, a: F.struct((a + r["before"]).cast("int").alias("start"), (a + r["before"] + r["size"]).cast("int").alias("end"), r["found"].alias("found")))
+
     rows = F.zip_with(F.arrays_zip(size.alias("size"), found.alias("found")), before, lambda m, b: F.struct(b.alias("before"), m["size"].alias("size"), m["found"].alias("found")))
-    # the last piece of the split has no match after it: its size is null
-    rows = F.filter(rows, lambda x: x["size"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda acc: acc.out)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
+    return F.when(text.rlike(pattern), let(F.filter(rows, lambda x: x["size"].isNotNull()), placed)).otherwise(none)
 
 
 def _phi(z: Column) -> Column:
@@ -101,7 +117,8 @@ def _battery(x: Column, chars: Column, k: Column, change: Column, e: Column) ->
     serial = (F.coalesce(F.try_divide(lagged, spread), F.lit(1.0)) + 1 / n) * F.sqrt(n)
     joint = (chi * chi + runs * runs + serial * serial) / 3
     z = (F.pow(joint, F.lit(1 / 3)) - (1 - 2 / 27)) / (2 / 27) ** 0.5
-    return F.struct(e.alias("encoding"), n.cast("int").alias("n"), (1 - _phi(F.least(F.greatest(z, F.lit(-6.0)), F.lit(6.0)))).alias("p"))
+    digits = F.exists(classes, lambda c: c == 0)
+    return F.struct(e.alias("encoding"), n.cast("int").alias("n"), digits.alias("digits"), (1 - _phi(F.least(F.greatest(z, F.lit(-6.0)), F.lit(6.0)))).alias("p"))
 
 
 def find_candidates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,7 +127,7 @@ def find_candidates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     named = lambda found, kind: F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
     assign = F.filter(spans(F.col("text"), ASSIGN, 2), lambda s: F.length(s["found"]) >= 6)
     base = F.concat(named(assign, 0), named(spans(F.col("text"), ACCESS), 1), named(spans(F.col("text"), HEX), 2))
-    tokens = F.transform(spans(F.col("text"), TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["found"]).alias("test")))
+    tokens = F.transform(F.filter(spans(F.col("text"), TOKEN), lambda s: s["found"].rlike(MIXED)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["found"]).alias("test")))
     found = rows.select("doc_id", F.array_sort(base).alias("base"), tokens.alias("tokens"))
     outside = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
     # no further than here with the texts
@@ -118,20 +135,17 @@ def find_candidates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
 
 def _group(test: Column) -> Column:
-    return F.concat_ws("/", test["encoding"], F.floor(F.log2(test["n"].cast("double"))).cast("string"))
+    return F.concat_ws("/", test["encoding"], F.floor(F.log2(test["n"].cast("double"))).cast("string"), test["digits"].cast("string"))
 
 
 def cuts(candidates: DataFrame, fdr: float = FDR) -> dict[str, float]:
-    """For each encoding and length octave the p-value above which tokens are reported. At most 3 x 31 groups of BINS rows."""
+    """For each encoding and length octave the p-value above which tokens are reported. At most 3 x 31 x 2 groups of BINS rows."""
     each = candidates.select(F.explode("tokens").alias("t")).select(_group(F.col("t.test")).alias("grp"), F.least(F.floor(F.col("t.test.p") * BINS), F.lit(BINS - 1)).alias("bin"))
-    counts: dict[str, list[int]] = {}
+    counts: dict[str, list[float]] = {}
     for group, b, n in each.groupBy("grp", "bin").count().collect():
-        counts.setdefault(group, [0] * BINS)[b] = n
+        counts.setdefault(group, [PRIOR / 2 * (1 / BINS + share) for share in (*LANGUAGE, *[0.0] * (BINS - len(LANGUAGE)))])[b] += n
     out = {}
     for group, histogram in counts.items():
-        if sum(histogram) < FEW:
-            out[group] = fdr
-            continue
         random = sum(histogram[int(LAMBDA * BINS) :]) / (1 - LAMBDA)
         for b in range(int(LAMBDA * BINS) + 1):
             above = sum(histogram[b:])

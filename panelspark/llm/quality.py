@@ -5,12 +5,14 @@ counts in logarithmic bins (ratio GAMMA, so a quantile is within about 1 %): a s
 summing counts, and is built by one map-side aggregation, so a source with a third of all rows costs no task more. The
 sketches of a language are the sums of its sources', the corpus's the sums of those.
 
-A cutoff is `Q3 + fence * (Q3 - Q1) + slack` of the metric within language and source; groups of fewer than `least` texts
-take their language's, languages of fewer the corpus's. `slack` is the difference below which no text stands out, as most
-metrics are 0 for nearly all texts of a clean group. The cutoffs are joined to the metrics and texts above one are rejected.
-
-Defined results: a null text has no words and fails the base rule; null languages and sources are groups of their own;
-repeated rows agree; an empty table has no cutoffs. Other columns are not read.
+A cutoff is `Q3 + fence * (Q3 - Q1) + slack` of the metric within language and source, drawn to its language's cutoff as far as
+the group is small: a group of n texts has weight n / (n + weight) in it, a language in its own likewise against the
+corpus. `slack` is the difference below which no text stands out, as most metrics are 0 for nearly all texts of a clean
+group. The cutoffs are joined to the metrics and texts above one are rejected.
+
+Defined results: a null text has no words and fails the base rule; null languages and sources are groups of their own; very
+long texts are measured whole; repeated rows agree; an empty table has no cutoffs. Other columns are not read, so clashing
+names don't matter.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from panelspark.llm.secrets import let
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-GAMMA, FENCE, LEAST = 1.02, 6.0, 200
-#: Metrics with their slack.
-METRICS = {"symbols_per_word": 0.25, "chars_per_word": 2.0, "dup_line_share": 0.3, "repeat_share": 0.2}
+#: Ratio of bins, width of the fence, and the number of texts at which a group weighs as much as the wider group.
+GAMMA, FENCE, WEIGHT = 1.02, 6.0, 100.0
+#: Metrics with their slack; a share of repeated words above 0.2 fails the base rule already.
+METRICS = {"symbols_per_word": 0.25, "chars_per_word": 2.0, "dup_line_share": 0.3, "repeat_share": 0.15}
 
 
 def _repeat_words(words: Column, window: int) -> Column:
@@ -47,7 +50,9 @@ def _repeat_words(words: Column, window: int) -> Column:
 
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(let(keyed, places), covered))
 
-    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - window), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))
+    # each word is hashed once, a window is the hash of its words' hashes
+    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(window)]))
+    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
     return F.when(F.size(words) > window, let(hashes, by_hash)).otherwise(F.lit(0).cast("long"))
 
 
@@ -97,25 +102,27 @@ def quantiles(sketches: DataFrame, by: list[str], probabilities: dict[str, float
     return rows.groupBy(*by, "metric").agg(F.max("size").alias("size"), *[F.min(F.when(F.col("below") >= F.col("size") * p, value)).alias(c) for c, p in probabilities.items()])
 
 
-def cutoffs(sketches: DataFrame, *, fence: float = FENCE, least: int = LEAST) -> DataFrame:
+def cutoffs(sketches: DataFrame, *, fence: float = FENCE, weight: float = WEIGHT) -> DataFrame:
     """(lang, source, and for each metric the highest value that is kept)."""
     slack = F.element_at(F.create_map(*[F.lit(v) for pair in METRICS.items() for v in pair]), F.col("metric"))
 
     def level(by: list[str], name: str) -> DataFrame:
         q = quantiles(sketches if len(by) == 2 else merge(sketches, *by), by, {"q1": 0.25, "q3": 0.75})
-        limit = F.when(F.col("size") >= (least if by else 0), F.col("q3") + fence * (F.col("q3") - F.col("q1")) + slack)
-        return q.select(*[F.col(c).alias(f"{name}_{c}") for c in [*by, "metric"]], limit.alias(name))
+        limit = F.col("q3") + fence * (F.col("q3") - F.col("q1")) + slack
+        return q.select(*[F.col(c).alias(f"{name}_{c}") for c in [*by, "metric"]], limit.alias(name), (F.col("size") / (F.col("size") + weight)).alias(f"{name}_part"))
 
     own, language, corpus = level(["lang", "source"], "own"), level(["lang"], "language"), level([], "corpus")
     joined = (own.join(language, F.col("own_lang").eqNullSafe(F.col("language_lang")) & (F.col("own_metric") == F.col("language_metric")))
               .join(corpus, F.col("own_metric") == F.col("corpus_metric")))
-    return joined.groupBy(F.col("own_lang").alias("cut_lang"), F.col("own_source").alias("cut_source")).pivot("own_metric", list(METRICS)).agg(F.max(F.coalesce("own", "language", "corpus")))
+    wider = F.col("language_part") * F.col("language") + (1 - F.col("language_part")) * F.col("corpus")
+    limit = F.col("own_part") * F.col("own") + (1 - F.col("own_part")) * wider
+    return joined.groupBy(F.col("own_lang").alias("cut_lang"), F.col("own_source").alias("cut_source")).pivot("own_metric", list(METRICS)).agg(F.max(limit))
 
 
-def judge(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE, least: int = LEAST) -> DataFrame:
+def judge(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE, weight: float = WEIGHT) -> DataFrame:
     """The counts of measure() with base_failed and kept."""
     measured = materialize(measure(documents, doc_id=doc_id, text=text, lang=lang, source=source), "quality")
-    limits = cutoffs(sketch(measured), fence=fence, least=least)
+    limits = cutoffs(sketch(measured), fence=fence, weight=weight)
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("cut_lang")) & F.col("source").eqNullSafe(F.col("cut_source")), "left")
     values = dict(zip(METRICS, [_values()[i]["value"] for i in range(len(METRICS))]))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -109,10 +109,11 @@ def _finer(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *contents])), pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64))], names=["content", "bucket"])
 
 
-def close_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (a, b, ...) whose shingle sets are as similar; b may be in many pairs."""
-    pivots = sets.join(pairs.select(F.col("b").alias("content")).distinct(), "content", "left_semi").select(F.col("content").alias("b"), F.col("shingles").alias("y"))
-    both = spread_join(pairs, pivots, ["b"], ["a"]).join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), "a")
+def close_pairs(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Those of the written pairs (a, b, ...) whose shingle sets are as similar; b may be in many pairs."""
+    scratch.drop("a", "b")
+    side = lambda c: sized_join(sets.select("content", "shingles"), scratch.put(pairs.select(F.col(c).alias("content")).distinct(), c), ["content"], how="left_semi")
+    both = spread_join(pairs, side("b").toDF("b", "y"), ["b"], ["a"]).join(side("a").toDF("a", "x"), "a")
     shared = F.size(F.array_intersect("x", "y"))
     return both.withColumn("shared", shared).filter(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).drop("x", "y", "shared")
 
@@ -125,10 +126,12 @@ def similar_labels(rows: DataFrame, texts: DataFrame, edges: DataFrame, componen
     rows (rid, text) holds the texts; rid names a row that has the content.
     """
     scratch = Scratch(rows.sparkSession, "similar")
-    entries = texts.select("content", "rid", "label", F.explode("bands").alias("bucket"))
+    entries = texts.select("content", "label", F.explode("bands").alias("bucket"))
     shared = scratch.put(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("bucket", "size"), "shared")
-    entries = scratch.put(sized_join(entries, shared, ["bucket"], ["content"]), "entries")
-    members = scratch.put(entries.groupBy("content").agg(F.first("rid").alias("rid"), F.first("label").alias("label"), F.sum("size").alias("spread")), "members")
+    # two shuffles of narrow entries at every size; a bucket that fills more than a partition is split as it is joined (adaptive execution)
+    entries = scratch.put(entries.select("content", "bucket").join(shared.hint("merge"), "bucket"), "entries")
+    members = entries.groupBy("content").agg(F.sum("size").alias("spread"))
+    members = scratch.put(texts.select("content", "rid", "label").join(members, "content"), "members")
     sets = scratch.put(shingle_sets(rows, members.select("rid", "content"), shingle), "sets")
     sized = scratch.put(members.join(sets.select("content", "n"), "content").select("content", "label", "spread", "n"), "sized")
     left = scratch.put(sized_join(entries.select("content", "bucket"), sized, ["content"]), "left-0")
@@ -141,7 +144,7 @@ def similar_labels(rows: DataFrame, texts: DataFrame, edges: DataFrame, componen
         met = scratch.put(sized_join(left, pivots, ["bucket"], ["content"]).filter("content <> pivot"), f"met-{k}")
         apart = met.filter((F.col("label") != F.col("other")) & (F.least("n", "m") >= similarity * F.greatest("n", "m")))
         pairs = scratch.put(apart.select(F.col("content").alias("a"), F.col("pivot").alias("b"), F.col("label").alias("la"), F.col("other").alias("lb")).distinct(), f"pairs-{k}")
-        close = scratch.put(close_pairs(pairs, sets, similarity).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), f"close-{k}")
+        close = scratch.put(close_pairs(pairs, sets, similarity, scratch).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), f"close-{k}")
         scratch.drop(f"left-{k}", f"pivots-{k}", f"pairs-{k}")
         found = not close.isEmpty()
         met = met.select("bucket", "content", "label", "spread", "n")
@@ -163,7 +166,8 @@ def similar_labels(rows: DataFrame, texts: DataFrame, edges: DataFrame, componen
             break
         still = sized_join(met, open_, ["bucket"], ["content"])
         own = scratch.put(still.groupBy("content").agg(F.collect_list("bucket").alias("buckets"), F.first("label").alias("label"), F.first("spread").alias("spread"), F.first("n").alias("n")), f"own-{k}")
-        finer = own.select("content", "buckets").join(sets.select("content", "shingles"), "content").mapInArrow(lambda it, k=k: _finer(it, k), "content long, bucket long")
+        held = sized_join(sets.select("content", "shingles"), own.select("content"), ["content"], how="left_semi")
+        finer = own.select("content", "buckets").join(held, "content").mapInArrow(lambda it, k=k: _finer(it, k), "content long, bucket long")
         left = scratch.put(finer.join(own.drop("buckets"), "content"), f"left-{k + 1}")
         scratch.drop(f"met-{k}", f"open-{k}", f"own-{k}", f"labels-{k}", f"close-{k}")
     scratch.keep(*[n for n in scratch.names if n.startswith(("roots-", "merged-"))])

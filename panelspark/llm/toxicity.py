@@ -4,19 +4,20 @@ Features of a text: which words it has, and which 4- and 5-byte beginnings of wo
 as 64-bit hashes; each counts once a text, whatever its length.
 
 Training:
- 1. Of the documents in training folds, at most `positives` labelled toxic and `unlabelled` others drawn by hash from the
-    whole corpus (labels of these are not looked at; they hold positives at the rate of the corpus). Equal texts count once.
-    The class prior is the toxic share of the labelled rows in training folds.
+ 1. Of the labelled documents in training folds, at most `positives` toxic ones and `unlabelled` of all, drawn by hash (the
+    labels of these are not looked at; they hold positives at the rate of the labelled rows). Both bounds are parameters;
+    each id gives one text, equal texts count once. The class prior is the toxic share of the labelled rows in training folds.
  2. Features are screened in Spark: those in `min_df` or more positives that are clearly more frequent there than in
     unlabelled text, at most `max_features` by z-score.
  3. Document frequencies of the screened features are counted over all documents; features that the whole corpus shows
     to be common after all are dropped, the rest are scaled by inverse document frequency.
  4. A linear model is fitted with numpy to the non-negative risk estimator with logistic loss,
     `prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))`, by Adam on the full sample. The driver holds the screened features
-    of the sample alone (at most max_features for each of positives + unlabelled texts).
+    of the sample alone, a bit each (positives + unlabelled texts of max_features bits, 6 MB).
 Scoring goes over all texts in numpy slices against the broadcast weights (at most max_features numbers).
 
-Defined results: a null text has no features; null or repeated ids keep their rows; an id with several labels is toxic if one
+Defined results: a null text has no features; very long texts are read whole, in slices; a column that has the name of the
+score is replaced, other columns stay; null or repeated ids keep their rows; an id with several labels is toxic if one
 says so; rows of `labels` without a text don't matter; without any positive in training folds every score is the prior.
 Labels, language, source and id are no inputs of a score.
 """
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, bound_batches, materialize, text_slices, word_spans
 
@@ -88,7 +90,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], wanted: HashSet) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[counts[some], n])], names=["place", "df"])
 
 
-def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, scale: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, scale: np.ndarray, prior: float, *, steps: int = 800, rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model; (rows, cols) are the features that each text has, scale their size."""
     n, d = len(positive), len(scale)
     w, b = np.zeros(d), float(np.log(prior / (1 - prior)))
@@ -133,13 +135,11 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     if not n_pos:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
     texts = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    chosen = known.filter("y = 1").orderBy(F.xxhash64("__id"), "__id").limit(positives)
-    share = min(1.0, unlabelled / max(1, documents.count()))
-    drawn = F.pmod(F.xxhash64(F.lit("drawn"), "id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    p = texts.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("id", F.lit(True).alias("positive"), "text")  # at most `positives` ids
-    u = texts.filter(~held_out(F.col("id")) & drawn).select("id", F.lit(False).alias("positive"), "text")
-    sample = p.unionAll(u).select(F.xxhash64("text", "positive").alias("row"), "positive", "text")
-    sample = materialize(sample.dropDuplicates(["row"]).limit(positives + 2 * unlabelled), "toxicity-sample")
+    drawn = lambda rows, n: rows.orderBy(F.xxhash64("__id"), "__id").limit(n).select("__id")
+    chosen = drawn(known.filter("y = 1"), positives).withColumn("positive", F.lit(True)).unionByName(drawn(known, unlabelled).withColumn("positive", F.lit(False)))
+    found = texts.join(F.broadcast(chosen), F.col("id") == F.col("__id"))  # at most positives + unlabelled ids
+    found = found.groupBy("id", "positive").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = materialize(found.groupBy(F.xxhash64("text", "positive").alias("row"), "positive").agg(F.first("text").alias("text")), "toxicity-sample")  # equal texts count once
     sizes = dict(sample.groupBy("positive").count().collect())
     np_, nu = max(1, sizes.get(True, 0)), max(1, sizes.get(False, 0))
     each = sample.mapInArrow(_text_features, "row long, positive boolean, feature long")
@@ -158,33 +158,34 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
         else:
             df[place] = count
 
-    def kept_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, off in text_slices(batch, "text"):
-                who, place = _hits(data, off, table.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who + row)), batch.column(1).take(pa.array(who + row)), pa.array(place)], names=["row", "positive", "place"])
-
-    hits = sample.select("row", "positive", "text").mapInArrow(kept_hits, "row long, positive boolean, place long")
-    hits = hits.toPandas().sort_values(["row", "place"])
-    everyone = sample.select("row", "positive").toPandas().sort_values("row")
-    spot = np.searchsorted(everyone["row"].to_numpy(), hits["row"].to_numpy())
-    positive = everyone["positive"].to_numpy(bool)
-    own = np.bincount(hits["place"].to_numpy()[hits["positive"].to_numpy(bool)], minlength=len(df)) / np_
+                bits = np.zeros((end - row, len(table.value.sorted)), bool)
+                bits[_hits(data, off, table.value)] = True
+                packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, end - row), pa.array(packed, pa.binary())], names=["positive", "bits"])
+
+    held = sample.select("row", "positive", "text").mapInArrow(kept_bits, "positive boolean, bits binary").toArrow()
+    positive = held.column("positive").to_numpy()
+    packed = np.frombuffer(b"".join(held.column("bits").to_pylist()), np.uint8).reshape(len(positive), (len(df) + 7) // 8)
+    spot, place = np.nonzero(np.unpackbits(packed, axis=1, count=len(df)))
+    own = np.bincount(place[positive[spot]], minlength=len(df)) / np_
     rare = own > 2 * df / total  # what all documents show
     scale = np.where(rare, np.log((1 + total) / (1 + df)), 0) / np.log(1 + total)
-    w, b = fit_nnpu(spot, hits["place"].to_numpy(), positive, scale, prior)
+    w, b = fit_nnpu(spot, place, positive, scale, prior)
     return Model(wanted.sorted, w * scale, b)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, column: str) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, column: str, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores = [model.value.score(data, off) for _, _, data, off in text_slices(batch, column)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, "__score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, name])
 
 
 def score(documents: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:
-    """documents with the score of each text."""
+    """documents with the score of each text; a column of that name is replaced."""
     bound_batches(documents.sparkSession)
     table = documents.sparkSession.sparkContext.broadcast(model)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.mapInArrow(lambda it: _score(it, table, text), f"{types}, __score double").withColumnRenamed("__score", name)
+    rows = documents.drop(name)
+    return rows.mapInArrow(lambda it: _score(it, table, text, name), StructType([*rows.schema.fields, StructField(name, DoubleType())]))

@@ -62,6 +62,20 @@ def test_planted_words_are_found_and_odd_rows_kept(spark, odd_documents):
             assert r.score < 0.5
 
 
+def test_a_column_of_the_scores_name_is_replaced_and_others_stay(spark):
+    docs = spark.createDataFrame(corpus(40)[0], DOC_SCHEMA).withColumns({"score": F.lit("old"), "__score": F.array(F.struct(F.lit(1).alias("a b")))})
+    got = toxicity.score(docs, toxicity.train(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")))
+    assert got.columns == [*docs.drop("score").columns, "score"] and dict(got.dtypes)["score"] == "double" and got.count() == 40
+
+
+def test_the_sample_is_bounded_and_drawn_alike(spark):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows + rows[:50], DOC_SCHEMA)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    a, b = (toxicity.train(d, lab, positives=20, unlabelled=90) for d in (docs, docs.repartition(7)))
+    assert np.array_equal(a.set.sorted, b.set.sorted) and np.allclose(a.weights, b.weights) and len(a.weights)
+
+
 def test_without_positives_or_rows(spark):
     docs = spark.createDataFrame(corpus(30)[0], DOC_SCHEMA)
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")

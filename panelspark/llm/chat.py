@@ -5,13 +5,17 @@ written as `\\l`, `\\b`, `\\p` and `\\\\`, so that no control string (`<|`, `|>`
 can come from a text, and the text can be had again exactly. The loss mask covers the text of assistant turns.
 
 Assembly: lengths of all segments of a batch (marks, roles, contents) are known from column offsets and counts of escaped
-bytes; cumulative sums give each segment's place; bytes are scattered into one buffer, which becomes the Arrow column.
+bytes; cumulative sums give each segment's place; bytes are scattered into one buffer, which is the data of the Arrow column
+as it stands. Offsets cut it into parts, and loss ranges are cut from the same offsets.
 
-Rows come sorted by (conversation, turn, role, text) in partitions hashed by conversation. A conversation is emitted in
-parts of at most `part_bytes` (cut between turns), so its length is no matter of memory, and readers take parts in order.
+Rows are range-partitioned by (conversation, turn, role, beginning of the text) and sorted, so a conversation with a third of
+all rows is formatted by as many tasks as it fills. A conversation comes out in parts of about `part_bytes` (cut between
+turns, and where a batch or partition ends), numbered in order: its length is no matter of memory, and readers take parts in
+order. Only the two digests of a conversation are made in one stream, as they must be.
 
 Defined results: null roles and texts are empty; null turns come last; equal turns go by role, then text; rows repeat as
-they are; a null conversation id is a conversation; an empty table has none. Other columns are not read.
+they are; very long texts are parts of their own; a null conversation id is a conversation; an empty table has none. Other
+columns are not read, so clashing names don't matter.
 """
 
 from __future__ import annotations
@@ -22,12 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import bound_batches
 
-PARTS = "conv_id long, part int, formatted binary, loss array<long>"
+PARTS = "conv_id long, part long, formatted binary, loss array<long>"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 PART_BYTES = 4 << 20
 OPEN, HEAD, CLOSE = b"<|", b"|>\n", b"</s>\n"
@@ -76,47 +81,39 @@ def _assemble(roles: tuple[np.ndarray, np.ndarray], texts: tuple[np.ndarray, np.
 
 
 def _format(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa.RecordBatch]:
-    conv, part, held, size, loss = None, 0, [], 0, []
-    started = False
-
-    def emitted() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([part], pa.int32()), pa.array([b"".join(held)], pa.binary()), pa.array([loss], pa.list_(pa.int64()))], names=["conv_id", "part", "formatted", "loss"])
-
+    # partitions are in the order of conversations, so these numbers rise along each conversation
+    number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1024):
-            piece = batch.slice(lo, 1024)
-            texts = escape(*_column(piece.column(2)))
-            out, off, content = _assemble(escape(*_column(piece.column(1))), texts)
-            ends = content + np.diff(texts[1])
-            ids, roles = piece.column(0).to_pylist(), piece.column(1).to_pylist()
-            cuts = [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]]
-            for a, b in zip([0, *cuts], [*cuts, len(ids)]):
-                if started and ids[a] != conv:
-                    yield emitted()
-                    part, held, size, loss = 0, [], 0, []
-                conv, started = ids[a], True
-                while a < b:
-                    room = int(np.searchsorted(off[a : b + 1], off[a] + part_bytes - size, "right")) - 1
-                    if room <= 0 and held:
-                        yield emitted()
-                        part, held, size, loss = part + 1, [], 0, []
-                        continue
-                    end = a + max(1, room)
-                    for i in range(a, min(end, b)):
-                        if roles[i] == "assistant":
-                            loss += [int(content[i] - off[a]) + size, int(ends[i] - off[a]) + size]
-                    held.append(out[off[a] : off[min(end, b)]].tobytes())
-                    size += len(held[-1])
-                    a = min(end, b)
-    if started:
-        yield emitted()
+        n = batch.num_rows
+        if not n:
+            continue
+        texts = escape(*_column(batch.column(2)))
+        out, off, content = _assemble(escape(*_column(batch.column(1))), texts)
+        ids = pc.fill_null(batch.column(0), 0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        new = np.r_[True, (ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1])]
+        begin = off[:-1][new][np.cumsum(new) - 1]  # where each turn's conversation begins
+        piece = (off[:-1] - begin) // part_bytes
+        new |= np.r_[True, piece[1:] != piece[:-1]]
+        first = np.flatnonzero(new)
+        cuts = np.r_[off[:-1][first], off[-1]]
+        learned = pc.fill_null(pc.equal(batch.column(1), "assistant"), False).to_numpy(zero_copy_only=False)
+        start = content - cuts[:-1][np.cumsum(new) - 1]
+        ranges = np.stack([start, start + np.diff(texts[1])], axis=1)[learned].ravel()
+        lists = np.r_[0, 2 * np.cumsum(learned)][np.r_[first, n]]
+        formatted = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(out)])
+        loss = pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(ranges, pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), pa.array(number + np.arange(len(first))), formatted, loss], names=["conv_id", "part", "formatted", "loss"])
+        number += len(first)
 
 
 def format_conversations(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """(conv_id, part, formatted, loss): formatted is UTF-8, loss the byte ranges of it that are trained on."""
-    bound_batches(conversations.sparkSession)
+    spark = conversations.sparkSession
+    bound_batches(spark)
     rows = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"), F.col(turn).alias("turn"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text").select("conv_id", "role", "text")
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first()]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = rows.repartitionByRange(parts, *order, F.substring("text", 1, 32).asc_nulls_first()).sortWithinPartitions(*order, F.col("text").asc_nulls_first()).select("conv_id", "role", "text")
     return rows.mapInArrow(lambda it: _format(it, part_bytes), PARTS)
 
 

@@ -4,16 +4,18 @@ Base kinds are patterns (assign, access, hex); spans are code points, end exclus
 
 Battery: runs of 20 or more characters of `[A-Za-z0-9+/_-]` are taken as text encoded in hex, base32 or base64 (the narrowest
 alphabet that holds them), if they mix letters with digits or upper with lower case, or are all upper-case. Three statistics
-compare a string with uniformly random symbols of that alphabet: chi-squared of the symbol counts, runs (changes between
-upper-case, lower-case and digit against the number that random symbols give), and lag-1 serial correlation of the symbol
-codes. Their squared z-scores are added and give one p-value (chi-squared, 3 degrees of freedom).
+compare a string with uniformly random symbols of that alphabet: chi-squared of the symbol counts (its cube root, which is
+near normal for short strings too), runs (changes between upper-case, lower-case and digit against the number that random
+symbols give), and lag-1 serial correlation of the symbol codes, dealt out by a stride so that classes don't lie together
+and the three are nearly independent. Their squared z-scores are added and give one p-value (chi-squared, 3 degrees of
+freedom), uniform to about a tenth on random strings of 20 to 100 characters.
 
 False-discovery control by length: strings are grouped by encoding, length octave and whether they have a digit (most strings
 without one are words and paths, and would hide the few that are not). In each group p-values above LAMBDA tell how many random
 strings there are (they are uniform on 0..1 under randomness, language piles up at 0); a string is reported if its p-value
-is above the lowest cut at which the estimated share of other strings among those reported is at most `fdr`. Each group
-starts from PRIOR strings, half of them random, half language, which many strings outweigh and few don't: the rule is the
-same at every size. The p-values go through a histogram of BINS bins per group (a bounded table however large the corpus;
+is above the lowest cut at which the estimated share of other strings among those reported is at most `fdr`, an excess
+over the random ones counting as far as it is beyond ERRORS standard errors of their number. Each group starts from PRIOR
+strings, half of them random, half language, which many strings outweigh and few don't: the rule is the same at every size. The p-values go through a histogram of BINS bins per group (a bounded table however large the corpus;
 counts are added map-side), so no group of strings meets in a task. Strings inside a base span are not reported again.
 
 Defined results: null or empty texts have no spans; very long texts are read whole (places of n matches cost about n ** 1.5
@@ -36,12 +38,20 @@ KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Tokens of one kind of characters are words, numbers or rulers; upper-case alone may be base32.
 MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]|^[A-Z]+=*$"
-#: Alphabets with the share of neighbours of different character class among random symbols.
-ALPHABETS = {"hex": ("0123456789abcdef", 0.46875), "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.3046875),
-             "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.6435547)}
+ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+STRIDES = {"hex": 7, "base32": 11, "base64": 27}
+
+
+def _changes(alphabet: str) -> tuple[float, float]:
+    """The chance that two random neighbours differ in class, and the covariance of that for two pairs with a common symbol."""
+    kinds = [sum(f(c) for c in alphabet) / len(alphabet) for f in (str.isdigit, str.isupper, str.islower, lambda c: not c.isalnum())]
+    change = 1 - sum(p * p for p in kinds)
+    return change, sum(p * (1 - p) ** 2 for p in kinds) - change**2
+
+
 LAMBDA, BINS, FDR = 0.5, 100, 0.05
 #: Strings that each group starts from, half random, half language with these shares in the lowest bins.
-PRIOR, LANGUAGE = 60.0, (0.8, 0.1, 0.05, 0.03, 0.02)
+PRIOR, LANGUAGE, ERRORS = 20.0, (0.8, 0.1, 0.05, 0.03, 0.02), 1.5
 #: Matches of a text whose places are added up together.
 CHUNK = 64
 
@@ -92,32 +102,33 @@ def battery(token: Column) -> Column:
 
     def judged(e: Column) -> Column:
         plain = F.when(e == "hex", F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
-        alphabet = F.when(e == "hex", ALPHABETS["hex"][0]).when(e == "base32", ALPHABETS["base32"][0]).otherwise(ALPHABETS["base64"][0])
-        change = F.when(e == "hex", ALPHABETS["hex"][1]).when(e == "base32", ALPHABETS["base32"][1]).otherwise(ALPHABETS["base64"][1])
-        chars = F.split(plain, "")
-        chars = F.filter(chars, lambda c: c != "")
-        codes = F.transform(chars, lambda c: F.instr(alphabet, c).cast("double"))
-        return let(codes, lambda x: let(F.length(alphabet).cast("double"), lambda k: _battery(x, chars, k, change, e)))
+        pick = lambda values: F.when(e == "hex", values["hex"]).when(e == "base32", values["base32"]).otherwise(values["base64"])
+        alphabet = pick(ALPHABETS)
+        chars = F.filter(F.split(plain, ""), lambda c: c != "")
+        codes = F.transform(chars, lambda c: (F.instr(alphabet, c) * pick(STRIDES)) % F.length(alphabet))
+        change, cov = (pick({k: _changes(v)[i] for k, v in ALPHABETS.items()}) for i in (0, 1))
+        return let(codes, lambda x: let(F.length(alphabet).cast("double"), lambda k: _battery(x, chars, k, change, cov, e)))
 
     return let(encoding, judged)
 
 
-def _battery(x: Column, chars: Column, k: Column, change: Column, e: Column) -> Column:
+def _battery(x: Column, chars: Column, k: Column, change: Column, cov: Column, e: Column) -> Column:
     n = F.size(x).cast("double")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     squares = total(F.transform(F.array_distinct(x), lambda d: F.pow(F.size(F.filter(x, lambda v: v == d)).cast("double"), F.lit(2.0))))
-    chi = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+    free, spare = k - 1, 2 / (9 * (k - 1))
+    chi = (F.cbrt(F.greatest(F.lit(0.0), free + (k / n * squares - n - free) / F.sqrt((n - 1) / n)) / free) - (1 - spare)) / F.sqrt(spare)
     kind = lambda c: F.when(c.rlike("[0-9]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[a-z]"), 2).otherwise(3)
     classes = F.transform(chars, kind)
     changes = let(classes, lambda c: total(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: (a != b).cast("double"))))
-    runs = (changes - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
+    runs = (changes - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change) + 2 * (n - 2) * cov)
     mean = total(x) / n
     spread = let(mean, lambda m: total(F.transform(x, lambda v: (v - m) * (v - m))))
     lagged = let(mean, lambda m: total(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: (a - m) * (b - m))))
-    serial = (F.coalesce(F.try_divide(lagged, spread), F.lit(1.0)) + 1 / n) * F.sqrt(n)
+    serial = (F.coalesce(F.try_divide(lagged, spread), F.lit(1.0)) + 1 / n) * n * F.sqrt(n - 1) / (n - 2)
+    digits = F.exists(classes, lambda c: c == 0)
     joint = (chi * chi + runs * runs + serial * serial) / 3
     z = (F.pow(joint, F.lit(1 / 3)) - (1 - 2 / 27)) / (2 / 27) ** 0.5
-    digits = F.exists(classes, lambda c: c == 0)
     return F.struct(e.alias("encoding"), n.cast("int").alias("n"), digits.alias("digits"), (1 - _phi(F.least(F.greatest(z, F.lit(-6.0)), F.lit(6.0)))).alias("p"))
 
 
@@ -149,7 +160,8 @@ def cuts(candidates: DataFrame, fdr: float = FDR) -> dict[str, float]:
         random = sum(histogram[int(LAMBDA * BINS) :]) / (1 - LAMBDA)
         for b in range(int(LAMBDA * BINS) + 1):
             above = sum(histogram[b:])
-            if above and 1 - random * (1 - b / BINS) / above <= fdr:
+            expected = random * (1 - b / BINS)
+            if above - expected - ERRORS * expected**0.5 <= fdr * above:
                 out[group] = b / BINS
                 break
     return out

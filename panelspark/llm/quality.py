@@ -27,9 +27,9 @@ from panelspark.llm.secrets import let
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Ratio of bins, width of the fence, and the number of texts at which a group weighs as much as the wider group.
-GAMMA, FENCE, WEIGHT = 1.02, 6.0, 100.0
+GAMMA, FENCE, WEIGHT = 1.02, 6.0, 10.0
 #: Metrics with their slack; a share of repeated words above 0.2 fails the base rule already.
-METRICS = {"symbols_per_word": 0.25, "chars_per_word": 2.0, "dup_line_share": 0.3, "repeat_share": 0.15}
+METRICS = {"symbols_per_word": 0.25, "chars_per_word": 2.0, "dup_line_share": 0.3, "repeat_share": 0.18}
 
 
 def _repeat_words(words: Column, window: int) -> Column:

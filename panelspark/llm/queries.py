@@ -81,7 +81,41 @@ QUERIES = {f.__name__: f for f in (op1_warc, op2_secrets, op3_decontamination, o
 _HOST = "CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) ELSE '' END"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
+_WS = r"[^\x20\x09-\x0D]"
+_SHARES = {"symbols_per_word": "n_symbols / n_words", "chars_per_word": "word_chars / n_words", "dup_line_share": "n_dup_lines / n_lines", "repeat_share": "n_repeat_words / n_words"}
+
+
+def _limits(name: str, by: str) -> str:
+    """Size and cutoff of each metric by groups of the sketch."""
+    rows = f"SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bin) AS below, sum(n) OVER (PARTITION BY {by}metric) AS size FROM (SELECT {by}metric, bin, sum(n) AS n FROM sk GROUP BY {by}metric, bin)"
+    value = f"CASE WHEN bin = 0 THEN 0.0::DOUBLE ELSE 1e-6::DOUBLE * pow({quality.GAMMA}::DOUBLE, bin - 0.5) END"
+    q1, q3 = (f"min({value}) FILTER (WHERE below >= size * {p}::DOUBLE)" for p in (0.25, 0.75))
+    slack = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in quality.METRICS.items()) + " END"
+    return f"{name} AS (SELECT {by}metric, size / (size + {quality.WEIGHT}::DOUBLE) AS part, q3 + {quality.FENCE}::DOUBLE * (q3 - q1) + {slack} AS cut FROM (SELECT {by}metric, max(size) AS size, {q1} AS q1, {q3} AS q3 FROM ({rows}) GROUP BY ALL))"
+
+
 ORACLE_SQL = {
+    "op4_quality": f"""
+WITH d AS (SELECT doc_id, lang, source, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WS}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WS}')) AS ls FROM d),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS c FROM (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS x FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5))),
+h AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS k FROM g WHERE c > 1) GROUP BY 1),
+m AS (SELECT w.*, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
+      (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(h.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN h USING (rid)),
+v AS ({" UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS metric, coalesce({e.replace(' / ', '::DOUBLE / nullif(')}, 0), 0.0) AS value FROM m WHERE n_words > 0" for k, e in _SHARES.items())}),
+sk AS (SELECT lang, source, metric, CASE WHEN value <= 1e-6 THEN 0 ELSE ceil(ln(value / 1e-6::DOUBLE) / ln({quality.GAMMA}::DOUBLE)) END AS bin, count(*) AS n FROM v GROUP BY ALL),
+{_limits("own", "lang, source, ")}, {_limits("lg", "lang, ")}, {_limits("cp", "")},
+k AS (SELECT rid, bool_and(value <= own.part * own.cut + (1 - own.part) * (lg.part * lg.cut + (1 - lg.part) * cp.cut)) AS fits FROM v
+      JOIN own ON v.lang IS NOT DISTINCT FROM own.lang AND v.source IS NOT DISTINCT FROM own.source AND v.metric = own.metric JOIN lg ON v.lang IS NOT DISTINCT FROM lg.lang AND v.metric = lg.metric JOIN cp ON v.metric = cp.metric GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(fits, true) AS kept FROM m LEFT JOIN k USING (rid)""",
+    "op9_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role IS NOT NULL AS hr, text IS NOT NULL AS ht FROM c),
+e AS (SELECT *, length(role) + length(text) + length(regexp_replace(role || text, '[^<\[|\\]', '', 'g')) + 10 AS chars FROM r)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, hr, role, ht, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, hr, role, ht, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars FROM e GROUP BY 1""",
     "op1_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS largest FROM p)

@@ -1,6 +1,8 @@
 """Mixing, sharding and chat formatting against brute force."""
 
+import bisect
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -61,6 +63,22 @@ def test_mixing(spark, odd_documents, tmp_path, odd):
     assert taken > 0 and target > 0
 
 
+def test_rows_that_share_an_id_are_mixed_one_by_one(spark):
+    rows = [(None, " ".join(["w"] * (3 + i)), "a", 1) for i in range(30)] + [(7, " ".join(["v"] * n), "b", 2) for n in (5, 50, 50, 500)] + [(i, "x y z", "c", 3) for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rid int")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    counts = Counter(tuple(r) for r in got.collect())
+    words, copies = Counter(), Counter()
+    for (_, text, source, _), n in counts.items():
+        words[source] += n * len(text.split())
+    for r in mixing.mix(docs).collect():
+        copies[r.source] = r.target
+    largest = {"a": 32, "b": 500, "c": 3}
+    assert all(target - 1e-6 <= words[s] + 1 and words[s] <= target + largest[s] for s, target in copies.items())
+    assert all(n <= 3 * (2 if row[1] == " ".join(["v"] * 50) else 1) for row, n in counts.items())
+
+
 def test_mixed_rows_repeat_whole_documents(spark, odd_documents):
     docs = spark.createDataFrame([r for r in odd_documents if r[0] != 105], DOC_SCHEMA)
     taken = {r.doc_id: -(-r.taken // r["size"]) for r in mixing.mix(docs).collect() if r.taken}
@@ -106,6 +124,28 @@ def test_shards_are_near_equal_with_a_third_of_equal_texts_and_small_runs(spark)
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_ten_thousand_splitters_against_sorted_keys(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = sorted((rng.getrandbits(64), rng.randint(16, 5000)) for _ in range(30_000))
+    signed = [((k ^ (1 << 63)) - (1 << 64) if (k ^ (1 << 63)) >> 63 else k ^ (1 << 63), n) for k, n in rows]
+    total = sum(n for _, n in rows)
+    wanted = [total * i / 10_001 for i in range(1, 10_001)]
+    seen = []
+    real = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: (lambda out: (seen.append(len(out)), out)[1])(real(self)))
+    got = sharding.splitters(spark.createDataFrame(signed, "key long, size long"), wanted, 0.0)
+    monkeypatch.undo()
+    assert len(got) == 10_000 and max(seen) <= sharding.COUNTS
+    keys, sums = [k for k, _ in rows], [0]
+    for _, n in rows:
+        sums.append(sums[-1] + n)
+    for want, (key, size, before) in zip(wanted, got):
+        at = bisect.bisect_left(keys, key)
+        assert before == at and size == sums[at]
+        near = bisect.bisect_left(sums, want)
+        assert abs(size - want) <= min(abs(sums[i] - want) for i in (max(near - 1, 0), min(near, len(rows)))) + 1e-6
+
+
 # ---------------------------------------------------------------- chat
 
 def chat_digest(rows):
@@ -143,5 +183,12 @@ def test_odd_turns_in_small_parts(spark, part_bytes):
     assert all("[INST]" not in v and "<s>" not in v for v in formatted.values())
 
 
+def test_a_batch_is_one_buffer_and_a_conversation_many_tasks(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} <|" * 3) for t in range(4000)] + [(c, 0, "user", "one") for c in range(2, 40)]
+    parts = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    assert parts.filter("conv_id = 1").select(F.expr("shiftright(part, 32)")).distinct().count() > 3
+    assert {r.conv_id: tuple(r)[1:5] for r in chat.digests(parts).collect()} == chat_digest(rows)
+
+
 def test_no_conversations(spark):
     assert chat.digests(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0

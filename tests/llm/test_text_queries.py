@@ -1,6 +1,7 @@
 """Secrets, decontamination and quality against brute force over whole texts."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -73,6 +74,53 @@ def test_battery_tells_random_from_language(spark):
     assert share["random"] > 0.8 and share["language"] < 0.1
 
 
+def test_planted_secrets_of_each_encoding_and_length(spark):
+    """Random strings outside the base patterns among words, names and paths: how many are found, and what else is."""
+    rng = random.Random(8)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"hex": digits + "abcdef", "base32": upper + "234567", "base64": upper + lower + digits + "+/"}
+    plain = lambda: rng.choice(["_".join(rng.choices(["value", "Count", "index", "total", "row"], k=5)) + str(rng.randint(1, 99)), "src/main/java/" + "/".join(rng.choices(["Parser", "Reader", "Util", "core"], k=3)),
+                                "internationalisation2andmore" * rng.randint(1, 3), "/".join(rng.choices(["usr", "share", "lib64", "python3", "site-packages"], k=5))])
+    rows, planted = [], {}
+    for i in range(900):
+        name = ("hex", "base32", "base64")[i % 3]
+        length = rng.randint(20, 23) if name == "hex" else rng.choice([rng.randint(20, 31), rng.randint(32, 63), rng.randint(64, 120)])
+        secret = "".join(rng.choices(alphabets[name], k=length))
+        if i % 2 and not spans(secret):
+            planted[i] = (name, length, f"random:5:{5 + length}")
+            rows.append((i, f"see: {secret} and {plain()}"))
+        else:
+            rows.append((i, f"see: {plain()} and {plain()}"))
+    got = {r.doc_id: [x for x in r.s.split(",") if x.startswith("random")] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secrets.spelled(F.col("spans")).alias("s")).collect()}
+    found = {i: want[2] in got[i] for i, want in planted.items()}
+    wrong = sum(len(v) for v in got.values()) - sum(found.values())
+    shares = {}
+    for name, low, high in [("hex", 20, 23), ("base32", 20, 31), ("base32", 32, 63), ("base32", 64, 127), ("base64", 20, 31), ("base64", 32, 63), ("base64", 64, 127)]:
+        some = [found[i] for i, (n, k, _) in planted.items() if n == name and low <= k <= high]
+        assert len(some) > 20
+        shares[name, low] = sum(some) / len(some)
+    # names and paths of 20 to 31 characters share a group with the shortest base64 strings, so more of these are given up
+    assert all(v >= (0.6 if k == ("base64", 20) else 0.9) for k, v in shares.items()), shares
+    assert sum(found.values()) >= 0.9 * len(found) and wrong <= 0.1 * (wrong + sum(found.values())), (sum(found.values()), len(found), wrong)
+
+
+def test_a_string_is_judged_alike_whatever_the_size_of_its_group(spark):
+    rng = random.Random(9)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    clear = ["".join(rng.choices(b64, k=50)) for _ in range(40)]
+    p = {r.t: r.p for r in spark.createDataFrame([(t,) for t in clear], "t string").select("t", secrets.battery(F.col("t"))["p"].alias("p")).collect()}
+    clear = [t for t in clear if p[t] > 0.2]
+    for n in (1, 5, 19, 20, 21, len(clear)):
+        rows = [(i, f"x {t}") for i, t in enumerate(clear[:n])]
+        assert all(len(r.spans) == 1 for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_places_of_very_many_matches(spark):
+    text = "".join(f"token={'ab1' * 3}{i} ,ü" for i in range(3000))
+    got = spark.createDataFrame([(text,)], "t string").select(secrets.spans(F.col("t"), secrets.ASSIGN, 2).alias("s")).first().s
+    assert [(r.start, r.end) for r in got] == [(a, b) for a, _, b in spans(text)] and len(got) == 3000
+
+
 def test_secrets_of_an_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
 
@@ -125,6 +173,23 @@ def test_decontamination_of_odd_texts(spark):
         assert clean == {(i, t) for i, t in docs if i not in hit}
 
 
+def test_each_block_is_written_and_only_one_is_in_memory(spark, monkeypatch):
+    docs, items = odd_benchmark()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, f"item {i} " + " ".join(f"x{i}y{k}" for k in range(12))) for i in range(20)] + items, "item_id long, text string")
+    got = decontaminate.find_contamination(d, b, block_windows=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sum(len(r["items"]) for r in got.collect()) == sum(x[3] for x in contamination(docs, items).elements())
+
+
+def test_spans_are_cut_out_of_texts(spark):
+    docs, items = odd_benchmark()
+    got = decontaminate.remove_spans(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_windows=5).collect()
+    assert len(got) == len(docs) and not any(x[5] for x in contamination([tuple(r) for r in got], items))
+    texts = Counter(r.text for r in got if r.doc_id in (1, 2, 3))
+    assert texts == Counter(["x   y", "  ", " "]) and {r.text for r in got if r.doc_id in (5, 6)} == {None, ""}
+
+
 def test_decontamination_without_rows(spark):
     docs, items = odd_benchmark()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
@@ -168,6 +233,58 @@ def test_quality_query(spark, odd_documents, tmp_path, odd):
     assert not any(r.base_failed and r.kept for r in got)
 
 
+def brute_kept(rows, fence=quality.FENCE, weight=quality.WEIGHT):
+    """doc index -> kept, from sorted values in the sketch's bins; rows (lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words)."""
+    share = lambda a, b: a / b if b else 0.0
+    metrics = {"symbols_per_word": lambda r: share(r[4], r[2]), "chars_per_word": lambda r: share(r[3], r[2]), "dup_line_share": lambda r: share(r[5], r[6]), "repeat_share": lambda r: share(r[7], r[2])}
+
+    def level(value):
+        return 0 if value <= 1e-6 else math.ceil(math.log(value / 1e-6) / math.log(quality.GAMMA))
+
+    def limit(group, metric):
+        bins = sorted(level(metrics[metric](r)) for r in group)
+        at = lambda p: (lambda b: 0.0 if b == 0 else 1e-6 * quality.GAMMA ** (b - 0.5))(bins[max(0, math.ceil(p * len(bins)) - 1)])
+        return at(0.75) + fence * (at(0.75) - at(0.25)) + quality.METRICS[metric]
+
+    known = [r for r in rows if r[2] > 0]
+    out = []
+    for r in rows:
+        if r[2] < 10 or 100 * r[7] > 20 * r[2]:
+            out.append(False)
+            continue
+        own, language = [x for x in known if x[:2] == r[:2]], [x for x in known if x[0] == r[0]]
+        good = True
+        for m in metrics:
+            part = lambda g: len(g) / (len(g) + weight)
+            wide = part(language) * limit(language, m) + (1 - part(language)) * limit(known, m)
+            good &= metrics[m](r) <= part(own) * limit(own, m) + (1 - part(own)) * wide
+        out.append(good)
+    return out
+
+
+def test_kept_agrees_with_sorted_values(spark, odd_documents):
+    rng = random.Random(2)
+    word = lambda: rng.choice(["plain", "words", "stand", "here", "again", "today", "maybe", "seven", "other", "lines"]) + ("#" * 3 if rng.random() < 0.05 else "")
+    rows = odd_documents + [(5000 + i, "".join(word() + rng.choice(" \n") for _ in range(rng.randint(8, 120))) + ("\nsame line\n" * rng.choice([0, 0, 0, 3, 9])), rng.choice(["en", "de"]), f"s{i % 3}", 0) for i in range(300)]
+    docs = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], DOC_SCHEMA)
+    measured = {r.doc_id: r for r in quality.measure(docs).collect()}
+    want = brute_kept([(r.lang, r.source, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_lines, r.n_repeat_words) for r in (measured[i] for i in range(len(rows)))])
+    got = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == want and 20 < sum(want) < len(rows) - 20
+
+
+def test_each_metric_alone_rejects_a_text(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    clean = [" ".join(fresh(50)) + "\n" + " ".join(fresh(50)) for _ in range(200)]
+    repeated = fresh(86)
+    odd = [" ".join(w + "#" for w in fresh(100)), " ".join(w * 3 for w in fresh(100)), "\n".join([" ".join(fresh(92)), "two words", "two words", "two words", "two words"]), " ".join(repeated + repeated[:9])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(clean + odd)], DOC_SCHEMA)
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert all(got[i].kept for i in range(200))
+    assert [(got[200 + i].base_failed, got[200 + i].kept) for i in range(4)] == [(False, False)] * 4
+
+
 def test_cutoffs_follow_language_and_source(spark):
     rng = random.Random(5)
 

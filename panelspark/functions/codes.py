@@ -78,8 +78,9 @@ def binned(x: Column, bins: list[tuple[int, int, str]]) -> Column:
 
 
 def clean_number(text: Column) -> Column:
-    """Digits and points of a published figure; `#` and empty are null."""
-    return F.nullif(F.regexp_replace(text, "[^0-9.]", ""), F.lit("")).try_cast("double")
+    """Digits, points and a leading minus of a published figure (`$1,200`, `4%`, `-1`); `#` and empty are null."""
+    sign = F.when(text.rlike(r"^[^0-9.]*-[^0-9]*[0-9.]"), F.lit("-")).otherwise(F.lit(""))
+    return F.nullif(F.concat(sign, F.regexp_replace(text, "[^0-9.]", "")), F.lit("")).try_cast("double")
 
 
 def unsuppressed(x: Column) -> Column:

@@ -56,6 +56,59 @@ def wildcard(df: DataFrame, patterns: DataFrame, code: str, pattern: str, any_ch
     return df.join(best, F.col(code) == F.col("__c"), "left").drop("__c")
 
 
+#: Broad occupations whose detailed codes run past nine, by the first five digits of those: physicians. A fixed value.
+SPILL = {"29122": "291210"}
+
+
+def covering_code(df: DataFrame, patterns: DataFrame, code: str, pattern: str, *, spill: dict[str, str] = SPILL) -> DataFrame:
+    """df with the most specific six-character pattern that covers its code (of equal ones the smallest), null if none.
+
+    Codes are read by their digits (`15-1252`), six of them. A pattern has two digits first; its other places are digits or
+    letters that stand for any digit (`1191XX`, `4750YY`, `13102X`), and trailing zeros stand for any digit too (`112030`);
+    it fixes as many digits as are left, six if it is the code itself. A code that nothing covers is looked up once more as
+    the broad code that `spill` gives for its first five digits.
+
+    Equi-join: each distinct code meets the patterns under the sixteen ways to leave its last four places open.
+    """
+    body = lambda c: F.rpad(F.regexp_replace(c, "0+$", ""), 6, "_")
+    rules = patterns.select(F.col(pattern).cast("string").alias("__raw")).distinct().withColumn("__p", F.upper(F.trim("__raw"))).filter(F.col("__p").rlike("^[0-9]{2}.{4}$"))
+    rules = rules.withColumn("__key", F.regexp_replace(body(F.col("__p")), "[^0-9]", "_"))
+    rules = rules.withColumn("__fixed", F.length(F.regexp_replace("__key", "_", "")))
+    wider = F.create_map(*[F.lit(v) for kv in spill.items() for v in kv]) if spill else F.lit(None).cast("map<string,string>")
+    distinct = df.select(F.col(code).alias("__c")).distinct().withColumn("__d", F.regexp_replace(F.col("__c").cast("string"), "[^0-9]", "")).filter(F.length("__d") == 6)
+
+    def found(targets: DataFrame) -> DataFrame:
+        kept = lambda mask: F.concat(F.substring("__d", 1, 2), *[F.substring("__d", i + 3, 1) if mask >> i & 1 else F.lit("_") for i in range(4)])
+        keys = targets.withColumn("__key", F.explode(F.array_distinct(F.array(*[kept(m) for m in range(16)]))))
+        # a pattern whose trailing zeros are open is the code itself where the codes are equal
+        best = F.struct((-F.when(F.col("__p") == F.col("__d"), 6).otherwise(F.col("__fixed"))).alias("n"), F.col("__raw").alias("p"))
+        return keys.join(rules, "__key").groupBy("__c").agg(F.min(best)["p"].alias(pattern))
+
+    first = found(distinct)
+    rest = distinct.join(first, "__c", "left_anti").withColumn("__d", F.try_element_at(wider, F.substring("__d", 1, 5))).filter(F.col("__d").isNotNull())
+    return df.join(first.unionByName(found(rest)), F.col(code) == F.col("__c"), "left").drop("__c")
+
+
+def profiles(keys: DataFrame, table: DataFrame, key: str, code: str, weight: str, count: str, values: list[str]) -> DataFrame:
+    """(key, codes, weight, count, values, coarse) for each distinct four-digit key that the table has anything for: the rows whose
+    code begins with the key, their values averaged by weight (rows without a value left out of its average); where there
+    are none, the rows of the longest coarser code (three or two digits, `33MS`) that the key begins with, coarse being true."""
+    digits = F.regexp_extract(code, r"^(\d+)", 1)
+    used = table.select("*", digits.alias("__d")).filter(F.length("__d") >= 2)
+    sums = [F.sum(weight).cast("double").alias(weight), F.sum(count).cast("long").alias(count), F.array_join(F.array_sort(F.collect_list(code)), ";").alias("codes")]
+    for v in values:
+        w = F.when(F.col(v).isNotNull(), F.col(weight))
+        sums.append(F.try_divide(F.sum(F.col(v) * w), F.sum(w)).alias(v))
+    level = F.when(F.length("__d") >= 4, F.substring("__d", 1, 4)).otherwise(F.col("__d"))
+    known = used.groupBy(level.alias("__key")).agg(*sums)
+    wanted = keys.select(F.col(key).cast("string").alias("__k")).dropna().distinct()
+    each = wanted.select("__k", F.explode(F.array(*[F.substring("__k", 1, n) for n in (4, 3, 2)])).alias("__key")).distinct().filter((F.length("__key") < 4) | (F.col("__key") == F.col("__k")))
+    hit = each.join(known, "__key")
+    best = hit.groupBy("__k").agg(F.max(F.length("__key")).alias("__n"))
+    out = hit.join(best.withColumnRenamed("__k", "__b"), (F.col("__k") == F.col("__b")) & (F.length("__key") == F.col("__n")))
+    return out.select(F.col("__k").alias(key), "codes", weight, count, *values, (F.col("__n") < 4).alias("coarse"))
+
+
 def longest_prefix(df: DataFrame, table: DataFrame, code: str, key: str, lengths: list[int], value: str) -> DataFrame:
     """The value of the longest prefix of code that the table has, with the length that matched."""
     keys = df.select(F.col(code).alias("__c")).distinct().withColumn("__n", F.explode(F.array(*[F.lit(n) for n in lengths])))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelspark.functions import names
 
@@ -21,21 +22,29 @@ def by_years(pairs: DataFrame, unit: str, code: str, y0: str, y1: str, f0: str,
     return pairs.groupBy(unit).agg(F.min_by(code, rank).alias(code), F.count_distinct(code).alias("candidates"))
 
 
-def fuzzy(left: DataFrame, right: DataFrame, name: str, code: str, cutoff: float = 95.0, least: int = 4) -> DataFrame:
-    """(name, match, code, score): for each distinct name the best other name with the same first word.
+def fuzzy(left: DataFrame, right: DataFrame, name: str, code: str, cutoff: float = 95.0, least: int = 4, *, count: str | None = None, least_count: int = 5, top: int | None = None) -> DataFrame:
+    """(name, match, code, score): for each distinct name the best other name with the same first word, by the ratio of sorted
+    words; of equal ones the smaller name. With `count`, only names with that many documents or more (summed) are looked
+    up; with `top`, so many matches a name, numbered by rank.
 
     Blocks are kept small by the length of names as well: at a ratio r the lengths can differ by a factor of (200 - r) / r
-    at most, so names meet by length band of the block and its neighbours, an equi-join without pairs that can't match.
+    at most, so names meet by length band of the block and its neighbours, an equi-join without pairs that can't match; a
+    name's length of sorted words is its length with single blanks.
     """
-    first = lambda c: F.substring_index(c, " ", 1)
-    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit((200 - cutoff) / cutoff + 1e-9)) / 1)
-    a = left.select(F.col(name).alias("name")).filter(F.length("name") >= least).distinct()
-    b = right.select(F.col(name).alias("match"), F.col(code).alias("code")).filter(F.length("match") >= least).distinct()
-    a = a.withColumns({"__f": first(F.col("name")), "__b": F.explode(F.array(*[band(F.col("name")) + d for d in (-1, 0, 1)]))})
-    b = b.withColumns({"__f": first(F.col("match")), "__b": band(F.col("match"))})
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    first = lambda c: F.substring_index(flat(F.col(c)), " ", 1)
+    band = lambda c: F.floor(F.log(F.length(flat(F.col(c))).cast("double")) / F.log(F.lit((200 - cutoff) / cutoff + 1e-9)))
+    a = left.select(F.col(name).alias("name"), *([F.col(count).alias("__docs")] if count else [])).filter(F.length("name") >= least)
+    a = a.groupBy("name").agg(F.sum("__docs").alias("__docs")).filter(F.col("__docs") >= least_count).select("name") if count else a.distinct()
+    b = right.select(F.col(name).alias("match"), F.col(code).alias("code")).filter(F.length("match") >= least).groupBy("match").agg(F.min("code").alias("code"))
+    a = a.withColumns({"__f": first("name"), "__b": F.explode(F.array(*[band("name") + d for d in (-1, 0, 1)]))})
+    b = b.withColumns({"__f": first("match"), "__b": band("match")})
     scored = a.join(b, ["__f", "__b"]).withColumn("score", names.token_sort_ratio("name", "match")).filter(F.col("score") >= cutoff)
-    best = F.min_by(F.struct("match", "code", "score"), F.struct((-F.col("score")).alias("s"), F.col("match").alias("m"), F.col("code").alias("k")))
-    return scored.groupBy("name").agg(best.alias("b")).select("name", "b.match", "b.code", "b.score")
+    order = F.struct((-F.round("score", 6)).alias("s"), F.col("match").alias("m"))
+    if top is None:
+        return scored.groupBy("name").agg(F.min_by(F.struct("match", "code", "score"), order).alias("b")).select("name", "b.match", "b.code", "b.score")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(order)))
+    return ranked.filter(F.col("rank") <= top).select("name", "match", "code", "score", "rank")
 
 
 def _alike(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
@@ -72,6 +81,18 @@ def title_cascade(left: DataFrame, right: DataFrame, title: str, code: str, cuto
     return same.unionByName(best)
 
 
+def code_or_title(left: DataFrame, right: DataFrame, code: str, title: str, cutoff: float = 92.0) -> DataFrame:
+    """left with link (a code of right) and method: `code` where its own code is one of right's, else by title_cascade over the
+    titles in plain form, `exact` or `fuzzy`; null where nothing fits."""
+    known = right.select(F.col(code).alias("__own")).filter(F.col("__own").isNotNull()).distinct()
+    plain = lambda df: df.withColumn("__t", names.title(F.col(title))).filter("__t <> ''")
+    hit = left.join(known, F.col(code) == F.col("__own"), "left")
+    todo = plain(hit.filter(F.col("__own").isNull())).select("__t").distinct()
+    found = title_cascade(todo, plain(right).select("__t", F.col(code).alias("__code")), "__t", "__code").select(F.col("__t").alias("__u"), "__code", F.col("method").alias("__how"))
+    out = hit.withColumn("__t", names.title(F.col(title))).join(found, (F.col("__t") == F.col("__u")) & F.col("__own").isNull(), "left")
+    return out.select(*left.columns, F.coalesce("__own", "__code").alias("link"), F.when(F.col("__own").isNotNull(), "code").otherwise(F.col("__how")).alias("method"))
+
+
 def containment(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b): distinct titles of which one, squashed, contains the other. A title without letters or digits meets none.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelspark.functions.codes import haversine_km
 from panelspark.sources.staging import staged
 
 
@@ -47,57 +50,96 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, weight: str | None = Non
     return each.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"), F.avg("m").alias("mean"))
 
 
-def least_squares(df: DataFrame, y: str, xs: list[str], weight: str | None = None, absorb: list[str] = (), cluster: str | None = None, rounds: int = 50) -> dict:
-    """Weighted least squares with HC1 or clustered errors; `absorb` are fixed effects, taken out by group means (one set in one
-    pass; several in turn until the means are below 1e-10; an error if they aren't after `rounds` rounds).
+def least_squares(df: DataFrame, y: str, xs: list[str], weight: str | None = None, absorb: list[str] = (), cluster: str | None = None, *, standardise: bool = False,
+                  least: int | None = None, keep: list[str] = (), rounds: int = 200) -> dict | None:
+    """Weighted least squares with HC1 or clustered errors, over the rows in which nothing that is used is null.
+
+    With `standardise`, regressors are in standard deviations (ddof 1) unless they only take 0 and 1; y stays in its units.
+    `absorb` are fixed effects, taken out by weighted group means: one set in one pass; several in turn until the means are
+    below 1e-10 of the column's own spread (an error if they aren't after `rounds` rounds). Fewer than `least` rows
+    (len(xs) + 5 with `standardise`) give None.
 
-    Spark computes X'WX, X'Wy and the sums of squared scores; the driver solves a system of len(xs) + 1 unknowns.
+    The result: n, r2 (of the whole model, fixed effects included), terms as (name, estimate, error, t, p) with p from the
+    normal distribution, and residuals, a DataFrame of the columns `keep` and `residual`. Spark computes X'WX, X'Wy and the sums
+    of squared scores; the driver solves a system of len(xs) + 1 unknowns.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = df.select(F.col(y).cast("double").alias("y"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs)], w.alias("w"), *[F.col(a).alias(f"g{i}") for i, a in enumerate(absorb)], (F.col(cluster) if cluster else F.lit(0)).alias("cl"))
-    rows = rows.dropna(subset=["y", "w", *[f"x{i}" for i in range(len(xs))]])
-    names = [f"x{i}" for i in range(len(xs))]
+    names, effects = [f"x{i}" for i in range(len(xs))], [f"g{i}" for i in range(len(absorb))]
+    rows = df.select(F.col(y).cast("double").alias("y"), *[F.col(x).cast("double").alias(n) for n, x in zip(names, xs)], w.alias("w"),
+                     *[F.col(a).alias(g) for g, a in zip(effects, absorb)], (F.col(cluster) if cluster else F.lit(0)).alias("cl"), *[F.col(k).alias(f"k_{k}") for k in keep])
+    rows = rows.dropna(subset=["y", "w", "cl", *names, *effects])
+    spread = [F.stddev_samp(c) for c in ["y", *names]]
+    first = rows.agg(F.count(F.lit(1)), F.sum(F.col("w") * F.col("y")) / F.sum("w"), *spread, *[F.avg(c) for c in names], *[F.min(F.col(c).isin(0.0, 1.0)) for c in names]).first()
+    n, mean_y, sd = first[0], first[1], [v or 0.0 for v in first[2 : 3 + len(xs)]]
+    if n < (len(xs) + 5 if standardise and least is None else least or 0):
+        return None
+    if standardise:
+        means, flags = first[3 + len(xs) : 3 + 2 * len(xs)], first[3 + 2 * len(xs) :]
+        for i, c in enumerate(names):
+            if not flags[i]:
+                rows = rows.withColumn(c, (F.col(c) - means[i]) / sd[i + 1] if sd[i + 1] else F.lit(0.0))
+                sd[i + 1] = 1.0
+    rows = rows.withColumn("y0", F.col("y"))
     groups = 0
-    for turn in range(rounds if len(absorb) > 1 else bool(absorb)):
+    for turn in range(rounds if len(absorb) > 1 else len(absorb)):
         most = 0.0
-        for g in range(len(absorb)):
-            by = Window.partitionBy(f"g{g}")
-            means = {c: F.sum(F.col(c) * F.col("w")).over(by) / F.sum("w").over(by) for c in ["y", *names]}
-            rows = rows.withColumns({f"m_{c}": m for c, m in means.items()})
-            rows = staged(rows.withColumns({c: F.col(c) - F.col(f"m_{c}") for c in ["y", *names]}), "absorbed")
-            most = max(most, rows.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(f"m_{c}")) for c in ["y", *names]])).first()[0] or 0.0)
-            rows = rows.drop(*[f"m_{c}" for c in ["y", *names]])
+        for g in effects:
+            means = rows.groupBy(g).agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"m_{c}") for c in ["y", *names]])
+            means = staged(means, "group-means")
+            most = max(most, means.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(f"m_{c}")) / (s or 1.0) for c, s in zip(["y", *names], sd)])).first()[0] or 0.0)
+            rows = rows.join(means, g).withColumns({c: F.col(c) - F.col(f"m_{c}") for c in ["y", *names]}).drop(*[f"m_{c}" for c in ["y", *names]])
+            rows = staged(rows, "absorbed") if len(absorb) > 1 else rows
         if most < 1e-10:
             break
     else:
         if len(absorb) > 1:
-            raise RuntimeError(f"fixed effects not absorbed after {rounds} rounds: a group mean of {most:.3g} is left")
+            raise RuntimeError(f"fixed effects not absorbed after {rounds} rounds: a group mean of {most:.3g} spreads is left")
     if absorb:
-        groups = sum(rows.agg(*[F.count_distinct(f"g{g}") for g in range(len(absorb))]).first()) - (len(absorb) - 1)
+        groups = sum(rows.agg(*[F.count_distinct(g) for g in effects]).first()) - (len(absorb) - 1)
     else:
         rows, names = rows.withColumn("one", F.lit(1.0)), ["one", *names]
     k = len(names)
     col = {n: F.col(n) for n in names}
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = rows.agg(F.count(F.lit(1)), *[F.sum(F.col("w") * col[names[i]] * col[names[j]]) for i, j in pairs], *[F.sum(F.col("w") * col[n] * F.col("y")) for n in names]).first()
-    n, xx, xy = sums[0], np.zeros((k, k)), np.array(sums[1 + len(pairs) :], float)
+    sums = rows.agg(F.sum(F.col("w") * (F.col("y0") - mean_y) * (F.col("y0") - mean_y)), *[F.sum(F.col("w") * col[names[i]] * col[names[j]]) for i, j in pairs], *[F.sum(F.col("w") * col[n] * F.col("y")) for n in names]).first()
+    total, xx, xy = sums[0], np.zeros((k, k)), np.array(sums[1 + len(pairs) :], float)
     for (i, j), v in zip(pairs, sums[1:]):
         xx[i, j] = xx[j, i] = v
     inverse = np.linalg.pinv(xx)
     beta = inverse @ xy
     fitted = sum((F.lit(float(b)) * col[m] for b, m in zip(beta, names)), F.lit(0.0))
-    scored = rows.withColumn("e", F.col("w") * (F.col("y") - fitted))
+    rows = rows.withColumn("residual", F.col("y") - fitted)
+    scored = rows.withColumn("e", F.col("w") * F.col("residual"))
     scores = {f"s{i}": F.sum(F.col("e") * col[m]) if cluster else F.col("e") * col[m] for i, m in enumerate(names)}
-    scored = scored.groupBy("cl").agg(*[v.alias(c) for c, v in scores.items()]) if cluster else scored.select(*[v.alias(c) for c, v in scores.items()])
-    meat_row = scored.agg(F.count(F.lit(1)), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i, j in pairs]).first()
+    left = F.sum(F.col("e") * F.col("residual")) if cluster else F.col("e") * F.col("residual")
+    scored = scored.groupBy("cl").agg(left.alias("left"), *[v.alias(c) for c, v in scores.items()]) if cluster else scored.select(left.alias("left"), *[v.alias(c) for c, v in scores.items()])
+    meat_row = scored.agg(F.count(F.lit(1)), F.sum("left"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i, j in pairs]).first()
     meat = np.zeros((k, k))
-    for (i, j), v in zip(pairs, meat_row[1:]):
+    for (i, j), v in zip(pairs, meat_row[2:]):
         meat[i, j] = meat[j, i] = v
     free = n - k - groups
     fix = meat_row[0] / (meat_row[0] - 1) * (n - 1) / free if cluster else n / free
     se = np.sqrt(np.diag(inverse @ meat @ inverse) * fix)
     labels = xs if absorb else ["constant", *xs]
-    return {"n": n, "terms": [(m, float(b), float(s)) for m, b, s in zip(labels, beta, se)]}
+    terms = []
+    for m, b, e in zip(labels, beta, se):
+        t = float(b / e) if e > 0 else None
+        terms.append((m, float(b), float(e), t, None if t is None else math.erfc(abs(t) / math.sqrt(2))))
+    return {"n": n, "r2": 1 - meat_row[1] / total if total else None, "terms": terms, "residuals": rows.select(*[F.col(f"k_{c}").alias(c) for c in keep], "residual")}
+
+
+def two_way(df: DataFrame, y: str, x: str, unit: str, time: str, *, least_units: int = 15, least_times: int = 4, **options) -> dict | None:
+    """y on x in standard deviations, with effects of unit and time, clustered by unit: estimate, error, t, p, n. None below the
+    least numbers of units and times that have both."""
+    known = df.select(unit, time, y, x).dropna()
+    units, times = known.agg(F.count_distinct(unit), F.count_distinct(time)).first()
+    if units < least_units or times < least_times:
+        return None
+    fit = least_squares(known, y, [x], absorb=[unit, time], cluster=unit, standardise=True, **options)
+    if fit is None:
+        return None
+    _, estimate, error, t, p = fit["terms"][0]
+    return {"estimate": estimate, "se": error, "t": t, "p": p, "n": fit["n"]}
 
 
 def neighbours(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -139,6 +181,39 @@ def neighbours(points: DataFrame, queries: DataFrame, key: str, vector: str, k:
     return ranked.filter(F.col("rank") <= k)
 
 
+def nearest_weights(places: DataFrame, key: str, lat: str, lon: str, k: int = 8) -> DataFrame:
+    """(key, neighbour, km, weight): row-standardised weights, one k-th for each of the k nearest other places by great-circle
+    distance (of equal distances the smaller key); with fewer than k others, each has an equal part of 1.
+
+    Places lie on the unit sphere in cubic cells. A place looks in its own cell and those around it; it is done once its k-th
+    neighbour is nearer than a cell is wide, and looks again in cells twice as wide else. Each round is an equi-join of the
+    places that are left; the last cells hold the whole sphere.
+    """
+    a, o = F.radians(F.col(lat).cast("double")), F.radians(F.col(lon).cast("double"))
+    rows = places.select(F.col(key).alias("k"), F.col(lat).cast("double").alias("a"), F.col(lon).cast("double").alias("o"), (F.cos(a) * F.cos(o)).alias("x"), (F.cos(a) * F.sin(o)).alias("y"), F.sin(a).alias("z")).dropna()
+    left = rows = staged(rows, "places")
+    width = min(2.0, math.sqrt(4 * math.pi * k / max(1, rows.count())) / 2)
+    out = None
+    while True:
+        cell = lambda c: F.floor(F.col(c) / width)  # noqa: E731, B023
+        around = lambda c: F.explode(F.array(*[cell(c) + d for d in (-1, 0, 1)]))  # noqa: E731, B023
+        points = rows.select(F.col("k").alias("n"), F.col("a").alias("b"), F.col("o").alias("p"), cell("x").alias("cx"), cell("y").alias("cy"), cell("z").alias("cz"))
+        look = left.withColumn("cx", around("x")).withColumn("cy", around("y")).withColumn("cz", around("z"))
+        pairs = look.join(points, ["cx", "cy", "cz"]).filter("k <> n")
+        pairs = pairs.select("k", "n", haversine_km(F.col("a"), F.col("o"), F.col("b"), F.col("p")).alias("km"))
+        near = staged(pairs.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("km", "n"))).filter(F.col("r") <= k), "nearest")
+        reach = 2 * 6371.0 * math.asin(min(1.0, width / 2))
+        proven = near.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("km").alias("m")).filter(F.lit(width >= 2) | ((F.col("c") == k) & (F.col("m") < reach))).select("k", "c")
+        found = near.join(proven, "k").select(F.col("k").alias(key), F.col("n").alias("neighbour"), "km", (1.0 / F.col("c")).alias("weight"))
+        out = found if out is None else out.unionByName(found)
+        if width >= 2:
+            return out
+        left = staged(left.join(proven, "k", "left_anti"), "places-left")
+        if left.isEmpty():
+            return out
+        width = min(2.0, 2 * width)
+
+
 def moran(values: DataFrame, edges: DataFrame, unit: str, x: str) -> DataFrame:
     """(unit, z, lag, quadrant, i): row-standardised spatial lag of standardised x and its global Moran's I."""
     everything = Window.partitionBy()
@@ -166,15 +241,18 @@ def pagerank(edges: DataFrame, src: str, dst: str, weight: str, damping: float =
 
 
 def ladder(df: DataFrame, y: str, x: str, controls: list[list[str]], period: str, **options) -> list[tuple]:
-    """(period, number of control sets, estimate of x, error, n) of nested regressions: x alone, then with one more set of
-    controls each. The periods are few by nature; the input is written once."""
-    kept = staged(df.select(*{y, x, period, *[c for s in controls for c in s], *[options[k] for k in ("weight", "cluster") if options.get(k)], *options.get("absorb", [])}), "ladder")
+    """(period, number of control sets, estimate of x, error, t, r2, n) of nested regressions: x alone, then with one more set of
+    controls each. All steps take the rows in which no control is null, so that they differ in controls alone; regressors
+    are in standard deviations, 0/1 ones stay; a period with too few rows is left out. The periods are few by nature; the
+    input is written once."""
+    kept = staged(df.select(*{y, x, period, *[c for s in controls for c in s], *[options[k] for k in ("weight", "cluster") if options.get(k)], *options.get("absorb", [])}).dropna(), "ladder")
     out = []
     for (p,) in kept.select(period).distinct().orderBy(period).collect():
         for k in range(len(controls) + 1):
-            fit = least_squares(kept.filter(F.col(period) == p), y, [x, *[c for s in controls[:k] for c in s]], **options)
-            estimate = next(e for e in fit["terms"] if e[0] == x)
-            out.append((str(p), k, estimate[1], estimate[2], fit["n"]))
+            fit = least_squares(kept.filter(F.col(period) == p), y, [x, *[c for s in controls[:k] for c in s]], standardise=True, **options)
+            if fit:
+                estimate = next(e for e in fit["terms"] if e[0] == x)
+                out.append((str(p), k, *estimate[1:4], fit["r2"], fit["n"]))
     return out
 
 

@@ -90,10 +90,42 @@ def panel_skeleton(t):
 m AS (SELECT p_partkey, pattern, row_number() OVER (PARTITION BY p_partkey ORDER BY length(pattern) - length(replace(pattern, 'X', '')), pattern) AS k FROM part JOIN p ON regexp_full_match(p_brand, replace(pattern, 'X', '.')))
 SELECT p_partkey, pattern FROM part LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (p_partkey)""")
 def wildcard_code_join(t):
-    rules = t.nation.limit(1).select(F.explode(F.array(*[F.lit(p) for p in ("Brand#1X", "Brand#11", "Brand#XX", "Brand#3X", "Brand#45")])).alias("pattern"))
+    rules = t.spark.createDataFrame([(p,) for p in ("Brand#1X", "Brand#11", "Brand#XX", "Brand#3X", "Brand#45")], "pattern string")
     return joins.wildcard(t.part.select("p_partkey", "p_brand"), rules, "p_brand", "pattern").select("p_partkey", "pattern")
 
 
+_COVER = "SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '29-122' || p_partkey % 10 ELSE (11 + p_partkey % 19)::VARCHAR || '-' || lpad((p_partkey * 7919 % 3000)::VARCHAR, 4, '0') END AS soc FROM part"
+_COVERS = """SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN substr(c, 1, 4) || 'XX' WHEN 1 THEN substr(c, 1, 5) || '0' WHEN 2 THEN substr(c, 1, 3) || 'Y00' ELSE c END AS pattern FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 50 = 1 THEN '291210' ELSE (11 + s_suppkey % 19)::VARCHAR || lpad((s_suppkey * 13 % 3000)::VARCHAR, 4, '0') END AS c FROM supplier)"""
+
+
+@query(f"""WITH c AS (SELECT *, replace(soc, '-', '') AS d FROM ({_COVER})), r AS (SELECT pattern, rpad(regexp_replace(regexp_replace(pattern, '0+$', ''), '[^0-9]', '.', 'g'), 6, '.') AS e FROM ({_COVERS})),
+m AS (SELECT p_partkey, pattern, 1 AS turn, CASE WHEN d = pattern THEN 6 ELSE length(replace(e, '.', '')) END AS n FROM c JOIN r ON regexp_full_match(d, e)
+UNION ALL SELECT p_partkey, pattern, 2, CASE WHEN pattern = '291210' THEN 6 ELSE length(replace(e, '.', '')) END FROM c JOIN r ON starts_with(d, '29122') AND regexp_full_match('291210', e)),
+b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY turn, n DESC, pattern) AS k FROM m) SELECT p_partkey, soc, pattern FROM c LEFT JOIN (SELECT p_partkey, pattern FROM b WHERE k = 1) USING (p_partkey)""")
+def occupation_code_cover(t):
+    p, s = F.col("p_partkey"), F.col("s_suppkey")
+    digits = lambda x: F.lpad((x % 3000).cast("string"), 4, "0")
+    soc = F.when(p % 11 == 0, F.concat(F.lit("29-122"), (p % 10).cast("string"))).otherwise(F.concat((11 + p % 19).cast("string"), F.lit("-"), digits(p * 7919)))
+    c = F.when(s % 50 == 1, "291210").otherwise(F.concat((11 + s % 19).cast("string"), digits(s * 13)))
+    pattern = F.when(s % 4 == 0, F.concat(F.substring(c, 1, 4), F.lit("XX"))).when(s % 4 == 1, F.concat(F.substring(c, 1, 5), F.lit("0"))).when(s % 4 == 2, F.concat(F.substring(c, 1, 3), F.lit("Y00"))).otherwise(c)
+    return joins.covering_code(t.part.select("p_partkey", soc.alias("soc")), t.supplier.select(pattern.alias("pattern")), "soc", "pattern")
+
+
+_PROFILE = "SELECT CASE s_suppkey % 5 WHEN 0 THEN lpad((s_suppkey * 3 % 90 + 10)::VARCHAR, 2, '0') || 'MS' WHEN 1 THEN (s_suppkey * 7 % 900 + 100)::VARCHAR || 'Z' ELSE (s_suppkey * 11 % 90000 + 10000)::VARCHAR END AS code, s_suppkey AS workers, 1 + s_suppkey % 3 AS n, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS pay FROM supplier"
+
+
+@query(f"""WITH t AS (SELECT *, regexp_extract(code, '^(\d+)', 1) AS d FROM ({_PROFILE})), k AS (SELECT DISTINCT lpad((c_custkey * 17 % 10000)::VARCHAR, 4, '0') AS naics4 FROM customer),
+f AS (SELECT naics4, code, workers, n, pay, CASE WHEN length(d) >= 4 THEN 4 ELSE length(d) END AS lv FROM k JOIN t ON (length(d) >= 4 AND d[1:4] = naics4) OR (length(d) IN (2, 3) AND starts_with(naics4, d))),
+b AS (SELECT *, max(lv) OVER (PARTITION BY naics4) AS top FROM f)
+SELECT naics4, string_agg(code, ';' ORDER BY code) AS codes, sum(workers)::DOUBLE AS workers, sum(n)::BIGINT AS n, round(sum(pay * workers) / sum(workers) FILTER (WHERE pay IS NOT NULL), 4) AS pay, any_value(top) < 4 AS coarse FROM b WHERE lv = top GROUP BY 1""")
+def industry_profiles(t):
+    s = F.col("s_suppkey")
+    code = F.when(s % 5 == 0, F.concat((s * 3 % 90 + 10).cast("string"), F.lit("MS"))).when(s % 5 == 1, F.concat((s * 7 % 900 + 100).cast("string"), F.lit("Z"))).otherwise((s * 11 % 90000 + 10000).cast("string"))
+    table = t.supplier.select(code.alias("code"), s.alias("workers"), (1 + s % 3).alias("n"), F.when(s % 7 != 0, F.col("s_acctbal")).alias("pay"))
+    keys = t.customer.select(F.lpad((F.col("c_custkey") * 17 % 10000).cast("string"), 4, "0").alias("naics4"))
+    return joins.profiles(keys, table, "naics4", "code", "workers", "n", ["pay"]).withColumn("pay", F.round("pay", 4))
+
+
 @query("""WITH c AS (SELECT o_orderkey, lpad((o_custkey % 2000)::VARCHAR, 4, '0') AS code FROM orders), k AS (SELECT DISTINCT substr(lpad((c_custkey % 2000)::VARCHAR, 4, '0'), 1, 2 + (c_custkey % 3)::INTEGER) AS key FROM customer WHERE c_custkey % 7 = 0),
 m AS (SELECT o_orderkey, key, length(key) AS n, row_number() OVER (PARTITION BY o_orderkey ORDER BY length(key) DESC) AS r FROM c JOIN k ON starts_with(code, key))
 SELECT o_orderkey, code, key AS value, n::INTEGER AS matched FROM c LEFT JOIN (SELECT * FROM m WHERE r = 1) USING (o_orderkey)""")

@@ -313,21 +313,57 @@ def bootstrap_ci(t):
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, count(*) AS n FROM lineitem")
 def ols_one_regressor(t):
     fit = stats.least_squares(t.lineitem, "l_extendedprice", ["l_quantity"])
-    (_, a, _), (_, b, _) = fit["terms"]
+    a, b = (x[1] for x in fit["terms"])
     return t.lineitem.agg(F.count(F.lit(1)).alias("n")).select(F.round(F.lit(b), 4).alias("slope"), F.round(F.lit(a), 3).alias("intercept"), "n")
 
 
-@query()
+def _fit_sql(table: str, y: str, xs: list[str], *, w: str = "1.0", p: str = "0", g: str = "0", cl: str, least: int | None = None) -> str:
+    """SQL (p, term, estimate, se, t, r2, n) of a weighted regression for each p: regressors in standard deviations, group means of
+    g taken out, normal equations solved by cofactors, errors clustered by cl."""
+    k = len(xs)
+    each = range(k)
+
+    def det(m: list[list[str]]) -> str:
+        return m[0][0] if len(m) == 1 else "(" + " + ".join(f"({'-' if j % 2 else ''}{m[0][j]}) * {det([r[:j] + r[j + 1:] for r in m[1:]])}" for j in range(len(m))) + ")"
+
+    xx = [[f"a{min(i, j)}{max(i, j)}" for j in each] for i in each]
+    cofactor = lambda i, j: f"(({'-1' if (i + j) % 2 else '1'}) * {det([[xx[r][c] for c in each if c != j] for r in each if r != i]) if k > 1 else '1.0'})"
+    cols = [f"x{i}" for i in each]
+    pairs = [(i, j) for i in each for j in range(i, k)]
+    enough = f"n >= {k + 5 if least is None else least}"
+    d = f"SELECT {p} AS p, {g} AS g, {cl} AS cl, ({w})::DOUBLE AS w, ({y})::DOUBLE AS y0, " + ", ".join(f"({x})::DOUBLE AS r{i}" for i, x in enumerate(xs)) + f" FROM {table}"
+    d = f"SELECT * FROM ({d}) WHERE p IS NOT NULL AND g IS NOT NULL AND cl IS NOT NULL AND w IS NOT NULL AND y0 IS NOT NULL AND " + " AND ".join(f"r{i} IS NOT NULL" for i in each)
+    z = "SELECT p, g, cl, w, y0, " + ", ".join(f"CASE WHEN bool_and(r{i} IN (0, 1)) OVER (PARTITION BY p) THEN r{i} ELSE (r{i} - avg(r{i}) OVER (PARTITION BY p)) / stddev_samp(r{i}) OVER (PARTITION BY p) END AS z{i}" for i in each) + " FROM d"
+    m = "SELECT p, g, cl, w, y0, y0 - sum(w * y0) OVER q / sum(w) OVER q AS y, " + ", ".join(f"z{i} - sum(w * z{i}) OVER q / sum(w) OVER q AS x{i}" for i in each) + " FROM z WINDOW q AS (PARTITION BY p, g)"
+    n = "SELECT p, count(*)::DOUBLE AS n, count(DISTINCT g) AS gs, count(DISTINCT cl) AS cs, sum(w * y0) / sum(w) AS ybar, " + ", ".join(f"sum(w * x{i} * x{j}) AS a{i}{j}" for i, j in pairs) + ", " + ", ".join(f"sum(w * x{i} * y) AS c{i}" for i in each) + " FROM m GROUP BY p"
+    v = "SELECT *, " + ", ".join(f"{cofactor(j, i)} / {det(xx)} AS i{i}{j}" for i in each for j in each) + " FROM n"
+    b = "SELECT *, " + ", ".join("(" + " + ".join(f"i{i}{j} * c{j}" for j in each) + f") AS b{i}" for i in each) + " FROM v"
+    e = "SELECT m.*, m.w * (m.y - " + " - ".join(f"b{i} * x{i}" for i in each) + ") AS e, m.y - " + " - ".join(f"b{i} * x{i}" for i in each) + " AS u, ybar FROM m JOIN b USING (p)"
+    sc = "SELECT p, cl, " + ", ".join(f"sum(e * x{i}) AS s{i}" for i in each) + " FROM e GROUP BY p, cl"
+    mt = "SELECT p, " + ", ".join(f"sum(s{i} * s{j}) AS m{i}{j}" for i in each for j in each) + " FROM sc GROUP BY p"
+    rs = "SELECT p, 1 - sum(e * u) / sum(w * (y0 - ybar) * (y0 - ybar)) AS r2 FROM e GROUP BY p"
+    var = lambda i: "(" + " + ".join(f"i{i}{x} * m{x}{y2} * i{y2}{i}" for x in each for y2 in each) + ") * cs / (cs - 1.0) * (n - 1) / (n - " + str(k) + " - gs)"
+    out = " UNION ALL ".join(f"SELECT p, {i} AS k, b{i} AS estimate, sqrt({var(i)}) AS se, r2, n FROM b JOIN mt USING (p) JOIN rs USING (p) WHERE {enough}" for i in each)
+    return f"(WITH d AS ({d}), z AS ({z}), m AS ({m}), n AS ({n}), v AS ({v}), b AS ({b}), e AS ({e}), sc AS ({sc}), mt AS ({mt}), rs AS ({rs}) {out})"
+
+
+_WLS = ["l_quantity", "l_discount", "CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END"]
+
+
+@query(f"SELECT CASE k WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_discount' ELSE 'taxed' END AS term, round(estimate, 3) AS estimate, round(se, 3) AS se, round(estimate / se, 3) AS t, round(r2, 6) AS r2, n::BIGINT AS n FROM {_fit_sql('lineitem', 'l_extendedprice', _WLS, w='l_quantity', g='l_returnflag', cl='l_suppkey')}")
 def wls_coefficients(t):
-    fit = stats.least_squares(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], weight="l_quantity", absorb=["l_returnflag"], cluster="l_suppkey")
-    return t.spark.createDataFrame(fit["terms"], "term string, estimate double, se double").withColumn("n", F.lit(fit["n"]))
+    rows = t.lineitem.withColumn("taxed", (F.col("l_tax") > 0.04).cast("int"))
+    fit = stats.least_squares(rows, "l_extendedprice", ["l_quantity", "l_discount", "taxed"], weight="l_quantity", absorb=["l_returnflag"], cluster="l_suppkey", standardise=True)
+    r = lambda c, n=3: F.round(c, n).alias(c)
+    terms = t.spark.createDataFrame([x[:4] for x in fit["terms"]], "term string, estimate double, se double, t double")
+    return terms.select("term", r("estimate"), r("se"), r("t"), F.round(F.lit(fit["r2"]), 6).alias("r2"), F.lit(fit["n"]).alias("n"))
 
 
 @query()
 def twfe_within(t):
     y = customer_years(t).withColumn("before", F.lag("n").over(Window.partitionBy("o_custkey").orderBy("yr"))).filter("before is not null")
-    fit = stats.least_squares(y, "v", ["before"], absorb=["o_custkey", "yr"], cluster="o_custkey")
-    return t.spark.createDataFrame(fit["terms"], "term string, estimate double, se double").withColumn("n", F.lit(fit["n"]))
+    fit = stats.two_way(y, "v", "before", "o_custkey", "yr")
+    return t.spark.createDataFrame([fit], "estimate double, se double, t double, p double, n long") if fit else t.spark.createDataFrame([], "estimate double, se double, t double, p double, n long")
 
 
 @query("SELECT p_partkey, round(p_retailprice - (regr_intercept(p_retailprice, p_size) OVER (PARTITION BY p_type) + regr_slope(p_retailprice, p_size) OVER (PARTITION BY p_type) * p_size), 4) AS residual FROM part")
@@ -342,6 +378,17 @@ def knn_topk(t):
     return stats.neighbours(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), "vec_id", "embedding", 5).withColumn("distance", F.round("distance", 5))
 
 
+_PLACES = "SELECT s_suppkey AS k, (s_suppkey * 37 % 1790) / 10.0::DOUBLE - 89.5 AS lat, (s_suppkey * 101 % 3590) / 10.0::DOUBLE - 179.5 AS lon FROM supplier"
+
+
+@query(f"""WITH p AS ({_PLACES}), d AS (SELECT a.k AS k, b.k AS neighbour, 2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km FROM p a JOIN p b ON a.k <> b.k),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY km, neighbour) AS n FROM d) SELECT k, neighbour, round(km, 4) AS km, 0.125::DOUBLE AS weight FROM r WHERE n <= 8""")
+def nearest_weights(t):
+    k = F.col("s_suppkey")
+    places = t.supplier.select(k.alias("k"), ((k * 37 % 1790) / 10.0 - 89.5).alias("lat"), ((k * 101 % 3590) / 10.0 - 179.5).alias("lon"))
+    return stats.nearest_weights(places, "k", "lat", "lon", 8).withColumn("km", F.round("km", 4))
+
+
 @query("""WITH v AS (SELECT n_nationkey AS unit, n_regionkey AS g, coalesce(avg(c_acctbal), 0) AS x FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2), z AS (SELECT unit, g, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS z FROM v), l AS (SELECT a.unit, a.z, avg(b.z) AS lag FROM z a JOIN z b ON a.g = b.g AND a.unit <> b.unit GROUP BY 1, 2)
 SELECT unit, round(z, 5) AS z, round(lag, 5) AS lag, CASE WHEN z >= 0 THEN 'high' ELSE 'low' END || '-' || CASE WHEN lag >= 0 THEN 'high' ELSE 'low' END AS quadrant, round(sum(z * lag) OVER () / sum(z * z) OVER (), 5) AS i FROM l""")
 def moran_i(t):
@@ -487,10 +534,16 @@ def title_containment_whole(t):
     return linkage.containment(t.part, t.part, "p_type", "p_name").toDF("a", "b")
 
 
-@query()
+_LADDER = " UNION ALL ".join(
+    f"SELECT p AS period, {i} AS controls, round(estimate, 3) AS estimate, round(se, 3) AS se, round(estimate / se, 3) AS t, round(r2, 6) AS r2, n::BIGINT AS n FROM {_fit_sql('lineitem', 'l_extendedprice', ['l_quantity', 'l_discount', 'l_tax'][: i + 1], p='l_returnflag', cl='l_suppkey')} WHERE k = 0"
+    for i in range(3))
+
+
+@query(_LADDER)
 def control_ladder(t):
     fits = stats.ladder(t.lineitem, "l_extendedprice", "l_quantity", [["l_discount"], ["l_tax"]], "l_returnflag", cluster="l_suppkey")
-    return t.spark.createDataFrame(fits, "period string, controls int, estimate double, se double, n long")
+    r = lambda c, n=3: F.round(c, n).alias(c)
+    return t.spark.createDataFrame(fits, "period string, controls int, estimate double, se double, t double, r2 double, n long").select("period", "controls", r("estimate"), r("se"), r("t"), r("r2", 6), "n")
 
 
 @query()

@@ -72,22 +72,25 @@ _ABBREV = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.ABBREVIATIONS.item
 
 
 @query(f"""
-WITH r AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'The ' || c_name || ' Corporation' WHEN 1 THEN c_name || ' & Sons (Old) Co., Inc.' WHEN 2 THEN 'I B M ' || c_name || ' /DE/' WHEN 3 THEN c_name || ' Technologies Ltd - Cl A' ELSE c_name END AS raw FROM customer),
-a AS (SELECT k, raw, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\\([^)]*\\)', ' ', 'g'), '/[a-z]{{2,3}}/?\\s*$', ' '), '-\\s*cl(ass)? [a-z]\\s*$', ' '), '&', ' and '), '[^a-z0-9]+', ' ', 'g') AS s FROM r),
+WITH r AS (SELECT c_custkey AS k, CASE c_custkey % 7 WHEN 0 THEN 'The ' || c_name || ' Corporation' WHEN 1 THEN c_name || ' & Sons (Old) Co., Inc.' WHEN 2 THEN 'I B M ' || c_name || ' /DE/ Holdings' WHEN 3 THEN c_name || ' Technologies Ltd - Cl A'
+  WHEN 4 THEN 'American Pharmaceuticals National ' || c_name || ' Class-class B, Group' WHEN 5 THEN 'the the ' || c_name || ' America /new/LLC' ELSE c_name END AS raw FROM customer),
+a AS (SELECT k, raw, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\\(.*?\\)', ' ', 'g'), '/[a-z]{{2,4}}/?', ' ', 'g'), '-\\s*(cl|class)\\s*[a-z]\\b', ' ', 'g'), '&', ' and '), '[^a-z0-9]+', ' ', 'g') AS s FROM r),
 b AS (SELECT k, raw, array_to_string(list_transform(regexp_split_to_array(trim(s), ' +'), lambda w: CASE w {_ABBREV} ELSE w END), ' ') AS s FROM a),
 c AS (SELECT k, raw, replace(s, 'i b m ', 'ibm ') AS s FROM b)
 SELECT k, raw, trim(regexp_replace(regexp_replace(s, '^(?:the(?: |$))+', ''), '(?:(?:^| )(?:{_LEGAL}))+$', '')) AS norm FROM c""")
 def norm_company_name(t):
-    m, name = F.col("c_custkey") % 5, F.col("c_name")
-    raw = (F.when(m == 0, F.concat(F.lit("The "), name, F.lit(" Corporation"))).when(m == 1, F.concat(name, F.lit(" & Sons (Old) Co., Inc."))).when(m == 2, F.concat(F.lit("I B M "), name, F.lit(" /DE/")))
-           .when(m == 3, F.concat(name, F.lit(" Technologies Ltd - Cl A"))).otherwise(name))
+    m, name = F.col("c_custkey") % 7, F.col("c_name")
+    raw = (F.when(m == 0, F.concat(F.lit("The "), name, F.lit(" Corporation"))).when(m == 1, F.concat(name, F.lit(" & Sons (Old) Co., Inc."))).when(m == 2, F.concat(F.lit("I B M "), name, F.lit(" /DE/ Holdings")))
+           .when(m == 3, F.concat(name, F.lit(" Technologies Ltd - Cl A"))).when(m == 4, F.concat(F.lit("American Pharmaceuticals National "), name, F.lit(" Class-class B, Group")))
+           .when(m == 5, F.concat(F.lit("the the "), name, F.lit(" America /new/LLC"))).otherwise(name))
     return t.customer.select(F.col("c_custkey").alias("k"), raw.alias("raw"), names.company(raw).alias("norm"))
 
 
-@query("""WITH r AS (SELECT p_partkey, lower(p_name || CASE p_partkey % 3 WHEN 0 THEN ' & Helpers (Senior)' WHEN 1 THEN ', All Other' ELSE ', Except Red' END) AS s FROM part)
-SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(replace(s, '&', ' and '), '\\([^)]*\\)', ' ', 'g'), ',?\\s*(all other|except .*)$', ' '), '[^a-z0-9]+', ' ', 'g')) AS norm FROM r""")
+@query("""WITH r AS (SELECT p_partkey, lower(p_name || CASE p_partkey % 5 WHEN 0 THEN ' & Helpers (Senior)' WHEN 1 THEN ', All Other' WHEN 2 THEN ', Except Red' WHEN 3 THEN ', All Other (note)' ELSE ' All Other, Small except (b) c' END) AS s FROM part)
+SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(s, '&', ' and '), '\\(.*?\\)', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\\b(all other|except.*$)', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM r""")
 def norm_title(t):
-    tail = F.when(F.col("p_partkey") % 3 == 0, " & Helpers (Senior)").when(F.col("p_partkey") % 3 == 1, ", All Other").otherwise(", Except Red")
+    k = F.col("p_partkey") % 5
+    tail = F.when(k == 0, " & Helpers (Senior)").when(k == 1, ", All Other").when(k == 2, ", Except Red").when(k == 3, ", All Other (note)").otherwise(" All Other, Small except (b) c")
     return t.part.select("p_partkey", names.title(F.concat("p_name", tail)).alias("norm"))
 
 
@@ -113,11 +116,12 @@ def explode_combined_codes(t):
     return t.part.select("p_partkey", F.explode(codes.member_codes(F.concat(F.col("p_size").cast("string"), F.lit("0000")), title)).alias("code"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE abs(c_acctbal::BIGINT)::DOUBLE END AS pay, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS seen FROM customer""")
+@query("""SELECT *, CASE WHEN pay >= 0 THEN pay END AS known FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN -1.0::DOUBLE ELSE abs(c_acctbal::BIGINT)::DOUBLE END AS pay, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS seen FROM customer)""")
 def clean_numeric(t):
     whole = F.abs(F.rint("c_acctbal").cast("long"))
-    text = F.when(F.col("c_custkey") % 7 == 0, "#").otherwise(F.concat(F.lit("$"), F.format_number(whole, 0), F.lit("%")))
-    return t.customer.select("c_custkey", codes.clean_number(text).alias("pay"), codes.unsuppressed(F.col("c_acctbal")).alias("seen"))
+    text = F.when(F.col("c_custkey") % 7 == 0, "#").when(F.col("c_custkey") % 11 == 0, " -1").otherwise(F.concat(F.lit("$"), F.format_number(whole, 0), F.lit("%")))
+    pay = codes.clean_number(text)
+    return t.customer.select("c_custkey", pay.alias("pay"), codes.unsuppressed(F.col("c_acctbal")).alias("seen"), codes.unsuppressed(pay).alias("known"))
 
 
 @query(r"""SELECT doc_id, array_to_string((string_split(trim(regexp_replace('Doc' || '. ' || text, '\s+', ' ', 'g')), ' '))[1:25], ' ') AS words FROM documents""")
@@ -143,14 +147,14 @@ def keep_one_level(t):
     return t.orders.filter(F.lower("o_orderpriority").isin("1-urgent", "2-high") & F.contains("o_orderstatus", F.lit("F"))).select("o_orderkey", "o_orderpriority")
 
 
-@query("""SELECT doc_id::VARCHAR AS doc_id, text FROM (SELECT doc_id, regexp_replace(text, '[\r\n]', ' ', 'g') || ' "quoted" ' || chr(9) || 'tab' AS text FROM documents)""")
+@query("""SELECT doc_id::VARCHAR AS doc_id, text || ' "quoted" ' || chr(9) || 'tab' || chr(10) || chr(10) || '"",x' AS text FROM documents""")
 def read_quoted_tsv(t):
     import uuid
 
     from panelspark.sources.staging import shared_folder
 
     path = f"{shared_folder(t.spark)}/tsv-{uuid.uuid4().hex}"
-    text = F.concat(F.regexp_replace("text", "[\r\n]", " "), F.lit(' "quoted" \ttab'))
+    text = F.concat("text", F.lit(' "quoted" \ttab\n\n"",x'))
     t.documents.select("doc_id", text.alias("text")).write.csv(path, sep="\t", header=True, quoteAll=True, escape='"')
     return readers.delimited(t.spark, path, "\t")
 

@@ -6,13 +6,30 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 DELIMITERS = "\t,;|"
 
 
-def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Delimited text (gzip too), every column a string, quotes doubled inside quotes, malformed rows dropped."""
-    return spark.read.csv(path, sep=sep or sniff_delimiter(spark, path), header=True, quote='"', escape='"', mode="DROPMALFORMED", inferSchema=False, multiLine=False)
+def delimited(spark: SparkSession, path: str, sep: str | None = None, *, line_breaks: bool = True) -> DataFrame:
+    """Delimited text (gzip too), every column a string, quotes doubled inside quotes. Rows of fewer or more cells than the
+    header are dropped, whichever columns are read later.
+
+    With `line_breaks` lines may break inside quotes. Such a file can't be split, nor can gzip: its rows come from one task;
+    dealt() spreads them, once what the file's name gives is added.
+    """
+    options = {"sep": sep or sniff_delimiter(spark, path), "header": True, "quote": '"', "escape": '"', "multiLine": line_breaks}
+    names = [f.name for f in spark.read.csv(path, inferSchema=False, **options).schema]
+    bad = "__malformed"
+    schema = StructType([StructField(n, StringType()) for n in [*names, bad]])
+    rows = spark.read.csv(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=bad, **options)
+    # reading the mark of malformed rows makes Spark parse all cells; it has to be read beside another column
+    return rows.filter(F.col(bad).isNull() & (F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0)).drop(bad)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of few large files over as many tasks as the session shuffles to."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
@@ -34,6 +51,14 @@ def with_year(df: DataFrame, pattern: str = r"(\d{4})", name: str = "year") -> D
     return df.withColumn(name, F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), pattern, 1).cast("int"))
 
 
+def flow_file(df: DataFrame) -> DataFrame:
+    """year and direction that the name of a flow file gives: `countyinflow2122.csv` -> 2022, in; `stateoutflow1112` -> 2012, out."""
+    name = F.lower(F.element_at(F.split(F.input_file_name(), "/"), -1))
+    pair = F.regexp_extract(name, r"(\d{4})", 1)
+    direction = F.when(F.contains(name, F.lit("inflow")), "in").when(F.contains(name, F.lit("outflow")), "out")
+    return df.withColumns({"year": F.when(pair != "", second_of_pair(pair)), "direction": direction})
+
+
 def second_of_pair(x):
     """`2122` -> 2022."""
     return F.lit(2000) + F.substring(x, 3, 2).cast("int")

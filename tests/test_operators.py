@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import math
 
 import numpy as np
 import pytest
@@ -52,6 +53,112 @@ def test_token_ratios():
     assert names.token_set("a b", "c d") < 50
 
 
+@pytest.mark.parametrize("raw, want", [
+    ("American Pharmaceuticals National Corp", "amer pharma natl"), ("U S Steel Holdings Group, Inc", "us steel"), ("International Business Machines /new/ - Class B", "intl business machines"), ("Foo /de/ Bar - Class B LLC", "foo bar")])
+def test_company_names_by_the_fixed_tables(spark, raw, want):
+    assert one(spark, names.company(F.lit(raw))) == want
+
+
+def test_titles_and_figures(spark):
+    assert one(spark, names.title(F.lit("Managers, All Other (note)"))) == "managers" and one(spark, names.title(F.lit("Cooks & Chefs, except (b) short order"))) == "cooks and chefs"
+    assert [one(spark, codes.clean_number(F.lit(x))) for x in ("-1", "$ -1,200.5", "4%", "2012-13", "#", "-")] == [-1.0, -1200.5, 4.0, 201213.0, None, None]
+
+
+def test_common_subsequences_of_any_length():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = np.random.default_rng(3)
+    texts = lambda: ["".join(rng.choice(list("abcé "), rng.choice([0, 1, 5, 62, 63, 64, 127, 200]))) for _ in range(120)]
+    a, b = texts(), texts()
+    assert names._common(a, b).tolist() == [plain(x, y) for x, y in zip(a, b)]
+
+
+def test_occupation_codes_find_the_pattern_that_covers_them(spark):
+    patterns = spark.createDataFrame([(p,) for p in ("112030", "1120XX", "151252", "4750YY", "13102X", "291210", "291240", "x", None, "47")], "pattern string")
+    socs = ("11-2032", "15-1252", "47-5041", "13-1023", "15-1132", "29-1216", "29-1229", "29-1242", "11-2090", "99", None)
+    got = {r.soc: r.pattern for r in joins.covering_code(spark.createDataFrame([(s,) for s in socs], "soc string"), patterns, "soc", "pattern").collect()}
+    assert got == dict(zip(socs, ("112030", "151252", "4750YY", "13102X", None, "291210", "291210", "291240", "1120XX", None, None)))
+
+
+def test_profiles_take_fine_codes_and_else_the_longest_coarser_one(spark):
+    table = spark.createDataFrame([("32541", 10, 1, 2.0), ("3254", 30, 2, 4.0), ("325M", 5, 1, 9.0), ("33MS", 8, 1, None), ("33", 2, 1, 7.0), ("3MS", 1, 1, 1.0), ("3254Z", 10, 1, None)], "code string, workers long, n long, v double")
+    got = rows(joins.profiles(spark.createDataFrame([("3254",), ("3259",), ("3391",), ("9999",), (None,)], "k string"), table, "k", "code", "workers", "n", ["v"]))
+    assert got == [("3254", "3254;32541;3254Z", 50.0, 4, 3.5, False), ("3259", "325M", 5.0, 1, 9.0, True), ("3391", "33;33MS", 10.0, 2, 7.0, True)]
+
+
+def test_standardised_regression(spark):
+    rng = np.random.default_rng(7)
+    n = 120
+    x, d, w, g = rng.normal(5, 3, n), rng.integers(0, 2, n), rng.uniform(1, 2, n), rng.integers(0, 4, n)
+    y = 2 * x + 3 * d + g + rng.normal(size=n)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c), float(e), int(f)) for i, (a, b, c, e, f) in enumerate(zip(y, x, d, w, g))] + [(999, None, 1.0, 1, 1.0, 1)], "i int, y double, x double, d int, w double, g int")
+    fit = stats.least_squares(df, "y", ["x", "d"], weight="w", absorb=["g"], cluster="g", standardise=True, keep=["i"])
+    X = np.column_stack([(x - x.mean()) / x.std(ddof=1), d, *[(g == k) for k in range(4)]]).astype(float)
+    xtx = np.linalg.inv(X.T @ (X * w[:, None]))
+    beta = xtx @ (X.T @ (w * y))
+    e = y - X @ beta
+    meat = sum(np.outer(s, s) for s in ((X[g == k] * (w * e)[g == k][:, None]).sum(axis=0) for k in range(4)))
+    se = np.sqrt(np.diag(xtx @ meat @ xtx) * 4 / 3 * (n - 1) / (n - 6))
+    assert np.allclose([t[1] for t in fit["terms"]], beta[:2]) and np.allclose([t[2] for t in fit["terms"]], se[:2])
+    mean = (w * y).sum() / w.sum()
+    assert abs(fit["r2"] - (1 - (w * e**2).sum() / (w * (y - mean) ** 2).sum())) < 1e-9 and fit["n"] == n
+    assert np.allclose([r.residual for r in fit["residuals"].orderBy("i").collect()], e)
+    t = fit["terms"][0][3]
+    assert abs(fit["terms"][0][4] - math.erfc(abs(t) / 2**0.5)) < 1e-12
+    assert stats.least_squares(df.limit(6), "y", ["x", "d"], standardise=True) is None
+
+
+def test_two_way_effects_against_dummies_and_least_numbers(spark):
+    rng = np.random.default_rng(5)
+    panel = [(u, t) for u in range(18) for t in range(6) if rng.random() < 0.8]
+    x = np.array([rng.normal() + u * 0.3 + t for u, t in panel])
+    y = 1e6 * (1.5 * x + np.array([u - 2 * t for u, t in panel]) + rng.normal(size=len(panel)))
+    df = spark.createDataFrame([(float(a), float(b), u, t) for a, b, (u, t) in zip(y, x, panel)], "y double, x double, u int, t int")
+    us, ts = (np.array([p[i] for p in panel]) for i in (0, 1))
+    X = np.column_stack([(x - x.mean()) / x.std(ddof=1), *[(us == k) for k in range(18)], *[(ts == k) for k in range(1, 6)]]).astype(float)
+    inv = np.linalg.inv(X.T @ X)
+    beta = inv @ X.T @ y
+    e = y - X @ beta
+    meat = sum(np.outer(s, s) for s in ((X[us == k] * e[us == k][:, None]).sum(axis=0) for k in range(18)))
+    n, k = X.shape
+    se = np.sqrt(np.diag(inv @ meat @ inv) * 18 / 17 * (n - 1) / (n - k))[0]
+    got = stats.two_way(df, "y", "x", "u", "t")
+    assert np.allclose([got["estimate"], got["se"], got["t"]], [beta[0], se, beta[0] / se]) and got["n"] == n
+    assert stats.two_way(df.filter("u < 14"), "y", "x", "u", "t") is None and stats.two_way(df.filter("t < 3"), "y", "x", "u", "t") is None
+
+
+def test_nearest_places_on_the_globe(spark):
+    rng = np.random.default_rng(9)
+    places = [(i, float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180))) for i in range(150)] + [(200, 89.9, 10.0), (201, 89.9, -170.0), (202, 0.0, 179.9), (203, 0.0, -179.9), (204, 0.0, -179.9)]
+    got = {}
+    for r in stats.nearest_weights(spark.createDataFrame([*places, (300, None, 1.0)], "k int, lat double, lon double"), "k", "lat", "lon", 4).collect():
+        got.setdefault(r.k, []).append((r.km, r.neighbour))
+        assert r.weight == 0.25
+    p = np.radians(np.array([x[1:] for x in places]))
+    a = np.sin((p[:, None, 0] - p[None, :, 0]) / 2) ** 2 + np.cos(p[:, None, 0]) * np.cos(p[None, :, 0]) * np.sin((p[:, None, 1] - p[None, :, 1]) / 2) ** 2
+    km = 2 * 6371.0 * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
+    for i, (key, _, _) in enumerate(places):
+        want = sorted((round(km[i, j], 6), places[j][0]) for j in range(len(places)) if j != i)[:4]
+        assert sorted((round(d, 6), k) for d, k in got[key]) == want
+    few = stats.nearest_weights(spark.createDataFrame(places[:3], "k int, lat double, lon double"), "k", "lat", "lon", 8).collect()
+    assert len(few) == 6 and all(r.weight == 0.5 for r in few)
+
+
+def test_quoted_cells_may_hold_line_breaks_and_malformed_rows_go(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n"x\ny",1\n2\n3,4,5\n6,"7"\n')
+    got = readers.delimited(spark, str(tmp_path / "q.csv"), ",")
+    assert rows(got) == [("6", "7"), ("x\ny", "1")] and got.count() == 2 and rows(got.select("b")) == [("1",), ("7",)] and readers.dealt(got).count() == 2
+    for name in ("countyinflow2122.csv", "stateoutflow1112.csv"):
+        (tmp_path / name).write_text("a,b\n1,2\n")
+    assert rows(readers.flow_file(readers.delimited(spark, str(tmp_path / "*flow*.csv"), ",")).select("year", "direction")) == [(2012, "out"), (2022, "in")]
+
+
 def test_asof_takes_its_own_year_and_never_later(spark):
     left = spark.createDataFrame([("a", y) for y in (2012, 2013, 2014, 2015)] + [(None, 2015), ("b", 2011)], "k string, year int")
     right = spark.createDataFrame([("a", 2012, 1.0), ("a", 2013, 2.0), ("a", 2015, 4.0), ("a", 2015, 3.0), (None, 2000, 9.0), ("b", 2012, 5.0)], "k string, year int, v double")
@@ -109,6 +216,32 @@ def test_place_cascade_has_all_levels(spark):
     assert {r.k: r.score for r in linkage.place_cascade(left, right, "k", "code").collect()}["second state"] == 0
 
 
+def test_fuzzy_names_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    heads, tails = ["acme", "borealis", "cobalt"], ["tools", "toolz", "tool works", "works tool", "systems", "sistems", "labs inc", "lab inc", "tooling"]
+    pick = lambda k: sorted({f"{rng.choice(heads)} {rng.choice(tails)}{rng.choice(['', ' one', ' two', 'x'])}" for _ in range(k)})
+    left, right = pick(60) + ["cob"], pick(60)
+    docs = {n: int(rng.integers(1, 9)) for n in left}
+    l = spark.createDataFrame([(n, docs[n]) for n in left], "name string, docs int")
+    r = spark.createDataFrame([(n, f"c{i}") for i, n in enumerate(right)], "name string, code string")
+    code = {n: f"c{i}" for i, n in enumerate(right)}
+    ranked = lambda n: sorted(((-round(names.token_sort(n, m), 6), m) for m in right if m.split()[0] == n.split()[0] and names.token_sort(n, m) >= 88), key=lambda x: x)
+    got = {}
+    for x in linkage.fuzzy(l, r, "name", "code", 88.0, count="docs", least_count=5, top=3).collect():
+        got.setdefault(x.name, []).append((x.rank, x.match, x.code))
+    want = {n: [(i, m, code[m]) for i, (_, m) in enumerate(ranked(n)[:3], 1)] for n in left if docs[n] >= 5 and len(n) >= 4 and ranked(n)}
+    assert {k: sorted(v) for k, v in got.items()} == want and max(map(len, want.values())) == 3
+    best = {x.name: x.match for x in linkage.fuzzy(l, r, "name", "code", 88.0).collect()}
+    assert best == {n: ranked(n)[0][1] for n in left if len(n) >= 4 and ranked(n)}
+
+
+def test_codes_come_before_titles(spark):
+    left = spark.createDataFrame([("15-1252", "Cooks"), (None, "cook"), ("99-9999", "software developers"), ("x", "nothing alike"), (None, None)], "soc string, title string")
+    right = spark.createDataFrame([("15-1252", "software developer"), ("35-2014", "cook")], "soc string, title string")
+    got = linkage.code_or_title(left, right, "soc", "title")
+    assert rows(got) == sorted([("15-1252", "Cooks", "15-1252", "code"), (None, "cook", "35-2014", "exact"), ("99-9999", "software developers", "15-1252", "fuzzy"), ("x", "nothing alike", None, None), (None, None, None, None)], key=str)
+
+
 def test_containment_is_of_whole_titles_either_way(spark):
     a = spark.createDataFrame([("Retail Trade",), ("Mining",), ("Information",), ("mining",), ("--",), (None,), ("Public administration, all",)], "a string")
     b = spark.createDataFrame([("44-45 retail-trade",), ("44-45 retail-trade",), ("Mines",), ("Information",), ("Public administration",), ("determining",), ("",), (None,)], "b string")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelspark.operators.spread import prefix_sums
+from panelspark.sources.staging import staged
+
 
 def mode(df: DataFrame, by: list[str], value: str, *first: Column) -> DataFrame:
     """The most frequent value of each group; ties go by `first`, then to the smallest."""
@@ -41,13 +44,38 @@ def herfindahl(df: DataFrame, unit: str, place: str, weight: str) -> DataFrame:
 
 
 def gini(df: DataFrame, by: str, x: str, weight: str) -> DataFrame:
-    """Weighted Gini coefficient of x within by: equal values are summed before the running totals."""
+    """Weighted Gini coefficient of x within by: equal values are summed before the running totals, which run over as many tasks as
+    a group fills."""
     tied = df.groupBy(by, x).agg(F.sum(weight).alias("__w")).withColumn("__xw", F.col(x) * F.col("__w"))
-    up_to = Window.partitionBy(by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    rows = tied.withColumn("__before", F.sum("__xw").over(up_to) * 2 - F.col("__xw"))
+    rows = prefix_sums(tied, by, [F.col(x)], {"__below": "__xw"}, "gini").withColumn("__before", 2 * F.col("__below") + F.col("__xw"))
     return rows.groupBy(by).agg((1 - F.try_divide(F.sum(F.col("__w") * F.col("__before")), F.sum("__w") * F.sum("__xw"))).alias("gini"))
 
 
+def ntile(df: DataFrame, by: str, order: list[str], parts: int, name: str) -> DataFrame:
+    """Parts 1 to `parts` of each group in order, as equal as can be, larger ones first; a group may be any size."""
+    sizes = staged(df.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__n")), "ntile-sizes")
+    rows = prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), by, [F.col(c) for c in order], {"__r": "__one"}, "ntile")
+    rows = rows.join(sizes, F.col(by).eqNullSafe(F.col("__by")))
+    small, large = F.floor(F.col("__n") / parts), F.floor(F.col("__n") / parts) + 1
+    more = F.col("__n") % parts
+    place = F.when(F.col("__r") < more * large, F.floor(F.col("__r") / large)).otherwise(more + F.floor((F.col("__r") - more * large) / F.nullif(small, F.lit(0))))
+    return rows.withColumn(name, (place + 1).cast("int")).drop("__one", "__r", "__by", "__n")
+
+
+def standardised(df: DataFrame, by: str, x: str, name: str) -> DataFrame:
+    """x within by in standard deviations (ddof 1): one aggregation and a join of a row for each group."""
+    means = df.groupBy(F.col(by).alias("__by")).agg(F.avg(x).alias("__m"), F.stddev_samp(x).alias("__s"))
+    return df.join(means, F.col(by).eqNullSafe(F.col("__by"))).withColumn(name, F.try_divide(F.col(x) - F.col("__m"), F.col("__s"))).drop("__by", "__m", "__s")
+
+
+def dissimilarity(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """Half the summed differences of the shares of a and of b that each row has in its group."""
+    totals = df.groupBy(F.col(by).alias("__by")).agg(F.sum(a).alias("__a"), F.sum(b).alias("__b"))
+    share = lambda c, t: F.try_divide(F.col(c).cast("double"), F.col(t))
+    rows = df.join(totals, F.col(by).eqNullSafe(F.col("__by")))
+    return rows.groupBy(by).agg((0.5 * F.sum(F.abs(share(a, "__a") - share(b, "__b")))).alias("dissimilarity"))
+
+
 def exposure_to_own(df: DataFrame, by: str, a: str, b: str, least: int = 2) -> DataFrame:
     """Own-group exposure without oneself, over the group's share: for a, for b, and for both by their sizes."""
     n = F.col(a) + F.col(b)
@@ -90,12 +118,17 @@ def grain_violations(df: DataFrame, grain: list[str]) -> DataFrame:
     return df.groupBy(*grain).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """(column, filled share, distinct values, numeric share), all columns in one pass."""
-    text = {c: F.col(c).cast("string") for c in df.columns}
-    one = df.agg(*[x for c, v in text.items() for x in (
-        F.avg(v.isNotNull().cast("double")).alias(f"f_{c}"), F.count_distinct(v).alias(f"d_{c}"), F.try_divide(F.count(v.try_cast("double")), F.count(v)).alias(f"n_{c}"))])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"f_{c}").alias("filled"), F.col(f"d_{c}").alias("distinct"), F.col(f"n_{c}").alias("numeric")) for c in df.columns])).alias("x")).select("x.*")
+def column_profile(df: DataFrame, examples: int = 3) -> DataFrame:
+    """(column, filled share, distinct values, numeric share, examples) of all columns: cells are counted by value once, map-side
+    first, and the counts summed by column. Examples are the most frequent values, of equal ones the smaller."""
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns])).alias("x")).select("x.*")
+    values = staged(cells.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")), "profile")
+    known = F.when(F.col("v").isNotNull(), F.col("n"))
+    out = values.groupBy("column").agg(
+        (F.coalesce(F.sum(known), F.lit(0)) / F.sum("n")).alias("filled"), F.count("v").alias("distinct"), F.try_divide(F.coalesce(F.sum(F.when(F.col("v").try_cast("double").isNotNull(), F.col("n"))), F.lit(0)).cast("double"), F.sum(known)).alias("numeric"))
+    some = values.filter("v is not null").withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "v"))).filter(F.col("r") <= examples)
+    some = some.groupBy(F.col("column").alias("__c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]), ", ").alias("examples"))
+    return out.join(some, F.col("column") == F.col("__c"), "left").drop("__c")
 
 
 def match_rate(df: DataFrame, matched: Column, step: str, unit: str) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,16 +38,25 @@ def rank_corr(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 def bootstrap_mean(df: DataFrame, key: str, value: str, weight: str | None = None, draws: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Percentile interval of a (weighted) mean: each row takes part in each draw with a Poisson(1) count that a hash of its
-    key and the draw decides, so all draws are one aggregation and the same on every run."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("draw")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cdf, term, counts = 0.0, float(np.exp(-1)), F.lit(0)
-    for k in range(8):
-        cdf += term
-        counts = counts + (u > cdf).cast("int")
-        term /= k + 1
-    w = F.lit(1.0) if weight is None else F.col(weight)
-    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__c", counts * w)
-    each = rows.groupBy("draw").agg((F.sum(F.col("__c") * F.col(value)) / F.sum("__c")).alias("m"))
+    key and the draw decides, the same on every run. A task sums its rows for all draws at once and emits a row a draw."""
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    odd = np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, step = np.zeros((2, draws)), np.arange(1, draws + 1, dtype=np.uint64) * odd
+        for batch in batches:
+            h, v, w = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for lo in range(0, len(h), 512):
+                x = h[lo : lo + 512, None] + step
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                times = np.searchsorted(cdf, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), "right") * w[lo : lo + 512, None]
+                sums += (times * v[lo : lo + 512, None]).sum(axis=0), times.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], names=["draw", "s", "w"])
+
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = df.select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(value).cast("double").alias("v"), w.alias("w")).dropna()
+    each = rows.mapInArrow(run, "draw int, s double, w double").groupBy("draw").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     return each.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"), F.avg("m").alias("mean"))
 
@@ -148,8 +159,6 @@ def neighbours(points: DataFrame, queries: DataFrame, key: str, vector: str, k:
     The queries are a stated set that is collected and broadcast whole; every task keeps the k best of its own points by
     (distance, key) for each query, and only those are ranked.
     """
-    from collections.abc import Iterator
-
     import pandas as pd
 
     spark = points.sparkSession
@@ -216,22 +225,24 @@ def nearest_weights(places: DataFrame, key: str, lat: str, lon: str, k: int = 8)
 
 def moran(values: DataFrame, edges: DataFrame, unit: str, x: str) -> DataFrame:
     """(unit, z, lag, quadrant, i): row-standardised spatial lag of standardised x and its global Moran's I."""
-    everything = Window.partitionBy()
-    z = values.select(unit, ((F.col(x) - F.avg(x).over(everything)) / F.stddev_pop(x).over(everything)).alias("z"))
+    whole = values.agg(F.avg(x).alias("__m"), F.stddev_pop(x).alias("__s"))  # one row
+    z = staged(values.join(F.broadcast(whole), F.lit(True)).select(unit, F.try_divide(F.col(x) - F.col("__m"), F.col("__s")).alias("z")), "moran")
     lag = edges.join(z.withColumnRenamed("z", "__z").withColumnRenamed(unit, "__u"), F.col("neighbour") == F.col("__u")).groupBy(unit).agg(F.avg("__z").alias("lag"))
-    rows = z.join(lag, unit)
+    rows = staged(z.join(lag, unit), "moran-lags")
+    total = rows.agg(F.try_divide(F.sum(F.col("z") * F.col("lag")), F.sum(F.col("z") * F.col("z"))).alias("i"))  # one row
     high = lambda c: F.when(F.col(c) >= 0, "high").otherwise("low")
-    return rows.withColumns({"quadrant": F.concat_ws("-", high("z"), high("lag")), "i": F.sum(F.col("z") * F.col("lag")).over(everything) / F.sum(F.col("z") * F.col("z")).over(everything)})
+    return rows.withColumn("quadrant", F.concat_ws("-", high("z"), high("lag"))).join(F.broadcast(total), F.lit(True))
 
 
 def pagerank(edges: DataFrame, src: str, dst: str, weight: str, damping: float = 0.85, rounds: int = 5) -> DataFrame:
     """(node, rank) after a fixed number of rounds; ranks are written to the shared folder each round. Nodes without out-edges
     spread their rank evenly."""
-    nodes = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).distinct()
+    edges = staged(edges.select(src, dst, weight), "pagerank-input")
+    nodes = staged(edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).distinct(), "pagerank-nodes")
     n = nodes.count()
     out = edges.groupBy(src).agg(F.sum(weight).alias("__t"))
     share = staged(edges.join(out, src).select(F.col(src).alias("node"), F.col(dst).alias("to"), (F.col(weight) / F.col("__t")).alias("p")), "pagerank-edges")
-    ends = nodes.join(out.select(F.col(src).alias("node")), "node", "left_anti")
+    ends = staged(nodes.join(share.select("node").distinct(), "node", "left_anti"), "pagerank-ends")
     rank = staged(nodes.withColumn("rank", F.lit(1.0 / n)), "pagerank")
     for _ in range(rounds):
         loose = rank.join(ends, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]

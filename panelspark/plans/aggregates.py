@@ -117,9 +117,7 @@ def gini_by_year(t):
 
 @query(f"""WITH p AS ({PARTIES}), s AS (SELECT yr, dem / sum(dem) OVER (PARTITION BY yr) AS d, rep / sum(rep) OVER (PARTITION BY yr) AS r FROM p) SELECT yr, round(0.5 * sum(abs(d - r)), 6) AS dissimilarity FROM s GROUP BY 1""")
 def dissimilarity_index(t):
-    w = Window.partitionBy("yr")
-    s = parties(t).select("yr", F.try_divide(F.col("dem").cast("double"), F.sum("dem").over(w)).alias("d"), F.try_divide(F.col("rep").cast("double"), F.sum("rep").over(w)).alias("r"))
-    return s.groupBy("yr").agg(F.round(0.5 * F.sum(F.abs(F.col("d") - F.col("r"))), 6).alias("dissimilarity"))
+    return panels.dissimilarity(parties(t), "yr", "dem", "rep").withColumn("dissimilarity", F.round("dissimilarity", 6))
 
 
 _OWN = """o AS (SELECT yr, sum(dem * (dem - 1) / (dem + rep - 1)::DOUBLE) / sum(dem) AS oa, sum(rep * (rep - 1) / (dem + rep - 1)::DOUBLE) / sum(rep) AS ob, sum(dem) / sum(dem + rep)::DOUBLE AS sa, sum(rep) / sum(dem + rep)::DOUBLE AS sb FROM p WHERE dem + rep >= {least} GROUP BY 1)

@@ -10,6 +10,7 @@ from panelspark.operators import linkage, novelty, panels, stats, tasks
 from panelspark.plans.aggregates import _YEARLY, PARTIES, customer_years, parties
 from panelspark.plans.joins import _FLOW, flows, yearly
 from panelspark.plans.registry import query
+from panelspark.sources.staging import staged
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(1.0::DOUBLE / count(*) OVER (PARTITION BY l_orderkey), 6) AS share, round(l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey), 6) AS weight FROM lineitem")
@@ -28,7 +29,9 @@ m AS (SELECT o_custkey, yr, o_orderkey, arg_min(p_type, (l_linenumber, l_partkey
 
 
 def firm_docs(t):
-    lines = yearly(t).select("o_custkey", "o_orderkey", "yr").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = yearly(t).select("o_custkey", "o_orderkey", "yr").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+    lines = staged(lines.select("o_custkey", "yr", "o_orderkey", "p_type", *order), "firm-lines")  # read for main and for all classes
     main = lines.groupBy("o_custkey", "yr", "o_orderkey").agg(F.min_by("p_type", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")).alias("p_type"))
     return main.withColumn("share", F.lit(1.0)), lines.select("o_custkey", "yr", "p_type")
 
@@ -60,13 +63,13 @@ def percentile_in_group(t):
 
 @query(f"WITH y AS ({_YEARLY}) SELECT o_custkey, yr, round((v - avg(v) OVER (PARTITION BY yr)) / stddev_samp(v) OVER (PARTITION BY yr), 5) + 0.0 AS z, round(v - avg(v) OVER (PARTITION BY o_custkey), 4) + 0.0 AS demeaned FROM y")
 def zscore_in_year(t):
-    y, u = Window.partitionBy("yr"), Window.partitionBy("o_custkey")
-    return customer_years(t).select("o_custkey", "yr", (F.round((F.col("v") - F.avg("v").over(y)) / F.stddev_samp("v").over(y), 5) + 0.0).alias("z"), (F.round(F.col("v") - F.avg("v").over(u), 4) + 0.0).alias("demeaned"))
+    z = panels.standardised(customer_years(t), "yr", "v", "z")
+    return z.select("o_custkey", "yr", (F.round("z", 5) + 0.0).alias("z"), (F.round(F.col("v") - F.avg("v").over(Window.partitionBy("o_custkey")), 4) + 0.0).alias("demeaned"))
 
 
 @query(f"WITH y AS ({_YEARLY}) SELECT o_custkey, yr, ntile(5) OVER (PARTITION BY yr ORDER BY v, o_custkey)::INTEGER AS fifth FROM y")
 def ntile_by_year(t):
-    return customer_years(t).select("o_custkey", "yr", F.ntile(5).over(Window.partitionBy("yr").orderBy("v", "o_custkey")).alias("fifth"))
+    return panels.ntile(customer_years(t).select("o_custkey", "yr", "v"), "yr", ["v", "o_custkey"], 5, "fifth").select("o_custkey", "yr", "fifth")
 
 
 @query(f"WITH y AS ({_YEARLY}), q AS (SELECT yr, list_distinct(quantile_cont(n::DOUBLE, [0.2, 0.4, 0.6, 0.8])) AS e FROM y GROUP BY 1) SELECT o_custkey, yr, (len(list_filter(e, lambda x: x < n)) + 1)::INTEGER AS fifth FROM y JOIN q USING (yr)")
@@ -221,7 +224,10 @@ def grain_check(t):
     return panels.grain_violations(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", avg(({c} IS NOT NULL)::INTEGER) AS filled, count(DISTINCT {c}) AS \"distinct\", count(try_cast({c}::VARCHAR AS DOUBLE)) / nullif(count({c}), 0)::DOUBLE AS numeric FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
+_EXAMPLES = "(SELECT string_agg(v, ', ' ORDER BY n DESC, v) FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 3))"
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", avg(({c} IS NOT NULL)::INTEGER) AS filled, count(DISTINCT {c}) AS \"distinct\", count(try_cast({c}::VARCHAR AS DOUBLE)) / nullif(count({c}), 0)::DOUBLE AS numeric, {_EXAMPLES.format(c=c)} AS examples FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
 def column_profile(t):
     return panels.column_profile(t.customer)
 
@@ -262,10 +268,8 @@ def importance_fallback(t):
 s AS (SELECT first, second, count(*) / any_value(n) AS share FROM dp, n GROUP BY 1, 2), e AS (SELECT task, sum(share) AS e FROM tp JOIN s USING (first, second) GROUP BY 1)
 SELECT soc, round(sum(coalesce(e, 0) * importance) / sum(importance), 6) AS exposure, count(e) AS matched, count(*) AS tasks, round(percent_rank() OVER (ORDER BY round(sum(coalesce(e, 0) * importance) / sum(importance), 6), soc), 6) AS pct FROM i LEFT JOIN e USING (task) GROUP BY 1""")
 def task_exposure(t):
-    dp = tasks.word_pairs(t.documents, ["doc_id"], "text")
     wanted = tasks.word_pairs(t.benchmark.withColumnRenamed("item_id", "task"), ["task"], "text")
-    total = tasks.with_pairs(t.documents, "text").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    share = dp.join(wanted.select("first", "second").distinct(), ["first", "second"], "left_semi").groupBy("first", "second").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(total), F.lit(True)).select("first", "second", (F.col("c") / F.col("n")).alias("share"))  # one row
+    share = tasks.pair_document_shares(t.documents, wanted, "text")
     e = wanted.join(share, ["first", "second"]).groupBy("task").agg(F.sum("share").alias("e"))
     unit = _importance(t).join(e, "task", "left").groupBy("soc").agg(F.round(F.sum(F.coalesce("e", F.lit(0.0)) * F.col("importance")) / F.sum("importance"), 6).alias("exposure"), F.count("e").alias("matched"), F.count(F.lit(1)).alias("tasks"))
     return unit.withColumn("pct", F.round(F.percent_rank().over(Window.orderBy("exposure", "soc")), 6))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.functions import codes, names
-from panelspark.operators import joins, linkage, novelty, panels
+from panelspark.functions import codes
+from panelspark.operators import joins, linkage, novelty, panels, tasks
 from panelspark.plans.aggregates import PARTIES, parties
-from panelspark.plans.joins import _FLOW, flows, yearly
+from panelspark.plans.joins import yearly
 from panelspark.plans.panels import _DOCS, firm_docs
 from panelspark.plans.registry import query
+from panelspark.sources.staging import staged
 
 
 @query(f"""WITH {_DOCS}, y0 AS (SELECT min(year(l_shipdate))::INTEGER AS y0 FROM lineitem), b AS (SELECT min(yr) AS first FROM m),
@@ -152,3 +153,84 @@ def panel_employer_staffing(t):
                                              F.round(panels.weighted_mean(F.col("z"), F.col("e")), 6).alias("zone"), F.round(panels.weighted_mean(F.col("norm"), F.col("e")), 6).alias("predicted"), F.count(F.lit(1)).alias("occupations"))
     first = F.first("emp").over(Window.partitionBy("employer").orderBy("yr"))
     return out.withColumn("growth", F.round(F.col("emp") / first - 1, 6))
+
+
+_VOTES = "SELECT l_suppkey, year(l_shipdate)::INTEGER AS yr, count(*) FILTER (WHERE l_returnflag = 'A') AS dem, count(*) FILTER (WHERE l_returnflag = 'R') AS rep, count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS dem_raw, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linenumber < 4) AS rep_raw FROM lineitem GROUP BY 1, 2"
+_FOUR = f"""v AS ({_VOTES}), full_ AS (SELECT l_suppkey FROM v GROUP BY 1 HAVING count(DISTINCT yr) = (SELECT count(DISTINCT yr) FROM v)),
+p AS (SELECT 'incl. leaners' AS variant, yr, dem, rep FROM v UNION ALL SELECT 'registered only', yr, dem_raw, rep_raw FROM v UNION ALL SELECT 'balanced employers', yr, dem, rep FROM v SEMI JOIN full_ USING (l_suppkey) UNION ALL SELECT '25+ two-party workers', yr, dem, rep FROM v WHERE dem + rep >= 25),
+o AS (SELECT variant, yr, sum(dem * (dem - 1) / (dem + rep - 1)::DOUBLE) / sum(dem) AS oa, sum(rep * (rep - 1) / (dem + rep - 1)::DOUBLE) / sum(rep) AS ob, sum(dem) / sum(dem + rep)::DOUBLE AS sa, sum(rep) / sum(dem + rep)::DOUBLE AS sb FROM p WHERE dem + rep >= 2 GROUP BY 1, 2),
+e AS (SELECT variant, yr, oa / sa AS dem_exposure, ob / sb AS rep_exposure, (oa * sa + ob * sb) / (sa * sa + sb * sb) AS combined FROM o)"""
+
+
+def _exposures(t):
+    """Own-party exposure by variant and year: all, raw counts, units seen in every year, and units of 25 or more."""
+    flag, n = F.col("l_returnflag"), F.count_if
+    v = staged(t.lineitem.groupBy("l_suppkey", F.year("l_shipdate").alias("yr")).agg(
+        n(flag == "A").alias("dem"), n(flag == "R").alias("rep"), n((flag == "A") & (F.col("l_linestatus") == "F")).alias("dem_raw"), n((flag == "R") & (F.col("l_linenumber") < 4)).alias("rep_raw")), "votes")
+    years = v.agg(F.count_distinct("yr").alias("all"))  # one row
+    balanced = v.groupBy("l_suppkey").agg(F.count_distinct("yr").alias("k")).join(F.broadcast(years), F.col("k") == F.col("all")).select("l_suppkey")
+    tagged = lambda name, df, a="dem", b="rep": df.select(F.lit(name).alias("variant"), "yr", F.col(a).alias("dem"), F.col(b).alias("rep"))
+    rows = tagged("incl. leaners", v).unionByName(tagged("registered only", v, "dem_raw", "rep_raw")).unionByName(tagged("balanced employers", v.join(balanced, "l_suppkey", "left_semi"))).unionByName(tagged("25+ two-party workers", v.filter("dem + rep >= 25")))
+    both = F.col("dem") + F.col("rep")
+    own = lambda x: F.try_divide(F.sum(F.col(x) * (F.col(x) - 1) / (both - 1)), F.sum(x))
+    o = rows.filter(both >= 2).groupBy("variant", "yr").agg(own("dem").alias("oa"), own("rep").alias("ob"), (F.sum("dem") / F.sum(both)).alias("sa"), (F.sum("rep") / F.sum(both)).alias("sb"))
+    oa, ob, sa, sb = (F.col(c) for c in ("oa", "ob", "sa", "sb"))
+    return o.select("variant", "yr", F.try_divide(oa, sa).alias("dem_exposure"), F.try_divide(ob, sb).alias("rep_exposure"), F.try_divide(oa * sa + ob * sb, sa * sa + sb * sb).alias("combined"))
+
+
+@query(f"WITH {_FOUR} SELECT variant, yr, round(dem_exposure, 5) AS dem_exposure, round(rep_exposure, 5) AS rep_exposure, round(combined, 5) AS combined FROM e")
+def exposure_four_variants(t):
+    return _exposures(t).select("variant", "yr", *[F.round(c, 5).alias(c) for c in ("dem_exposure", "rep_exposure", "combined")])
+
+
+@query(f"""WITH {_FOUR}, b AS (SELECT min(yr) AS y0, max(yr) AS y1 FROM e), c AS (SELECT a.variant, z.dem_exposure - a.dem_exposure AS dem_change, z.rep_exposure - a.rep_exposure AS rep_change FROM b JOIN e a ON a.yr = y0 JOIN e z ON z.yr = y1 AND z.variant = a.variant)
+SELECT variant, round(dem_change, 5) AS dem_change, round(rep_change, 5) AS rep_change, rep_change > 0 AND dem_change < 0 AS asymmetry FROM c""")
+def exposure_change(t):
+    """Change from the first year of all to the last, and whether it is the one way up and the other way down."""
+    e = staged(_exposures(t), "exposures")
+    edges = e.agg(F.min("yr").alias("y0"), F.max("yr").alias("y1"))  # one row
+    at = lambda y, c: F.max(F.when(F.col("yr") == F.col(y), F.col(c)))
+    change = e.join(F.broadcast(edges), F.lit(True)).groupBy("variant").agg(*[(at("y1", f"{c}_exposure") - at("y0", f"{c}_exposure")).alias(c) for c in ("dem", "rep")]).filter("dem is not null or rep is not null")
+    return change.select("variant", F.round("dem", 5).alias("dem_change"), F.round("rep", 5).alias("rep_change"), ((F.col("rep") > 0) & (F.col("dem") < 0)).alias("asymmetry"))
+
+
+_GATES = """WITH c AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1), k AS (SELECT year(l_shipdate) AS y, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1),
+s AS (SELECT o_orderkey, o_totalprice, l.v AS rebuilt FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS v FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey),
+f AS (SELECT l_suppkey, year(l_shipdate) AS y, sum(l_quantity) AS workers, avg(l_quantity) AS a, avg(l_extendedprice) AS b FROM lineitem GROUP BY 1, 2), m AS (SELECT avg(b) AS mid FROM f)
+SELECT 'rows against the list' AS gate, round(max(abs(100 * (c.n / k.n::DOUBLE - 1))), 4) AS value, 0.1::DOUBLE AS threshold, max(abs(100 * (c.n / k.n::DOUBLE - 1))) < 0.1 AS pass FROM c JOIN k USING (y)
+UNION ALL SELECT 'duplicate unit-years', (SELECT count(*) - count(DISTINCT (l_suppkey, y)) FROM f)::DOUBLE, 0.0::DOUBLE, (SELECT count(*) = count(DISTINCT (l_suppkey, y)) FROM f)
+UNION ALL SELECT 'totals rebuilt from parts', round(max(abs(rebuilt / nullif(o_totalprice, 0) - 1)), 6), 1e-6::DOUBLE, max(abs(rebuilt / nullif(o_totalprice, 0) - 1)) < 1e-6 FROM s
+UNION ALL SELECT 'correlation, all', round(corr(a, b), 6), 0.35::DOUBLE, corr(a, b) > 0.35 FROM f UNION ALL SELECT 'correlation, large units', round(corr(a, b), 6), 0.45::DOUBLE, corr(a, b) > 0.45 FROM f WHERE workers >= 200
+UNION ALL SELECT 'same side of the middle', round(avg(CASE WHEN (a > 25) = (b > mid) THEN 1.0 ELSE 0.0 END), 6), 0.6::DOUBLE, avg(CASE WHEN (a > 25) = (b > mid) THEN 1.0 ELSE 0.0 END) > 0.6 FROM f, m"""
+
+
+@query(_GATES)
+def validation_gates_full(t):
+    """Gates that data can fail: row counts against a list, duplicate keys, totals rebuilt from their parts, correlations with
+    another source for all and for large units, and agreement on the side of the middle."""
+    def gate(df, name, value, threshold, passed):
+        return df.select(F.lit(name).alias("gate"), value.alias("value"), F.lit(float(threshold)).alias("threshold"), passed.alias("pass"))
+
+    c = t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    k = t.lineitem.select(F.year("l_shipdate").alias("y"), "l_orderkey").distinct().groupBy("y").agg(F.count(F.lit(1)).alias("m"))
+    rows = c.join(k, "y").agg(F.max(F.abs(100 * (F.col("n") / F.col("m") - 1))).alias("x"))
+    f = staged(t.lineitem.groupBy("l_suppkey", F.year("l_shipdate").alias("y")).agg(F.sum("l_quantity").alias("workers"), F.avg("l_quantity").alias("a"), F.avg("l_extendedprice").alias("b")), "gate-units")
+    twice = panels.grain_violations(f, ["l_suppkey", "y"]).agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).cast("double").alias("x"))
+    parts = t.lineitem.groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("v"))
+    built = t.orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey")).agg(F.max(F.abs(F.try_divide(F.col("v"), F.col("o_totalprice")) - 1)).alias("x"))
+    middle = f.agg(F.avg("b").alias("mid"))  # one row
+    agree = f.join(F.broadcast(middle), F.lit(True)).agg(F.avg(((F.col("a") > 25) == (F.col("b") > F.col("mid"))).cast("double")).alias("x"))
+    x, corr = F.col("x"), F.corr("a", "b").alias("x")
+    return (gate(rows, "rows against the list", F.round(x, 4), 0.1, x < 0.1).unionByName(gate(twice, "duplicate unit-years", x, 0, x == 0)).unionByName(gate(built, "totals rebuilt from parts", F.round(x, 6), 1e-6, x < 1e-6))
+            .unionByName(gate(f.agg(corr), "correlation, all", F.round(x, 6), 0.35, x > 0.35)).unionByName(gate(f.filter("workers >= 200").agg(corr), "correlation, large units", F.round(x, 6), 0.45, x > 0.45))
+            .unionByName(gate(agree, "same side of the middle", F.round(x, 6), 0.6, x > 0.6)))
+
+
+_WPAIRS = "SELECT DISTINCT doc_id, w[i] AS first, w[i + 1] AS second FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '' AND x NOT IN ({stop})) AS w FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)))".format(stop=", ".join(f"'{w}'" for w in tasks.STOP))
+
+
+@query(f"WITH p AS ({_WPAIRS}) SELECT doc_id, first, second FROM p UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT doc_id FROM p)")
+def incremental_stored_pairs(t):
+    """What a run adds to its store: pairs of the documents that are new, and an empty row for each new one without any."""
+    new = tasks.unseen(t.documents, t.labels, "doc_id")
+    return tasks.stored_pairs(tasks.word_pairs(new, ["doc_id"], "text"), new, "doc_id")

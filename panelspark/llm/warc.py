@@ -12,7 +12,7 @@ task), so a payload that a third of all pages share is no large group.
 
 Archives go through pyarrow's filesystems (file, hdfs, s3, gs), as the shared folder must be open to executors.
 
-Defined results: a null payload is empty; a null url is an empty target; a null page_id is never the largest (if no row of
+Defined results: a null payload is empty; a very long one is a record like others; a null url is an empty target; a null page_id is never the largest (if no row of
 a group has an id, all are responses); rows that repeat both id and payload are alike: all are what the id is. Extra
 columns are not written. An empty table makes no archive and an empty index.
 """
@@ -30,7 +30,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import bound_batches, new_folder
+from panelspark.llm.common import bound_batches, materialize, new_folder
+from panelspark.operators.spread import BROADCAST_ROWS, sized_join
 
 MIN_REVISIT = 1000
 GAP, SPAN = 64 << 10, 8 << 20
@@ -108,11 +109,15 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
     bound_batches(spark)
     payload = F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    slim = rows.select("page_id", "digest", F.length("payload").alias("bytes")).filter(F.col("bytes") >= min_revisit)
+    # who revisits whom is decided on narrow rows; payloads move only if the revisits are too many to broadcast
+    slim = materialize(rows.select("page_id", "digest", F.length("payload").alias("bytes")).filter(F.col("bytes") >= min_revisit).drop("bytes"), "warc-slim")
     largest = slim.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1 and largest is not null").select("digest", "largest")
-    revisits = (slim.join(largest, "digest").filter("page_id is null or page_id < largest")
+    largest = materialize(largest, "warc-largest")
+    revisits = (sized_join(slim, largest, ["digest"], ["page_id"]).filter("page_id is null or page_id < largest")
                 .select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), F.col("largest").alias("refers_to")).distinct())
-    decided = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
+    revisits = materialize(revisits, "warc-revisits")
+    same = F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
+    decided = rows.join(F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits, same, "left").select("page_id", "url", "payload", "digest", "refers_to")
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     decided.mapInArrow(lambda it: _write(it, folder), INDEX).write.parquet(f"{folder}/index")

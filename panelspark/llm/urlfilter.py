@@ -8,8 +8,8 @@ bytes, `?` any one byte): an allow glob that fits wins over block globs; with ne
 
 Automaton: each glob takes a bit per literal byte or `?` and one before them; a state word set is shifted by one with the
 carry between words, and-ed with the mask of the byte met, and bits whose position follows a `*` stay set. A batch of
-urls goes through together in numpy, a byte position a step; the longest urls alone reach the last steps. No step looks at
-a rule.
+urls goes through together in numpy, a byte position a step; the few longest urls of a batch end their way one by one, the
+same words being one Python integer then, so a very long url costs its own bytes only. No step looks at a rule.
 
 Defined results: null or no `://`: host and path are empty, no rule fits and the globs see `.<FF>`. Repeated rows get equal
 verdicts; rows keep their other columns; an empty rule list allows all.
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from panelspark.llm.common import text_slices
 
 #: Between host and path; no byte of UTF-8.
 BORDER = b"\xff"
+#: So many texts or fewer are no longer worth a numpy step a byte.
+LAST_ROWS = 4
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,10 @@ class Automaton:
         one, top = np.uint64(1), np.uint64(63)
         for j in range(int(size.max()) if len(size) else 0):
             n = int(np.searchsorted(sizes, -j, "left"))
+            if n <= LAST_ROWS:
+                for r in range(n):
+                    state[r] = self._alone(state[r], data[first[r] + j : first[r] - sizes[r]].tobytes())
+                break
             now = state[:n]
             moved = now << one
             moved[:, 1:] |= now[:, :-1] >> top
@@ -90,6 +97,14 @@ class Automaton:
         out[order] = state
         return out
 
+    def _alone(self, state: np.ndarray, rest: bytes) -> np.ndarray:
+        """The state after the rest of one text, its words as one integer."""
+        number = lambda words: int.from_bytes(words.astype("<u8").tobytes(), "little")
+        masks, stay, now = [number(m) for m in self.masks], number(self.stay), number(state)
+        for c in rest:
+            now = ((now << 1) & masks[c]) | (now & stay)
+        return np.frombuffer(now.to_bytes(8 * self.words, "little"), "<u8").astype(np.uint64)
+
     def fits(self, states: np.ndarray) -> np.ndarray:
         """One boolean column a glob."""
         return np.stack([(states[:, f // 64] >> np.uint64(f % 64)) & np.uint64(1) for f in self.finals], axis=1).astype(bool) if self.finals else np.zeros((len(states), 0), bool)
@@ -112,7 +127,8 @@ def _judge(batches: Iterator[pa.RecordBatch], rules: list[Rule], block: list[byt
     says = np.array([r.allow for r in ranked] + [False], bool)
     for batch in batches:
         host, path = (batch.column(batch.schema.get_field_index(c)).cast(pa.large_binary()) for c in ("host", "path"))
-        texts = pa.array([b"." + h + BORDER + p for h, p in zip(host.to_pylist(), path.to_pylist())], pa.large_binary())
+        mark = lambda b: pa.scalar(b, pa.large_binary())
+        texts = pc.binary_join_element_wise(mark(b"."), host, mark(BORDER), path, mark(b""))
         ruled, fine = [], []
         for _, _, data, off in text_slices(pa.RecordBatch.from_arrays([texts.view(pa.large_string())], names=["x"]), "x"):
             fit = machine.fits(machine.run(data, off))

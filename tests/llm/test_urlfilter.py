@@ -38,6 +38,12 @@ def test_odd_urls(spark):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {i: brute(u) for i, u in enumerate(URLS)}
 
 
+def test_a_very_long_url_costs_its_own_bytes(spark):
+    urls = ["http://x.com/" + "a" * 1_500_000 + ".exe", "http://" + "b" * 300_000 + "casino.y/z", "http://b.net/"] * 2
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES, block_globs=BLOCK_GLOBS, allow_globs=ALLOW_GLOBS)
+    assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == {i: (None, "block") if i % 3 < 2 else ("net/", "block") for i in range(6)}
+
+
 def test_no_rules_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     assert [r.verdict for r in judge_urls(pages, []).collect()] == ["allow"]

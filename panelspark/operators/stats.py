@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -153,18 +154,35 @@ def two_way(df: DataFrame, y: str, x: str, unit: str, time: str, *, least_units:
     return {"estimate": estimate, "se": error, "t": t, "p": p, "n": fit["n"]}
 
 
-def neighbours(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, key, distance, rank): the k nearest points of each query row by Euclidean distance.
+#: Queries that are broadcast at once by neighbours().
+QUERY_ROWS = 1 << 16
 
-    The queries are a stated set that is collected and broadcast whole; every task keeps the k best of its own points by
-    (distance, key) for each query, and only those are ranked.
-    """
-    import pandas as pd
 
+def neighbours(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int, *, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(query, key, distance, rank): the k nearest points of each query row by Euclidean distance, of equal ones the smaller key.
+
+    The queries are a stated set. They go in blocks of about `query_rows` by a hash of their key; each block is one pass over
+    all points with that block alone broadcast, in which every task keeps the k best of its own points for each query,
+    and only those are ranked. With several blocks each result is written before the next block is read.
+    """
     spark = points.sparkSession
-    wanted = queries.select(key, vector).toPandas()
-    ids, matrix = wanted[key].to_numpy(), np.stack(wanted[vector].to_numpy()).astype(np.float64) if len(wanted) else np.zeros((0, 1))
-    table = spark.sparkContext.broadcast((ids, matrix))
+    queries = staged(queries.select(key, vector), "queries")
+    blocks = max(1, -(-queries.count() // query_rows))
+    out = None
+    for b in range(blocks):
+        wanted = queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toPandas()
+        ids, matrix = wanted[key].to_numpy(), np.stack(wanted[vector].to_numpy()).astype(np.float64) if len(wanted) else np.zeros((0, 1))
+        table = spark.sparkContext.broadcast((ids, matrix))
+        found = _nearest(points, table, key, vector, k)
+        if blocks > 1:
+            found = staged(found, f"neighbours-{b}")
+            table.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _nearest(points: DataFrame, table: Broadcast, key: str, vector: str, k: int) -> DataFrame:
+    import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q = table.value

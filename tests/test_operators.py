@@ -309,6 +309,16 @@ def test_nearest_of_many_copies_are_the_smallest_keys(spark):
     assert rows(got.select("query", "rank", "id")) == sorted([(100, 1, 101), (100, 2, 1), (100, 3, 2), (101, 1, 1), (101, 2, 2), (101, 3, 3)], key=str)
 
 
+def test_nearest_points_in_blocks_of_queries(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(200, 5)).round(1)
+    points = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(200)], "id long, v array<double>").repartition(5)
+    got = {(r.query, r["rank"]): r.id for r in stats.neighbours(points, points.filter("id % 4 = 0"), "id", "v", 3, query_rows=9).collect()}
+    for q in range(0, 200, 4):
+        d = sorted((float(np.sqrt(((v[i] - v[q]) ** 2).sum())), i) for i in range(200) if i != q)[:3]
+        assert [got[q, r] for r in (1, 2, 3)] == [i for _, i in d]
+
+
 def test_bootstrap_is_steady_and_near_the_normal_interval(spark):
     df = spark.range(2000).select("id", ((F.col("id") * 7919) % 1000).cast("double").alias("v"))
     a, b = (stats.bootstrap_mean(df, "id", "v", draws=300).first() for _ in range(2))

@@ -6,22 +6,24 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from panelspark.operators.spread import last_known
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:
     """left with values of the latest right row at or before its time within by; of several at one time the largest values.
 
-    Both sides are put together and a running last value is taken, so one shuffle on `by` is all, and a skewed key costs a
-    sort, not a product. A null key matches nothing.
+    Both sides are put together, sorted, and a running last value is taken over as many tasks as a key fills
+    (spread.last_known), so a skewed key costs a sort in pieces, not a product. A null key matches nothing.
     """
     payload = F.struct(*values)
     rows = left.withColumns({"__value": F.lit(None).cast(right.select(payload.alias("v")).schema["v"].dataType), "__right": F.lit(0)})
-    marks = right.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by])).select(*by, time, payload.alias("__value"), F.lit(1).alias("__right"))
-    known = Window.partitionBy(*by).orderBy(F.col(time).asc_nulls_last(), F.col("__right").desc(), F.col("__value").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("__last", F.last("__value", ignorenulls=True).over(known))
+    marks = right.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*by, time]])).select(*by, time, payload.alias("__value"), F.lit(1).alias("__right"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    # a left row without a time comes first, where nothing is known
+    known = last_known(both, by, [F.col(time), -F.col("__right"), F.col("__value")], "__value", "__last", "asof")
     found = F.when(F.col(time).isNotNull(), F.col("__last"))
-    return both.filter("__right = 0").select(*left.columns, *[found[v].alias(v) for v in values])
+    return known.filter("__right = 0").select(*left.columns, *[found[v].alias(v) for v in values])
 
 
 def years_between(df: DataFrame, start: Column, end: Column, last: int, name: str = "year") -> DataFrame:

@@ -59,3 +59,26 @@ def prefix_sums(df: DataFrame, group: str, order: list[Column], sums: dict[str,
     joined = own.join(offsets, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")), "left")
     return joined.withColumns({c: F.col(c) + F.col(f"__o_{c}") for c in sums}).drop(
         "__part", "__g", "__p", *keys, *[f"__o_{c}" for c in sums])
+
+
+def last_known(df: DataFrame, groups: list[str], order: list[Column], value: str, name: str, label: str) -> DataFrame:
+    """df with `name`, the last value that is not null up to each row of its group in order, its own included.
+
+    Laid out as in prefix_sums: a group of any size is spread over as many tasks as it fills, and the last value of each
+    partition and group (a row each) is carried on to the partitions after it. Rows that tie in order are interchangeable.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    keys = {f"__k{i}": c for i, c in enumerate(order)}
+    laid = df.withColumns(keys).repartitionByRange(parts, *[F.col(g).asc_nulls_first() for g in groups], *[F.col(k).asc_nulls_first() for k in keys])
+    laid = staged(laid.withColumn("__part", F.spark_partition_id()), label)
+    sorted_keys = [F.col(k).asc_nulls_first() for k in keys]
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("__part", *groups).orderBy(*sorted_keys).rowsBetween(Window.unboundedPreceding, 0))
+    ends = laid.groupBy(*groups, "__part").agg(F.max_by(F.struct(value), F.when(F.col(value).isNotNull(), F.struct(*keys))).alias("__end"))
+    carried = F.last("__end", ignorenulls=True).over(Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__p"), carried.alias("__from"))
+    same = F.col("__part") == F.col("__p")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    joined = laid.withColumn("__in", inside).join(ends, same, "left")
+    return joined.withColumn(name, F.coalesce("__in", F.col(f"__from.{value}"))).drop("__in", "__from", "__part", "__p", *keys, *[f"__g{i}" for i in range(len(groups))])

@@ -159,6 +159,15 @@ def test_quoted_cells_may_hold_line_breaks_and_malformed_rows_go(spark, tmp_path
     assert rows(readers.flow_file(readers.delimited(spark, str(tmp_path / "*flow*.csv"), ",")).select("year", "direction")) == [(2012, "out"), (2022, "in")]
 
 
+def test_asof_with_one_key_in_most_rows(spark):
+    rng = np.random.default_rng(1)
+    left = [("hot" if i % 3 else f"k{i % 7}", int(rng.integers(0, 300))) for i in range(900)]
+    right = [("hot" if i % 4 else f"k{i % 7}", int(t), float(i)) for i, t in enumerate(rng.integers(0, 300, 120))] + [("hot", None, 1.0)]
+    got = rows(joins.asof(spark.createDataFrame(left, "k string, t int").repartition(6), spark.createDataFrame(right, "k string, t int, v double"), ["k"], "t", ["v"]))
+    latest = lambda k, t: max(((rt, v) for rk, rt, v in right if rk == k and rt is not None and rt <= t), default=(None, None))[1]
+    assert got == sorted(((k, t, latest(k, t)) for k, t in left), key=str)
+
+
 def test_asof_takes_its_own_year_and_never_later(spark):
     left = spark.createDataFrame([("a", y) for y in (2012, 2013, 2014, 2015)] + [(None, 2015), ("b", 2011)], "k string, year int")
     right = spark.createDataFrame([("a", 2012, 1.0), ("a", 2013, 2.0), ("a", 2015, 4.0), ("a", 2015, 3.0), (None, 2000, 9.0), ("b", 2012, 5.0)], "k string, year int, v double")

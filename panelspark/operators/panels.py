@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.operators.spread import prefix_sums
+from panelspark.operators.spread import lowest_so_far, prefix_sums
 from panelspark.sources.staging import staged
 
 
@@ -53,13 +53,11 @@ def gini(df: DataFrame, by: str, x: str, weight: str) -> DataFrame:
 
 def ntile(df: DataFrame, by: str, order: list[str], parts: int, name: str) -> DataFrame:
     """Parts 1 to `parts` of each group in order, as equal as can be, larger ones first; a group may be any size."""
-    sizes = staged(df.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__n")), "ntile-sizes")
-    rows = prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), by, [F.col(c) for c in order], {"__r": "__one"}, "ntile")
-    rows = rows.join(sizes, F.col(by).eqNullSafe(F.col("__by")))
+    rows = placed(df, by, order, "__r")
     small, large = F.floor(F.col("__n") / parts), F.floor(F.col("__n") / parts) + 1
     more = F.col("__n") % parts
     place = F.when(F.col("__r") < more * large, F.floor(F.col("__r") / large)).otherwise(more + F.floor((F.col("__r") - more * large) / F.nullif(small, F.lit(0))))
-    return rows.withColumn(name, (place + 1).cast("int")).drop("__one", "__r", "__by", "__n")
+    return rows.withColumn(name, (place + 1).cast("int")).drop("__r", "__n")
 
 
 def standardised(df: DataFrame, by: str, x: str, name: str) -> DataFrame:
@@ -99,12 +97,24 @@ def filled(df: DataFrame, unit: str, order: str, value: str, name: str) -> DataF
     return df.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(back), F.first(value, ignorenulls=True).over(ahead)))
 
 
+def placed(df: DataFrame, by: str | None, order: list[str], name: str) -> DataFrame:
+    """The place (0, 1, ...) of each row of its group in order, and __n, the size of the group; a group may be any size."""
+    rows = df.withColumns({"__one": F.lit(1).cast("long"), "__by": F.col(by) if by else F.lit(0)})
+    sizes = staged(rows.groupBy(F.col("__by").alias("__of")).agg(F.count(F.lit(1)).alias("__n")), "sizes")
+    rows = prefix_sums(rows, "__by", [F.col(c) for c in order], {name: "__one"}, "placed")
+    return rows.join(sizes, F.col("__by").eqNullSafe(F.col("__of"))).drop("__one", "__by", "__of")
+
+
+def percentile(df: DataFrame, by: str | None, order: list[str], name: str) -> DataFrame:
+    """Place within by from 0 to 1, for an order without ties; a lone row has 0."""
+    return placed(df, by, order, "__r").withColumn(name, F.coalesce(F.try_divide(F.col("__r").cast("double"), F.col("__n") - 1), F.lit(0.0))).drop("__r", "__n")
+
+
 def q_values(df: DataFrame, p: str, *ties: str) -> DataFrame:
-    """Benjamini-Hochberg q of each p over the whole (small) table of tests."""
-    ranked = Window.orderBy(p, *ties)
-    rows = df.withColumns({"__r": F.row_number().over(ranked), "__m": F.count(F.lit(1)).over(Window.partitionBy())})
-    rows = rows.withColumn("__q", F.col(p) * F.col("__m") / F.col("__r"))
-    return rows.withColumn("q", F.least(F.lit(1.0), F.min("__q").over(Window.orderBy("__r").rowsBetween(0, Window.unboundedFollowing)))).drop("__r", "__m", "__q")
+    """Benjamini-Hochberg q of each p over the whole table of tests, of any size."""
+    rows = placed(df, None, [p, *ties], "__r").withColumns({"__q": F.col(p) * F.col("__n") / (F.col("__r") + 1), "__all": F.lit(0)})
+    rows = lowest_so_far(rows, "__all", [-F.col("__r")], "__q", "__low", "q-values")
+    return rows.withColumn("q", F.least(F.lit(1.0), F.col("__low"))).drop("__r", "__n", "__q", "__all", "__low")
 
 
 def quantile_class(df: DataFrame, by: str, x: str, cuts: int, name: str) -> DataFrame:

@@ -82,3 +82,17 @@ def last_known(df: DataFrame, groups: list[str], order: list[Column], value: str
         same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     joined = laid.withColumn("__in", inside).join(ends, same, "left")
     return joined.withColumn(name, F.coalesce("__in", F.col(f"__from.{value}"))).drop("__in", "__from", "__part", "__p", *keys, *[f"__g{i}" for i in range(len(groups))])
+
+
+def lowest_so_far(df: DataFrame, group: str, order: list[Column], value: str, name: str, label: str) -> DataFrame:
+    """df with `name`, the lowest value up to each row of its group in order, its own included; laid out as in last_known."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    keys = {f"__k{i}": c for i, c in enumerate(order)}
+    laid = df.withColumns(keys).repartitionByRange(parts, F.col(group).asc_nulls_first(), *[F.col(k) for k in keys])
+    laid = staged(laid.withColumn("__part", F.spark_partition_id()), label)
+    inside = F.min(value).over(Window.partitionBy("__part", group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    ends = laid.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(F.min(value).alias("__end"))
+    carried = F.min("__end").over(Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    joined = laid.withColumn("__in", inside).join(ends.select("__g", "__p", carried.alias("__from")), (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")), "left")
+    return joined.withColumn(name, F.least("__in", "__from")).drop("__in", "__from", "__part", "__p", "__g", *keys)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.functions.codes import haversine_km
+from panelspark.operators.panels import placed
 from panelspark.sources.staging import staged
 
 
@@ -291,7 +292,7 @@ def moran_permutations(values: DataFrame, edges: DataFrame, unit: str, x: str, d
     Placement d orders the units by a hash of (unit, d) and hands them the values in their own order; all placements are one
     table (units x draws) with a draw column.
     """
-    place = values.select(unit, x, F.row_number().over(Window.orderBy(unit)).alias("__r"))
+    place = placed(values.select(unit, x), None, [unit], "__r").withColumn("__r", (F.col("__r") + 1).cast("int"))
     each = values.select(unit, F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
     key = F.when(F.col("draw") > 0, F.xxhash64(F.lit(seed), F.col(unit), F.col("draw"))).otherwise(F.lit(0))
     each = each.withColumn("__r", F.row_number().over(Window.partitionBy("draw").orderBy(key, unit)))

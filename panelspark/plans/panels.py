@@ -58,7 +58,8 @@ def search_depth_scope(t):
 
 @query("SELECT p_partkey, p_type, round(percent_rank() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey), 6) AS pct FROM part")
 def percentile_in_group(t):
-    return t.part.select("p_partkey", "p_type", F.round(F.percent_rank().over(Window.partitionBy("p_type").orderBy("p_retailprice", "p_partkey")), 6).alias("pct"))
+    rows = panels.percentile(t.part.select("p_partkey", "p_type", "p_retailprice"), "p_type", ["p_retailprice", "p_partkey"], "pct")
+    return rows.select("p_partkey", "p_type", F.round("pct", 6).alias("pct"))
 
 
 @query(f"WITH y AS ({_YEARLY}) SELECT o_custkey, yr, round((v - avg(v) OVER (PARTITION BY yr)) / stddev_samp(v) OVER (PARTITION BY yr), 5) + 0.0 AS z, round(v - avg(v) OVER (PARTITION BY o_custkey), 4) + 0.0 AS demeaned FROM y")
@@ -144,14 +145,14 @@ def title_link_cascade(t):
     return linkage.title_cascade(left, right, "title", "code")
 
 
-@query("""WITH l AS (SELECT s_suppkey AS k, 'city' || (s_suppkey % 30) AS f, ['city' || (s_suppkey % 30), 'city' || (s_suppkey % 7)] AS cs, 'S' || (s_suppkey % 3) AS st FROM supplier), r AS (SELECT c_custkey AS code, 'city' || (c_custkey % 40) AS f, ['city' || (c_custkey % 40), 'city' || (c_custkey % 11)] AS cs, 'S' || (c_custkey % 3) AS st FROM customer WHERE c_custkey < 200),
+@query("""WITH l AS (SELECT s_suppkey AS k, 'city' || (s_suppkey % 30) AS f, ['city' || (s_suppkey % 30), 'city' || (s_suppkey % 7)] AS cs, 'S' || (s_suppkey % 3) AS st FROM supplier), r AS (SELECT c_custkey AS code, 'city' || (c_custkey % 40) AS f, ['city' || (c_custkey % 40), 'city' || (c_custkey % 11)] AS cs, 'S' || (c_custkey % 3) AS st FROM customer),
 p AS (SELECT DISTINCT k, code, max(CASE WHEN l.f = r.f THEN 3 ELSE 2 END) OVER (PARTITION BY k, code) AS s FROM l JOIN r ON l.st = r.st AND len(list_intersect(l.cs, r.cs)) > 0), b AS (SELECT k, code, s, row_number() OVER (PARTITION BY k ORDER BY s DESC, code) AS n FROM p)
 SELECT k, code, coalesce(s, 0)::INTEGER AS score FROM l LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (k)""")
 def place_match_cascade(t):
     city = lambda c, n: F.concat(F.lit("city"), (F.col(c) % n).cast("string"))
     state = lambda c: F.array(F.concat(F.lit("S"), (F.col(c) % 3).cast("string")))
     left = t.supplier.select(F.col("s_suppkey").alias("k"), F.array(city("s_suppkey", 30), city("s_suppkey", 7)).alias("cities"), state("s_suppkey").alias("states"))
-    right = t.customer.filter("c_custkey < 200").select(F.col("c_custkey").alias("code"), F.array(city("c_custkey", 40), city("c_custkey", 11)).alias("cities"), state("c_custkey").alias("states"))
+    right = t.customer.select(F.col("c_custkey").alias("code"), F.array(city("c_custkey", 40), city("c_custkey", 11)).alias("cities"), state("c_custkey").alias("states"))
     return linkage.place_cascade(left, right, "k", "code")
 
 
@@ -272,7 +273,7 @@ def task_exposure(t):
     share = tasks.pair_document_shares(t.documents, wanted, "text")
     e = wanted.join(share, ["first", "second"]).groupBy("task").agg(F.sum("share").alias("e"))
     unit = _importance(t).join(e, "task", "left").groupBy("soc").agg(F.round(F.sum(F.coalesce("e", F.lit(0.0)) * F.col("importance")) / F.sum("importance"), 6).alias("exposure"), F.count("e").alias("matched"), F.count(F.lit(1)).alias("tasks"))
-    return unit.withColumn("pct", F.round(F.percent_rank().over(Window.orderBy("exposure", "soc")), 6))
+    return panels.percentile(unit, None, ["exposure", "soc"], "pct").withColumn("pct", F.round("pct", 6))
 
 
 _INCIDENCE = f"""WITH i AS ({_IMPORTANCE}), tp AS (SELECT task, soc, importance / sum(importance) OVER (PARTITION BY soc) AS w, first, second FROM i JOIN (SELECT item_id AS task, first, second FROM {_PAIRS.format(key='item_id', table='benchmark')}) USING (task)),
@@ -524,12 +525,12 @@ def panel_metro_year(t):
     return out.join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("region", "metro", "yr", "emp", "exposure", "coverage")
 
 
-@query("""WITH t AS (SELECT DISTINCT p_type AS a FROM part), n AS (SELECT DISTINCT p_name AS b FROM part) SELECT a, b FROM t, n WHERE contains(lower(b), lower(substr(a, 1, 1))) AND starts_with(lower(b), lower(substr(a, 1, 1)))""")
+@query("""WITH t AS (SELECT DISTINCT s_name AS a, right(s_name, 3) || '-' AS x FROM supplier), n AS (SELECT DISTINCT c_name AS b FROM customer),
+k AS (SELECT DISTINCT x AS a, regexp_replace(lower(x), '[^a-z0-9]', '', 'g') AS x FROM t), l AS (SELECT b, regexp_replace(lower(b), '[^a-z0-9]', '', 'g') AS y FROM n) SELECT a, b FROM k, l WHERE contains(x, y) OR contains(y, x)""")
 def title_containment(t):
-    """Titles with the same first letter, as the SQL has it; title_containment_whole compares whole titles."""
-    head = lambda c: F.lower(F.substring(c, 1, 1))
-    a, b = t.part.select(F.col("p_type").alias("a")).distinct(), t.part.select(F.col("p_name").alias("b")).distinct()
-    return a.join(b, head(F.col("a")) == head(F.col("b"))).select("a", "b")
+    """Whole titles either way: short codes within longer names."""
+    short = t.supplier.select(F.concat(F.right("s_name", F.lit(3)), F.lit("-")).alias("a"))
+    return linkage.containment(short, t.customer, "a", "c_name").toDF("a", "b")
 
 
 @query("""WITH t AS (SELECT DISTINCT p_type AS a, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS x FROM part), n AS (SELECT DISTINCT p_name AS b, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS y FROM part)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,3 +130,60 @@ class HashSet:
         place = np.minimum(np.searchsorted(self.sorted, hashes[maybe]), len(self.sorted) - 1)
         same = self.sorted[place] == hashes[maybe]
         return maybe[same], place[same]
+
+
+# ---------------------------------------------------------------- XXH64 of many short pieces
+
+_P = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+#: Pieces of more bytes are hashed one by one.
+LONG_PIECE = 512
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of data[starts[i]:ends[i]] for all i at once: a lane of 8, 4 or 1 bytes a step, over the pieces that have it."""
+    size = ends - starts
+    out = np.empty(len(size), np.uint64)
+    first = [np.uint64((seed + d) % (1 << 64)) for d in (int(_P[0]) + int(_P[1]), int(_P[1]), 0, -int(_P[0]), int(_P[4]))]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    four = np.ndarray((len(data) + 1,), "<u4", padded, strides=(1,))
+    mixed = lambda acc, lane: _turn(acc + lane * _P[1], 31) * _P[0]
+    h, at = np.full(len(size), first[4], np.uint64), starts.astype(np.int64).copy()
+    wide = np.flatnonzero((size >= 32) & (size <= LONG_PIECE))
+    if len(wide):
+        acc = [np.full(len(wide), v, np.uint64) for v in first[:4]]
+        left = size[wide] // 32
+        for step in range(int(left.max())):
+            on = np.flatnonzero(left > step)
+            for k in range(4):
+                acc[k][on] = mixed(acc[k][on], eight[at[wide[on]] + 32 * step + 8 * k])
+        both = _turn(acc[0], 1) + _turn(acc[1], 7) + _turn(acc[2], 12) + _turn(acc[3], 18)
+        for a in acc:
+            both = (both ^ mixed(np.zeros(len(wide), np.uint64), a)) * _P[0] + _P[3]
+        h[wide] = both
+        at[wide] += 32 * left
+    h += size.astype(np.uint64)
+    short = size <= LONG_PIECE
+    on = np.flatnonzero(short & (ends - at >= 8))
+    while len(on):
+        h[on] = _turn(h[on] ^ mixed(np.zeros(len(on), np.uint64), eight[at[on]]), 27) * _P[0] + _P[3]
+        at[on] += 8
+        on = on[ends[on] - at[on] >= 8]
+    on = np.flatnonzero(short & (ends - at >= 4))
+    h[on] = _turn(h[on] ^ (four[at[on]].astype(np.uint64) * _P[0]), 23) * _P[1] + _P[2]
+    at[on] += 4
+    on = np.flatnonzero(short & (ends > at))
+    while len(on):
+        h[on] = _turn(h[on] ^ (padded[at[on]].astype(np.uint64) * _P[4]), 11) * _P[0]
+        at[on] += 1
+        on = on[ends[on] > at[on]]
+    h = (h ^ (h >> np.uint64(33))) * _P[1]
+    h = (h ^ (h >> np.uint64(29))) * _P[2]
+    out[:] = h ^ (h >> np.uint64(32))
+    for i in np.flatnonzero(~short):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return out

@@ -26,18 +26,16 @@ other than id and text are not read.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.llm import similar
-from panelspark.llm.common import Scratch, bound_batches, materialize, row_key
+from panelspark.llm.common import LOWER, NON_SPACE, Scratch, bound_batches, materialize, row_key, text_slices, word_spans, xxh64
 from panelspark.operators.spread import BROADCAST_ROWS, prefix_sums, sized_join
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -46,41 +44,53 @@ BUCKET_ROWS = 1 << 16
 #: Rows of a turn that a task puts under one index, and more until the last first block is whole.
 CHUNK_ROWS = 1 << 15
 LEAF, FANOUT = 16, 8
-#: Bytes of a text that are split into words at once, so that a very long text needs no long list.
-BLOCK_BYTES = 1 << 20
-_WS = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _word_blocks(text: bytes) -> Iterator[list[bytes]]:
-    at = 0
-    while at < len(text):
-        end = at + BLOCK_BYTES
-        if end < len(text):
-            cut = _WS.search(text, end)
-            end = cut.start() if cut else len(text)
-        yield text[at:end].lower().split()
-        at = end
+def _plain(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Some texts in lower case, one blank between words, with the words' starts and ends and each text's first word."""
+    data = LOWER[data]
+    inside = NON_SPACE[data]
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]  # of white space the first byte after a word
+    plain = data[keep]
+    plain[~NON_SPACE[plain]] = 0x20
+    return plain, *word_spans(plain, np.concatenate([[0], np.cumsum(keep)])[off], NON_SPACE)
+
+
+def _slice_prints(data: np.ndarray, off: np.ndarray, shingle: int, seed: int) -> np.ndarray:
+    """The fingerprints of some texts: all their shingles are hashed together, then bits are counted by text."""
+    plain, starts, ends, first = _plain(data, off)
+    counts = np.diff(first)
+    begin, end, at = np.repeat(first[:-1], counts), np.repeat(first[1:], counts), np.arange(len(starts))
+    at = np.flatnonzero((at + shingle <= end) | ((at == begin) & (end - begin < shingle)))
+    out = np.zeros(len(counts), np.uint64)
+    if not len(at):
+        return out
+    hashes = xxh64(plain, starts[at], ends[np.minimum(at + shingle, end[at]) - 1], seed)
+    n = np.where(counts, np.maximum(counts - shingle + 1, 1), 0)
+    some = np.flatnonzero(n)
+    cuts = (np.cumsum(n) - n)[some]
+    # four bits at a time are counted in one word, 16 bits for each, so in pieces of fewer than 2**16 hashes
+    pieces = np.concatenate([np.arange(c, c + m, 65_535) for c, m in zip(cuts, n[some])]) if n.max() > 65_535 else cuts
+    of_text = np.searchsorted(pieces, cuts)
+    bits = np.empty((len(some), 64), np.int64)
+    for k in range(16):
+        held = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0001000100010001), pieces)
+        for lane in range(4):
+            bits[:, 16 * lane + k] = np.add.reduceat(((held >> np.uint64(16 * lane)) & np.uint64(0xFFFF)).astype(np.int64), of_text)
+    ones = 2 * bits > n[some, None]
+    out[some] = (ones.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return out
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    digest, counts, n, carry = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
-    for block in _word_blocks(text):
-        words = carry + block
-        hashes = [digest(b" ".join(s), seed) for s in zip(*(words[i:] for i in range(shingle)))]
-        if hashes:
-            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts += bits.sum(axis=0, dtype=np.int64)
-            n += len(hashes)
-        carry = words[max(0, len(words) - shingle + 1) :]
-    if not n and carry:
-        return digest(b" ".join(carry), seed)
-    return sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
+    return int(_slice_prints(np.frombuffer(text, np.uint8), np.array([0, len(text)]), shingle, seed)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, sketched: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1)], np.uint64)
-        columns = {"rid": batch.column(2), "doc_id": batch.column(0), "fp": pa.array(prints.view(np.int64))}
+        prints = [np.zeros(0, np.uint64), *[_slice_prints(data, off, shingle, SEED) for _, _, data, off in text_slices(batch, "text")]]
+        columns = {"rid": batch.column(2), "doc_id": batch.column(0), "fp": pa.array(np.concatenate(prints).view(np.int64))}
         if sketched:
             columns["content"], columns["bands"] = similar.sketch(batch, "text", sketched)
         yield pa.RecordBatch.from_pydict(columns)
@@ -90,7 +100,7 @@ def fingerprints(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     """(rid, doc_id, fp), a row per document; rid is common.row_key, fp holds the 64 bits in a long. With `sketched`, the
     length of shingles in words, also content and bands as similar.py takes them."""
     bound_batches(documents.sparkSession)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), row_key(documents).alias("rid"))
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row_key(documents).alias("rid"))
     return rows.mapInArrow(lambda it: _fingerprints(it, shingle, sketched), "rid long, doc_id long, fp long" + (", content long, bands array<long>" if sketched else ""))
 
 

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelspark.llm import simhash
+from panelspark.llm import common, simhash
 from panelspark.llm.queries import op10_simhash
 from tests.llm.conftest import DOC_SCHEMA
 
@@ -141,8 +141,16 @@ def test_the_index_prunes_whole_groups():
     assert near < 0.4  # leaves that a search has to open
 
 
-def test_a_very_long_text_is_read_in_blocks(monkeypatch):
-    text = ("Aa bb\tcc  dd\nee " * 40).strip()
-    whole = simhash.fingerprint(text.encode())
-    monkeypatch.setattr(simhash, "BLOCK_BYTES", 37)
-    assert simhash.fingerprint(text.encode()) == whole == brute_print(text)
+def test_hashes_of_many_pieces_are_those_of_each():
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 256, 20_000).astype(np.uint8)
+    sizes = np.r_[np.arange(0, 130), rng.integers(0, 600, 200), 512, 513, 5000]
+    starts = rng.integers(0, len(data) - sizes + 1)
+    starts[:3] = len(data) - sizes[:3]
+    got = common.xxh64(data, starts, starts + sizes, 42)
+    assert got.tolist() == [xxhash.xxh64_intdigest(data[a : a + n].tobytes(), 42) for a, n in zip(starts, sizes)]
+
+
+def test_long_and_odd_texts():
+    for text in (("Aa bb\tcc  dd\nee " * 40).strip(), "x" * 3000 + " y " + "Zé" * 900, " a  b ", "one", "", " \t", "w " * 30_000):
+        assert simhash.fingerprint(text.encode()) == brute_print(text)

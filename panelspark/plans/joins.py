@@ -114,7 +114,7 @@ def occupation_code_cover(t):
 _PROFILE = "SELECT CASE s_suppkey % 5 WHEN 0 THEN lpad((s_suppkey * 3 % 90 + 10)::VARCHAR, 2, '0') || 'MS' WHEN 1 THEN (s_suppkey * 7 % 900 + 100)::VARCHAR || 'Z' ELSE (s_suppkey * 11 % 90000 + 10000)::VARCHAR END AS code, s_suppkey AS workers, 1 + s_suppkey % 3 AS n, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS pay FROM supplier"
 
 
-@query(f"""WITH t AS (SELECT *, regexp_extract(code, '^(\d+)', 1) AS d FROM ({_PROFILE})), k AS (SELECT DISTINCT lpad((c_custkey * 17 % 10000)::VARCHAR, 4, '0') AS naics4 FROM customer),
+@query(f"""WITH t AS (SELECT *, regexp_extract(code, '^(\\d+)', 1) AS d FROM ({_PROFILE})), k AS (SELECT DISTINCT lpad((c_custkey * 17 % 10000)::VARCHAR, 4, '0') AS naics4 FROM customer),
 f AS (SELECT naics4, code, workers, n, pay, CASE WHEN length(d) >= 4 THEN 4 ELSE length(d) END AS lv FROM k JOIN t ON (length(d) >= 4 AND d[1:4] = naics4) OR (length(d) IN (2, 3) AND starts_with(naics4, d))),
 b AS (SELECT *, max(lv) OVER (PARTITION BY naics4) AS top FROM f)
 SELECT naics4, string_agg(code, ';' ORDER BY code) AS codes, sum(workers)::DOUBLE AS workers, sum(n)::BIGINT AS n, round(sum(pay * workers) / sum(workers) FILTER (WHERE pay IS NOT NULL), 4) AS pay, any_value(top) < 4 AS coarse FROM b WHERE lv = top GROUP BY 1""")

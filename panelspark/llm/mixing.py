@@ -7,8 +7,8 @@ documents, then of one more epoch the documents before the cut: they are in the
 sums are exact, and the document at the cut gives the words that are still missing (target and total agree to a word).
 
 The order is laid by a range sort over (source, hash), so a source with a third of all rows is spread over as many tasks as
-it fills; only a row per task and source is accumulated (common.prefix_sums). Targets come from a table of sources: water
-filling is a closed form over caps in order, done with windows over that table.
+it fills; only a row per task and source is accumulated (spread.prefix_sums). Targets come from a table of sources: water
+filling is a closed form over caps in order, by the same prefix sums, so that sources may be many.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source; repeated rows are documents of their
 own (which of two equal rows comes first doesn't show), rows that only share an id are told apart by all their columns; a
@@ -20,10 +20,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelspark.llm.common import materialize, row_key
-from panelspark.operators.spread import prefix_sums
+from panelspark.operators.spread import BROADCAST_ROWS, prefix_sums, sized_join
 
 WEIGHTS, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 3, "mix"
 
@@ -33,18 +32,18 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, target) from a table (source, source_size) with a row per source."""
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(ordered) - 1) % len(weights) + 1
-    rows = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn))
+    """(source, source_size, target) from a written table (source, source_size) with a row per source."""
+    rows = prefix_sums(sizes.withColumns({"__all": F.lit(0), "__one": F.lit(1).cast("long")}), "__all", [F.col("source").isNull(), F.col("source")], {"turn": "__one"}, "mix-turns")
+    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int")))
     rows = rows.withColumn("cap", F.col("source_size") * float(max_epochs)).withColumn("level", F.col("cap") / F.col("weight"))
-    by_level = Window.orderBy("level", F.col("source").asc_nulls_last())
-    before, after = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing)
+    rows = prefix_sums(rows, "__all", [F.col("level"), F.col("source").isNull(), F.col("source")], {"caps": "cap", "weights": "weight"}, "mix-levels")
+    rows = materialize(rows, "mix-caps")
+    total = rows.agg(F.sum("source_size").alias("__size"), F.sum("weight").alias("__weight"))  # one row
     # the level at which weights fill what the sources before this one, all at their caps, leave
-    fill = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    rows = rows.withColumn("fill", fill)
-    water = F.min(F.when(F.col("fill") <= F.col("level"), F.struct("level", F.col("source").isNull().alias("last"), "source", "fill"))).over(Window.partitionBy())["fill"]
-    return rows.select("source", "source_size", F.least(F.col("cap"), water * F.col("weight")).alias("target"))
+    fill = F.try_divide(F.col("__size") - F.col("caps"), F.col("__weight") - F.col("weights"))
+    fills = rows.join(F.broadcast(total), F.lit(True)).withColumn("fill", fill).filter(F.col("fill") <= F.col("level"))
+    water = fills.agg(F.min_by("fill", F.struct("level", F.col("source").isNull().alias("last"), "source")).alias("water"))  # one row
+    return rows.join(F.broadcast(water), F.lit(True)).select("source", "source_size", F.least(F.col("cap"), F.col("water") * F.col("weight")).alias("target"))
 
 
 def _laid(documents: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], max_epochs: int, seed: str) -> DataFrame:
@@ -53,9 +52,10 @@ def _laid(documents: DataFrame, doc_id: str, text: str, source: str, weights: tu
     # the texts are read once; the sort samples and moves these narrow rows
     slim = materialize(slim.withColumn("__key", F.conv(F.substring(key, 1, 15), 16, 10).cast("long")), "mix-sizes")
     laid = prefix_sums(slim, "source", [F.col("__key"), F.col("doc_id"), F.col("size"), F.col("rid")], {"before": "size"}, "mix")
-    goals = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, max_epochs=max_epochs)
-    goals = goals.withColumnRenamed("source", "__source")
-    rows = laid.join(goals, F.col("source").eqNullSafe(F.col("__source")))
+    sizes = materialize(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    named = lambda df: df.withColumns({"__none": F.col("source").isNull(), "__source": F.coalesce(F.col("source").cast("string"), F.lit(""))})
+    goals = materialize(named(targets(sizes, weights=weights, max_epochs=max_epochs)).drop("source"), "mix-targets")
+    rows = sized_join(named(laid), goals, ["__none", "__source"], ["rid"])
     whole = F.floor(F.coalesce(F.try_divide(F.floor("target"), F.col("source_size").cast("double")), F.lit(0.0)))
     left = F.floor("target") - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("before")))
@@ -80,9 +80,10 @@ def mixed_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     each = materialize(each, "mix-copies")
     same = F.col("__id").eqNullSafe(F.col(doc_id)) & (F.col("__rid") == F.col("__key"))
     rows = documents.withColumn("__key", row_key(documents))
-    out = rows.join(each.filter("__n = 1"), same)
+    single = each.filter("__n = 1").drop("__n")
+    out = rows.join(F.broadcast(single) if each.count() <= BROADCAST_ROWS else single, same)
     repeated = each.filter("__n > 1")
     if not repeated.isEmpty():
         once = rows.join(repeated, same, "left_semi").dropDuplicates([doc_id, "__key"])
-        out = out.unionByName(once.join(repeated, same))
+        out = out.unionByName(once.join(repeated.drop("__n"), same))
     return out.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")

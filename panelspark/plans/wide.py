@@ -157,7 +157,7 @@ def panel_employer_staffing(t):
 
 _VOTES = "SELECT l_suppkey, year(l_shipdate)::INTEGER AS yr, count(*) FILTER (WHERE l_returnflag = 'A') AS dem, count(*) FILTER (WHERE l_returnflag = 'R') AS rep, count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS dem_raw, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linenumber < 4) AS rep_raw FROM lineitem GROUP BY 1, 2"
 _FOUR = f"""v AS ({_VOTES}), full_ AS (SELECT l_suppkey FROM v GROUP BY 1 HAVING count(DISTINCT yr) = (SELECT count(DISTINCT yr) FROM v)),
-p AS (SELECT 'incl. leaners' AS variant, yr, dem, rep FROM v UNION ALL SELECT 'registered only', yr, dem_raw, rep_raw FROM v UNION ALL SELECT 'balanced employers', yr, dem, rep FROM v SEMI JOIN full_ USING (l_suppkey) UNION ALL SELECT '25+ two-party workers', yr, dem, rep FROM v WHERE dem + rep >= 25),
+p AS (SELECT 'all counts' AS variant, yr, dem, rep FROM v UNION ALL SELECT 'raw counts', yr, dem_raw, rep_raw FROM v UNION ALL SELECT 'units in every year', yr, dem, rep FROM v SEMI JOIN full_ USING (l_suppkey) UNION ALL SELECT 'units of 25 or more', yr, dem, rep FROM v WHERE dem + rep >= 25),
 o AS (SELECT variant, yr, sum(dem * (dem - 1) / (dem + rep - 1)::DOUBLE) / sum(dem) AS oa, sum(rep * (rep - 1) / (dem + rep - 1)::DOUBLE) / sum(rep) AS ob, sum(dem) / sum(dem + rep)::DOUBLE AS sa, sum(rep) / sum(dem + rep)::DOUBLE AS sb FROM p WHERE dem + rep >= 2 GROUP BY 1, 2),
 e AS (SELECT variant, yr, oa / sa AS dem_exposure, ob / sb AS rep_exposure, (oa * sa + ob * sb) / (sa * sa + sb * sb) AS combined FROM o)"""
 
@@ -170,7 +170,7 @@ def _exposures(t):
     years = v.agg(F.count_distinct("yr").alias("all"))  # one row
     balanced = v.groupBy("l_suppkey").agg(F.count_distinct("yr").alias("k")).join(F.broadcast(years), F.col("k") == F.col("all")).select("l_suppkey")
     tagged = lambda name, df, a="dem", b="rep": df.select(F.lit(name).alias("variant"), "yr", F.col(a).alias("dem"), F.col(b).alias("rep"))
-    rows = tagged("incl. leaners", v).unionByName(tagged("registered only", v, "dem_raw", "rep_raw")).unionByName(tagged("balanced employers", v.join(balanced, "l_suppkey", "left_semi"))).unionByName(tagged("25+ two-party workers", v.filter("dem + rep >= 25")))
+    rows = tagged("all counts", v).unionByName(tagged("raw counts", v, "dem_raw", "rep_raw")).unionByName(tagged("units in every year", v.join(balanced, "l_suppkey", "left_semi"))).unionByName(tagged("units of 25 or more", v.filter("dem + rep >= 25")))
     both = F.col("dem") + F.col("rep")
     own = lambda x: F.try_divide(F.sum(F.col(x) * (F.col(x) - 1) / (both - 1)), F.sum(x))
     o = rows.filter(both >= 2).groupBy("variant", "yr").agg(own("dem").alias("oa"), own("rep").alias("ob"), (F.sum("dem") / F.sum(both)).alias("sa"), (F.sum("rep") / F.sum(both)).alias("sb"))

@@ -159,6 +159,43 @@ def test_quoted_cells_may_hold_line_breaks_and_malformed_rows_go(spark, tmp_path
     assert rows(readers.flow_file(readers.delimited(spark, str(tmp_path / "*flow*.csv"), ",")).select("year", "direction")) == [(2012, "out"), (2022, "in")]
 
 
+def test_ranks_sums_and_minima_over_pieces_of_a_group(spark):
+    rng = np.random.default_rng(2)
+    data = [("hot" if i % 4 else (None if i % 8 else "cold"), int(rng.integers(0, 50)), i, float(rng.integers(0, 100)) / 100) for i in range(400)]
+    df = spark.createDataFrame(data, "g string, x int, id int, p double").repartition(7)
+    groups = {g: sorted((x, i, p) for k, x, i, p in data if k == g) for g in ("hot", "cold", None)}
+    place = {i: (n, len(v)) for v in groups.values() for n, (_, i, _) in enumerate(v)}
+    assert {r.id: (r.r, r["__n"]) for r in panels.placed(df, "g", ["x", "id"], "r").collect()} == place
+
+    def fifth(n, size):
+        base, more = divmod(size, 5)
+        return n // (base + 1) + 1 if n < more * (base + 1) else more + (n - more * (base + 1)) // base + 1
+
+    assert {r.id: r.f for r in panels.ntile(df, "g", ["x", "id"], 5, "f").collect()} == {i: fifth(*place[i]) for i in place}
+    assert panels.ntile(df.filter("id < 3"), "g", ["x", "id"], 5, "f").select(F.max("f")).first()[0] <= 2
+    want, order = {}, sorted((p, i) for _, _, i, p in data)
+    low = 1.0
+    for n in range(len(order), 0, -1):
+        low = min(low, order[n - 1][0] * len(order) / n)
+        want[order[n - 1][1]] = round(low, 9)
+    assert {r.id: round(r.q, 9) for r in panels.q_values(df, "p", "id").collect()} == want
+    share = {r.id: round(r.s, 9) for r in panels.percentile(df, "g", ["x", "id"], "s").collect()}
+    assert share == {i: round(n / (size - 1), 9) for i, (n, size) in place.items()}
+
+
+def test_joins_by_counted_size_and_in_pieces_agree(spark, monkeypatch):
+    from panelspark.operators import spread
+
+    rows_ = spark.createDataFrame([("hot" if i % 3 else f"k{i % 9}", i) for i in range(600)], "k string, id int")
+    table = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("none", 4)], "k string, v int")
+    want = rows(rows_.join(table, "k"))
+    assert rows(spread.spread_join(rows_, table, ["k"], ["id"]).select("k", "id", "v")) == want
+    for limit in (0, 100):
+        monkeypatch.setattr(spread, "BROADCAST_ROWS", limit)
+        assert rows(spread.sized_join(rows_, table, ["k"], ["id"]).select("k", "id", "v")) == want
+        assert rows(spread.sized_join(rows_, table, ["k"], how="left_semi")) == rows(rows_.join(table, "k", "left_semi"))
+
+
 def test_asof_with_one_key_in_most_rows(spark):
     rng = np.random.default_rng(1)
     left = [("hot" if i % 3 else f"k{i % 7}", int(rng.integers(0, 300))) for i in range(900)]

@@ -61,8 +61,13 @@ class Windows:
             known.setdefault(h, {}).setdefault(b" ".join(words[i : i + size]), set()).add(item)
             self.n += 1
 
-    def sealed(self) -> list[tuple[int, HashSet, dict]]:
-        return [(size, HashSet(np.fromiter(known, np.uint64, len(known))), known) for size, known in sorted(self.by_size.items())]
+    def sealed(self) -> list[tuple[int, dict]]:
+        """Plain values, as a broadcast is read where this package may not be."""
+        return sorted(self.by_size.items())
+
+
+def _opened(table: Broadcast) -> list[tuple[int, HashSet, dict]]:
+    return [(size, HashSet(np.fromiter(known, np.uint64, len(known))), known) for size, known in table.value]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_windows: int) -> Iterator[Windows]:
@@ -113,7 +118,7 @@ def _hits(batch: pa.RecordBatch, sets: list) -> tuple[np.ndarray, dict[int, tupl
 
 
 def _add_block(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
-    sets = table.value
+    sets = _opened(table)
     for batch in batches:
         counts, hits = _hits(batch, sets)
         items, spans = batch.column(3).to_pylist(), batch.column(4).to_pylist()
@@ -172,7 +177,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, *, text: str = "tex
 
 
 def _cut(batches: Iterator[pa.RecordBatch], table, text: str, mark: bytes) -> Iterator[pa.RecordBatch]:
-    sets = table.value
+    sets = _opened(table)
     for batch in batches:
         place = batch.schema.get_field_index(text)
         slim = pa.RecordBatch.from_arrays([batch.column(place)], names=["text"])
@@ -191,7 +196,7 @@ def _cut(batches: Iterator[pa.RecordBatch], table, text: str, mark: bytes) -> It
 
 
 def _drop(batches: Iterator[pa.RecordBatch], table, text: str) -> Iterator[pa.RecordBatch]:
-    sets = table.value
+    sets = _opened(table)
     for batch in batches:
         slim = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text))], names=["text"])
         clean = np.ones(batch.num_rows, bool)

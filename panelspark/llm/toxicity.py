@@ -80,7 +80,8 @@ def _hits(data: np.ndarray, off: np.ndarray, wanted: HashSet) -> tuple[np.ndarra
     return (pairs // len(wanted.sorted), pairs % len(wanted.sorted)) if len(wanted.sorted) else (pairs, pairs)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], wanted: HashSet) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
+    wanted = HashSet(table.value)
     counts, n = np.zeros(len(wanted.sorted), np.int64), 0
     for batch in batches:
         n += batch.num_rows
@@ -149,8 +150,8 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     found = found.withColumn("z", (rate - other) / F.sqrt(both * (1 / np_ + 1 / nu))).filter((rate > 2 * other) & (F.col("z") > 3))
     screened = np.array([r[0] for r in found.orderBy(F.desc("z"), "feature").limit(max_features).select("feature").collect()], np.int64)
     wanted = HashSet(screened.view(np.uint64))
-    table = spark.sparkContext.broadcast(wanted)
-    counted = texts.select("text").mapInArrow(lambda it: _frequencies(it, table.value), "place long, df long").groupBy("place").agg(F.sum("df").alias("df"))
+    table = spark.sparkContext.broadcast(wanted.sorted)  # plain values: a broadcast is read where this package may not be
+    counted = texts.select("text").mapInArrow(lambda it: _frequencies(it, table), "place long, df long").groupBy("place").agg(F.sum("df").alias("df"))
     df, total = np.zeros(len(wanted.sorted)), 1
     for place, count in counted.collect():  # at most max_features + 1 rows
         if place < 0:
@@ -159,10 +160,11 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
             df[place] = count
 
     def kept_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sought = HashSet(table.value)
         for batch in batches:
             for row, end, data, off in text_slices(batch, "text"):
-                bits = np.zeros((end - row, len(table.value.sorted)), bool)
-                bits[_hits(data, off, table.value)] = True
+                bits = np.zeros((end - row, len(sought.sorted)), bool)
+                bits[_hits(data, off, sought)] = True
                 packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, end - row), pa.array(packed, pa.binary())], names=["positive", "bits"])
 
@@ -177,15 +179,16 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     return Model(wanted.sorted, w * scale, b)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, column: str, name: str) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], table, column: str, name: str) -> Iterator[pa.RecordBatch]:
+    model = Model(*table.value)
     for batch in batches:
-        scores = [model.value.score(data, off) for _, _, data, off in text_slices(batch, column)]
+        scores = [model.score(data, off) for _, _, data, off in text_slices(batch, column)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, name])
 
 
 def score(documents: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:
     """documents with the score of each text; a column of that name is replaced."""
     bound_batches(documents.sparkSession)
-    table = documents.sparkSession.sparkContext.broadcast(model)
+    table = documents.sparkSession.sparkContext.broadcast((model.set.sorted, model.weights, model.bias))
     rows = documents.drop(name)
     return rows.mapInArrow(lambda it: _score(it, table, text, name), StructType([*rows.schema.fields, StructField(name, DoubleType())]))

@@ -84,7 +84,8 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
 
 
 def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(content, n, shingles) of the texts that the written table wanted (rid, content) names in rows (rid, text), one row for each."""
+    """(content, n, shingles) of the texts that the written table wanted (rid, content) names in rows (rid, text), a row for each;
+    rows that are equal in all columns share a rid and give one each."""
     bound_batches(rows.sparkSession)
     sets = sized_join(rows, wanted, ["rid"]).select("content", "text").mapInArrow(lambda it: _sets(it, shingle), "content long, shingles array<long>")
     return sets.select("content", F.size("shingles").alias("n"), "shingles")
@@ -133,6 +134,8 @@ def similar_labels(rows: DataFrame, texts: DataFrame, edges: DataFrame, componen
     members = entries.groupBy("content").agg(F.sum("size").alias("spread"))
     members = scratch.put(texts.select("content", "rid", "label").join(members, "content"), "members")
     sets = scratch.put(shingle_sets(rows, members.select("rid", "content"), shingle), "sets")
+    if sets.count() > members.count():
+        sets = scratch.put(sets.dropDuplicates(["content"]), "sets-once")
     sized = scratch.put(members.join(sets.select("content", "n"), "content").select("content", "label", "spread", "n"), "sized")
     left = scratch.put(sized_join(entries.select("content", "bucket"), sized, ["content"]), "left-0")
     scratch.drop("shared", "entries", "members", "sized")

@@ -103,6 +103,17 @@ def test_one_of_each_group_stays_with_rows_without_ids(spark, near_rows, odd_doc
     assert simhash.keep_one_of_each(docs.limit(0), similarity=0.8).count() == 0
 
 
+def test_rows_that_repeat_in_all_columns_count_once(spark, near_rows, monkeypatch):
+    seen = []
+    real = similar.close_pairs
+    monkeypatch.setattr(similar, "close_pairs", lambda pairs, sets, *rest: (seen.append((sets.count(), sets.select("content").distinct().count())), real(pairs, sets, *rest))[1])
+    rows = near_rows[:60] + near_rows[:3] * 40
+    docs = spark.createDataFrame(rows, DOC_SCHEMA).repartition(6)
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs, similarity=0.8).collect()}
+    assert got == set(brute_similar([(r[0], r[1]) for r in rows])) and all(a == b for a, b in seen) and seen
+    assert simhash.keep_one_of_each(docs, similarity=0.8).count() == len({c for _, c in got})
+
+
 def spread_family(rng, m, size, low, high):
     """Near copies that differ from one base in a share between low and high of their words: many link to a few others only."""
     base = [f"b{i}" for i in range(size)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, decontaminate, mixing, quality, secrets, sharding, simhash, toxicity, urlfilter, warc
+from panelspark.llm import alignment, chat, decontaminate, mixing, quality, secrets, sharding, simhash, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +76,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_secrets, op3_decontamination, op4_quality, op5_url_filter, op6_toxicity, op7_mixing, op8_sharding, op9_chat_format, op10_simhash)}
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_secrets, op3_decontamination, op4_quality, op5_url_filter, op6_toxicity, op7_mixing, op8_sharding, op9_chat_format, op10_simhash, op12_cross_tokenizer)}
 
 _HOST = "CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) ELSE '' END"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import alignment, chat, decontaminate, mixing, quality, secrets, sharding, simhash, toxicity, urlfilter, warc
+from panelspark.llm import alignment, chat, decontaminate, divergence, mixing, quality, secrets, sharding, simhash, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +80,11 @@ def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.linked(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_secrets, op3_decontamination, op4_quality, op5_url_filter, op6_toxicity, op7_mixing, op8_sharding, op9_chat_format, op10_simhash, op12_cross_tokenizer)}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_secrets, op3_decontamination, op4_quality, op5_url_filter, op6_toxicity, op7_mixing, op8_sharding, op9_chat_format, op10_simhash, op12_cross_tokenizer, op13_divergence)}
 
 _HOST = "CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) ELSE '' END"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
@@ -148,6 +152,22 @@ r AS (SELECT *, CASE WHEN ends_with('.' || host, '.example.net') AND starts_with
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN ends_with('.' || host, '.edu') AND starts_with(path, '/') THEN 'allow'
   WHEN contains(host, 'casino') OR contains('.' || host, '.ads.') OR contains(path, '/ads/') OR ends_with(path, '.exe') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 3),
+c AS (SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM k GROUP BY 1),
+g AS (SELECT o.lang, o.source, coalesce(t.total, 0)::HUGEINT AS total, coalesce(l.v, 0)::HUGEINT AS v, l.total AS all_total FROM (SELECT DISTINCT lang, source FROM d) o
+      LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2) t USING (lang, source) LEFT JOIN l ON l.lang = o.lang),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 1)) // (g.all_total + g.v) AS q
+      FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g JOIN g h ON g.lang = h.lang AND g.source != h.source
+        LEFT JOIN x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 200""",
     "op7_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import alignment, chat, decontaminate, divergence, mixing, quality, secrets, sharding, simhash, toxicity, urlfilter, warc
+from panelspark.llm import alignment, chat, decontaminate, divergence, licenses, mixing, quality, secrets, sharding, simhash, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    starts = F.transform("phrases", lambda p: p["start"])
+    labels = lambda *lists: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.transform(x, lambda p: p["label"]) for x in lists]))), ",")
+    return found.select("doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                        labels("phrases").alias("base_labels"), labels("phrases", "matches").alias("labels"), "score")
+
+
 def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.linked(_table(spark, sf_dir, "documents"))
 
@@ -84,7 +92,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_secrets, op3_decontamination, op4_quality, op5_url_filter, op6_toxicity, op7_mixing, op8_sharding, op9_chat_format, op10_simhash, op12_cross_tokenizer, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_secrets, op3_decontamination, op4_quality, op5_url_filter, op6_toxicity, op7_mixing, op8_sharding, op9_chat_format, op10_simhash, op11_licenses, op12_cross_tokenizer, op13_divergence)}
 
 _HOST = "CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) ELSE '' END"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"

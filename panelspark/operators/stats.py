@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.functions.codes import haversine_km
+from panelspark.operators import effects
 from panelspark.operators.panels import placed
 from panelspark.sources.staging import staged
 
@@ -64,23 +65,24 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, weight: str | None = Non
 
 
 def least_squares(df: DataFrame, y: str, xs: list[str], weight: str | None = None, absorb: list[str] = (), cluster: str | None = None, *, standardise: bool = False,
-                  least: int | None = None, keep: list[str] = (), rounds: int = 200) -> dict | None:
+                  least: int | None = None, keep: list[str] = ()) -> dict | None:
     """Weighted least squares with HC1 or clustered errors, over the rows in which nothing that is used is null.
 
     With `standardise`, regressors are in standard deviations (ddof 1) unless they only take 0 and 1; y stays in its units.
-    `absorb` are fixed effects, taken out by weighted group means: one set in one pass; several in turn until the means are
-    below 1e-10 of the column's own spread (an error if they aren't after `rounds` rounds). Fewer than `least` rows
+    `absorb` are fixed effects: one set is taken out by weighted group means, several as in `effects`. Fewer than `least` rows
     (len(xs) + 5 with `standardise`) give None.
 
     The result: n, r2 (of the whole model, fixed effects included), terms as (name, estimate, error, t, p) with p from the
     normal distribution, and residuals, a DataFrame of the columns `keep` and `residual`. Spark computes X'WX, X'Wy and the sums
     of squared scores; the driver solves a system of len(xs) + 1 unknowns.
     """
+    if len(absorb) > 1:
+        return effects.fit(df, y, xs, list(absorb), weight=weight, cluster=cluster, standardise=standardise, least=least, keep=keep)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    names, effects = [f"x{i}" for i in range(len(xs))], [f"g{i}" for i in range(len(absorb))]
+    names, sets = [f"x{i}" for i in range(len(xs))], [f"g{i}" for i in range(len(absorb))]
     rows = df.select(F.col(y).cast("double").alias("y"), *[F.col(x).cast("double").alias(n) for n, x in zip(names, xs)], w.alias("w"),
-                     *[F.col(a).alias(g) for g, a in zip(effects, absorb)], (F.col(cluster) if cluster else F.lit(0)).alias("cl"), *[F.col(k).alias(f"k_{k}") for k in keep])
-    rows = rows.dropna(subset=["y", "w", "cl", *names, *effects])
+                     *[F.col(a).alias(g) for g, a in zip(sets, absorb)], (F.col(cluster) if cluster else F.lit(0)).alias("cl"), *[F.col(k).alias(f"k_{k}") for k in keep])
+    rows = rows.dropna(subset=["y", "w", "cl", *names, *sets])
     spread = [F.stddev_samp(c) for c in ["y", *names]]
     first = rows.agg(F.count(F.lit(1)), F.sum(F.col("w") * F.col("y")) / F.sum("w"), *spread, *[F.avg(c) for c in names], *[F.min(F.col(c).isin(0.0, 1.0)) for c in names]).first()
     n, mean_y, sd = first[0], first[1], [v or 0.0 for v in first[2 : 3 + len(xs)]]
@@ -94,21 +96,11 @@ def least_squares(df: DataFrame, y: str, xs: list[str], weight: str | None = Non
                 sd[i + 1] = 1.0
     rows = rows.withColumn("y0", F.col("y"))
     groups = 0
-    for turn in range(rounds if len(absorb) > 1 else len(absorb)):
-        most = 0.0
-        for g in effects:
-            means = rows.groupBy(g).agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"m_{c}") for c in ["y", *names]])
-            means = staged(means, "group-means")
-            most = max(most, means.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(f"m_{c}")) / (s or 1.0) for c, s in zip(["y", *names], sd)])).first()[0] or 0.0)
-            rows = rows.join(means, g).withColumns({c: F.col(c) - F.col(f"m_{c}") for c in ["y", *names]}).drop(*[f"m_{c}" for c in ["y", *names]])
-            rows = staged(rows, "absorbed") if len(absorb) > 1 else rows
-        if most < 1e-10:
-            break
-    else:
-        if len(absorb) > 1:
-            raise RuntimeError(f"fixed effects not absorbed after {rounds} rounds: a group mean of {most:.3g} spreads is left")
+    for g in sets:
+        means = rows.groupBy(g).agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"m_{c}") for c in ["y", *names]])
+        rows = rows.join(means, g).withColumns({c: F.col(c) - F.col(f"m_{c}") for c in ["y", *names]}).drop(*[f"m_{c}" for c in ["y", *names]])
     if absorb:
-        groups = sum(rows.agg(*[F.count_distinct(g) for g in effects]).first()) - (len(absorb) - 1)
+        groups = sum(rows.agg(*[F.count_distinct(g) for g in sets]).first()) - (len(absorb) - 1)
     else:
         rows, names = rows.withColumn("one", F.lit(1.0)), ["one", *names]
     k = len(names)

@@ -364,11 +364,23 @@ def wls_coefficients(t):
     return terms.select("term", r("estimate"), r("se"), r("t"), F.round(F.lit(fit["r2"]), 6).alias("r2"), F.lit(fit["n"]).alias("n"))
 
 
-@query()
+#: Means of unit and year taken out in turn, to far below the digits that are compared.
+_TWFE = """WITH RECURSIVE d AS (SELECT o_custkey AS u, year(o_orderdate)::INTEGER AS t, sum(o_totalprice) AS y, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2),
+l AS (SELECT u, t, y, lag(n) OVER (PARTITION BY u ORDER BY t) AS r FROM d), k AS (SELECT * FROM l WHERE r IS NOT NULL),
+z AS (SELECT u, t, y, (r - avg(r) OVER ()) / stddev_samp(r) OVER () AS x FROM k),
+m AS (SELECT 0 AS i, u, t, y, x FROM z UNION ALL
+      SELECT i + 1, u, t, y - avg(y) OVER (PARTITION BY t), x - avg(x) OVER (PARTITION BY t) FROM (SELECT i, u, t, y - avg(y) OVER (PARTITION BY u) AS y, x - avg(x) OVER (PARTITION BY u) AS x FROM m) WHERE i < 60),
+f AS (SELECT * FROM m WHERE i = 60), b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx, count(*)::DOUBLE AS n, count(DISTINCT u)::DOUBLE AS us, count(DISTINCT t)::DOUBLE AS ts FROM f),
+s AS (SELECT sum(x * (y - b * x)) AS s FROM f, b GROUP BY u), e AS (SELECT sqrt(sum(s * s)) AS e FROM s)
+SELECT round(b, 2) AS estimate, round(e / xx * sqrt(us / (us - 1) * (n - 1) / (n - 1 - (us + ts - 1))), 2) AS se, round(b * xx / (e * sqrt(us / (us - 1) * (n - 1) / (n - 1 - (us + ts - 1)))), 4) AS t, n::BIGINT AS n FROM b, e"""
+
+
+@query(_TWFE)
 def twfe_within(t):
     y = customer_years(t).withColumn("before", F.lag("n").over(Window.partitionBy("o_custkey").orderBy("yr"))).filter("before is not null")
     fit = stats.two_way(y, "v", "before", "o_custkey", "yr")
-    return t.spark.createDataFrame([fit], "estimate double, se double, t double, p double, n long") if fit else t.spark.createDataFrame([], "estimate double, se double, t double, p double, n long")
+    rows = t.spark.createDataFrame([fit] if fit else [], "estimate double, se double, t double, p double, n long")
+    return rows.select(F.round("estimate", 2).alias("estimate"), F.round("se", 2).alias("se"), F.round("t", 4).alias("t"), "n")
 
 
 @query("SELECT p_partkey, round(p_retailprice - (regr_intercept(p_retailprice, p_size) OVER (PARTITION BY p_type) + regr_slope(p_retailprice, p_size) OVER (PARTITION BY p_type) * p_size), 4) AS residual FROM part")

@@ -319,8 +319,8 @@ def test_least_squares_agrees_with_dummies(spark):
     dummies = np.column_stack([x, *[(g == k) for k in range(6)], *[(h == k) for k in range(1, 5)]]).astype(float)
     s = np.sqrt(w)
     want = np.linalg.lstsq(dummies * s[:, None], y * s, rcond=None)[0][0]
-    fit = stats.least_squares(df, "y", ["x"], weight="w", absorb=["g", "h"], rounds=12)
-    assert abs(fit["terms"][0][1] - want) < 1e-4
+    fit = stats.least_squares(df, "y", ["x"], weight="w", absorb=["g", "h"])
+    assert abs(fit["terms"][0][1] - want) < 1e-8
     plain = stats.least_squares(df, "y", ["x"])
     X = np.column_stack([np.ones(n), x])
     beta = np.linalg.solve(X.T @ X, X.T @ y)
@@ -330,16 +330,6 @@ def test_least_squares_agrees_with_dummies(spark):
     assert np.allclose([t[1] for t in plain["terms"]], beta) and np.allclose([t[2] for t in plain["terms"]], se)
 
 
-def test_fixed_effects_are_absorbed_or_an_error(spark):
-    rng = np.random.default_rng(2)
-    panel = [(g, h) for g in range(8) for h in range(6) if rng.random() < 0.85]
-    x = [float(v) for v in rng.normal(size=len(panel)) + [g * h for g, h in panel]]
-    df = spark.createDataFrame([(3 * v + 2.0 * g - h, v, g, h) for v, (g, h) in zip(x, panel)], "y double, x double, g int, h int")
-    assert abs(stats.least_squares(df, "y", ["x"], absorb=["g", "h"])["terms"][0][1] - 3) < 1e-8
-    with pytest.raises(RuntimeError, match="not absorbed"):
-        stats.least_squares(df, "y", ["x"], absorb=["g", "h"], rounds=2)
-
-
 def test_kmeans_can_choose_five_and_the_whole_matrix_counts(spark, tmp_path):
     rng = np.random.default_rng(3)
     spark.createDataFrame([(i, i % 2, [float(v) for v in 20 * np.eye(64)[i % 5] + 0.01 * rng.normal(size=64)]) for i in range(200)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")

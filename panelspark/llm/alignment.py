@@ -1,12 +1,13 @@
 """Cross-tokenizer alignment: where the tokens of a byte-level BPE (A) and of a piece BPE with byte fallback (B) end together.
 
 Both encode space + text without special tokens (B adds its own space). The spans of the libraries, character offsets of A and
-the spans of B's proto result, are the coarse cuts; a token whose span doesn't have the length of its decoded bytes (a part of
-a character, a byte-fallback token) is cut by those bytes. Byte offsets where a token of each ends cut both into groups.
+the byte spans of B's offset mapping (which took the place of its immutable proto), are the coarse cuts; a token whose span
+doesn't end with its decoded bytes (a part of a character, a byte-fallback token) is cut by those bytes. Byte offsets where a
+token of each ends cut both into groups.
 
 Texts are split at single spaces between other characters, where neither tokenizer ever joins what is left and right (this is
-read off the models; if it isn't so, a text is one piece). Each distinct piece of a batch is encoded and aligned once and the
-documents are put together from pieces in numpy.
+read off the models; if it isn't so, a text is one piece). The distinct pieces of a batch are laid end to end, encoded in blobs of
+BLOB_BYTES and aligned in numpy, and the documents are put together from pieces.
 
 align() returns the spans. linked() also weighs each link (A token, B token that share bytes) by the number of documents of the
 corpus that hold its pair of ids linked. A batch of texts becomes one row of arrays: its distinct pairs, and each document's
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ from panelspark.llm.common import bound_batches, new_folder
 from panelspark.operators.spread import sized_join
 
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Pieces whose alignment a worker remembers from batch to batch, and the longest of them in characters.
-KNOWN, KNOWN_CHARS = 100_000, 64
+#: Bytes of distinct pieces that are encoded at once.
+BLOB_BYTES = 1 << 17
 #: Parquet row groups, so that a reader holds few of the wide rows at once.
 GROUP_BYTES = 16 << 20
 
@@ -50,13 +52,36 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def _refined(coarse: list[int], tokens: list[bytes]) -> list[int]:
-    """Byte ends of tokens: by the span where it fits the token's bytes, else by those."""
-    ends, at = [], 0
-    for end, token in zip(coarse, tokens):
-        at = end if end - at == len(token) else at + len(token)
-        ends.append(at)
-    return ends
+def _refined(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens: a span that doesn't end where the bytes of the tokens so far end is cut by those."""
+    by_bytes = np.cumsum(sizes)
+    return np.where(coarse == by_bytes, coarse, by_bytes)
+
+
+@dataclass
+class Tokens:
+    """The tokens of distinct pieces laid end to end, each piece with its leading space: ids and byte ends of both tokenizers, the
+    byte end of each piece, and the pieces that are not given back (they have no tokens)."""
+
+    a_ids: np.ndarray
+    a_ends: np.ndarray
+    b_ids: np.ndarray
+    b_ends: np.ndarray
+    ends: np.ndarray
+    bad: np.ndarray
+
+
+class Vocabulary:
+    """Bytes of all tokens of a vocabulary, flat."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        return self.data[np.repeat(self.first[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
 class Tokenizers:
@@ -70,45 +95,55 @@ class Tokenizers:
         self.a, self.b = Tokenizer.from_str(a_json), SentencePieceProcessor()
         self.a.encode_special_tokens = True
         self.b.LoadFromSerializedProto(b_model)
-        of = _byte_of_char()
-        self.a_bytes = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        of, by_id = _byte_of_char(), {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        entry = lambda t: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode()
+        self.a_tokens = Vocabulary([entry(by_id.get(i, "")) for i in range(max(by_id) + 1)])
         model = ModelProto.FromString(b_model)
-        self.b_bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace("▁", " ").encode() for p in model.pieces]
+        self.b_tokens = Vocabulary([bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace("▁", " ").encode() for p in model.pieces])
         spec, before = json.loads(a_json), json.loads(a_json).get("pre_tokenizer") or {}
         self.splits = (
             spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") is True and not before.get("add_prefix_space")
             and model.normalizer_spec.name == "identity" and model.normalizer_spec.add_dummy_prefix and not model.normalizer_spec.remove_extra_whitespaces
             and not any("▁" in p.piece.lstrip("▁") for p in model.pieces))
-        self.known: dict[str, tuple | None] = {}
-
-    def align(self, pieces: list[str]) -> list[tuple | None]:
-        """For each piece without its leading space: (A ids, A ends, B ids, B ends); None if bytes are not given back."""
-        found = {}
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            spaced = [" " + p for p in new]
-            proto = self.b.encode(new, return_type="proto", num_threads=1)
-            for piece, whole, a, b in zip(new, spaced, self.a.encode_batch(spaced, add_special_tokens=False), proto):
-                found[piece] = self._aligned(whole, a.ids, a.offsets, [p.id for p in b.pieces], [p.end for p in b.pieces])
-        out = [found[p] if p in found else self.known[p] for p in pieces]
-        if len(self.known) + len(found) > KNOWN:
-            self.known.clear()
-        self.known |= {p: v for p, v in found.items() if len(p) <= KNOWN_CHARS}
-        return out
-
-    def _aligned(self, whole: str, a_ids: list[int], a_spans: list[tuple[int, int]], b_ids: list[int], b_ends: list[int]) -> tuple | None:
-        raw = whole.encode()
-        a_tokens, b_tokens = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_tokens) != raw or b"".join(b_tokens) != raw:
-            return None
-        a_ends = [e for _, e in a_spans]
-        if len(raw) != len(whole):
-            at = [0]
-            for c in whole:
-                at.append(at[-1] + len(c.encode()))
-            a_ends = [at[e] for e in a_ends]
-        # B's spans are bytes of the text without the space that it adds
-        return a_ids, _refined(a_ends, a_tokens), b_ids, _refined([e + 1 for e in b_ends], b_tokens)
+
+    def tokens(self, pieces: list[bytes]) -> Tokens:
+        """Pieces are encoded many at a time, with the spaces between them at which texts were cut; those that begin or end so that
+        a neighbour could matter are encoded alone."""
+        sizes = np.array([len(p) + 1 for p in pieces], np.int64)
+        ends = np.cumsum(sizes)
+        alone = np.array([not self.splits or not _AFTER[p[0]] or p[-1] == 0x20 for p in pieces], bool)
+        found: list[tuple[int, tuple]] = []
+        bad = np.zeros(len(pieces), bool)
+        start = 0
+        while start < len(pieces):
+            stop = start + 1
+            if not alone[start]:
+                most = int(np.searchsorted(ends, ends[start] + BLOB_BYTES, "right"))
+                odd = np.flatnonzero(alone[start:most])
+                stop = max(stop, start + int(odd[0]) if len(odd) else most)
+            self._encode(pieces, start, stop, int(ends[start] - sizes[start]), found, bad)
+            start = stop
+        parts = [np.concatenate([np.zeros(0, np.int64), *[one[k] for one in found]]) for k in range(4)]
+        return Tokens(*parts, ends, bad)
+
+    def _encode(self, pieces: list[bytes], start: int, stop: int, base: int, found: list, bad: np.ndarray) -> None:
+        blob = b" ".join(pieces[start:stop])
+        raw = np.frombuffer(b" " + blob, np.uint8)
+        a = self.a.encode(raw.tobytes().decode(), add_special_tokens=False)
+        b = self.b.encode(blob, return_type="offset_mapping")
+        a_ids, b_ids = np.array(a.ids, np.int64), np.array(b["ids"], np.int64)
+        if not np.array_equal(self.a_tokens.joined(a_ids), raw) or not np.array_equal(self.b_tokens.joined(b_ids), raw):
+            if stop == start + 1:
+                bad[start] = True
+                return
+            middle = (start + stop) // 2
+            self._encode(pieces, start, middle, base, found, bad)
+            return self._encode(pieces, middle, stop, base + sum(len(p) + 1 for p in pieces[start:middle]), found, bad)
+        # A's spans are characters of space + text; B's are bytes of the text without the space that it adds
+        char_ends = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        a_spans = char_ends[np.array([e for _, e in a.offsets], np.int64)]
+        b_spans = np.array([e for _, e in b["offsets"]], np.int64) + 1
+        found.append((a_ids, base + _refined(a_spans, self.a_tokens.size[a_ids]), b_ids, base + _refined(b_spans, self.b_tokens.size[b_ids])))
 
 
 _open: dict[str, Tokenizers] = {}
@@ -129,7 +164,7 @@ _AFTER[:0x21] = False
 _AFTER[[0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
-def _split(texts: pa.Array, splits: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _split(texts: pa.Array, splits: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(code of each piece, number of pieces of each text, the distinct pieces); null and empty texts have no piece."""
     values = pc.fill_null(texts.cast(pa.large_string()), "")
     _, offsets, data = values.buffers()
@@ -149,7 +184,7 @@ def _split(texts: pa.Array, splits: bool) -> tuple[np.ndarray, np.ndarray, list[
     starts = np.sort(np.concatenate([full - gone[full], places + 1 - gone[places + 1]]))
     n = np.where(off[1:] > off[:-1], 1 + gone[off[1:]] - gone[off[:-1]], 0)
     bounds = np.concatenate([starts, [len(kept)]]).astype(np.int64)
-    pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(kept)]).dictionary_encode()
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(kept)]).dictionary_encode()
     return np.asarray(pieces.indices, np.int64), n.astype(np.int64), pieces.dictionary.to_pylist()
 
 
@@ -175,24 +210,22 @@ def align(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", a
         both = _opened(files.value)
         for batch in batches:
             codes, n, pieces = _split(batch.column(1), both.splits)
-            aligned = both.align(pieces)
-            sizes = [len(p.encode()) + 1 for p in pieces]
+            t = both.tokens(pieces)
+            starts = np.concatenate([[0], t.ends[:-1]]) if len(t.ends) else t.ends
             out: list[list] = [[] for _ in names]
             at = 0
             for k in n.tolist():
-                mine = codes[at : at + k].tolist()
+                mine = codes[at : at + k]
                 at += k
-                lists: list[list[int]] = [[] for _ in names]
-                if all(aligned[c] for c in mine):
-                    base = 0
-                    for c in mine:
-                        a_ids, a_ends, b_ids, b_ends = aligned[c]
-                        lists[0] += a_ids
-                        lists[1] += [base + e for e in a_ends]
-                        lists[2] += b_ids
-                        lists[3] += [base + e for e in b_ends]
-                        base += sizes[c]
-                    lists[4] = sorted(set(lists[1]) & set(lists[3]))
+                lists = [np.zeros(0, np.int64)] * len(names)
+                if k and not t.bad[mine].any():
+                    base = np.cumsum(t.ends[mine] - starts[mine]) - t.ends[mine]
+                    for side, (ids, ends) in enumerate(((t.a_ids, t.a_ends), (t.b_ids, t.b_ends))):
+                        first, last = np.searchsorted(ends, starts[mine], "right"), np.searchsorted(ends, t.ends[mine], "right")
+                        size = last - first
+                        token = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                        lists[2 * side], lists[2 * side + 1] = ids[token], ends[token] + np.repeat(base, size)
+                    lists[4] = np.intersect1d(lists[1], lists[3])
                 for column, values in zip(out, lists):
                     column.append(values)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.list_(pa.int32())) for c in out]], names=["doc_id", *names])
@@ -203,19 +236,22 @@ def align(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", a
 # ---------------------------------------------------------------- links
 
 
-def _linked(one: tuple) -> tuple[list[int], int, str]:
-    """Links of a piece as A id << 32 | B id, its number of groups, and the groups spelled."""
-    a_ids, a_ends, b_ids, b_ends = one
-    links, groups, i, j, a0, b0 = [], [], 0, 0, 0, 0
-    while i < len(a_ids):
-        links.append(a_ids[i] << 32 | b_ids[j])
-        a_end, b_end = a_ends[i], b_ends[j]
-        i += a_end <= b_end
-        j += b_end <= a_end
-        if a_end == b_end:
-            groups.append(",".join(map(str, a_ids[a0:i])) + "|" + ",".join(map(str, b_ids[b0:j])))
-            a0, b0 = i, j
-    return links, len(groups), ";".join(groups)
+def _spelled(t: Tokens, a_group: np.ndarray, b_group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups of all pieces as `a1,a2|b1;` in one buffer, and the group of each of its bytes."""
+    ids, group = np.concatenate([t.a_ids, t.b_ids]), np.concatenate([a_group, b_group])
+    side = np.repeat([0, 1], [len(t.a_ids), len(t.b_ids)])
+    order = np.argsort(2 * group + side, kind="stable")
+    ids, group, side = ids[order], group[order], side[order]
+    last = np.ones(len(ids), bool)
+    last[:-1] = (group[1:] != group[:-1]) | (side[1:] != side[:-1])
+    digits = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 10))
+    ends = np.cumsum(digits + 1)
+    text = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    text[ends - 1] = np.where(last, np.where(side == 0, ord("|"), ord(";")), ord(","))
+    for k in range(int(digits.max()) if len(ids) else 0):
+        on = digits > k
+        text[ends[on] - 2 - k] = ord("0") + ids[on] // 10**k % 10
+    return text, np.repeat(group, digits + 1)
 
 
 _LISTS = {"pairs": pa.int64(), "docs": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(),
@@ -226,17 +262,24 @@ def _batch_row(batch: pa.RecordBatch, both: Tokenizers) -> dict:
     """The arrays of a batch: `pairs` and in how many documents each is, and for each document its figures and the `sizes` of its
     stretch of `place` (among pairs) and `times`."""
     codes, n, pieces = _split(batch.column(1), both.splits)
-    aligned = both.align(pieces)
-    linked = [_linked(one) if one else ([], 0, "") for one in aligned]
-    of = lambda values: np.array(values, np.int64)
-    n_a, n_b = of([len(x[0]) if x else 0 for x in aligned]), of([len(x[2]) if x else 0 for x in aligned])
-    n_groups, n_links = of([x[1] for x in linked]), of([len(x[0]) for x in linked])
+    t = both.tokens(pieces)
+    within = lambda ends: np.diff(np.searchsorted(ends, np.concatenate([[0], t.ends]), "right"))
+    n_a, n_b = within(t.a_ends), within(t.b_ends)
+    # tokens that share bytes end a link at each end of either; groups end where both end
+    at = np.searchsorted(t.a_ends, t.b_ends)
+    same = t.a_ends[np.minimum(at, len(t.a_ends) - 1)] == t.b_ends if len(t.a_ends) else np.zeros(len(t.b_ends), bool)
+    shared, both_ends = t.b_ends[same], np.sort(np.concatenate([t.a_ends, t.b_ends[~same]]), kind="stable")
+    flat = t.a_ids[np.searchsorted(t.a_ends, both_ends)] << 32 | t.b_ids[np.searchsorted(t.b_ends, both_ends)]
+    n_links, n_groups = within(both_ends), within(shared)
+    text, group = _spelled(t, np.searchsorted(shared, t.a_ends), np.searchsorted(shared, t.b_ends))
+    text_ends = np.searchsorted(group, np.cumsum(n_groups)).tolist()
+    raw = text.tobytes()
+    spelled = [raw[x:y] for x, y in zip([0, *text_ends], text_ends)]
     doc_of = np.repeat(np.arange(len(n)), n)
-    bad = np.bincount(doc_of, weights=of([x is None for x in aligned])[codes], minlength=len(n)) > 0
+    bad = np.bincount(doc_of, weights=t.bad[codes], minlength=len(n)) > 0
     keep = ~bad[doc_of]
     codes, doc_of = codes[keep], doc_of[keep]
     total = lambda x: np.bincount(doc_of, weights=x[codes], minlength=len(n)).astype(np.int64)
-    flat = of([v for x in linked for v in x[0]])
     pairs, pair_of = np.unique(flat, return_inverse=True)
     many = n_links[codes]
     first = (np.cumsum(n_links) - n_links)[codes] - (np.cumsum(many) - many)
@@ -246,10 +289,9 @@ def _batch_row(batch: pa.RecordBatch, both: Tokenizers) -> dict:
     docs = np.bincount(place, minlength=len(pairs))
     used = np.cumsum(docs > 0) - 1  # pairs of texts without tokens only go
     ends = np.cumsum(np.where(bad, 0, n))
-    spelled = [x[2] for x in linked]
     code_list = codes.tolist()
     starts = ends - np.where(bad, 0, n)
-    sha = [hashlib.sha256(";".join(spelled[c] for c in code_list[a:b]).encode()).hexdigest() if b > a else "" for a, b in zip(starts.tolist(), ends.tolist())]
+    sha = [hashlib.sha256(b"".join([spelled[c] for c in code_list[a:b]])[:-1]).hexdigest() if b > a else "" for a, b in zip(starts.tolist(), ends.tolist())]
     return {"doc_id": batch.column(0), "pairs": pairs[docs > 0], "docs": docs[docs > 0], "n_a": total(n_a), "n_b": total(n_b), "n_groups": total(n_groups),
             "n_links": total(n_links), "groups_sha256": sha, "sizes": np.bincount(doc, minlength=len(n)), "place": used[place].astype(np.int32), "times": times.astype(np.int32)}
 

@@ -16,9 +16,12 @@ def exact(left: DataFrame, right: DataFrame, name: str, code: str) -> DataFrame:
 
 
 def by_years(pairs: DataFrame, unit: str, code: str, y0: str, y1: str, f0: str, f1: str) -> DataFrame:
-    """Of a unit's candidates: one whose years overlap before one that does not, then the later end, the longer overlap, the smaller code."""
-    overlap = F.least(y1, f1) - F.greatest(y0, f0) + 1
-    rank = F.struct((overlap <= 0).cast("int").alias("c"), (-F.least(y1, f1)).alias("e"), (-overlap).alias("o"), F.col(code).alias("k"))
+    """Of a unit's candidates: those whose years meet the unit's, by the later common end, then the longer overlap; then those of
+    which a year is unknown; then those that never meet, by the smaller gap. Of equal ones the smaller code."""
+    end = F.when(F.col(y0).isNotNull() & F.col(y1).isNotNull() & F.col(f0).isNotNull() & F.col(f1).isNotNull(), F.least(y1, f1))
+    overlap = end - F.greatest(y0, f0)
+    kind = F.when(overlap >= 0, 0).when(end.isNull(), 1).otherwise(2)
+    rank = F.struct(kind.alias("c"), F.when(kind == 0, -end).when(kind == 2, -overlap).otherwise(0).alias("e"), F.when(kind == 0, -overlap).otherwise(0).alias("o"), F.col(code).alias("k"))
     return pairs.groupBy(unit).agg(F.min_by(code, rank).alias(code), F.count_distinct(code).alias("candidates"))
 
 

@@ -39,8 +39,8 @@ def weighted_share(condition: Column, weight: Column) -> Column:
 def herfindahl(df: DataFrame, unit: str, place: str, weight: str) -> DataFrame:
     """Concentration of each unit's weight over places; null places are left out of the total too."""
     by_place = df.filter(F.col(place).isNotNull()).groupBy(unit, place).agg(F.sum(weight).alias("__w"))
-    share = F.try_divide(F.col("__w"), F.sum("__w").over(Window.partitionBy(unit)))
-    return by_place.withColumn("__s", share).groupBy(unit).agg(F.sum(F.col("__s") * F.col("__s")).alias("hhi"), F.count(F.lit(1)).alias("places"))
+    total = F.sum("__w")
+    return by_place.groupBy(unit).agg(F.try_divide(F.sum(F.col("__w") * F.col("__w")), total * total).alias("hhi"), F.count(F.lit(1)).alias("places"))
 
 
 def gini(df: DataFrame, by: str, x: str, weight: str) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from panelspark.functions.codes import haversine_km
 from panelspark.operators import effects
-from panelspark.operators.panels import placed
-from panelspark.sources.staging import staged
+from panelspark.operators.spread import sized_join
+from panelspark.sources.staging import Scratch, staged
 
 
 def weighted_corr(df: DataFrame, by: list[str], x: str, y: str, w: str, least: int = 3) -> DataFrame:
@@ -39,31 +39,6 @@ def rank_corr(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     return ranked.groupBy(by).agg(F.corr("__rx", "__ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, weight: str | None = None, draws: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval of a (weighted) mean: each row takes part in each draw with a Poisson(1) count that a hash of its
-    key and the draw decides, the same on every run. A task sums its rows for all draws at once and emits a row a draw."""
-    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
-    odd = np.uint64(0x9E3779B97F4A7C15)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, step = np.zeros((2, draws)), np.arange(1, draws + 1, dtype=np.uint64) * odd
-        for batch in batches:
-            h, v, w = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for lo in range(0, len(h), 512):
-                x = h[lo : lo + 512, None] + step
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                times = np.searchsorted(cdf, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), "right") * w[lo : lo + 512, None]
-                sums += (times * v[lo : lo + 512, None]).sum(axis=0), times.sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], names=["draw", "s", "w"])
-
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = df.select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(value).cast("double").alias("v"), w.alias("w")).dropna()
-    each = rows.mapInArrow(run, "draw int, s double, w double").groupBy("draw").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
-    tail = (1 - level) / 2
-    return each.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"), F.avg("m").alias("mean"))
-
-
 def least_squares(df: DataFrame, y: str, xs: list[str], weight: str | None = None, absorb: list[str] = (), cluster: str | None = None, *, standardise: bool = False,
                   least: int | None = None, keep: list[str] = ()) -> dict | None:
     """Weighted least squares with HC1 or clustered errors, over the rows in which nothing that is used is null.
@@ -234,32 +209,35 @@ def nearest_weights(places: DataFrame, key: str, lat: str, lon: str, k: int = 8)
         width = min(2.0, 2 * width)
 
 
-def moran(values: DataFrame, edges: DataFrame, unit: str, x: str) -> DataFrame:
-    """(unit, z, lag, quadrant, i): row-standardised spatial lag of standardised x and its global Moran's I."""
-    whole = values.agg(F.avg(x).alias("__m"), F.stddev_pop(x).alias("__s"))  # one row
-    z = staged(values.join(F.broadcast(whole), F.lit(True)).select(unit, F.try_divide(F.col(x) - F.col("__m"), F.col("__s")).alias("z")), "moran")
-    lag = edges.join(z.withColumnRenamed("z", "__z").withColumnRenamed(unit, "__u"), F.col("neighbour") == F.col("__u")).groupBy(unit).agg(F.avg("__z").alias("lag"))
-    rows = staged(z.join(lag, unit), "moran-lags")
-    total = rows.agg(F.try_divide(F.sum(F.col("z") * F.col("lag")), F.sum(F.col("z") * F.col("z"))).alias("i"))  # one row
-    high = lambda c: F.when(F.col(c) >= 0, "high").otherwise("low")
-    return rows.withColumn("quadrant", F.concat_ws("-", high("z"), high("lag"))).join(F.broadcast(total), F.lit(True))
-
+def pagerank(edges: DataFrame, src: str, dst: str, weight: str, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 1000) -> DataFrame:
+    """(node, rank), once the changes of a round sum to less than tolerance a node; an error after `rounds` rounds.
 
-def pagerank(edges: DataFrame, src: str, dst: str, weight: str, damping: float = 0.85, rounds: int = 5) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; ranks are written to the shared folder each round. Nodes without out-edges
-    spread their rank evenly."""
-    edges = staged(edges.select(src, dst, weight), "pagerank-input")
-    nodes = staged(edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).distinct(), "pagerank-nodes")
+    Weights of the same edge add up; nodes without out-edges (or with weights of 0 alone) spread their rank evenly. A node with a
+    large part of all edges is dealt over tasks, and what flows into one is summed map-side first. Each round is written and
+    the one before it deleted.
+    """
+    scratch = Scratch(edges.sparkSession, "pagerank")
+    edges = scratch.put(edges.groupBy(F.col(src).alias("node"), F.col(dst).alias("to")).agg(F.sum(F.col(weight).cast("double")).alias("w")).dropna(), "edges")
+    out = edges.groupBy("node").agg(F.sum("w").alias("t")).filter("t > 0")
+    nodes = edges.select("node").union(edges.select("to")).distinct().join(out, "node", "left")
+    nodes = scratch.put(nodes.select("node", F.col("t").isNull().alias("end"), F.coalesce("t", F.lit(1.0)).alias("t")), "nodes")
     n = nodes.count()
-    out = edges.groupBy(src).agg(F.sum(weight).alias("__t"))
-    share = staged(edges.join(out, src).select(F.col(src).alias("node"), F.col(dst).alias("to"), (F.col(weight) / F.col("__t")).alias("p")), "pagerank-edges")
-    ends = staged(nodes.join(share.select("node").distinct(), "node", "left_anti"), "pagerank-ends")
-    rank = staged(nodes.withColumn("rank", F.lit(1.0 / n)), "pagerank")
-    for _ in range(rounds):
-        loose = rank.join(ends, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        got = share.join(rank, "node").groupBy(F.col("to").alias("node")).agg(F.sum(F.col("p") * F.col("rank")).alias("in"))
-        rank = staged(nodes.join(got, "node", "left").select("node", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + loose / n)).alias("rank")), "pagerank")
-    return rank
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    rank, loose = scratch.put(nodes.select("*", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("change")), "rank-0"), None
+    for turn in range(rounds + 1):
+        change, loose = rank.agg(F.sum("change"), F.coalesce(F.sum(F.when(F.col("end"), F.col("rank"))), F.lit(0.0))).first()
+        if turn and change < n * tolerance:
+            scratch.keep(f"rank-{turn}")
+            return rank.select("node", "rank")
+        if turn == rounds:
+            break
+        sent = rank.filter(~F.col("end")).select("node", (F.col("rank") / F.col("t")).alias("each"))
+        got = sized_join(edges, sent, ["node"], by=["to"]).groupBy(F.col("to").alias("node")).agg(F.sum(F.col("w") * F.col("each")).alias("in"))
+        new = (1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + loose / n)
+        rank = scratch.put(rank.drop("change").join(got, "node", "left").select("node", "end", "t", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), f"rank-{turn + 1}")
+        scratch.drop(f"rank-{turn}")
+    raise RuntimeError(f"ranks still change by {change:.3g} after {rounds} rounds")
 
 
 def ladder(df: DataFrame, y: str, x: str, controls: list[list[str]], period: str, **options) -> list[tuple]:
@@ -276,22 +254,3 @@ def ladder(df: DataFrame, y: str, x: str, controls: list[list[str]], period: str
                 estimate = next(e for e in fit["terms"] if e[0] == x)
                 out.append((str(p), k, *estimate[1:4], fit["r2"], fit["n"]))
     return out
-
-
-def moran_permutations(values: DataFrame, edges: DataFrame, unit: str, x: str, draws: int = 999, seed: int = 0) -> DataFrame:
-    """(i, p): Moran's I and the share of random placements of the values with an I as far from its mean or farther.
-
-    Placement d orders the units by a hash of (unit, d) and hands them the values in their own order; all placements are one
-    table (units x draws) with a draw column.
-    """
-    place = placed(values.select(unit, x), None, [unit], "__r").withColumn("__r", (F.col("__r") + 1).cast("int"))
-    each = values.select(unit, F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
-    key = F.when(F.col("draw") > 0, F.xxhash64(F.lit(seed), F.col(unit), F.col("draw"))).otherwise(F.lit(0))
-    each = each.withColumn("__r", F.row_number().over(Window.partitionBy("draw").orderBy(key, unit)))
-    by = Window.partitionBy("draw")
-    z = each.join(place.select("__r", x), "__r").select("draw", unit, ((F.col(x) - F.avg(x).over(by)) / F.stddev_pop(x).over(by)).alias("z"))
-    lag = edges.join(z.select(F.col(unit).alias("neighbour"), "draw", F.col("z").alias("zn")), "neighbour").groupBy("draw", unit).agg(F.avg("zn").alias("lag"))
-    i = z.join(lag, ["draw", unit]).groupBy("draw").agg((F.sum(F.col("z") * F.col("lag")) / F.sum(F.col("z") * F.col("z"))).alias("i"))
-    mean = i.agg(F.avg(F.when(F.col("draw") > 0, F.col("i"))).alias("__m"), F.max(F.when(F.col("draw") == 0, F.col("i"))).alias("__own"))
-    far = F.abs(F.col("i") - F.col("__m")) >= F.abs(F.col("__own") - F.col("__m"))
-    return i.join(F.broadcast(mean), F.lit(True)).groupBy(F.col("__own").alias("i")).agg(((F.count_if(far & (F.col("draw") > 0)) + 1) / (draws + 1)).alias("p"))  # one row

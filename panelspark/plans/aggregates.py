@@ -103,8 +103,8 @@ def weighted_mean_group(t):
     return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.round(panels.weighted_mean(known, F.col("l_quantity")), 6).alias("mean_discount"), F.round(F.log(panels.weighted_mean(F.col("l_extendedprice"), F.col("l_quantity"))), 6).alias("log_price"))
 
 
-@query("""WITH p AS (SELECT o_custkey, l_suppkey % 10 AS place, sum(l_quantity) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 10 <> 3 GROUP BY 1, 2), s AS (SELECT o_custkey, w / sum(w) OVER (PARTITION BY o_custkey) AS s FROM p)
-SELECT o_custkey, round(sum(s * s), 6) AS hhi, count(*) AS places FROM s GROUP BY 1""")
+@query("""WITH p AS (SELECT o_custkey, l_suppkey % 10 AS place, sum(l_quantity) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 10 <> 3 GROUP BY 1, 2)
+SELECT o_custkey, round(sum(w * w) / (sum(w) * sum(w)), 6) AS hhi, count(*) AS places FROM p GROUP BY 1""")
 def herfindahl(t):
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", F.when(F.col("l_suppkey") % 10 != 3, F.col("l_suppkey") % 10).alias("place"), "l_quantity")
     return panels.herfindahl(rows, "o_custkey", "place", "l_quantity").withColumn("hhi", F.round("hhi", 6))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.functions import codes, names
-from panelspark.operators import linkage, novelty, panels, stats, tasks
+from panelspark.operators import linkage, novelty, panels, resampling, spatial, stats, tasks
 from panelspark.plans.aggregates import _YEARLY, PARTIES, customer_years, parties
 from panelspark.plans.joins import _FLOW, flows, yearly
 from panelspark.plans.registry import query
@@ -123,11 +123,18 @@ def name_link_exact(t):
     return linkage.exact(_left(t), _right(t), "name", "code").select("c_custkey", F.array_join("codes", ",").alias("codes"), "ambiguous")
 
 
-@query(f"""WITH {_LINK}, p AS (SELECT c_custkey, code, 1995 + c_custkey % 4 AS y0, 1997 + c_custkey % 5 AS y1, 1993 + code::INTEGER % 9 AS f0, 1995 + code::INTEGER % 11 AS f1 FROM l JOIN r USING (name)),
-o AS (SELECT *, least(y1, f1) AS e, least(y1, f1) - greatest(y0, f0) + 1 AS o FROM p) SELECT c_custkey, arg_min(code, ((o <= 0)::INTEGER, -e, -o, code)) AS code, count(DISTINCT code) AS candidates FROM o GROUP BY 1""")
+#: Spans of units and candidates, some without a year, some that never meet.
+_SPANS = "1995 + c_custkey % 4 AS y0, CASE WHEN c_custkey % 13 <> 0 THEN 1997 + c_custkey % 5 END AS y1, CASE WHEN code::INTEGER % 5 <> 0 THEN 1989 + code::INTEGER % 17 END AS f0, 1991 + code::INTEGER % 17 + code::INTEGER % 3 AS f1"
+
+
+@query(f"""WITH {_LINK}, p AS (SELECT c_custkey, code, {_SPANS} FROM l JOIN r USING (name)),
+o AS (SELECT *, CASE WHEN y0 IS NULL OR y1 IS NULL OR f0 IS NULL OR f1 IS NULL THEN NULL WHEN y1 < f1 THEN y1 ELSE f1 END AS e, CASE WHEN y0 > f0 THEN y0 ELSE f0 END AS s FROM p),
+k AS (SELECT c_custkey, code, CASE WHEN e IS NULL THEN 1 WHEN e - s >= 0 THEN 0 ELSE 2 END AS c, CASE WHEN e IS NULL THEN 0 WHEN e - s >= 0 THEN -e ELSE s - e END AS a, CASE WHEN e - s >= 0 THEN s - e ELSE 0 END AS b FROM o),
+n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY c, a, b, code) AS r, count(*) OVER (PARTITION BY c_custkey) AS candidates FROM (SELECT DISTINCT * FROM k)) SELECT c_custkey, code, candidates FROM n WHERE r = 1""")
 def name_link_by_years(t):
     c, k = F.col("c_custkey"), F.col("code").cast("int")
-    p = _left(t).join(_right(t), "name").select("c_custkey", "code", (1995 + c % 4).alias("y0"), (1997 + c % 5).alias("y1"), (1993 + k % 9).alias("f0"), (1995 + k % 11).alias("f1"))
+    spans = [(1995 + c % 4).alias("y0"), F.when(c % 13 != 0, 1997 + c % 5).alias("y1"), F.when(k % 5 != 0, 1989 + k % 17).alias("f0"), (1991 + k % 17 + k % 3).alias("f1")]
+    p = _left(t).join(_right(t), "name").select("c_custkey", "code", *spans)
     return linkage.by_years(p, "c_custkey", "code", "y0", "y1", "f0", "f1")
 
 
@@ -312,7 +319,9 @@ def rank_corr(t):
 
 @query()
 def bootstrap_ci(t):
-    return stats.bootstrap_mean(t.orders, "o_orderkey", "o_totalprice", draws=1000)
+    """Intervals of a weighted mean, correlation and slope over the same draws."""
+    wanted = {"mean": resampling.mean("l_extendedprice"), "correlation": resampling.correlation("l_discount", "l_extendedprice"), "slope": resampling.slope("l_extendedprice", "l_discount")}
+    return resampling.bootstrap(t.lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_discount", "l_extendedprice"], wanted, weight="l_quantity")
 
 
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, count(*) AS n FROM lineitem")
@@ -406,12 +415,20 @@ def nearest_weights(t):
     return stats.nearest_weights(places, "k", "lat", "lon", 8).withColumn("km", F.round("km", 4))
 
 
-@query("""WITH v AS (SELECT n_nationkey AS unit, n_regionkey AS g, coalesce(avg(c_acctbal), 0) AS x FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2), z AS (SELECT unit, g, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS z FROM v), l AS (SELECT a.unit, a.z, avg(b.z) AS lag FROM z a JOIN z b ON a.g = b.g AND a.unit <> b.unit GROUP BY 1, 2)
-SELECT unit, round(z, 5) AS z, round(lag, 5) AS lag, CASE WHEN z >= 0 THEN 'high' ELSE 'low' END || '-' || CASE WHEN lag >= 0 THEN 'high' ELSE 'low' END AS quadrant, round(sum(z * lag) OVER () / sum(z * z) OVER (), 5) AS i FROM l""")
-def moran_i(t):
+_MORAN = """WITH v AS (SELECT n_nationkey AS unit, n_regionkey AS g, coalesce(avg(c_acctbal), 0) AS x FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
+z AS (SELECT unit, g, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS z FROM v), l AS (SELECT a.unit, a.z, avg(b.z) AS lag FROM z a JOIN z b ON a.g = b.g AND a.unit <> b.unit GROUP BY 1, 2)"""
+
+
+def _nations(t):
     v = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("unit"), "n_regionkey").agg(F.coalesce(F.avg("c_acctbal"), F.lit(0.0)).alias("x"))
     e = t.nation.select(F.col("n_nationkey").alias("unit"), "n_regionkey").join(t.nation.select(F.col("n_nationkey").alias("neighbour"), "n_regionkey"), "n_regionkey").filter("unit <> neighbour").select("unit", "neighbour")
-    return stats.moran(v.select("unit", "x"), e, "unit", "x").select("unit", F.round("z", 5).alias("z"), F.round("lag", 5).alias("lag"), "quadrant", F.round("i", 5).alias("i"))
+    return v.select("unit", "x"), e
+
+
+@query(f"""{_MORAN} SELECT unit, round(z, 5) AS z, round(lag, 5) AS lag, round(z * lag, 5) AS local, CASE WHEN z > 0 AND lag > 0 THEN 'high-high' WHEN z < 0 AND lag < 0 THEN 'low-low' WHEN z > 0 AND lag < 0 THEN 'high-low' WHEN z < 0 AND lag > 0 THEN 'low-high' ELSE 'none' END AS quadrant,
+round(sum(z * lag) OVER () / sum(z * z) OVER (), 5) AS i FROM l""")
+def moran_i(t):
+    return spatial.moran(*_nations(t), "unit", "x").select("unit", *[F.round(c, 5).alias(c) for c in ("z", "lag", "local", "i")], "quadrant")
 
 
 @query()
@@ -445,10 +462,19 @@ def node_strength(t):
     return f.join(top.withColumnRenamed("node", "origin"), "origin").join(top.select(F.col("node").alias("dest")), "dest").groupBy("origin", "dest").agg(F.sum("returns").alias("w"), F.first("strength").alias("strength"))
 
 
-_RANKS = ", ".join(f"r{k + 1} AS (SELECT n.node, 0.15::DOUBLE / c.n + 0.85::DOUBLE * (coalesce(sum(p * r{k}.rank), 0) + (SELECT coalesce(sum(rank), 0) FROM r{k} WHERE node NOT IN (SELECT origin FROM p)) / c.n) AS rank FROM nodes n CROSS JOIN c LEFT JOIN p ON p.dest = n.node LEFT JOIN r{k} ON r{k}.node = p.origin GROUP BY n.node, c.n)" for k in range(5))
+#: The nodes' ranks as one list, multiplied by the rows of shares until the changes sum to less than 1e-6 a node.
+_RANKS = f"""WITH RECURSIVE f AS (SELECT origin, dest, sum(returns)::DOUBLE AS w FROM ({_FLOW}) GROUP BY 1, 2), p AS (SELECT origin, dest, w / sum(w) OVER (PARTITION BY origin) AS p FROM f),
+nodes AS (SELECT node, row_number() OVER (ORDER BY node) AS k, count(*) OVER () AS n FROM (SELECT origin AS node FROM f UNION SELECT dest FROM f)),
+rows AS (SELECT d.k, list(coalesce(p, 0.0::DOUBLE) ORDER BY o.k) AS row FROM nodes d CROSS JOIN nodes o LEFT JOIN p ON p.origin = o.node AND p.dest = d.node GROUP BY d.k),
+m AS (SELECT list(row ORDER BY k) AS m, (SELECT list(CASE WHEN node IN (SELECT origin FROM p) THEN 0.0 ELSE 1.0 END::DOUBLE ORDER BY k) FROM nodes) AS ends, count(*)::DOUBLE AS n FROM rows),
+r AS (SELECT 0 AS turn, list_transform(ends, lambda e: 1.0::DOUBLE / n) AS v, list_transform(ends, lambda e: 1e9::DOUBLE) AS old, n FROM m UNION ALL
+      SELECT turn + 1, list_transform(m.m, lambda row: 0.15::DOUBLE / m.n + 0.85::DOUBLE * (list_dot_product(row, v) + list_dot_product(m.ends, v) / m.n)), v, r.n FROM r, m
+      WHERE list_sum(list_transform(list_zip(v, old), lambda x: abs(x[1] - x[2]))) >= r.n * 1e-6),
+z AS (SELECT v FROM r ORDER BY turn DESC LIMIT 1)
+SELECT node, round(v[k], 7) AS rank FROM nodes, z"""
 
 
-@query(f"WITH f AS (SELECT origin, dest, sum(returns)::DOUBLE AS w FROM ({_FLOW}) GROUP BY 1, 2), p AS (SELECT origin, dest, w / sum(w) OVER (PARTITION BY origin) AS p FROM f), nodes AS (SELECT origin AS node FROM f UNION SELECT dest FROM f), c AS (SELECT count(*) AS n FROM nodes), r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nodes, c), {_RANKS} SELECT node, round(rank, 7) AS rank FROM r5")
+@query(_RANKS)
 def pagerank_flows(t):
     f = flows(t).groupBy("origin", "dest").agg(F.sum("returns").cast("double").alias("w"))
     return stats.pagerank(f, "origin", "dest", "w").select("node", F.round("rank", 7).alias("rank"))
@@ -537,14 +563,6 @@ def panel_metro_year(t):
     return out.join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("region", "metro", "yr", "emp", "exposure", "coverage")
 
 
-@query("""WITH t AS (SELECT DISTINCT s_name AS a, right(s_name, 3) || '-' AS x FROM supplier), n AS (SELECT DISTINCT c_name AS b FROM customer),
-k AS (SELECT DISTINCT x AS a, regexp_replace(lower(x), '[^a-z0-9]', '', 'g') AS x FROM t), l AS (SELECT b, regexp_replace(lower(b), '[^a-z0-9]', '', 'g') AS y FROM n) SELECT a, b FROM k, l WHERE contains(x, y) OR contains(y, x)""")
-def title_containment(t):
-    """Whole titles either way: short codes within longer names."""
-    short = t.supplier.select(F.concat(F.right("s_name", F.lit(3)), F.lit("-")).alias("a"))
-    return linkage.containment(short, t.customer, "a", "c_name").toDF("a", "b")
-
-
 @query("""WITH t AS (SELECT DISTINCT p_type AS a, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS x FROM part), n AS (SELECT DISTINCT p_name AS b, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS y FROM part)
 SELECT a, b FROM t, n WHERE x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x))""")
 def title_containment_whole(t):
@@ -565,6 +583,4 @@ def control_ladder(t):
 
 @query()
 def moran_permutations(t):
-    v = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("unit"), "n_regionkey").agg(F.coalesce(F.avg("c_acctbal"), F.lit(0.0)).alias("x"))
-    e = t.nation.select(F.col("n_nationkey").alias("unit"), "n_regionkey").join(t.nation.select(F.col("n_nationkey").alias("neighbour"), "n_regionkey"), "n_regionkey").filter("unit <> neighbour").select("unit", "neighbour")
-    return stats.moran_permutations(v.select("unit", "x"), e, "unit", "x", draws=999)
+    return spatial.permutations(*_nations(t), "unit", "x", draws=999)

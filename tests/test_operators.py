@@ -355,14 +355,6 @@ def test_nearest_points_in_blocks_of_queries(spark):
         assert [got[q, r] for r in (1, 2, 3)] == [i for _, i in d]
 
 
-def test_bootstrap_is_steady_and_near_the_normal_interval(spark):
-    df = spark.range(2000).select("id", ((F.col("id") * 7919) % 1000).cast("double").alias("v"))
-    a, b = (stats.bootstrap_mean(df, "id", "v", draws=300).first() for _ in range(2))
-    assert a == b
-    mean, sd = df.agg(F.avg("v"), F.stddev("v")).first()
-    assert abs(a.low - (mean - 1.96 * sd / 2000**0.5)) < 4 and abs(a.high - (mean + 1.96 * sd / 2000**0.5)) < 4
-
-
 def test_incidence_adds_up_to_one(spark):
     docs = tasks.word_pairs(spark.createDataFrame([(1, "grind the metal parts"), (2, "paint walls")], "d long, text string"), ["d"], "text")
     units = tasks.word_pairs(spark.createDataFrame([(1, "grind metal"), (2, "metal parts"), (3, "paint walls daily")], "task long, text string"), ["task"], "text").withColumns({"soc": F.col("task") % 2, "w": F.lit(2.0)})

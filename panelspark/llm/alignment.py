@@ -7,7 +7,7 @@ token of each ends cut both into groups.
 
 Texts are split at single spaces between other characters, where neither tokenizer ever joins what is left and right (this is
 read off the models; if it isn't so, a text is one piece). The distinct pieces of a batch are laid end to end, encoded in blobs of
-BLOB_BYTES and aligned in numpy, and the documents are put together from pieces.
+BLOB_BYTES and aligned in numpy, and the documents are put together from pieces. A worker remembers short pieces.
 
 align() returns the spans. linked() also weighs each link (A token, B token that share bytes) by the number of documents of the
 corpus that hold its pair of ids linked. A batch of texts becomes one row of arrays: its distinct pairs, and each document's
@@ -39,8 +39,8 @@ from panelspark.llm.common import bound_batches, new_folder
 from panelspark.operators.spread import sized_join
 
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of distinct pieces that are encoded at once.
-BLOB_BYTES = 1 << 17
+#: Bytes of distinct pieces that are encoded at once; pieces that a worker remembers from batch to batch, and their most bytes.
+BLOB_BYTES, KNOWN, KNOWN_BYTES = 1 << 17, 300_000, 32
 #: Parquet row groups, so that a reader holds few of the wide rows at once.
 GROUP_BYTES = 16 << 20
 
@@ -71,6 +71,48 @@ class Tokens:
     bad: np.ndarray
 
 
+def _stretches(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places first[i] to first[i] + size[i] - 1 for all i, in a row."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class Known:
+    """Tokens of pieces that were met before, flat: ids and byte ends within the piece, of both tokenizers."""
+
+    def __init__(self):
+        self.of: dict[bytes, int] = {}
+        self.values = [np.zeros(0, np.int32) for _ in range(4)]
+        self.n = [np.zeros(0, np.int32) for _ in range(2)]
+        self.first = [np.zeros(0, np.int64) for _ in range(2)]
+        self.sizes = np.zeros(0, np.int64)
+
+    def add(self, pieces: list[bytes], t: Tokens) -> None:
+        """As many of the pieces as there is room for, with their tokens t."""
+        starts = np.concatenate([[0], t.ends[:-1]]) if len(t.ends) else t.ends
+        room = KNOWN - len(self.of)
+        fit = np.flatnonzero(~t.bad & (t.ends - starts <= KNOWN_BYTES))[: max(0, room)]
+        if not len(fit):
+            return
+        self.of |= {pieces[i]: len(self.of) + k for k, i in enumerate(fit.tolist())}
+        for side, (ids, ends) in enumerate(((t.a_ids, t.a_ends), (t.b_ids, t.b_ends))):
+            a, b = np.searchsorted(ends, starts[fit], "right"), np.searchsorted(ends, t.ends[fit], "right")
+            at = _stretches(a, b - a)
+            self.first[side] = np.concatenate([self.first[side], len(self.values[2 * side]) + np.cumsum(b - a) - (b - a)])
+            self.n[side] = np.concatenate([self.n[side], (b - a).astype(np.int32)])
+            self.values[2 * side] = np.concatenate([self.values[2 * side], ids[at].astype(np.int32)])
+            self.values[2 * side + 1] = np.concatenate([self.values[2 * side + 1], (ends[at] - np.repeat(starts[fit], b - a)).astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, (t.ends - starts)[fit]])
+
+    def tokens(self, codes: np.ndarray) -> Tokens:
+        ends = np.cumsum(self.sizes[codes])
+        parts = []
+        for side in (0, 1):
+            n = self.n[side][codes].astype(np.int64)
+            at = _stretches(self.first[side][codes], n)
+            parts += [self.values[2 * side][at].astype(np.int64), self.values[2 * side + 1][at] + np.repeat(ends - self.sizes[codes], n)]
+        return Tokens(*parts, ends, np.zeros(len(codes), bool))
+
+
 class Vocabulary:
     """Bytes of all tokens of a vocabulary, flat."""
 
@@ -80,8 +122,7 @@ class Vocabulary:
         self.data = np.frombuffer(b"".join(tokens), np.uint8)
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
-        size = self.size[ids]
-        return self.data[np.repeat(self.first[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        return self.data[_stretches(self.first[ids], self.size[ids])]
 
 
 class Tokenizers:
@@ -106,7 +147,22 @@ class Tokenizers:
             and model.normalizer_spec.name == "identity" and model.normalizer_spec.add_dummy_prefix and not model.normalizer_spec.remove_extra_whitespaces
             and not any("▁" in p.piece.lstrip("▁") for p in model.pieces))
 
-    def tokens(self, pieces: list[bytes]) -> Tokens:
+        self.known = Known()
+
+    def tokens(self, pieces: list[bytes]) -> tuple[Tokens, np.ndarray]:
+        """The tokens of the pieces, and the place of each piece among those: pieces that were met before come first."""
+        code = np.fromiter((self.known.of.get(p, -1) for p in pieces), np.int64, len(pieces))
+        met, new = np.flatnonzero(code >= 0), np.flatnonzero(code < 0)
+        old, names = self.known.tokens(code[met]), [pieces[i] for i in new.tolist()]
+        fresh = self.encoded(names)
+        base = int(old.ends[-1]) if len(met) else 0
+        place = np.empty(len(pieces), np.int64)
+        place[np.concatenate([met, new])] = np.arange(len(pieces))
+        self.known.add(names, fresh)
+        return Tokens(*[np.concatenate([getattr(old, k), getattr(fresh, k) + (base if "ends" in k else 0)]) for k in ("a_ids", "a_ends", "b_ids", "b_ends", "ends")],
+                      np.concatenate([old.bad, fresh.bad])), place
+
+    def encoded(self, pieces: list[bytes]) -> Tokens:
         """Pieces are encoded many at a time, with the spaces between them at which texts were cut; those that begin or end so that
         a neighbour could matter are encoded alone."""
         sizes = np.array([len(p) + 1 for p in pieces], np.int64)
@@ -210,7 +266,8 @@ def align(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", a
         both = _opened(files.value)
         for batch in batches:
             codes, n, pieces = _split(batch.column(1), both.splits)
-            t = both.tokens(pieces)
+            t, place = both.tokens(pieces)
+            codes = place[codes]
             starts = np.concatenate([[0], t.ends[:-1]]) if len(t.ends) else t.ends
             out: list[list] = [[] for _ in names]
             at = 0
@@ -223,7 +280,7 @@ def align(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", a
                     for side, (ids, ends) in enumerate(((t.a_ids, t.a_ends), (t.b_ids, t.b_ends))):
                         first, last = np.searchsorted(ends, starts[mine], "right"), np.searchsorted(ends, t.ends[mine], "right")
                         size = last - first
-                        token = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                        token = _stretches(first, size)
                         lists[2 * side], lists[2 * side + 1] = ids[token], ends[token] + np.repeat(base, size)
                     lists[4] = np.intersect1d(lists[1], lists[3])
                 for column, values in zip(out, lists):
@@ -262,7 +319,8 @@ def _batch_row(batch: pa.RecordBatch, both: Tokenizers) -> dict:
     """The arrays of a batch: `pairs` and in how many documents each is, and for each document its figures and the `sizes` of its
     stretch of `place` (among pairs) and `times`."""
     codes, n, pieces = _split(batch.column(1), both.splits)
-    t = both.tokens(pieces)
+    t, place = both.tokens(pieces)
+    codes = place[codes]
     within = lambda ends: np.diff(np.searchsorted(ends, np.concatenate([[0], t.ends]), "right"))
     n_a, n_b = within(t.a_ends), within(t.b_ends)
     # tokens that share bytes end a link at each end of either; groups end where both end
@@ -282,8 +340,7 @@ def _batch_row(batch: pa.RecordBatch, both: Tokenizers) -> dict:
     total = lambda x: np.bincount(doc_of, weights=x[codes], minlength=len(n)).astype(np.int64)
     pairs, pair_of = np.unique(flat, return_inverse=True)
     many = n_links[codes]
-    first = (np.cumsum(n_links) - n_links)[codes] - (np.cumsum(many) - many)
-    pair = pair_of[np.repeat(first, many) + np.arange(int(many.sum()))]
+    pair = pair_of[_stretches((np.cumsum(n_links) - n_links)[codes], many)]
     key, times = np.unique(np.repeat(doc_of, many) * max(len(pairs), 1) + pair, return_counts=True)
     doc, place = key // max(len(pairs), 1), key % max(len(pairs), 1)
     docs = np.bincount(place, minlength=len(pairs))

@@ -26,6 +26,13 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def numbered(documents: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """documents with its columns named c0, c1, ... by place, and the new names of some columns: helper columns then clash with
+    none of them, dots in names are harmless, and `.toDF(*documents.columns)` gives the old names back."""
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    return documents.toDF(*names), [names[documents.columns.index(c)] for c in columns]
+
+
 def row_key(documents: DataFrame) -> Column:
     """64 bits of all columns of a row (a null differs from every value); columns that Spark can't hash are left out. Rows
     with equal keys and equal ids count as one another's copies."""

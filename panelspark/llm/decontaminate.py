@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, Scratch, bound_batches, text_slices, word_spans
+from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, Scratch, bound_batches, numbered, text_slices, word_spans
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Windows of the benchmark that are broadcast at once.
@@ -136,7 +136,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: st
     spark = documents.sparkSession
     bound_batches(spark)
     found = documents.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<string>").alias("items"), F.array().cast("array<long>").alias("hit_spans"))
     found = _block_by_block(spark, found, benchmark, item_id, item_text, window, block_windows, lambda df, t: df.mapInArrow(lambda it: _add_block(it, t), _STATE))
     covered = F.aggregate("hit_spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")),
@@ -165,7 +165,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "te
                   window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """documents without those that hold a window of the benchmark; all columns and rows of the others stay as they are."""
     bound_batches(documents.sparkSession)
-    return _block_by_block(documents.sparkSession, documents, benchmark, item_id, item_text, window, block_windows, lambda df, t: df.mapInArrow(lambda it: _drop(it, t, text), documents.schema))
+    rows, (text,) = numbered(documents, text)
+    kept = _block_by_block(documents.sparkSession, rows, benchmark, item_id, item_text, window, block_windows, lambda df, t: df.mapInArrow(lambda it: _drop(it, t, text), rows.schema))
+    return kept.toDF(*documents.columns)
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -173,7 +175,9 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, *, text: str = "tex
     """documents with all that windows of the benchmark cover cut out of their texts, from the first word's beginning to the
     last one's end, `mark` in its place; texts without a hit stay as they are, all rows and columns stay."""
     bound_batches(documents.sparkSession)
-    return _block_by_block(documents.sparkSession, documents, benchmark, item_id, item_text, window, block_windows, lambda df, t: df.mapInArrow(lambda it: _cut(it, t, text, mark.encode()), documents.schema))
+    rows, (text,) = numbered(documents, text)
+    cut = _block_by_block(documents.sparkSession, rows, benchmark, item_id, item_text, window, block_windows, lambda df, t: df.mapInArrow(lambda it: _cut(it, t, text, mark.encode()), rows.schema))
+    return cut.toDF(*documents.columns)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], table, text: str, mark: bytes) -> Iterator[pa.RecordBatch]:

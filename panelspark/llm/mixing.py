@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import materialize, row_key
+from panelspark.llm.common import materialize, numbered, row_key
 from panelspark.operators.spread import BROADCAST_ROWS, prefix_sums, sized_join
 
 WEIGHTS, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 3, "mix"
@@ -47,7 +47,7 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, max_epoch
 
 
 def _laid(documents: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], max_epochs: int, seed: str) -> DataFrame:
-    slim = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), row_key(documents).alias("rid"))
+    slim = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), row_key(documents).alias("rid"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     # the texts are read once; the sort samples and moves these narrow rows
     slim = materialize(slim.withColumn("__key", F.conv(F.substring(key, 1, 15), 16, 10).cast("long")), "mix-sizes")
@@ -74,6 +74,8 @@ def mixed_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     Copies go back to rows by id and row key; of rows equal in all columns one stands for all, with the copies of all.
     """
+    columns = documents.columns
+    documents, (doc_id, text, source) = numbered(documents, doc_id, text, source)
     laid = _laid(documents, doc_id, text, source, weights, max_epochs, seed)
     copies = F.coalesce(F.ceil(F.try_divide(F.col("taken").cast("double"), F.col("size"))), F.lit(0)).cast("long")
     each = laid.groupBy(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid")).agg(F.sum(copies).alias("__copies"), F.count(F.lit(1)).alias("__n")).filter("__copies > 0")
@@ -86,4 +88,4 @@ def mixed_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     if not repeated.isEmpty():
         once = rows.join(repeated, same, "left_semi").dropDuplicates([doc_id, "__key"])
         out = out.unionByName(once.join(repeated.drop("__n"), same))
-    return out.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    return out.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy").toDF(*columns)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.llm.common import materialize
+from panelspark.llm.common import materialize, numbered
 
 SHARDS, OVERHEAD, TOLERANCE, BITS = 40, 16, 0.001, 10
 #: Bytes of a run, the piece of a shard that one task sorts.
@@ -85,6 +85,9 @@ def splitters(keys: DataFrame, wanted: list[float], tolerance: float) -> list[tu
 def shard_documents(documents: DataFrame, *, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE,
                     run_bytes: int = RUN_BYTES) -> DataFrame:
     """documents with shard (0 to shards - 1) and slot (0, 1, ... within a shard); shards are in key order."""
+    documents = documents.drop("shard", "slot")
+    columns = documents.columns
+    documents, (doc_id, text) = numbered(documents, doc_id, text)
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     key = sort_key(F.col(doc_id), content)
     keys = materialize(documents.select(key.alias("key"), (F.octet_length(content) + OVERHEAD).cast("long").alias("size")), "shard-keys")
@@ -102,7 +105,7 @@ def shard_documents(documents: DataFrame, *, shards: int = SHARDS, doc_id: str =
     first = [rows_before[r] - rows_before[r // runs * runs] for r in range(shards * runs)]
     spark = documents.sparkSession
     table = spark.createDataFrame([(r, n) for r, n in enumerate(first)], "__r int, __first long")
-    rows = documents.drop("shard", "slot").withColumn("__key", key).withColumn("__run", run_of("__key"))
+    rows = documents.withColumn("__key", key).withColumn("__run", run_of("__key"))
     place = F.row_number().over(Window.partitionBy("__run").orderBy("__key", doc_id, text)) - 1
     rows = rows.withColumn("__place", place).join(F.broadcast(table), F.col("__run") == F.col("__r"))  # a row per run of run_bytes
-    return rows.withColumns({"shard": F.floor(F.col("__run") / runs).cast("int"), "slot": (F.col("__first") + F.col("__place")).cast("long")}).drop("__key", "__run", "__place", "__r", "__first")
+    return rows.withColumns({"shard": F.floor(F.col("__run") / runs).cast("int"), "slot": (F.col("__first") + F.col("__place")).cast("long")}).drop("__key", "__run", "__place", "__r", "__first").toDF(*columns, "shard", "slot")

@@ -32,10 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from panelspark.llm import similar
-from panelspark.llm.common import LOWER, NON_SPACE, Scratch, bound_batches, materialize, row_key, text_slices, word_spans, xxh64
+from panelspark.llm.common import LOWER, NON_SPACE, Scratch, bound_batches, materialize, numbered, row_key, text_slices, word_spans, xxh64
 from panelspark.operators.spread import BROADCAST_ROWS, prefix_sums, sized_join
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -100,8 +101,9 @@ def fingerprints(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     """(rid, doc_id, fp), a row per document; rid is common.row_key, fp holds the 64 bits in a long. With `sketched`, the
     length of shingles in words, also content and bands as similar.py takes them."""
     bound_batches(documents.sparkSession)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row_key(documents).alias("rid"))
-    return rows.mapInArrow(lambda it: _fingerprints(it, shingle, sketched), "rid long, doc_id long, fp long" + (", content long, bands array<long>" if sketched else ""))
+    rows = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), row_key(documents).alias("rid"))
+    more = T.StructType.fromDDL("fp long" + (", content long, bands array<long>" if sketched else ""))
+    return rows.mapInArrow(lambda it: _fingerprints(it, shingle, sketched), T.StructType([T.StructField("rid", T.LongType()), rows.schema["doc_id"], *more]))
 
 
 # ---------------------------------------------------------------- Gray order and the index
@@ -291,7 +293,7 @@ def _grouped(documents: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id",
     if similarity:
         texts = prints.filter(F.size("bands") > 0).groupBy("content").agg(F.min(F.struct("rid", F.col("fp").alias("label"), "bands")).alias("t"))
         texts = scratch.put(texts.select("content", "t.*"), "texts")
-        rows = documents.select(row_key(documents).alias("rid"), F.col(text).cast("string").alias("text"))
+        rows = documents.select(row_key(documents).alias("rid"), F.col(f"`{text}`").cast("string").alias("text"))
         roots = similar.similar_labels(rows, texts, edges, components, shingle=similar_shingle, similarity=similarity)
     else:
         roots = components(edges)
@@ -322,7 +324,8 @@ def keep_one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str
     smallest common.row_key; of rows that are equal in all columns, one. Rows are told apart by id and key, not by id alone:
     different texts under one id are in different groups, and rows without an id are compared like others.
     """
-    scratch = Scratch(documents.sparkSession, "keep-one")
+    scratch, columns = Scratch(documents.sparkSession, "keep-one"), documents.columns
+    documents, (doc_id, text) = numbered(documents, doc_id, text)
     prints, labelled = _grouped(documents, scratch, doc_id=doc_id, text=text, **options)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
     least = scratch.put(prints.groupBy("fp").agg(F.min(order).alias("t")).join(labelled, "fp"), "least")
@@ -332,11 +335,11 @@ def keep_one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str
     marked = keys.join(names, "t", "left").select(F.col("t.doc_id").alias("__id"), F.col("t.rid").alias("__rid"), F.coalesce("kept", F.lit(False)).alias("kept"), "n")
     marked = scratch.put(marked.filter("not kept or n > 1"), "marked")
     scratch.keep("marked")
-    same = F.col("__id").eqNullSafe(F.col(doc_id).cast("long")) & (F.col("__rid") == F.col("__key"))
+    same = F.col("__id").eqNullSafe(F.col(doc_id)) & (F.col("__rid") == F.col("__key"))
     rows = documents.withColumn("__key", row_key(documents))
     gone = marked.select("__id", "__rid")
     once = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
     twice = marked.filter("kept").select("__id", "__rid")
     if not twice.isEmpty():  # few or many, their texts meet map-side
         once = once.unionByName(rows.join(twice, same, "left_semi").dropDuplicates([doc_id, "__key"]))
-    return once.select(*documents.columns)
+    return once.select(*documents.columns).toDF(*columns)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, bound_batches, materialize, text_slices, word_spans
+from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, bound_batches, materialize, numbered, text_slices, word_spans
 
 #: Most rows of the fitted sample.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -135,7 +135,7 @@ def train(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     prior = min(max(n_pos / max(n, 1), 1e-3), 0.5)
     if not n_pos:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    texts = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    texts = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     drawn = lambda rows, n: rows.orderBy(F.xxhash64("__id"), "__id").limit(n).select("__id")
     chosen = drawn(known.filter("y = 1"), positives).withColumn("positive", F.lit(True)).unionByName(drawn(known, unlabelled).withColumn("positive", F.lit(False)))
     found = texts.join(F.broadcast(chosen), F.col("id") == F.col("__id"))  # at most positives + unlabelled ids
@@ -191,4 +191,6 @@ def score(documents: DataFrame, model: Model, *, text: str = "text", name: str =
     bound_batches(documents.sparkSession)
     table = documents.sparkSession.sparkContext.broadcast((model.set.sorted, model.weights, model.bias))
     rows = documents.drop(name)
-    return rows.mapInArrow(lambda it: _score(it, table, text, name), StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+    columns = rows.columns
+    rows, (text,) = numbered(rows, text)
+    return rows.mapInArrow(lambda it: _score(it, table, text, "score"), StructType([*rows.schema.fields, StructField("score", DoubleType())])).toDF(*columns, name)

@@ -25,8 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelspark.llm.common import text_slices
+from panelspark.llm.common import numbered, text_slices
 
 #: Between host and path; no byte of UTF-8.
 BORDER = b"\xff"
@@ -150,8 +151,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, block_globs: list[str] =
 
     In a glob the border of host and path is written as a space: `*casino* *` is a host with `casino` in it.
     """
+    pages = pages.drop("host", "path", "rule", "verdict")
+    rows, (url,) = numbered(pages, url)
     host, path = canonical(F.col(url))
-    rows = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
+    rows = rows.withColumns({"host": host, "path": path})
     coded = [[g.encode().replace(b" ", BORDER) for g in globs] for globs in (block_globs, allow_globs)]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(lambda it: _judge(it, list(rules), *coded), f"{types}, rule string, verdict string")
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("rule string, verdict string")])
+    return rows.mapInArrow(lambda it: _judge(it, list(rules), *coded), schema).toDF(*pages.columns, "host", "path", "rule", "verdict")

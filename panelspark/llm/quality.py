@@ -5,13 +5,18 @@ counts in logarithmic bins (ratio GAMMA, so a quantile is within about 1 %): a s
 summing counts, and is built by one map-side aggregation, so a source with a third of all rows costs no task more. The
 sketches of a language are the sums of its sources', the corpus's the sums of those.
 
-A cutoff is `Q3 + fence * (Q3 - Q1) + slack` of the metric within language and source, drawn to its language's cutoff as far as
-the group is small: a group of n texts has weight n / (n + weight) in it, a language in its own likewise against the
-corpus. `slack` is the difference below which no text stands out, as most metrics are 0 for nearly all texts of a clean
-group. The cutoffs are joined to the metrics and texts above one are rejected.
+A cutoff follows the sketch of its group, and no metric has a constant one:
+ * Where more than a quarter of the texts show the metric, it is `Q3 + fence * (Q3 - Q1)` of all texts.
+ * Else the sketch without its zeros decides, as Q1 and Q3 are 0. Where the texts that show the metric begin far from zero, with
+   GAP occurrences or more in nine of ten, they are a kind of their own and the cutoff is half of their first tenth, in the gap.
+   Where they begin with single occurrences, clean texts have some too, and the cutoff is `Q3 + fence * max(Q3 - Q1, Q1)` of them, Q1 being their distance from zero.
+Each cutoff is drawn to its language's as far as the group is small: a group with n texts (n that show the metric, for a fence
+around those) has weight n / (n + weight) in it, a language in its own likewise against the corpus. The cutoffs are joined to
+the metrics and texts above one are rejected. Texts that fail the base rule go anyway and are not in the sketches.
 
 Defined results: a null text has no words and fails the base rule; null languages and sources are groups of their own; very
-long texts are measured whole; repeated rows agree; an empty table has no cutoffs. Other columns are not read, so clashing
+long texts are measured whole; repeated rows agree; a text with a metric equal to its cutoff is kept; an empty table has no
+cutoffs, nor has a metric that no text shows. Other columns are not read, so clashing
 names don't matter.
 """
 
@@ -26,10 +31,11 @@ from panelspark.llm.secrets import let
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Ratio of bins, width of the fence, and the number of texts at which a group weighs as much as the wider group.
-GAMMA, FENCE, WEIGHT = 1.02, 6.0, 10.0
-#: Metrics with their slack; a share of repeated words above 0.2 fails the base rule already.
-METRICS = {"symbols_per_word": 0.25, "chars_per_word": 2.0, "dup_line_share": 0.3, "repeat_share": 0.18}
+#: Ratio of bins, width of the fence, the number of texts at which a group weighs as much as the wider group, and occurrences that make a gap.
+GAMMA, FENCE, WEIGHT, GAP = 1.02, 6.0, 10.0, 8.0
+#: Metrics as (count, of how many), and how many counts one occurrence has (None: the metric is in every text).
+METRICS = {"symbols_per_word": ("n_symbols", "n_words", 1), "chars_per_word": ("word_chars", "n_words", None), "dup_line_share": ("n_dup_lines", "n_lines", 1),
+           "repeat_share": ("n_repeat_words", "n_words", 5)}
 
 
 def _repeat_words(words: Column, window: int) -> Column:
@@ -71,11 +77,8 @@ def measure(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ).select("doc_id", "lang", "source", "c.n_words", "word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words", "n_lines")
 
 
-def _values() -> Column:
-    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    values = {"symbols_per_word": share("n_symbols", "n_words"), "chars_per_word": share("word_chars", "n_words"),
-              "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words")}
-    return F.array(*[F.struct(F.lit(k).alias("metric"), values[k].alias("value")) for k in METRICS])
+def _values() -> dict[str, Column]:
+    return {k: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0)) for k, (a, b, _) in METRICS.items()}
 
 
 def _bin(value: Column) -> Column:
@@ -84,49 +87,69 @@ def _bin(value: Column) -> Column:
 
 
 def sketch(measured: DataFrame) -> DataFrame:
-    """(lang, source, metric, bin, n)."""
-    each = measured.filter("n_words > 0").select("lang", "source", F.explode(_values()).alias("v"))
-    return each.groupBy("lang", "source", F.col("v.metric").alias("metric"), _bin(F.col("v.value")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """(lang, source, metric, of, bin, n): `of` is `share` for the metric's values, `times` for occurrences where there are any."""
+    values = _values()
+    each = [F.struct(F.lit(k).alias("metric"), F.lit("share").alias("of"), v.alias("value")) for k, v in values.items()]
+    each += [F.struct(F.lit(k).alias("metric"), F.lit("times").alias("of"), (F.col(a) / F.lit(float(unit))).alias("value")) for k, (a, _, unit) in METRICS.items() if unit]
+    rows = measured.filter("n_words > 0").select("lang", "source", F.explode(F.array(*each)).alias("v")).filter("v.of = 'share' or v.value > 0")
+    return rows.groupBy("lang", "source", F.col("v.metric").alias("metric"), F.col("v.of").alias("of"), _bin(F.col("v.value")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge(sketches: DataFrame, *by: str) -> DataFrame:
-    return sketches.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
+    return sketches.groupBy(*by, "metric", "of", "bin").agg(F.sum("n").alias("n"))
 
 
 def quantiles(sketches: DataFrame, by: list[str], probabilities: dict[str, float]) -> DataFrame:
     """One row a group and metric: its size and the value at each probability."""
-    group = Window.partitionBy(*by, "metric")
+    group = Window.partitionBy(*by, "metric", "of")
     below = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     rows = sketches.withColumns({"below": F.sum("n").over(below), "size": F.sum("n").over(group)})
     value = F.when(F.col("bin") == 0, 0.0).otherwise(1e-6 * F.pow(F.lit(GAMMA), F.col("bin") - 0.5))
-    return rows.groupBy(*by, "metric").agg(F.max("size").alias("size"), *[F.min(F.when(F.col("below") >= F.col("size") * p, value)).alias(c) for c, p in probabilities.items()])
+    return rows.groupBy(*by, "metric", "of").agg(F.max("size").alias("size"), *[F.min(F.when(F.col("below") >= F.col("size") * p, value)).alias(c) for c, p in probabilities.items()])
+
+
+def limits(sketches: DataFrame, by: list[str], fence: float) -> DataFrame:
+    """(by, metric, size, cut) of groups; a metric that no text of a group shows has size 0 and no cutoff."""
+    quarters = {"q10": 0.1, "q1": 0.25, "q3": 0.75}
+    whole = quantiles(sketches.filter("of = 'share'"), by, quarters)
+    shown = quantiles(sketches.filter("of = 'share' and bin > 0"), by, quarters)
+    times = quantiles(sketches.filter("of = 'times'"), by, {"q10": 0.1})
+    key = [*by, "metric"]
+    named = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}") for c in key], F.col("size").alias(f"{name}_size"), *[F.col(q).alias(f"{name}_{q}") for q in quarters if q in df.columns])
+    out = named(whole, "w")
+    for df, name in ((shown, "s"), (times, "t")):
+        same = F.lit(True)
+        for c in key:
+            same = same & F.col(f"w_{c}").eqNullSafe(F.col(f"{name}_{c}"))
+        out = out.join(named(df, name), same, "left")
+    spread = lambda x: F.col(f"{x}_q3") - F.col(f"{x}_q1")
+    common = F.col("w_q3") > 0
+    cut = F.when(common, F.col("w_q3") + fence * spread("w")).when(F.col("t_q10") >= GAP, F.col("s_q10") / 2).otherwise(F.col("s_q3") + fence * F.greatest(spread("s"), F.col("s_q1")))
+    size = F.when(common | (F.col("t_q10") >= GAP), F.col("w_size")).otherwise(F.coalesce("s_size", F.lit(0)))
+    return out.select(*[F.col(f"w_{c}").alias(c) for c in key], size.alias("size"), F.coalesce(cut, F.lit(0.0)).alias("cut"))
 
 
 def cutoffs(sketches: DataFrame, *, fence: float = FENCE, weight: float = WEIGHT) -> DataFrame:
-    """(lang, source, and for each metric the highest value that is kept)."""
-    slack = F.element_at(F.create_map(*[F.lit(v) for pair in METRICS.items() for v in pair]), F.col("metric"))
+    """(lang, source, and for each metric the highest value that is kept; null where no text of the corpus shows it)."""
 
     def level(by: list[str], name: str) -> DataFrame:
-        q = quantiles(sketches if len(by) == 2 else merge(sketches, *by), by, {"q1": 0.25, "q3": 0.75})
-        limit = F.col("q3") + fence * (F.col("q3") - F.col("q1")) + slack
-        return q.select(*[F.col(c).alias(f"{name}_{c}") for c in [*by, "metric"]], limit.alias(name), (F.col("size") / (F.col("size") + weight)).alias(f"{name}_part"))
+        q = limits(sketches if len(by) == 2 else merge(sketches, *by), by, fence)
+        return q.select(*[F.col(c).alias(f"{name}_{c}") for c in [*by, "metric"]], F.col("cut").alias(name), (F.col("size") / (F.col("size") + weight)).alias(f"{name}_part"))
 
     own, language, corpus = level(["lang", "source"], "own"), level(["lang"], "language"), level([], "corpus")
     joined = (own.join(language, F.col("own_lang").eqNullSafe(F.col("language_lang")) & (F.col("own_metric") == F.col("language_metric")))
               .join(corpus, F.col("own_metric") == F.col("corpus_metric")))
     wider = F.col("language_part") * F.col("language") + (1 - F.col("language_part")) * F.col("corpus")
-    limit = F.col("own_part") * F.col("own") + (1 - F.col("own_part")) * wider
+    limit = F.when(F.col("corpus_part") > 0, F.col("own_part") * F.col("own") + (1 - F.col("own_part")) * wider)
     return joined.groupBy(F.col("own_lang").alias("cut_lang"), F.col("own_source").alias("cut_source")).pivot("own_metric", list(METRICS)).agg(F.max(limit))
 
 
 def judge(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", fence: float = FENCE, weight: float = WEIGHT) -> DataFrame:
     """The counts of measure() with base_failed and kept."""
     measured = materialize(measure(documents, doc_id=doc_id, text=text, lang=lang, source=source), "quality")
-    limits = cutoffs(sketch(measured), fence=fence, weight=weight)
-    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("cut_lang")) & F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    values = dict(zip(METRICS, [_values()[i]["value"] for i in range(len(METRICS))]))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    joined = measured.join(cutoffs(sketch(measured.filter(~base)), fence=fence, weight=weight), F.col("lang").eqNullSafe(F.col("cut_lang")) & F.col("source").eqNullSafe(F.col("cut_source")), "left")
     fits = F.lit(True)
-    for k, v in values.items():
+    for k, v in _values().items():
         fits = fits & (v <= F.coalesce(F.col(k), F.lit(float("inf"))))
     return joined.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & fits).alias("kept"))

@@ -98,16 +98,24 @@ _HOST = "CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
 _WS = r"[^\x20\x09-\x0D]"
-_SHARES = {"symbols_per_word": "n_symbols / n_words", "chars_per_word": "word_chars / n_words", "dup_line_share": "n_dup_lines / n_lines", "repeat_share": "n_repeat_words / n_words"}
+_BASE_FAILED = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
 
 
 def _limits(name: str, by: str) -> str:
-    """Size and cutoff of each metric by groups of the sketch."""
-    rows = f"SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bin) AS below, sum(n) OVER (PARTITION BY {by}metric) AS size FROM (SELECT {by}metric, bin, sum(n) AS n FROM sk GROUP BY {by}metric, bin)"
+    """Weight and cutoff of each metric by groups of the sketch."""
     value = f"CASE WHEN bin = 0 THEN 0.0::DOUBLE ELSE 1e-6::DOUBLE * pow({quality.GAMMA}::DOUBLE, bin - 0.5) END"
-    q1, q3 = (f"min({value}) FILTER (WHERE below >= size * {p}::DOUBLE)" for p in (0.25, 0.75))
-    slack = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in quality.METRICS.items()) + " END"
-    return f"{name} AS (SELECT {by}metric, size / (size + {quality.WEIGHT}::DOUBLE) AS part, q3 + {quality.FENCE}::DOUBLE * (q3 - q1) + {slack} AS cut FROM (SELECT {by}metric, max(size) AS size, {q1} AS q1, {q3} AS q3 FROM ({rows}) GROUP BY ALL))"
+
+    def part(p: str, where: str) -> str:
+        rows = f"SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bin) AS below, sum(n) OVER (PARTITION BY {by}metric) AS size FROM (SELECT {by}metric, bin, sum(n) AS n FROM sk WHERE {where} GROUP BY {by}metric, bin)"
+        q = ", ".join(f"min({value}) FILTER (WHERE below >= size * {q}::DOUBLE) AS {p}{c}" for c, q in (("10", 0.1), ("25", 0.25), ("75", 0.75)))
+        return f"(SELECT {by}metric, max(size) AS {p}size, {q} FROM ({rows}) GROUP BY ALL) {p}"
+
+    same = lambda p: " AND ".join(f"w.{c} IS NOT DISTINCT FROM {p}.{c}" for c in [*by.replace(" ", "").split(","), "metric"] if c)
+    fence = f"{quality.FENCE}::DOUBLE"
+    cut = f"CASE WHEN w75 > 0 THEN w75 + {fence} * (w75 - w25) WHEN t10 >= {quality.GAP} THEN s10 / 2 ELSE s75 + {fence} * greatest(s75 - s25, s25) END"
+    whole = "".join(f"w.{c}, " for c in by.replace(" ", "").split(",") if c) + "w.metric"
+    chosen = f"SELECT {whole}, CASE WHEN w75 > 0 OR t10 >= {quality.GAP} THEN wsize ELSE coalesce(ssize, 0) END AS size, coalesce({cut}, 0) AS cut FROM {part('w', 'NOT times')} LEFT JOIN {part('s', 'NOT times AND bin > 0')} ON {same('s')} LEFT JOIN {part('t', 'times')} ON {same('t')}"
+    return f"{name} AS (SELECT *, size / (size + {quality.WEIGHT}::DOUBLE) AS part FROM ({chosen}))"
 
 
 ORACLE_SQL = {
@@ -118,13 +126,14 @@ g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS c FROM (SELECT rid,
 h AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS k FROM g WHERE c > 1) GROUP BY 1),
 m AS (SELECT w.*, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
       (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(h.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN h USING (rid)),
-v AS ({" UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS metric, coalesce({e.replace(' / ', '::DOUBLE / nullif(')}, 0), 0.0) AS value FROM m WHERE n_words > 0" for k, e in _SHARES.items())}),
-sk AS (SELECT lang, source, metric, CASE WHEN value <= 1e-6 THEN 0 ELSE ceil(ln(value / 1e-6::DOUBLE) / ln({quality.GAMMA}::DOUBLE)) END AS bin, count(*) AS n FROM v GROUP BY ALL),
+v AS ({" UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS metric, coalesce({x}::DOUBLE / nullif({y}, 0), 0.0) AS value, {x}::DOUBLE / {unit or 'NULL'} AS times, {_BASE_FAILED} AS failed FROM m WHERE n_words > 0" for k, (x, y, unit) in quality.METRICS.items())}),
+b AS (SELECT lang, source, metric, value, false AS times FROM v WHERE NOT failed UNION ALL SELECT lang, source, metric, times, true FROM v WHERE NOT failed AND times > 0),
+sk AS (SELECT lang, source, metric, times, CASE WHEN value <= 1e-6 THEN 0 ELSE ceil(ln(value / 1e-6::DOUBLE) / ln({quality.GAMMA}::DOUBLE)) END AS bin, count(*) AS n FROM b GROUP BY ALL),
 {_limits("own", "lang, source, ")}, {_limits("lg", "lang, ")}, {_limits("cp", "")},
-k AS (SELECT rid, bool_and(value <= own.part * own.cut + (1 - own.part) * (lg.part * lg.cut + (1 - lg.part) * cp.cut)) AS fits FROM v
+k AS (SELECT rid, bool_and(coalesce(value <= CASE WHEN cp.part > 0 THEN own.part * own.cut + (1 - own.part) * (lg.part * lg.cut + (1 - lg.part) * cp.cut) END, true)) AS fits FROM v
       JOIN own ON v.lang IS NOT DISTINCT FROM own.lang AND v.source IS NOT DISTINCT FROM own.source AND v.metric = own.metric JOIN lg ON v.lang IS NOT DISTINCT FROM lg.lang AND v.metric = lg.metric JOIN cp ON v.metric = cp.metric GROUP BY 1)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(fits, true) AS kept FROM m LEFT JOIN k USING (rid)""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_BASE_FAILED} AS base_failed,
+       NOT {_BASE_FAILED} AND coalesce(fits, true) AS kept FROM m LEFT JOIN k USING (rid)""",
     "op9_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role IS NOT NULL AS hr, text IS NOT NULL AS ht FROM c),

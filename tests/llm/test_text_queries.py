@@ -241,12 +241,26 @@ def brute_kept(rows, fence=quality.FENCE, weight=quality.WEIGHT):
     def level(value):
         return 0 if value <= 1e-6 else math.ceil(math.log(value / 1e-6) / math.log(quality.GAMMA))
 
-    def limit(group, metric):
-        bins = sorted(level(metrics[metric](r)) for r in group)
-        at = lambda p: (lambda b: 0.0 if b == 0 else 1e-6 * quality.GAMMA ** (b - 0.5))(bins[max(0, math.ceil(p * len(bins)) - 1)])
-        return at(0.75) + fence * (at(0.75) - at(0.25)) + quality.METRICS[metric]
+    times = {"symbols_per_word": lambda r: r[4], "dup_line_share": lambda r: r[5], "repeat_share": lambda r: r[7] / 5}
+
+    def at(values, p):
+        b = sorted(map(level, values))[max(0, math.ceil(p * len(values)) - 1)]
+        return 0.0 if b == 0 else 1e-6 * quality.GAMMA ** (b - 0.5)
 
-    known = [r for r in rows if r[2] > 0]
+    def limit(group, metric):
+        """(size, cutoff) of a metric in a group."""
+        values = [metrics[metric](r) for r in group]
+        least = 0.0
+        if at(values, 0.75) == 0:
+            values = [v for v in values if level(v)]
+            if not values:
+                return 0, 0.0
+            if at([times[metric](r) for r in group if times[metric](r)], 0.1) >= quality.GAP:
+                return len(group), at(values, 0.1) / 2
+            least = at(values, 0.25)
+        return len(values), at(values, 0.75) + fence * max(at(values, 0.75) - at(values, 0.25), least)
+
+    known = [r for r in rows if r[2] >= 10 and 100 * r[7] <= 20 * r[2]]
     out = []
     for r in rows:
         if r[2] < 10 or 100 * r[7] > 20 * r[2]:
@@ -255,9 +269,9 @@ def brute_kept(rows, fence=quality.FENCE, weight=quality.WEIGHT):
         own, language = [x for x in known if x[:2] == r[:2]], [x for x in known if x[0] == r[0]]
         good = True
         for m in metrics:
-            part = lambda g: len(g) / (len(g) + weight)
-            wide = part(language) * limit(language, m) + (1 - part(language)) * limit(known, m)
-            good &= metrics[m](r) <= part(own) * limit(own, m) + (1 - part(own)) * wide
+            (n, cut), (n_language, wide), (n_all, widest) = (limit(g, m) for g in (own, language, known))
+            part, part_language = n / (n + weight), n_language / (n_language + weight)
+            good &= not n_all or metrics[m](r) <= part * cut + (1 - part) * (part_language * wide + (1 - part_language) * widest)
         out.append(good)
     return out
 
@@ -277,12 +291,12 @@ def test_each_metric_alone_rejects_a_text(spark):
     rng = random.Random(6)
     fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     clean = [" ".join(fresh(50)) + "\n" + " ".join(fresh(50)) for _ in range(200)]
-    repeated = fresh(86)
-    odd = [" ".join(w + "#" for w in fresh(100)), " ".join(w * 3 for w in fresh(100)), "\n".join([" ".join(fresh(92)), "two words", "two words", "two words", "two words"]), " ".join(repeated + repeated[:9])]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(clean + odd)], DOC_SCHEMA)
-    got = {r.doc_id: r for r in quality.judge(docs).collect()}
-    assert all(got[i].kept for i in range(200))
-    assert [(got[200 + i].base_failed, got[200 + i].kept) for i in range(4)] == [(False, False)] * 4
+    repeated = fresh(220)
+    odd = [" ".join(w + "#" for w in fresh(100)), " ".join(w * 3 for w in fresh(100)), "\n".join([" ".join(fresh(92)), *["again"] * 12]), " ".join(repeated + repeated[:22])]
+    for text in odd:
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*clean, text])], DOC_SCHEMA)
+        got = {r.doc_id: r for r in quality.judge(docs).collect()}
+        assert all(got[i].kept for i in range(200)) and (got[200].base_failed, got[200].kept) == (False, False)
 
 
 def test_cutoffs_follow_language_and_source(spark):
@@ -298,12 +312,36 @@ def test_cutoffs_follow_language_and_source(spark):
     assert not any(v for k, v in kept.items() if 2000 <= k < 2010)
 
 
+def test_cutoffs_of_each_metric_differ_between_groups_of_other_levels(spark):
+    """Groups whose texts show a metric now and then, each at its own level, have cutoffs of their own for every metric."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(8):
+        for i in range(150):
+            words = [f"w{rng.randrange(10**5)}" + "x" * (g if rng.random() < 0.5 else 0) for _ in range(60)]
+            if rng.random() < 0.2:
+                words = [w + "#" * (rng.random() < 0.05 * (g + 1)) for w in words]
+            lines = [" ".join(words[k : k + 4]) for k in range(0, 60, 4)]
+            if rng.random() < 0.2:
+                lines += rng.choices(lines, k=1 + rng.randrange(g // 3 + 1))
+            rows.append((len(rows), "\n".join(lines), rng.choice(["en", "de"]) if g == 7 else "en", f"s{g}", 0))
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    limits = quality.cutoffs(quality.sketch(quality.measure(docs).filter("n_words >= 10"))).collect()
+    assert len(limits) == 9
+    for metric in quality.METRICS:
+        values = [r[metric] for r in limits]
+        assert len({round(v, 6) for v in values}) >= 5 and max(values) > 1.02 * min(values), (metric, values)
+    low = quality.cutoffs(quality.sketch(quality.measure(docs.filter("source = 's0'")).filter("n_words >= 10"))).first()
+    high = quality.cutoffs(quality.sketch(quality.measure(docs.filter("source = 's6'")).filter("n_words >= 10"))).first()
+    assert high.symbols_per_word > 1.5 * low.symbols_per_word and high.chars_per_word > low.chars_per_word
+
+
 def test_sketch_quantiles_are_within_their_error(spark):
     rng = random.Random(9)
     values = [rng.lognormvariate(0, 2) for _ in range(3000)] + [0.0] * 500
-    rows = spark.createDataFrame([(v,) for v in values], "v double").select(F.lit("m").alias("metric"), quality._bin(F.col("v")).alias("bin"))
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(F.lit("m").alias("metric"), F.lit("share").alias("of"), quality._bin(F.col("v")).alias("bin"))
     a, b = rows.randomSplit([0.3, 0.7], 1)
-    both = quality.merge(a.groupBy("metric", "bin").agg(F.count("*").alias("n")).unionAll(b.groupBy("metric", "bin").agg(F.count("*").alias("n"))))
+    both = quality.merge(a.groupBy("metric", "of", "bin").agg(F.count("*").alias("n")).unionAll(b.groupBy("metric", "of", "bin").agg(F.count("*").alias("n"))))
     got = quality.quantiles(both, [], {"q": 0.75, "z": 0.1}).first()
     exact = sorted(values)[int(len(values) * 0.75)]
     assert abs(got.q - exact) / exact < 0.03 and got.z == 0.0

@@ -117,12 +117,6 @@ def q_values(df: DataFrame, p: str, *ties: str) -> DataFrame:
     return rows.withColumn("q", F.least(F.lit(1.0), F.col("__low"))).drop("__r", "__n", "__q", "__all", "__low")
 
 
-def quantile_class(df: DataFrame, by: str, x: str, cuts: int, name: str) -> DataFrame:
-    """Class 1 to cuts by right-closed quantile edges (linear interpolation); equal edges collapse."""
-    edges = df.groupBy(by).agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / cuts) for i in range(1, cuts)]))).alias("__e"))
-    return df.join(edges, by).withColumn(name, F.size(F.filter("__e", lambda e: e < F.col(x))) + 1).drop("__e")
-
-
 def grain_violations(df: DataFrame, grain: list[str]) -> DataFrame:
     """Keys that a table with this grain must not have twice."""
     return df.groupBy(*grain).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")

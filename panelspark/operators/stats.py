@@ -28,17 +28,6 @@ def weighted_corr(df: DataFrame, by: list[str], x: str, y: str, w: str, least: i
     return c.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= least, r).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
-def average_rank(x: str, *by: str) -> Column:
-    """Rank of x with ties averaged."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
-
-
-def rank_corr(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = known.withColumns({"__rx": average_rank(x, by), "__ry": average_rank(y, by)})
-    return ranked.groupBy(by).agg(F.corr("__rx", "__ry").alias("rho"), F.count(F.lit(1)).alias("n"))
-
-
 def least_squares(df: DataFrame, y: str, xs: list[str], weight: str | None = None, absorb: list[str] = (), cluster: str | None = None, *, standardise: bool = False,
                   least: int | None = None, keep: list[str] = ()) -> dict | None:
     """Weighted least squares with HC1 or clustered errors, over the rows in which nothing that is used is null.
@@ -240,6 +229,27 @@ def pagerank(edges: DataFrame, src: str, dst: str, weight: str, damping: float =
     raise RuntimeError(f"ranks still change by {change:.3g} after {rounds} rounds")
 
 
+def principal_components(df: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(key, scores) and (place, loadings, explained): the first k components of the centred vectors, what each place of the vector
+    contributes to them, and the part of all variance that each explains. A component's largest loading is positive. The
+    covariances are summed in Spark; the driver sees a matrix of the vector's length squared."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.select(key, F.col(vector).cast("array<double>").alias("__v"))
+    mean = rows.select(F.posexplode("__v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
+    centre = np.array([r.m for r in mean.orderBy("i").collect()])  # as long as a vector
+    model = PCA(k=k, inputCol="v", outputCol="s").fit(rows.select(array_to_vector("__v").alias("v")))
+    pc = model.pc.toArray()
+    sign = np.sign(pc[np.abs(pc).argmax(axis=0), np.arange(k)])
+    pc, shift = pc * sign, (centre @ pc) * sign
+    vectors = model.transform(rows.select(key, array_to_vector("__v").alias("v"))).select(key, vector_to_array("s").alias("s"))
+    scores = vectors.select(key, F.array(*[F.col("s")[i] * float(sign[i]) - float(shift[i]) for i in range(k)]).alias("scores"))
+    explained = [float(v) for v in model.explainedVariance.toArray()]
+    loadings = df.sparkSession.createDataFrame([(i, [float(v) for v in row], explained) for i, row in enumerate(pc)], "place int, loadings array<double>, explained array<double>")
+    return scores, loadings
+
+
 def ladder(df: DataFrame, y: str, x: str, controls: list[list[str]], period: str, **options) -> list[tuple]:
     """(period, number of control sets, estimate of x, error, t, r2, n) of nested regressions: x alone, then with one more set of
     controls each. All steps take the rows in which no control is null, so that they differ in controls alone; regressors

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.functions import codes, names
-from panelspark.operators import linkage, novelty, panels, resampling, spatial, stats, tasks
+from panelspark.operators import linkage, novelty, panels, ranks, resampling, spatial, stats, tasks
 from panelspark.plans.aggregates import _YEARLY, PARTIES, customer_years, parties
 from panelspark.plans.joins import _FLOW, flows, yearly
 from panelspark.plans.registry import query
@@ -75,7 +75,7 @@ def ntile_by_year(t):
 
 @query(f"WITH y AS ({_YEARLY}), q AS (SELECT yr, list_distinct(quantile_cont(n::DOUBLE, [0.2, 0.4, 0.6, 0.8])) AS e FROM y GROUP BY 1) SELECT o_custkey, yr, (len(list_filter(e, lambda x: x < n)) + 1)::INTEGER AS fifth FROM y JOIN q USING (yr)")
 def quantile_cut(t):
-    return panels.quantile_class(customer_years(t).withColumn("x", F.col("n").cast("double")), "yr", "x", 5, "fifth").select("o_custkey", "yr", "fifth")
+    return ranks.quantile_class(customer_years(t).withColumn("x", F.col("n").cast("double")), "yr", "x", 5, "fifth").select("o_custkey", "yr", "fifth")
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END AS k FROM events)
@@ -314,7 +314,7 @@ def weighted_corr_by_group(t):
 @query("""WITH r AS (SELECT p_type, rank() OVER (PARTITION BY p_type ORDER BY p_size) + (count(*) OVER (PARTITION BY p_type, p_size) - 1) / 2.0 AS a, rank() OVER (PARTITION BY p_type ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_type, p_retailprice) - 1) / 2.0 AS b FROM part)
 SELECT p_type, round(corr(a, b), 6) AS rho, count(*) AS n FROM r GROUP BY 1""")
 def rank_corr(t):
-    return stats.rank_corr(t.part, "p_type", "p_size", "p_retailprice").withColumn("rho", F.round("rho", 6))
+    return ranks.rank_corr(t.part, "p_type", "p_size", "p_retailprice").withColumn("rho", F.round("rho", 6))
 
 
 @query()
@@ -433,12 +433,14 @@ def moran_i(t):
 
 @query()
 def pca_scores(t):
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    scores, _ = stats.principal_components(t.embeddings, "vec_id", "embedding", 2)
+    return scores.select("vec_id", F.round(F.col("scores")[0], 6).alias("first"), F.round(F.col("scores")[1], 6).alias("second"))
 
-    rows = t.embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    s = PCA(k=2, inputCol="v", outputCol="s").fit(rows).transform(rows).select("vec_id", vector_to_array("s").alias("s"))
-    return s.select("vec_id", F.round(F.col("s")[0], 6).alias("first"), F.round(F.col("s")[1], 6).alias("second"))
+
+@query()
+def pca_loadings(t):
+    _, loadings = stats.principal_components(t.embeddings, "vec_id", "embedding", 2)
+    return loadings.select("place", F.round(F.col("loadings")[0], 6).alias("first"), F.round(F.col("loadings")[1], 6).alias("second"), F.round(F.col("explained")[0], 6).alias("first_part"), F.round(F.col("explained")[1], 6).alias("second_part"))
 
 
 @query()
@@ -536,7 +538,8 @@ def panel_occupation_year(t):
     u = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("soc"), F.col("p_brand").alias("kind"), F.year("l_shipdate").alias("yr")).agg(F.sum("l_quantity").alias("emp"), (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("wage"))
     y = u.groupBy("soc", "yr").agg(F.sum("emp").alias("n"), F.log(panels.weighted_mean(F.col("wage"), F.col("emp"))).alias("w"), (F.sum(F.when(F.col("kind").isin("Brand#11", "Brand#12"), F.col("emp"))) / F.sum("emp")).alias("s"))
     first = F.first("n").over(Window.partitionBy("soc").orderBy("yr"))
-    return y.select("soc", "yr", F.col("n").alias("emp"), F.round("w", 6).alias("log_wage"), F.round("s", 6).alias("part_share"), F.round(F.col("n") / first - 1, 6).alias("growth"), F.round(F.percent_rank().over(Window.partitionBy("yr").orderBy("n", "soc")), 6).alias("pct"))
+    y = panels.percentile(y.withColumn("growth", F.col("n") / first - 1), "yr", ["n", "soc"], "pct")
+    return y.select("soc", "yr", F.col("n").alias("emp"), F.round("w", 6).alias("log_wage"), F.round("s", 6).alias("part_share"), F.round("growth", 6).alias("growth"), F.round("pct", 6).alias("pct"))
 
 
 @query(f"""WITH k AS (SELECT s_suppkey AS county, y::INTEGER AS yr FROM supplier CROSS JOIN (SELECT unnest(range(1995, 2002)) AS y)), v AS ({PARTIES}), b AS (SELECT l_suppkey AS county, year(l_shipdate)::INTEGER AS yr, count(*) AS returns, round(sum(l_extendedprice), 2) AS agi FROM lineitem GROUP BY 1, 2)

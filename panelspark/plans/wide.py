@@ -69,8 +69,7 @@ def panel_occupation_linked(t):
     e = y.groupBy("p_partkey").agg(F.max_by("w", "yr").alias("workers"), F.min_by("share", "yr").alias("first"), F.max_by("share", "yr").alias("last"), F.min("yr").alias("y0"), F.max("yr").alias("y1"))
     j = e.join(linked, "p_partkey").join(table.select(F.col("soc").alias("link"), "score"), "link", "left")
     rate = j.agg((F.sum(F.when(F.col("score").isNotNull(), F.col("workers"))) / F.sum("workers")).alias("matched"))
-    pct = F.percent_rank().over(Window.partitionBy("method").orderBy("workers", "p_partkey"))
-    return j.withColumn("pct", pct).join(F.broadcast(rate), F.lit(True)).select(  # one row
+    return panels.percentile(j, "method", ["workers", "p_partkey"], "pct").join(F.broadcast(rate), F.lit(True)).select(  # one row
         "p_partkey", "link", "method", "workers", "y0", "y1", F.round(100 * (F.col("last") - F.col("first")), 4).alias("change_pp"), F.round("score", 4).alias("score"), F.round("pct", 6).alias("pct"), F.round("matched", 6).alias("matched"))
 
 

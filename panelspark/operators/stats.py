@@ -111,60 +111,6 @@ def two_way(df: DataFrame, y: str, x: str, unit: str, time: str, *, least_units:
     return {"estimate": estimate, "se": error, "t": t, "p": p, "n": fit["n"]}
 
 
-#: Queries that are broadcast at once by neighbours().
-QUERY_ROWS = 1 << 16
-
-
-def neighbours(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int, *, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query, key, distance, rank): the k nearest points of each query row by Euclidean distance, of equal ones the smaller key.
-
-    The queries are a stated set. They go in blocks of about `query_rows` by a hash of their key; each block is one pass over
-    all points with that block alone broadcast, in which every task keeps the k best of its own points for each query,
-    and only those are ranked. With several blocks each result is written before the next block is read.
-    """
-    spark = points.sparkSession
-    queries = staged(queries.select(key, vector), "queries")
-    blocks = max(1, -(-queries.count() // query_rows))
-    out = None
-    for b in range(blocks):
-        wanted = queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toPandas()
-        ids, matrix = wanted[key].to_numpy(), np.stack(wanted[vector].to_numpy()).astype(np.float64) if len(wanted) else np.zeros((0, 1))
-        table = spark.sparkContext.broadcast((ids, matrix))
-        found = _nearest(points, table, key, vector, k)
-        if blocks > 1:
-            found = staged(found, f"neighbours-{b}")
-            table.destroy()
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _nearest(points: DataFrame, table: Broadcast, key: str, vector: str, k: int) -> DataFrame:
-    import pandas as pd
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q = table.value
-        best = (np.full((len(q), k), np.inf), np.zeros((len(q), k), dtype=np.int64))
-        for b in batches:
-            if not len(b) or not len(q):
-                continue
-            b = b.sort_values(key)  # the stable sorts by distance below then go by (distance, key)
-            p, p_ids = np.stack(b[vector].to_numpy()).astype(np.float64), b[key].to_numpy()
-            for at in range(0, len(q), 64):
-                part = slice(at, at + 64)
-                d = np.stack([np.sqrt(((p - x) ** 2).sum(axis=1)) for x in q[part]])
-                d[q_ids[part, None] == p_ids[None, :]] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                both, ids = np.hstack([best[0][part], np.take_along_axis(d, near, 1)]), np.hstack([best[1][part], p_ids[near]])
-                first = np.lexsort((ids, both), axis=-1)[:, :k]
-                best[0][part], best[1][part] = np.take_along_axis(both, first, 1), np.take_along_axis(ids, first, 1)
-        out = pd.DataFrame({"query": np.repeat(q_ids, k), key: best[1].ravel(), "distance": best[0].ravel()})
-        yield out[np.isfinite(out["distance"])]
-
-    best = points.select(key, vector).mapInPandas(run, f"query long, {key} long, distance double")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key)))
-    return ranked.filter(F.col("rank") <= k)
-
-
 def nearest_weights(places: DataFrame, key: str, lat: str, lon: str, k: int = 8) -> DataFrame:
     """(key, neighbour, km, weight): row-standardised weights, one k-th for each of the k nearest other places by great-circle
     distance (of equal distances the smaller key); with fewer than k others, each has an equal part of 1.

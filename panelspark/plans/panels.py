@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.functions import codes, names
-from panelspark.operators import linkage, novelty, panels, ranks, resampling, spatial, stats, tasks
+from panelspark.operators import linkage, nearest, novelty, panels, ranks, resampling, spatial, stats, tasks
 from panelspark.plans.aggregates import _YEARLY, PARTIES, customer_years, parties
 from panelspark.plans.joins import _FLOW, flows, yearly
 from panelspark.plans.registry import query
@@ -401,7 +401,7 @@ def residual_from_fit(t):
 @query("""WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT query, vec_id, list_distance(e::DOUBLE[], embedding::DOUBLE[]) AS distance FROM q JOIN embeddings ON vec_id <> query), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank FROM d)
 SELECT query, vec_id, round(distance, 5) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
 def knn_topk(t):
-    return stats.neighbours(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), "vec_id", "embedding", 5).withColumn("distance", F.round("distance", 5))
+    return nearest.neighbours(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), "vec_id", "embedding", 5).withColumn("distance", F.round("distance", 5))
 
 
 _PLACES = "SELECT s_suppkey AS k, (s_suppkey * 37 % 1790) / 10.0::DOUBLE - 89.5 AS lat, (s_suppkey * 101 % 3590) / 10.0::DOUBLE - 179.5 AS lon FROM supplier"

@@ -339,22 +339,6 @@ def test_kmeans_can_choose_five_and_the_whole_matrix_counts(spark, tmp_path):
     assert {r.label: r.score for r in QUERIES["matrix_weighted_whole"](spark, f"{tmp_path}/last").collect()} == {0: 0.0, 1: round(5 / 194, 6), 2: 0.0}
 
 
-def test_nearest_of_many_copies_are_the_smallest_keys(spark):
-    points = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(40, 0, -1)] + [(100, [0.0, 0.0]), (101, [0.5, 0.0])], "id long, v array<double>").coalesce(1)
-    got = stats.neighbours(points, points.filter("id >= 100"), "id", "v", 3)
-    assert rows(got.select("query", "rank", "id")) == sorted([(100, 1, 101), (100, 2, 1), (100, 3, 2), (101, 1, 1), (101, 2, 2), (101, 3, 3)], key=str)
-
-
-def test_nearest_points_in_blocks_of_queries(spark):
-    rng = np.random.default_rng(8)
-    v = rng.normal(size=(200, 5)).round(1)
-    points = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(200)], "id long, v array<double>").repartition(5)
-    got = {(r.query, r["rank"]): r.id for r in stats.neighbours(points, points.filter("id % 4 = 0"), "id", "v", 3, query_rows=9).collect()}
-    for q in range(0, 200, 4):
-        d = sorted((float(np.sqrt(((v[i] - v[q]) ** 2).sum())), i) for i in range(200) if i != q)[:3]
-        assert [got[q, r] for r in (1, 2, 3)] == [i for _, i in d]
-
-
 def test_incidence_adds_up_to_one(spark):
     docs = tasks.word_pairs(spark.createDataFrame([(1, "grind the metal parts"), (2, "paint walls")], "d long, text string"), ["d"], "text")
     units = tasks.word_pairs(spark.createDataFrame([(1, "grind metal"), (2, "metal parts"), (3, "paint walls daily")], "task long, text string"), ["task"], "text").withColumns({"soc": F.col("task") % 2, "w": F.lit(2.0)})

@@ -194,19 +194,3 @@ def principal_components(df: DataFrame, key: str, vector: str, k: int) -> tuple[
     explained = [float(v) for v in model.explainedVariance.toArray()]
     loadings = df.sparkSession.createDataFrame([(i, [float(v) for v in row], explained) for i, row in enumerate(pc)], "place int, loadings array<double>, explained array<double>")
     return scores, loadings
-
-
-def ladder(df: DataFrame, y: str, x: str, controls: list[list[str]], period: str, **options) -> list[tuple]:
-    """(period, number of control sets, estimate of x, error, t, r2, n) of nested regressions: x alone, then with one more set of
-    controls each. All steps take the rows in which no control is null, so that they differ in controls alone; regressors
-    are in standard deviations, 0/1 ones stay; a period with too few rows is left out. The periods are few by nature; the
-    input is written once."""
-    kept = staged(df.select(*{y, x, period, *[c for s in controls for c in s], *[options[k] for k in ("weight", "cluster") if options.get(k)], *options.get("absorb", [])}).dropna(), "ladder")
-    out = []
-    for (p,) in kept.select(period).distinct().orderBy(period).collect():
-        for k in range(len(controls) + 1):
-            fit = least_squares(kept.filter(F.col(period) == p), y, [x, *[c for s in controls[:k] for c in s]], standardise=True, **options)
-            if fit:
-                estimate = next(e for e in fit["terms"] if e[0] == x)
-                out.append((str(p), k, *estimate[1:4], fit["r2"], fit["n"]))
-    return out

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.functions import codes, names
-from panelspark.operators import linkage, nearest, novelty, panels, ranks, resampling, spatial, stats, tasks
+from panelspark.operators import ladder, linkage, nearest, novelty, panels, ranks, resampling, spatial, stats, tasks
 from panelspark.plans.aggregates import _YEARLY, PARTIES, customer_years, parties
 from panelspark.plans.joins import _FLOW, flows, yearly
 from panelspark.plans.registry import query
@@ -579,7 +579,7 @@ _LADDER = " UNION ALL ".join(
 
 @query(_LADDER)
 def control_ladder(t):
-    fits = stats.ladder(t.lineitem, "l_extendedprice", "l_quantity", [["l_discount"], ["l_tax"]], "l_returnflag", cluster="l_suppkey")
+    fits = ladder.ladder(t.lineitem, "l_extendedprice", "l_quantity", [["l_discount"], ["l_tax"]], "l_returnflag", cluster="l_suppkey")
     r = lambda c, n=3: F.round(c, n).alias(c)
     return t.spark.createDataFrame(fits, "period string, controls int, estimate double, se double, t double, r2 double, n long").select("period", "controls", r("estimate"), r("se"), r("t"), r("r2", 6), "n")
 

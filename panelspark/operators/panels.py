@@ -135,6 +135,26 @@ def column_profile(df: DataFrame, examples: int = 3) -> DataFrame:
     return out.join(some, F.col("column") == F.col("__c"), "left").drop("__c")
 
 
+def merge_panels(first: DataFrame, others: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """All rows of all panels by key (full joins, one coalesced key); the columns of the others get their name as prefix, so that
+    none clashes."""
+    out = first
+    for name, panel in others.items():
+        out = out.join(panel.select(*key, *[F.col(f"`{c}`").alias(f"{name}_{c}") for c in panel.columns if c not in key]), key, "full")
+    return out
+
+
+def coverage(df: DataFrame, wanted: Column, year: str, measures: dict[str, str]) -> DataFrame:
+    """(source, first, last, matched, total, share): of the wanted rows in the years from the first to the last in which any row has
+    the source's measure, those that have it. Two aggregations whatever the number of sources; a source without any has no row."""
+    spans = df.agg(*[f(F.when(F.col(c).isNotNull(), F.col(year))).alias(f"{k}{i}") for i, c in enumerate(measures.values()) for k, f in (("a", F.min), ("b", F.max))])  # one row
+    rows = df.filter(wanted).join(F.broadcast(spans), F.lit(True))
+    each = [F.struct(F.lit(label).alias("source"), F.col(f"a{i}").alias("first"), F.col(f"b{i}").alias("last"), F.col(c).isNotNull().alias("has")) for i, (label, c) in enumerate(measures.items())]
+    rows = rows.select(year, F.explode(F.array(*each)).alias("m")).select(year, "m.*").filter(F.col(year).between(F.col("first"), F.col("last")))
+    n = F.count(F.lit(1))
+    return rows.groupBy("source", "first", "last").agg(F.count_if("has").alias("matched"), n.alias("total"), (F.count_if("has") / n).alias("share"))
+
+
 def match_rate(df: DataFrame, matched: Column, step: str, unit: str) -> DataFrame:
     n = F.count(F.lit(1))
     hit = F.coalesce(F.sum(F.coalesce(matched, F.lit(False)).cast("long")), F.lit(0))

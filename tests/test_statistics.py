@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import linkage, resampling, spatial, spread, stats
+from panelspark.operators import linkage, panels, resampling, spatial, spread, stats
 
 
 def test_bootstrap_of_several_columns_equals_a_loop_with_the_same_counts(spark):
@@ -110,3 +110,13 @@ def test_holder_of_a_name_by_years(spark):
     df = spark.createDataFrame([(k, c, *years, a, b) for k, held, years, _ in cases for c, a, b in held], "u int, c string, y0 int, y1 int, f0 int, f1 int")
     got = {r.u: r.c for r in linkage.by_years(df, "u", "c", "y0", "y1", "f0", "f1").collect()}
     assert got == {k: right for k, _, _, right in cases}
+
+
+def test_merged_panels_and_their_coverage(spark):
+    a = spark.createDataFrame([("x", 2000, 1), ("x", 2001, 2), ("y", 2001, 0), ("z", 2005, 3)], "k string, yr int, filed int")
+    b = spark.createDataFrame([("x", 2001, 5.0), ("y", 2001, None), ("w", 2002, 1.0)], "k string, yr int, filed double")
+    c = spark.createDataFrame([], "k string, yr int, s double")
+    out = panels.merge_panels(a, {"v": b, "d": c}, ["k", "yr"])
+    assert out.columns == ["k", "yr", "filed", "v_filed", "d_s"] and out.count() == 5
+    got = panels.coverage(out, F.col("filed") > 0, "yr", {"work": "v_filed", "lead": "d_s"}).collect()
+    assert [tuple(r) for r in got] == [("work", 2001, 2002, 1, 1, 1.0)]

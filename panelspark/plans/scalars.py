@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import codes, names
 from panelspark.plans.registry import query
-from panelspark.sources import readers
+from panelspark.sources import quoted, readers
 
 
 @query("SELECT c_custkey, c_name AS raw, ltrim(regexp_extract(c_name, '(\\d+)', 1), '0') AS doc_id FROM customer")
@@ -156,7 +156,7 @@ def read_quoted_tsv(t):
     path = f"{shared_folder(t.spark)}/tsv-{uuid.uuid4().hex}"
     text = F.concat("text", F.lit(' "quoted" \ttab\n\n"",x'))
     t.documents.select("doc_id", text.alias("text")).write.csv(path, sep="\t", header=True, quoteAll=True, escape='"')
-    return readers.delimited(t.spark, path, "\t")
+    return quoted.read(t.spark, path, "\t")
 
 
 @query("""SELECT l_orderkey::DOUBLE AS orderkey, l_returnflag AS flag, round(l_quantity, 2) AS quantity, round(l_discount, 2) AS discount FROM lineitem""")

@@ -17,7 +17,8 @@ The comparison with one pivot can miss a link in a family whose members link her
 the tests measure how many documents are found against brute force over all pairs (all of them on the given tables; 0.98 or
 more in families made of such members only).
 
-Defined results: texts without words and null texts have no links here; repeated rows and rows with equal texts are one
+Defined results: very long texts are compared whole; of members that tie for the middle of a bucket the one with the larger
+content hash is the pivot; texts without words and null texts have no links here; repeated rows and rows with equal texts are one
 member; an empty table gives no links. The columns of documents other than the text are not read (but for the row key), so
 clashing names don't matter.
 """

@@ -18,7 +18,8 @@ Scoring goes over all texts in numpy slices against the broadcast weights (at mo
 
 Defined results: a null text has no features; very long texts are read whole, in slices; a column that has the name of the
 score is replaced, other columns stay; null or repeated ids keep their rows; an id with several labels is toxic if one
-says so; rows of `labels` without a text don't matter; without any positive in training folds every score is the prior.
+says so; rows of `labels` without a text don't matter; without any positive in training folds every score is the prior;
+features that tie in z go by their hash; an empty table gives no scores.
 Labels, language, source and id are no inputs of a score.
 """
 

@@ -12,7 +12,8 @@ urls goes through together in numpy, a byte position a step; the few longest url
 same words being one Python integer then, so a very long url costs its own bytes only. No step looks at a rule.
 
 Defined results: null or no `://`: host and path are empty, no rule fits and the globs see `.<FF>`. Repeated rows get equal
-verdicts; rows keep their other columns; an empty rule list allows all.
+verdicts; ties between rules end with the smaller text; a very long url is judged whole; rows keep their other columns, whatever
+their names (host, path, rule and verdict are replaced); an empty rule list allows all; an empty table gives no rows.
 """
 
 from __future__ import annotations

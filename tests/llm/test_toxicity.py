@@ -62,6 +62,72 @@ def test_planted_words_are_found_and_odd_rows_kept(spark, odd_documents):
             assert r.score < 0.5
 
 
+def brute_scores(rows, labels, min_df=toxicity.MIN_DF, steps=800):
+    """Scores of all texts by dictionaries and loops: features, screening, frequencies and the non-negative risk, in plain Python."""
+    import math
+    import re
+
+    def features(text):
+        words = re.findall("[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+        return {("w", w) for w in words} | {(n, w.encode()[:n]) for w in words for n in toxicity.PREFIXES if len(w.encode()) > n}
+
+    known = {i: y for i, _, y in labels if zlib.crc32(str(i).encode()) % 5}
+    prior = sum(known.values()) / len(known)
+    texts = {r[0]: r[1] for r in rows}
+    sample = sorted({(texts[i], True) for i, y in known.items() if y} | {(texts[i], False) for i in known})
+    sets = [(features(t), positive) for t, positive in sample]
+    n_pos, n_un = sum(p for _, p in sets), sum(not p for _, p in sets)
+    screened = []
+    for f in set().union(*[s for s, _ in sets]):
+        a, b = sum(f in s for s, p in sets if p), sum(f in s for s, p in sets if not p)
+        both = (a + b + 1) / (n_pos + n_un)
+        if a >= min_df and a / n_pos > 2 * b / n_un and (a / n_pos - b / n_un) / math.sqrt(both * (1 / n_pos + 1 / n_un)) > 3:
+            screened.append(f)
+    every = [features(r[1]) for r in rows]
+    scale = {}
+    for f in screened:
+        df = sum(f in s for s in every)
+        own = sum(f in s for s, p in sets if p) / n_pos
+        scale[f] = math.log((1 + len(rows)) / (1 + df)) / math.log(1 + len(rows)) if own > 2 * df / len(rows) else 0.0
+    w, bias = dict.fromkeys(screened, 0.0), math.log(prior / (1 - prior))
+    m = {f: [0.0, 0.0] for f in [*screened, None]}
+    has = [[f for f in screened if f in s] for s, _ in sets]
+    for t in range(1, steps + 1):
+        z = [sum(w[f] * scale[f] for f in h) + bias for h in has]
+        s = [1 / (1 + math.exp(-x)) for x in z]
+        loss = [math.log1p(math.exp(-abs(x))) + max(x, 0) for x in z]
+        negative = sum(x / n_un for x, (_, p) in zip(loss, sets) if not p) - prior * sum(x / n_pos for x, (_, p) in zip(loss, sets) if p)
+        slope = []
+        for x, (_, p) in zip(s, sets):
+            rest = -prior * x / n_pos if p else x / n_un
+            slope.append((prior * (x - 1) / n_pos if p else 0.0) + rest if negative >= 0 else -rest)
+        g = {f: 2e-5 * w[f] for f in screened}
+        for h, x in zip(has, slope):
+            for f in h:
+                g[f] += x * scale[f]
+        g[None] = sum(slope)
+        fix = (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)
+        for f, x in g.items():
+            m[f] = [0.9 * m[f][0] + 0.1 * x, 0.999 * m[f][1] + 0.001 * x * x]
+            step = 0.05 * fix * m[f][0] / (math.sqrt(m[f][1]) + 1e-9)
+            if f is None:
+                bias -= step
+            else:
+                w[f] = max(0.0, w[f] - step)
+    return [1 / (1 + math.exp(-(sum(w[f] * scale[f] for f in screened if f in s) + bias))) for s in every]
+
+
+def test_scores_equal_plain_loops(spark):
+    rows, labels = corpus(240)
+    rows = [*rows, (900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "Vilestone VILEST épée", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA).repartition(5)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    want = brute_scores(rows, labels)
+    assert len(model.weights) >= 5 and np.allclose([got[r[0]] for r in rows], want, atol=1e-6)
+    assert max(want) > 0.5 > min(want)
+
+
 def test_a_column_of_the_scores_name_is_replaced_and_others_stay(spark):
     docs = spark.createDataFrame(corpus(40)[0], DOC_SCHEMA).withColumns({"score": F.lit("old"), "__score": F.array(F.struct(F.lit(1).alias("a b")))})
     got = toxicity.score(docs, toxicity.train(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")))

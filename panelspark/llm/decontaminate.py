@@ -5,8 +5,10 @@ Words are runs of `[0-9a-z]` and non-ASCII characters after lower-casing A-Z. A
 in the broadcast set, and each hit is verified word by word, so a hash collision can't count.
 
 Size of the broadcast: the items are taken in blocks of at most `block_windows` windows and one item (about 300 bytes a
-window in a task, so some 60 MB). Each block is one pass, whose result is written and whose broadcast is destroyed before
-the next block is read, so no two are in memory together; a small benchmark is one block and one pass, nothing written.
+window in a task, so some 60 MB). Each block is one pass over the documents, whose result is written and whose broadcast is
+destroyed before the next block is read, so no two are in memory together; a small benchmark is one block and one pass, nothing
+written. find_contamination() writes no texts: a row of counts for each document, and for later blocks the rows with hits alone, which
+are put together by id and row key at the end.
 
 Nulls and such: a very long text is scanned whole, alone in its slice; a null text has no words; an item without words has no window; an item with a null id still marks words, but has no
 name to list. Repeated items count one by one by their distinct ids. An empty benchmark or document table gives no hit.
@@ -24,12 +26,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, Scratch, bound_batches, numbered, text_slices, word_spans
+from panelspark.llm.common import ALNUM, LOWER, HashSet, Rolling, Scratch, bound_batches, numbered, row_key, text_slices, word_spans
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Windows of the benchmark that are broadcast at once.
 BLOCK_WINDOWS = 200_000
-_STATE = "doc_id long, text string, n_words long, items array<string>, hit_spans array<long>"
+_STATE = "doc_id long, rid long, n_words long, items array<string>, hit_spans array<long>"
 
 
 def _item_words(text: str | None) -> list[bytes]:
@@ -117,17 +119,25 @@ def _hits(batch: pa.RecordBatch, sets: list) -> tuple[np.ndarray, dict[int, tupl
     return counts, hits
 
 
-def _add_block(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
+def _narrow(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
+    """(doc_id, rid, n_words, items, hit_spans) of the windows of one block; the text ends here."""
     sets = _opened(table)
     for batch in batches:
         counts, hits = _hits(batch, sets)
-        items, spans = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        items: list[list] = [[] for _ in range(batch.num_rows)]
+        spans: list[list] = [[] for _ in range(batch.num_rows)]
         for row, (seen, new) in hits.items():
-            items[row] = sorted({*items[row], *(x for x in seen if x is not None)})
-            spans[row] = _united([*zip(spans[row][::2], spans[row][1::2]), *new])
+            items[row], spans[row] = sorted(x for x in seen if x is not None), _united(new)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(counts), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))],
-            names=["doc_id", "text", "n_words", "items", "hit_spans"])
+            names=["doc_id", "rid", "n_words", "items", "hit_spans"])
+
+
+def _united_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, rid, n_words, items, hit_spans, more) with the spans of other blocks, several lists, united with their own."""
+    for batch in batches:
+        spans = [_united([(x, y) for flat in [own, *(more or [])] for x, y in zip(flat[::2], flat[1::2])]) for own, more in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(spans, pa.list_(pa.int64()))], names=["doc_id", "rid", "n_words", "items", "hit_spans"])
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -135,10 +145,29 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, doc_id: st
     """A row per document: doc_id, n_words, n_hit, items (ids as sorted strings), hit_spans (word ranges, flat)."""
     spark = documents.sparkSession
     bound_batches(spark)
-    found = documents.select(
-        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<string>").alias("items"), F.array().cast("array<long>").alias("hit_spans"))
-    found = _block_by_block(spark, found, benchmark, item_id, item_text, window, block_windows, lambda df, t: df.mapInArrow(lambda it: _add_block(it, t), _STATE))
+    rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_key(documents).alias("rid"), F.col(f"`{text}`").cast("string").alias("text"))
+    scratch, found, hits = Scratch(spark, "contamination"), None, None
+    blocks = enumerate(_blocks(benchmark, item_id, item_text, window, block_windows))
+    k, block = next(blocks, (0, Windows(window)))
+    while block is not None:
+        table = spark.sparkContext.broadcast(block.sealed())
+        scanned = rows.mapInArrow(lambda it, t=table: _narrow(it, t), _STATE)
+        k, block = next(blocks, (k + 1, None))
+        if found is None and block is None:
+            found = scanned  # one block: nothing is written
+        elif found is None:
+            found = scratch.put(scanned, f"rows-{k}")
+        else:
+            more = scratch.put(scanned.filter(F.size("hit_spans") > 0).select("doc_id", "rid", "items", "hit_spans"), f"hits-{k}")
+            hits = more if hits is None else hits.unionAll(more)
+        if found is not scanned:
+            table.destroy()
+    if hits is not None:
+        # rows that are equal in all columns share their hits
+        merged = scratch.put(hits.distinct().groupBy("doc_id", "rid").agg(F.flatten(F.collect_list("items")).alias("others"), F.collect_list("hit_spans").alias("more")).toDF("__id", "__rid", "others", "more"), "merged")
+        joined = found.join(merged, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("rid") == F.col("__rid")), "left")
+        every = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("others", F.array().cast("array<string>")))))
+        found = joined.select("doc_id", "rid", "n_words", every.alias("items"), "hit_spans", "more").mapInArrow(_united_rows, _STATE)
     covered = F.aggregate("hit_spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")),
                           lambda acc, x: F.struct((acc.sum + acc.sign * x).alias("sum"), (-acc.sign).alias("sign")), lambda acc: acc.sum)
     return found.select("doc_id", "n_words", covered.alias("n_hit"), "items", "hit_spans")

@@ -203,6 +203,27 @@ def test_decontamination_query(spark):
     assert Counter(tuple(r) for r in op3_decontamination(spark, SF).collect()) == contamination(docs, items)
 
 
+def test_no_text_is_written_whatever_the_number_of_blocks(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from panelspark.sources.staging import shared_folder
+
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(words[i * 20 : i * 20 + 12])) for i in range(20)]
+    docs = [(i, " ".join(words[i * 7 : i * 7 + 60]), "en", "s", 0) for i in range(40)] * 2
+    d = spark.createDataFrame(docs, DOC_SCHEMA).repartition(4)
+    root = shared_folder(spark).removeprefix("file://")
+    before = set(glob.glob(f"{root}/contamination-*"))
+    got = decontaminate.find_contamination(d, spark.createDataFrame(items, "item_id long, text string"), block_windows=3)
+    rows = sorted((r.doc_id, r.n_words, r.n_hit, len(r["items"]), ",".join(r["items"])) for r in got.collect())
+    want = sorted(x[:4] for x in contamination([(r[0], r[1]) for r in docs], items).elements())
+    assert [r[:4] for r in rows] == want
+    files = [f for folder in set(glob.glob(f"{root}/contamination-*")) - before for f in glob.glob(f"{folder}/*/*.parquet")]
+    assert files and all("text" not in pq.read_schema(f).names for f in files) and len({f.split("/")[-2] for f in files}) > 15
+
+
 # ---------------------------------------------------------------- quality
 
 def counts(text):

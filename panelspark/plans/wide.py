@@ -47,8 +47,8 @@ def panel_firm_measures(t):
 
 
 _MERGED = f"""WITH {_DOCS}, f AS (SELECT o_custkey, yr, count(*) AS filed FROM m GROUP BY 1, 2),
-w AS (SELECT o_custkey, year(l_shipdate)::INTEGER AS yr, sum(l_quantity) AS vr_workers, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS vr_share FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= '1996-01-01' AND o_custkey % 4 <> 1 GROUP BY 1, 2),
-ld AS (SELECT c_custkey AS o_custkey, unnest(range(1997, 2000))::INTEGER AS yr, c_acctbal AS dipi_score FROM customer WHERE c_custkey % 3 = 0),
+w AS (SELECT o_custkey, year(l_shipdate)::INTEGER AS yr, sum(l_quantity) AS workforce_workers, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS workforce_share FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= '1996-01-01' AND o_custkey % 4 <> 1 GROUP BY 1, 2),
+ld AS (SELECT c_custkey AS o_custkey, unnest(range(1997, 2000))::INTEGER AS yr, c_acctbal AS leaders_score FROM customer WHERE c_custkey % 3 = 0),
 p AS (SELECT * FROM f FULL JOIN w USING (o_custkey, yr) FULL JOIN ld USING (o_custkey, yr))"""
 
 
@@ -59,21 +59,21 @@ def _merged_firms(t):
     n = F.col("l_quantity")
     work = lines.groupBy("o_custkey", F.year("l_shipdate").alias("yr")).agg(F.sum(n).alias("workers"), F.round(F.sum(F.when(F.col("l_returnflag") == "R", n).otherwise(0)) / F.sum(n), 6).alias("share"))
     leaders = t.customer.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), F.explode(F.sequence(F.lit(1997), F.lit(1999))).alias("yr"), F.col("c_acctbal").alias("score"))
-    return panels.merge_panels(filed, {"vr": work, "dipi": leaders}, ["o_custkey", "yr"])
+    return panels.merge_panels(filed, {"workforce": work, "leaders": leaders}, ["o_custkey", "yr"])
 
 
-@query(f"{_MERGED} SELECT o_custkey, yr, filed, vr_workers, vr_share, dipi_score FROM p")
+@query(f"{_MERGED} SELECT o_custkey, yr, filed, workforce_workers, workforce_share, leaders_score FROM p")
 def panel_firm_merged(t):
     """Firms by year: filings, workforce and leaders, all rows of each."""
     return _merged_firms(t)
 
 
-@query(f"""{_MERGED}, s AS (SELECT 'workforce' AS source, yr, filed, vr_workers AS v FROM p UNION ALL SELECT 'leaders', yr, filed, dipi_score FROM p),
+@query(f"""{_MERGED}, s AS (SELECT 'workforce' AS source, yr, filed, workforce_workers AS v FROM p UNION ALL SELECT 'leaders', yr, filed, leaders_score FROM p),
 y AS (SELECT source, min(yr) AS first, max(yr) AS last FROM s WHERE v IS NOT NULL GROUP BY 1)
 SELECT source, first, last, count(v) AS matched, count(*) AS total, round(count(v) / count(*)::DOUBLE, 6) AS share FROM s JOIN y USING (source) WHERE filed > 0 AND yr BETWEEN first AND last GROUP BY 1, 2, 3""")
 def panel_firm_coverage(t):
     """Of the firm-years with filings within the years that a source covers, those that it has."""
-    return panels.coverage(_merged_firms(t), F.col("filed") > 0, "yr", {"workforce": "vr_workers", "leaders": "dipi_score"}).withColumn("share", F.round("share", 6))
+    return panels.coverage(_merged_firms(t), F.col("filed") > 0, "yr", {"workforce": "workforce_workers", "leaders": "leaders_score"}).withColumn("share", F.round("share", 6))
 
 
 _OCC = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '11-' || lpad((p_partkey % 900)::VARCHAR, 4, '0') END AS soc, 'o' || (p_partkey % 97) || CASE p_partkey % 4 WHEN 0 THEN ', All Other (note)' WHEN 1 THEN 'y' ELSE '' END AS title FROM part"

@@ -12,10 +12,15 @@ link that is reported was decided on the whole sets.
     of its own, with a pivot of its own. Members that are far from all others are soon alone there; near ones stay together.
     A bucket with one component ends. Rounds end when the last one found no link (the first two are always made), at
     the latest after `levels`.
-
-The comparison with one pivot can miss a link in a family whose members link here and there but mostly not with its middle;
-the tests measure how many documents are found against brute force over all pairs (all of them on the given tables; 0.98 or
-more in families made of such members only).
+ 4. Steps 1 to 3 only save work: they join most texts early. What they can miss (no band in common, links off the middle, the
+    end of the rounds) is found by an exact prefix join over all texts, between components only, as others change nothing:
+    a. A set of n shingles that is similar to another lacks at most n - ceil(similarity * n) of its own there. So the first ones of
+       both, in any one order, have some in common. Each text gives this prefix in the order of the hashes, a little longer than
+       needed, and goes on if enough of it is in the prefix of a text of another component. Most texts end here.
+    b. Those left give their whole sets. Shingles that no other component has count as lacking; the others are
+       ordered by the number of texts that have them, so that the prefix holds the rarest.
+    c. Texts of different components that meet at a shingle of their prefixes, and whose sizes and places leave room for the
+       similarity, are compared on the whole sets. Large meetings are dealt in pieces over tasks; none is left out.
 
 Defined results: very long texts are compared whole; of members that tie for the middle of a bucket the one with the larger
 content hash is the pivot; texts without words and null texts have no links here; repeated rows and rows with equal texts are one
@@ -38,6 +43,8 @@ from panelspark.operators.spread import sized_join, spread_join
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 MORE, REPLICATES, LEVELS = 2, 2, 8
+#: Pairs of texts that one task looks at where texts of different components meet at a shingle.
+PIECE_PAIRS = 1 << 22
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -120,6 +127,81 @@ def close_pairs(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: S
     return both.withColumn("shared", shared).filter(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).drop("x", "y", "shared")
 
 
+def _required(n, similarity: float):
+    """Shingles that a set of n has in common with each similar one, at least; a bit low, against rounding."""
+    return (np if isinstance(n, np.ndarray) else F).ceil(n * (similarity * (1 - 1e-9)))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(rid, content, need, tokens) for each row (rid, text) with words: two similar sets have at least `need` of both their tokens in common."""
+    for batch in batches:
+        for row, end, data, off in text_slices(batch, "text"):
+            hashes, n, content = shingle_hashes(data, off, shingle)
+            some = np.flatnonzero(n)
+            sets = [np.unique(part) for part in np.split(hashes, np.cumsum(n[some])[:-1])] if len(some) else []
+            n = np.array([len(x) for x in sets], np.int64)
+            least = _required(n, similarity).astype(np.int64)
+            need = np.minimum(1 + n // 20, least)
+            tokens = [x[:m] for x, m in zip(sets, n - least + need)]
+            at = np.cumsum([0] + [len(x) for x in tokens], dtype=np.int32)
+            values = np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0)[row:end].take(pa.array(some)), pa.array(content[some].view(np.int64)), pa.array(need),
+                pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["rid", "content", "need", "tokens"])
+
+
+def candidate_pairs(held: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, la, lb) of texts of different components that can be similar, all of them, from held (content, root, n, shingles)."""
+    tokens = held.select("content", "root", "n", F.explode("shingles").alias("token"))
+    times = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("root").alias("l"), F.max("root").alias("h"))
+    times = scratch.put(times.filter("l < h").select("token", "times"), "times")
+    found = sized_join(tokens, times, ["token"]).groupBy("content", "root", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("found"))
+    least = _required(F.col("n"), similarity).cast("int")
+    found = found.withColumn("least", least).filter(F.size("found") >= F.col("least"))
+    prefix = F.slice("found", F.lit(1), F.size("found") - F.col("least") + 1)
+    # of the ordered set, those that only this component has come first; rest: how many come from this token on
+    met = found.select("content", "root", "n", F.size("found").alias("rest"), F.posexplode(prefix).alias("i", "t"))
+    met = scratch.put(met.select("content", "root", "n", (F.col("rest") - F.col("i")).alias("rest"), F.col("t.token").alias("token")), "prefix")
+    size = met.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("m"))
+    others = F.col("all") - F.col("m.c")
+    size = scratch.put(size.filter(others > 0).select("token", F.col("m.root").alias("main"), F.ceil(others * F.col("all") / PIECE_PAIRS).cast("int").alias("pieces")), "meetings")
+    met = scratch.put(sized_join(met, size, ["token"]), "meeting")
+    # all but the largest component of a meeting against all of it
+    right = met.select("token", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("content").alias("a"), F.col("root").alias("la"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    left = met.filter("root <> main").select("token", F.pmod(F.xxhash64("content"), F.col("pieces")).cast("int").alias("piece"), F.col("content").alias("b"), F.col("root").alias("lb"), "n", "rest", "main")
+    both = left.join(right, ["token", "piece"]).filter((F.col("la") != F.col("lb")) & ((F.col("la") == F.col("main")) | (F.col("a") < F.col("b"))))
+    fits = F.least("rest", "ra") >= _required((F.col("n") + F.col("na")) / (1 + similarity), similarity)
+    return scratch.put(both.filter(fits).select("a", "b", "la", "lb").distinct(), "pairs")
+
+
+def exact_links(rows: DataFrame, rooted: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between components: one for each two that hold similar texts, none is missed. rooted, written, has (rid, content,
+    root, known) of all texts of rows (rid, text); known is the root, but null where a text is the only one of its component."""
+    bound_batches(rows.sparkSession)
+    made = rows.mapInArrow(lambda it: _prefixes(it, shingle, similarity), "rid long, content long, need long, tokens array<long>")
+    laid = scratch.put(sized_join(made, rooted.drop("root"), ["rid", "content"]).drop("rid"), "laid")
+    tokens = laid.select("content", "known", F.explode("tokens").alias("token"))
+    held = tokens.groupBy("token").agg(F.min("known").alias("l"), F.max("known").alias("h"), F.count(F.lit(1)).alias("all"), F.count("known").alias("some"))
+    common = scratch.put(held.filter("l < h or (some < all and all > 1)").select("token"), "common")
+    found = sized_join(tokens.select("content", "token"), common, ["token"], how="left_semi").groupBy("content").agg(F.count(F.lit(1)).alias("c"))
+    found = scratch.put(found, "found")
+    alive = scratch.put(sized_join(laid.select("content", "need"), found, ["content"]).filter("c >= need").select("content").distinct(), "alive")
+    scratch.drop("laid", "common", "found")
+    wanted = scratch.put(sized_join(rooted.select("rid", "content", "root"), alive, ["content"]), "wanted")
+    sets = shingle_sets(rows, wanted.select("rid", "content"), shingle).dropDuplicates(["content"])
+    sets = scratch.put(sized_join(sets, wanted.select("content", "root"), ["content"]), "whole")
+    pairs = candidate_pairs(sets, similarity, scratch)
+    scratch.drop("alive", "wanted", "times", "prefix", "meetings", "meeting")
+    return scratch.put(close_pairs(pairs, sets, similarity, scratch).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "exact")
+
+
+def _onward(roots: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node, root) of roots and of merged, where what was joined before goes where its root goes now."""
+    later = merged.toDF("root", "last")
+    own = merged.join(roots.select("node"), "node", "left_anti")
+    return roots.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")).unionByName(own)
+
+
 def similar_labels(rows: DataFrame, texts: DataFrame, edges: DataFrame, components: Callable[[DataFrame], DataFrame], *, shingle: int = SHINGLE,
                    similarity: float = SIMILARITY, levels: int = LEVELS) -> DataFrame:
     """(node, root) that joins the labels of texts (content, rid, label, bands; unique content) over similar texts and over the
@@ -159,10 +241,8 @@ def similar_labels(rows: DataFrame, texts: DataFrame, edges: DataFrame, componen
             met = sized_join(met, labels, ["label"], ["content"]).select("bucket", "content", F.col("root").alias("label"), "spread", "n")
             if roots is None:
                 roots = merged
-            else:  # what was joined before goes where its root goes now
-                later = moved.select(F.col("label").alias("root"), F.col("root").alias("last"))
-                own = merged.join(roots.select("node"), "node", "left_anti")
-                roots = scratch.put(roots.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")).unionByName(own), f"roots-{k}")
+            else:
+                roots = scratch.put(_onward(roots, merged), f"roots-{k}")
         elif k:
             break
         open_ = scratch.put(met.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("bucket"), f"open-{k}")
@@ -175,4 +255,12 @@ def similar_labels(rows: DataFrame, texts: DataFrame, edges: DataFrame, componen
         left = scratch.put(finer.join(own.drop("buckets"), "content"), f"left-{k + 1}")
         scratch.drop(f"met-{k}", f"open-{k}", f"own-{k}", f"labels-{k}", f"close-{k}")
     scratch.keep(*[n for n in scratch.names if n.startswith(("roots-", "merged-"))])
+    rooted = texts.select("rid", "content", "label").join(roots.toDF("label", "root"), "label", "left").select("rid", "content", F.coalesce("root", "label").alias("root"))
+    rooted = scratch.put(rooted, "bare")
+    several = scratch.put(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("root", F.col("root").alias("known")), "several")
+    rooted = scratch.put(sized_join(rooted, several, ["root"], how="left").select("rid", "content", "root", "known"), "rooted")
+    rest = exact_links(rows, rooted, shingle, similarity, scratch)
+    if not rest.isEmpty():
+        roots = scratch.put(_onward(roots, scratch.put(components(rest), "merged-last")), "roots-last")
+    scratch.keep(*[n for n in scratch.names if n.startswith(("roots-", "merged-"))])
     return roots

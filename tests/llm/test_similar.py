@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.llm import similar, simhash
 from tests.llm.conftest import DOC_SCHEMA
@@ -132,6 +133,43 @@ def test_families_that_mostly_do_not_link_with_their_middle(spark):
     assert merged > 50 and len(rows) - len(set(got.values())) >= 0.98 * merged
 
 
+def test_no_link_is_lost_where_bands_pivots_and_rounds_find_none(spark, near_rows, monkeypatch):
+    """Bands that never meet, then no bound of rounds but one, against brute force; meetings are dealt in small pieces."""
+    monkeypatch.setattr(similar, "PIECE_PAIRS", 50)
+    rows = [(r[0], r[1]) for r in near_rows]
+    rows += [(i, t) for i, t in enumerate(spread_family(random.Random(12), 120, 400, 0.005, 0.05) + spread_family(random.Random(13), 80, 500, 0.012, 0.03))]
+    want = set(brute_similar(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    real, asked = similar.similar_labels, []
+    for blind in (True, False):
+        def labels(rows, texts, *rest, blind=blind, **options):
+            asked.append(blind)
+            apart = F.array(F.xxhash64("content", F.lit("own")), F.xxhash64("content", F.lit("other")))
+            return real(rows, texts.withColumn("bands", apart) if blind else texts, *rest, **options, levels=1)
+
+        monkeypatch.setattr(similar, "similar_labels", labels)
+        assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs, similarity=0.8).collect()} == want
+    assert asked == [True, False]
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Sets of all small sizes at, above and below the similarity: two similar ones have as much of their prefixes in common as both need."""
+    words = [f"w{i}" for i in range(400)]
+    texts, pairs = [], []
+    for n in range(1, 80):
+        for m in range(n, 100):
+            both = -(-4 * (n + m) // 9)
+            if both <= n:
+                pairs.append(len(texts))
+                texts += [" ".join(words[:n]), " ".join(words[n - both : n - both + m])]
+    batch = pa.RecordBatch.from_pydict({"rid": pa.array(range(len(texts))), "text": pa.array(texts, pa.large_string())})
+    got = {r["rid"]: r for b in similar._prefixes([batch], 1, 0.8) for r in b.to_pylist()}
+    assert len(pairs) > 700
+    for i in pairs:
+        a, b = got[i], got[i + 1]
+        assert len(set(a["tokens"]) & set(b["tokens"])) >= max(a["need"], b["need"])
+
+
 def test_work_grows_with_the_members_of_a_family(spark, monkeypatch):
     """Pairs that are compared in all rounds, for a family and one of four times its size."""
     counted = []

@@ -21,8 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,7 +55,8 @@ def splitters(keys: DataFrame, wanted: list[float], tolerance: float) -> list[tu
         last, shift = shift, max(0, shift - max(1, min(BITS, (COUNTS // len(open_)).bit_length() - 1)))
         rows = keys
         if last < 64:
-            starts = keys.sparkSession.createDataFrame([(s >> last,) for s in open_], "__start long")
+            # as Arrow, since a list of rows would start further Python workers, and those stay in the executors' memory
+            starts = keys.sparkSession.createDataFrame(pa.table({"__start": pa.array([s >> last for s in open_], pa.int64())}))
             rows = rows.join(F.broadcast(starts), F.shiftrightunsigned(unsigned, last) == F.col("__start"), "left_semi")  # at most a row per splitter
         counted = rows.groupBy(F.shiftrightunsigned(unsigned, shift).alias("p")).agg(F.sum("size"), F.count(F.lit(1))).collect()
         parts: dict[int, list[tuple[int, int, int]]] = {}
@@ -82,6 +82,20 @@ def splitters(keys: DataFrame, wanted: list[float], tolerance: float) -> list[tu
     return [done[i] for i in range(len(wanted))]
 
 
+def _longs(values: list[int]) -> Column:
+    """One constant array."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _number_below(bounds: list[int], key: Column) -> Column:
+    """How many of the ascending bounds (below 2**31 of them) are at or below key: binary search without a Python worker."""
+    if not bounds:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))])
+    table = _longs(bounds)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= key, at + step).otherwise(at))
+
+
 def shard_documents(documents: DataFrame, *, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE,
                     run_bytes: int = RUN_BYTES) -> DataFrame:
     """documents with shard (0 to shards - 1) and slot (0, 1, ... within a shard); shards are in key order."""
@@ -94,18 +108,11 @@ def shard_documents(documents: DataFrame, *, shards: int = SHARDS, doc_id: str =
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     runs = min(MAX_RUNS, max(1, round(total / shards / run_bytes)))
     cuts = splitters(keys, [total * i / (shards * runs) for i in range(1, shards * runs)], tolerance * total / shards / runs)
-    bounds = np.array([min(c[0], (1 << 64) - 1) for c in cuts], np.uint64)
+    bounds = sorted(min(c[0], (1 << 64) - 1) - (1 << 63) for c in cuts)
     rows_before = [0, *[c[2] for c in cuts]]
-    flipped = np.sort((bounds ^ np.uint64(1 << 63)).view(np.int64))
-
-    @F.pandas_udf("int")
-    def run_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(flipped, k.to_numpy(), "right").astype(np.int32))
-
-    first = [rows_before[r] - rows_before[r // runs * runs] for r in range(shards * runs)]
-    spark = documents.sparkSession
-    table = spark.createDataFrame([(r, n) for r, n in enumerate(first)], "__r int, __first long")
-    rows = documents.withColumn("__key", key).withColumn("__run", run_of("__key"))
+    first = _longs([rows_before[r] - rows_before[r // runs * runs] for r in range(shards * runs)])
+    rows = documents.withColumn("__key", key)
+    rows = rows.withColumn("__run", _number_below(bounds, F.col("__key")))
     place = F.row_number().over(Window.partitionBy("__run").orderBy("__key", doc_id, text)) - 1
-    rows = rows.withColumn("__place", place).join(F.broadcast(table), F.col("__run") == F.col("__r"))  # a row per run of run_bytes
-    return rows.withColumns({"shard": F.floor(F.col("__run") / runs).cast("int"), "slot": (F.col("__first") + F.col("__place")).cast("long")}).drop("__key", "__run", "__place", "__r", "__first").toDF(*columns, "shard", "slot")
+    slot = (F.get(first, F.col("__run")) + place).cast("long")
+    return rows.withColumn("slot", slot).withColumn("shard", F.floor(F.col("__run") / runs).cast("int")).select(*documents.columns, "shard", "slot").toDF(*columns, "shard", "slot")

@@ -124,6 +124,28 @@ def test_shards_are_near_equal_with_a_third_of_equal_texts_and_small_runs(spark)
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_sharding_starts_no_python_worker(spark, monkeypatch):
+    """Workers of another kind, started for a column function or a list of rows, stay beside those of the other stages."""
+    def failing(*args):
+        raise AssertionError("a list of rows goes through Python workers")
+
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 1700).alias("text"))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", failing)
+    got = sharding.shard_documents(docs, shards=40, run_bytes=500)
+    plan = got._jdf.queryExecution().toString()
+    assert "EvalPython" not in plan and "InArrow" not in plan
+    assert got.select("shard").distinct().count() == 40
+
+
+def test_runs_against_bisection(spark):
+    rng = random.Random(8)
+    for n in (0, 1, 2, 3, 39, 64, 479, 10_239):
+        bounds = sorted([rng.getrandbits(64) - (1 << 63) for _ in range(n)] + [-(1 << 63), (1 << 63) - 1, (1 << 63) - 1][: n // 3])
+        keys = [-(1 << 63), (1 << 63) - 1, 0, *bounds[:50], *[b + 1 for b in bounds[:50] if b < (1 << 63) - 1], *[rng.getrandbits(64) - (1 << 63) for _ in range(200)]]
+        got = spark.createDataFrame([(k,) for k in keys], "key long").select("key", sharding._number_below(bounds, F.col("key"))).collect()
+        assert [tuple(r) for r in got] == [(k, bisect.bisect_right(bounds, k)) for k in keys]
+
+
 def test_ten_thousand_splitters_against_sorted_keys(spark, monkeypatch):
     rng = random.Random(5)
     rows = sorted((rng.getrandbits(64), rng.randint(16, 5000)) for _ in range(30_000))

@@ -16,8 +16,10 @@ link that is reported was decided on the whole sets.
     end of the rounds) is found by an exact prefix join over all texts, between components only, as others change nothing:
     a. A set of n shingles that is similar to another lacks at most n - ceil(similarity * n) of its own there. So the first ones of
        both, in any one order, have some in common. Each text gives this prefix in the order of the hashes, a little longer than
-       needed, and goes on if enough of it is in the prefix of a text of another component. Most texts end here.
-    b. Those left give their whole sets. Shingles that no other component has count as lacking; the others are
+       needed, and goes on if enough of it is in the prefix of a text of another component. Most texts end here. The prefixes are
+       shuffled once and not written: what is written are the shingles that another text has too.
+    b. Those left go through the same shuffle with their whole sets, and go on if other components have as much of them as
+       a similar text must. Shingles that no other component has count as lacking; the others are
        ordered by the number of texts that have them, so that the prefix holds the rarest.
     c. Texts of different components that meet at a shingle of their prefixes, and whose sizes and places leave room for the
        similarity, are compared on the whole sets. Large meetings are dealt in pieces over tasks; none is left out.
@@ -36,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelspark.llm.common import LOWER, NON_SPACE, Rolling, Scratch, bound_batches, mix, text_slices, word_spans
 from panelspark.operators.spread import sized_join, spread_join
@@ -43,6 +46,8 @@ from panelspark.operators.spread import sized_join, spread_join
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 MORE, REPLICATES, LEVELS = 2, 2, 8
+#: Rows that a slice of texts gives at most for a shingle that one component alone has there.
+ALIKE = 16
 #: Pairs of texts that one task looks at where texts of different components meet at a shingle.
 PIECE_PAIRS = 1 << 22
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -150,6 +155,53 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
                 pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["rid", "content", "need", "tokens"])
 
 
+def _whole(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(content, root, need, tokens) for each row (content, root, text) whose text has that content: its whole set."""
+    for batch in batches:
+        roots = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for sets in _sets([batch], shingle):
+            root = pa.array([roots[c] for c in sets.column(0).to_pylist()], pa.int64())
+            need = _required(np.diff(sets.column(1).offsets.to_numpy()), similarity).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([sets.column(0), root, pa.array(need), sets.column(1)], names=["content", "root", "need", "tokens"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (key, other, root, need, sure) for each token of the rows (content, need, tokens), with root or else content as root.
+
+    Key and other are token and content; sure ones have content and token: another root has their token in the same batch already, or
+    (which the caller may not rely on) one root has it in over ALIKE texts there. So no batch gives a key more than a few rows, and
+    all texts of a token learn of another root: where a batch has several, two of them go by the token.
+    """
+    for batch in batches:
+        content, need, tokens = batch.column("content").to_numpy(), batch.column("need").to_numpy(), batch.column("tokens")
+        root = batch.column("root").to_numpy() if "root" in batch.schema.names else content
+        once = np.zeros(len(content), bool)
+        once[np.unique(content, return_index=True)[1]] = True
+        owner = np.repeat(np.arange(len(content)), np.diff(tokens.offsets.to_numpy()))
+        token = tokens.values.to_numpy()[once[owner]]
+        owner = owner[once[owner]]
+        order = np.lexsort((root[owner], token))
+        token, owner = token[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(token)))
+        last = first + size - 1
+        several = np.repeat(root[owner[first]] != root[owner[last]], size)
+        place = np.arange(len(token)) - np.repeat(first, size)
+        sure = np.where(several, (place > 0) & (place < np.repeat(size, size) - 1), place >= ALIKE)
+        own = content[owner]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.where(sure, own, token)), pa.array(np.where(sure, token, own)), pa.array(root[owner]), pa.array(need[owner]), pa.array(sure)],
+            names=["key", "other", "root", "need", "sure"])
+
+
+def shared_tokens(dealt: DataFrame, root: str) -> DataFrame:
+    """(content, token, need) of the rows of _dealt whose token another root has too, in one shuffle; root names its column.
+    A token that equals a sure row's content by chance may be taken for shared, never the other way round."""
+    key = Window.partitionBy("key")
+    shared = dealt.withColumns({"l": F.min(root).over(key), "h": F.max(root).over(key)}).filter("sure or l < h")
+    return shared.select(F.when(F.col("sure"), F.col("key")).otherwise(F.col("other")).alias("content"), F.when(F.col("sure"), F.col("other")).otherwise(F.col("key")).alias("token"), "need")
+
+
 def candidate_pairs(held: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b, la, lb) of texts of different components that can be similar, all of them, from held (content, root, n, shingles)."""
     tokens = held.select("content", "root", "n", F.explode("shingles").alias("token"))
@@ -178,8 +230,11 @@ def exact_links(rows: DataFrame, rooted: DataFrame, shingle: int, similarity: fl
     """Links (a, b) between components: one for each two that hold similar texts, none is missed. rooted, written, has (rid, content,
     root, known) of all texts of rows (rid, text); known is the root, but null where a text is the only one of its component."""
     bound_batches(rows.sparkSession)
-    made = rows.mapInArrow(lambda it: _prefixes(it, shingle, similarity), "rid long, content long, need long, tokens array<long>")
-    laid = scratch.put(sized_join(made, rooted.drop("root"), ["rid", "content"]).drop("rid"), "laid")
+    slim = lambda it: (b.select(["key", "other", "need", "sure"]) for b in it)
+    made = rows.mapInArrow(lambda it: slim(_dealt(_prefixes(it, shingle, similarity))), "key long, other long, need long, sure boolean")
+    # each text is its own root here, components are told apart below, on the few tokens that are left
+    shared = shared_tokens(made, "other").groupBy("content").agg(F.max("need").alias("need"), F.collect_set("token").alias("tokens"))
+    laid = scratch.put(shared.filter(F.size("tokens") >= F.col("need")).join(rooted.select("content", "known"), "content"), "laid")
     tokens = laid.select("content", "known", F.explode("tokens").alias("token"))
     held = tokens.groupBy("token").agg(F.min("known").alias("l"), F.max("known").alias("h"), F.count(F.lit(1)).alias("all"), F.count("known").alias("some"))
     common = scratch.put(held.filter("l < h or (some < all and all > 1)").select("token"), "common")
@@ -188,10 +243,17 @@ def exact_links(rows: DataFrame, rooted: DataFrame, shingle: int, similarity: fl
     alive = scratch.put(sized_join(laid.select("content", "need"), found, ["content"]).filter("c >= need").select("content").distinct(), "alive")
     scratch.drop("laid", "common", "found")
     wanted = scratch.put(sized_join(rooted.select("rid", "content", "root"), alive, ["content"]), "wanted")
-    sets = shingle_sets(rows, wanted.select("rid", "content"), shingle).dropDuplicates(["content"])
-    sets = scratch.put(sized_join(sets, wanted.select("content", "root"), ["content"]), "whole")
+    whole = sized_join(rows, wanted, ["rid"]).select("content", "root", "text")
+    whole = whole.mapInArrow(lambda it: _dealt(_whole(it, shingle, similarity)), "key long, other long, root long, need long, sure boolean")
+    # repeated rows may count more than once, so a few texts too many go on
+    near = shared_tokens(whole, "root").groupBy("content").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need"))
+    near = scratch.put(near.filter("c >= need").select("content"), "near")
+    wanted = scratch.put(sized_join(wanted, near, ["content"]), "nearer")
+    sets = scratch.put(sized_join(shingle_sets(rows, wanted.select("rid", "content"), shingle), wanted.select("content", "root"), ["content"]), "whole")
+    if sets.count() > wanted.count():
+        sets = scratch.put(sets.dropDuplicates(["content"]), "whole-once")
     pairs = candidate_pairs(sets, similarity, scratch)
-    scratch.drop("alive", "wanted", "times", "prefix", "meetings", "meeting")
+    scratch.drop("alive", "wanted", "near", "nearer", "times", "prefix", "meetings", "meeting")
     return scratch.put(close_pairs(pairs, sets, similarity, scratch).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "exact")
 
 

@@ -170,6 +170,49 @@ def test_prefixes_of_similar_sets_meet():
         assert len(set(a["tokens"]) & set(b["tokens"])) >= max(a["need"], b["need"])
 
 
+class Counted(similar.Scratch):
+    """Rows of the tables that were written."""
+
+    def put(self, df, name):
+        out = super().put(df, name)
+        self.rows = getattr(self, "rows", {}) | {name: out.count()}
+        return out
+
+
+def test_prefixes_that_no_other_text_shares_are_not_written(spark):
+    texts = [" ".join(f"t{i}w{j}" for j in range(60)) for i in range(30)]
+    for more, laid, links in (([], 0, 0), ([texts[4] + " end"], 2, 1)):
+        batch = pa.RecordBatch.from_pydict({"text": pa.array(texts + more, pa.large_string())})
+        content = similar.sketch(batch, "text", 5)[0].to_pylist()
+        rows = spark.createDataFrame(list(enumerate(texts + more)), "rid long, text string").repartition(3)
+        rooted = spark.createDataFrame([(i, c, c, None) for i, c in enumerate(content)], "rid long, content long, root long, known long")
+        scratch = Counted(spark, "counted")
+        found = similar.exact_links(rows, rooted, 5, 0.8, scratch).collect()
+        assert scratch.rows["laid"] == laid and scratch.rows["whole"] == laid and len(found) == links
+
+
+def test_shared_tokens_equal_brute_force_and_no_token_is_hot(spark):
+    """Three batches of texts; token 7 is in all of them, token 8 in one component only, copies of a text count once. No token
+    is any text's content, which shared_tokens would take for one key."""
+    rng = random.Random(9)
+    rows = [(c, c % 40 if c % 3 else 5, sorted({7, *([8] if c % 40 == 1 and c % 3 else []), *rng.sample(range(100, 900), 6)})) for c in range(1001, 1301)]
+    batches, keys = [], Counter()
+    for part in (rows[:100], rows[100:200] + rows[100:110], rows[200:] + rows[:3]):
+        content, root, tokens = zip(*part)
+        batches.append(pa.RecordBatch.from_pydict({"content": pa.array(content), "root": pa.array(root), "need": pa.array([len(t) for t in tokens]), "tokens": pa.array(tokens, pa.list_(pa.int64()))}))
+    dealt = [r for b in similar._dealt(batches) for r in b.to_pylist()]
+    keys.update(r["key"] for r in dealt if not r["sure"])
+    assert keys[7] <= 2 * len(batches)
+    frame = spark.createDataFrame([tuple(r.values()) for r in dealt], "key long, other long, root long, need long, sure boolean")
+    got = {(r.content, r.token) for r in similar.shared_tokens(frame, "root").collect()}
+    holders = defaultdict(set)
+    for c, r, tokens in rows:
+        for t in tokens:
+            holders[t].add(r)
+    assert len(holders[8]) == 1 < sum(8 in t for _, _, t in rows)
+    assert got == {(c, t) for c, _, tokens in rows for t in tokens if len(holders[t]) > 1}
+
+
 def test_work_grows_with_the_members_of_a_family(spark, monkeypatch):
     """Pairs that are compared in all rounds, for a family and one of four times its size."""
     counted = []

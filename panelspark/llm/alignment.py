@@ -10,10 +10,11 @@ read off the models; if it isn't so, a text is one piece). The distinct pieces o
 BLOB_BYTES and aligned in numpy, and the documents are put together from pieces. A worker remembers short pieces.
 
 align() returns the spans. linked() also weighs each link (A token, B token that share bytes) by the number of documents of the
-corpus that hold its pair of ids linked. A batch of texts becomes one row of arrays: its distinct pairs, and each document's
-pairs as places among those. The pairs of the batches are counted over the corpus; the counts go back by batch and pair, and
-each batch adds them up for its documents. So a pair is shuffled once a batch and not once a document, and no row grows beyond
-its batch (4 MB of texts, or one longer text).
+corpus that hold its pair of ids linked. SLICE_BYTES of texts (or one longer text) become one row of arrays: their distinct
+pairs, and each document's pairs as places among those. The pairs of the slices are counted over the corpus. Up to BROADCAST_ROWS
+counts go to all tasks; more of them go back by slice and pair, and meet the row of their slice in a group that Python reads as a
+stream. Each slice adds them up for its documents. So a pair is shuffled once a slice and not once a document. A row has about 1 MB,
+and a Parquet row group few of them, as a reader unpacks a whole group at once.
 
 Nulls and such: null and empty texts, and those that a tokenizer doesn't give back byte by byte (B reads U+2581 as a space),
 have no tokens: zeros and an empty digest. Very long texts are encoded whole. Repeated rows and null ids count one by one. An
@@ -36,13 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm.common import bound_batches, new_folder
-from panelspark.operators.spread import sized_join
+from panelspark.operators import spread
 
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of distinct pieces that are encoded at once; pieces that a worker remembers from batch to batch, and their most bytes.
 BLOB_BYTES, KNOWN, KNOWN_BYTES = 1 << 17, 300_000, 32
-#: Parquet row groups, so that a reader holds few of the wide rows at once.
-GROUP_BYTES = 16 << 20
+#: Bytes of texts that make a row of arrays.
+SLICE_BYTES = 1 << 20
+#: Parquet row groups of few wide rows: packed they tell little of what a reader holds, and the writer would first look at their
+#: size after 100 rows.
+GROUP = {"parquet.block.size": 16 << 20, "parquet.block.row.count.limit": 16, "parquet.page.size.row.check.min": 1}
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -353,33 +357,53 @@ def _batch_row(batch: pa.RecordBatch, both: Tokenizers) -> dict:
             "n_links": total(n_links), "groups_sha256": sha, "sizes": np.bincount(doc, minlength=len(n)), "place": used[place].astype(np.int32), "times": times.astype(np.int32)}
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of the rows of a batch with SLICE_BYTES of text at most; a longer text is taken alone."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size)
+        row = 0
+        while row < batch.num_rows:
+            stop = max(row + 1, int(np.searchsorted(ends, ends[row] - size[row] + SLICE_BYTES, "right")))
+            yield batch.slice(row, stop - row)
+            row = stop
+
+
 def _batch_rows(batches: Iterator[pa.RecordBatch], files) -> Iterator[pa.RecordBatch]:
     both, task = _opened(files.value), TaskContext.get().partitionId()
-    for k, batch in enumerate(batches):
-        if not batch.num_rows:
-            continue
+    for k, batch in enumerate(_slices(batches)):
         row = _batch_row(batch, both)
         ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), row["doc_id"])
         yield pa.RecordBatch.from_arrays(
             [pa.array([task << 32 | k], pa.int64()), ids, *[pa.array([row[c]], pa.list_(t)) for c, t in _LISTS.items()]], names=["batch", "doc_id", *_LISTS])
 
 
-def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents from rows of batches with the counts of their pairs."""
+def _figures(cell, counts: np.ndarray, best: np.ndarray) -> dict:
+    """Columns of the documents of a slice from its lists, cell(name), and the counts of its pairs."""
+    array = lambda name: cell(name).to_numpy(zero_copy_only=False)
+    sizes, place, times = array("sizes"), array("place"), array("times").astype(np.int64)
+    doc_of = np.repeat(np.arange(len(sizes)), sizes)
+    n_best, count_sum = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    np.add.at(n_best, doc_of, times * best[place])
+    np.add.at(count_sum, doc_of, times * counts[place])
+    return {**{c: cell(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}, "n_best": pa.array(n_best), "count_sum": pa.array(count_sum), "groups_sha256": cell("groups_sha256")}
+
+
+def _figures_of_all(batches: Iterator[pa.RecordBatch], counted) -> Iterator[pa.RecordBatch]:
+    """Rows of documents from rows of slices, with the counts of all pairs at hand."""
+    pairs, counts, best = counted.value
     for batch in batches:
         for i in range(batch.num_rows):
             cell = lambda name: batch.column(batch.schema.get_field_index(name))[i].values  # noqa: B023, E731
-            array = lambda name: cell(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            sizes, place, times = array("sizes"), array("place"), array("times").astype(np.int64)
-            doc_of = np.repeat(np.arange(len(sizes)), sizes)
-            counts, best = (array("counts"), array("best").astype(bool)) if batch.column(batch.schema.get_field_index("counts"))[i].is_valid else (np.zeros(0, np.int64), np.zeros(0, bool))
-            n_best, count_sum = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-            np.add.at(n_best, doc_of, times * best[place])
-            np.add.at(count_sum, doc_of, times * counts[place])
-            names = ["n_a", "n_b", "n_groups", "n_links"]
-            yield pa.RecordBatch.from_arrays(
-                [cell("doc_id"), *[cell(c) for c in names], pa.array(n_best), pa.array(count_sum), cell("groups_sha256")],
-                names=["doc_id", *names, "n_best", "count_sum", "groups_sha256"])
+            at = np.searchsorted(pairs, cell("pairs").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_pydict(_figures(cell, counts[at], best[at]))
+
+
+def _figures_of_slice(row: pa.Table, counted: pa.Table) -> pa.Table:
+    """Rows of documents from the row of a slice and the counts of its pairs."""
+    column = lambda name: counted[name].to_numpy()
+    order = np.argsort(column("pair"))  # pairs are sorted within a slice, so their order is that of their places
+    return pa.table(_figures(lambda name: row[name][0].values, column("count")[order].astype(np.int64), column("best")[order].astype(bool)))
 
 
 def pair_counts(postings: DataFrame) -> DataFrame:
@@ -402,14 +426,18 @@ def linked(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("doc_id", T.ArrayType(rows.schema["doc_id"].dataType)),
                            *[T.StructField(c, T.ArrayType(kinds[t], False)) for c, t in _LISTS.items()]])
     path = new_folder(spark, "alignment")
-    rows.mapInArrow(lambda it: _batch_rows(it, files), schema).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    rows.mapInArrow(lambda it: _batch_rows(it, files), schema).write.options(**GROUP).parquet(path)
     table = spark.read.schema(schema).parquet(path)
     postings = table.select("batch", F.explode(F.arrays_zip("pairs", "docs")).alias("p")).select("batch", F.col("p.pairs").alias("pair"), F.col("p.docs").alias("docs"))
     counts_path = new_folder(spark, "alignment-pairs")
     pair_counts(postings).write.parquet(counts_path)
     counts = spark.read.parquet(counts_path)
-    # pairs are sorted within a batch, so their order is that of their places
-    back = sized_join(postings.select("batch", "pair"), counts, ["pair"], by=["batch"]).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("pair", "count", "best"))).alias("c"))
-    whole = table.drop("pairs", "docs").join(back.select("batch", F.col("c.count").alias("counts"), F.col("c.best").alias("best")), "batch", "left")
     figures = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return whole.mapInArrow(_figures, T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(figures)]))
+    out = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(figures)])
+    if counts.count() <= spread.BROADCAST_ROWS:
+        known = counts.orderBy("pair").toArrow()
+        counted = spark.sparkContext.broadcast((known["pair"].to_numpy(), known["count"].to_numpy(), known["best"].to_numpy()))
+        return table.drop("docs").mapInArrow(lambda it: _figures_of_all(it, counted), out)
+    back = spread.spread_join(postings.select("batch", "pair"), counts, ["pair"], by=["batch"])
+    again = spark.read.schema(schema).parquet(path).drop("pairs", "docs")  # Spark can't tell the columns of two uses of a table apart here
+    return again.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_figures_of_slice, out)

@@ -129,3 +129,45 @@ def test_spans_and_counts_beyond_a_broadcast(spark, both, monkeypatch):
     got = sorted((int(r[0]), *r[1:]) for r in alignment.linked(df, doc_id="name", text="body").collect())
     assert got == [(i, *x) for i, x in enumerate(expected(both, texts))]
     assert alignment.linked(df.limit(0), doc_id="name", text="body").count() == 0
+
+
+def test_written_rows_and_row_groups_stay_small(spark, both, monkeypatch, tmp_path):
+    """Rows of 4 MB of texts and dozens of them a row group filled an executor's heap when they were read."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from panelspark.llm import common
+    from panelspark.operators import spread
+
+    monkeypatch.setattr(alignment, "new_folder", lambda _, name: f"{tmp_path}/{name}")
+    words = ["alpha", "beta,", "naïve", "x1", "kappa's", "42", "Épée", "lambda"]
+    text = " ".join(words[(k * k + k // 7) % 8] for k in range(20_000))
+    texts = [None, "", *[text] * 24]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    *one, counts, sha = expected(both, [text])[0]
+    none = (0, 0, 0, 0, 0, 0, "")
+    want = [(i, *(x or none)) for i, x in enumerate([None, None, *[(*one, 24 * counts, sha)] * 24])]
+    size = {i: len((t or "").encode()) for i, t in enumerate(texts)}
+    assert sum(size.values()) > 2 * alignment.SLICE_BYTES and sorted(tuple(r) for r in alignment.linked(df).collect()) == want
+    held = [r.doc_id for r in spark.read.parquet(f"{tmp_path}/alignment").select("doc_id").collect()]
+    assert sorted(i for ids in held for i in ids) == list(size) and all(len(ids) == 1 or sum(size[i] for i in ids) <= alignment.SLICE_BYTES for ids in held)
+
+    monkeypatch.setattr(alignment, "new_folder", lambda _, name: f"{tmp_path}/small-{name}")
+    monkeypatch.setattr(common, "BATCH_ROWS", 1)  # each text a row
+    monkeypatch.setattr(spread, "BROADCAST_ROWS", 0)
+    texts = [None, "", *[f"text {i} of many" for i in range(48)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in alignment.linked(df).collect()) == [(i, *x) for i, x in enumerate(expected(both, texts))]
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(f"{tmp_path}/small-alignment/*.parquet")]
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 16
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_tables_without_any_pair(spark, monkeypatch, broadcast_rows):
+    from panelspark.operators import spread
+
+    monkeypatch.setattr(spread, "BROADCAST_ROWS", broadcast_rows)
+    df = spark.createDataFrame([("a", None), (None, ""), ("b", "x ▁")], "doc_id string, text string")
+    assert sorted(map(tuple, alignment.linked(df).collect()), key=str) == [(i, 0, 0, 0, 0, 0, 0, "") for i in ("a", "b", None)]
+    assert alignment.linked(df.limit(0)).collect() == []

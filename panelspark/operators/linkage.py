@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.functions import names
+from panelspark.operators import spread
+from panelspark.sources.staging import staged
 
 
 def exact(left: DataFrame, right: DataFrame, name: str, code: str) -> DataFrame:
@@ -15,14 +17,35 @@ def exact(left: DataFrame, right: DataFrame, name: str, code: str) -> DataFrame:
     return left.join(known, name, "left").withColumn("ambiguous", F.coalesce(F.size("codes") > 1, F.lit(False)))
 
 
-def by_years(pairs: DataFrame, unit: str, code: str, y0: str, y1: str, f0: str, f1: str) -> DataFrame:
-    """Of a unit's candidates: those whose years meet the unit's, by the later common end, then the longer overlap; then those of
-    which a year is unknown; then those that never meet, by the smaller gap. Of equal ones the smaller code."""
+def _by_years(code: str, y0: str, y1: str, f0: str, f1: str) -> Column:
+    """Rank of a candidate for a unit, the best one first."""
     end = F.when(F.col(y0).isNotNull() & F.col(y1).isNotNull() & F.col(f0).isNotNull() & F.col(f1).isNotNull(), F.least(y1, f1))
     overlap = end - F.greatest(y0, f0)
     kind = F.when(overlap >= 0, 0).when(end.isNull(), 1).otherwise(2)
-    rank = F.struct(kind.alias("c"), F.when(kind == 0, -end).when(kind == 2, -overlap).otherwise(0).alias("e"), F.when(kind == 0, -overlap).otherwise(0).alias("o"), F.col(code).alias("k"))
-    return pairs.groupBy(unit).agg(F.min_by(code, rank).alias(code), F.count_distinct(code).alias("candidates"))
+    return F.struct(kind.alias("c"), F.when(kind == 0, -end).when(kind == 2, -overlap).otherwise(0).alias("e"), F.when(kind == 0, -overlap).otherwise(0).alias("o"), F.col(code).alias("k"))
+
+
+def by_years(pairs: DataFrame, unit: str, code: str, y0: str, y1: str, f0: str, f1: str) -> DataFrame:
+    """Of a unit's candidates: those whose years meet the unit's, by the later common end, then the longer overlap; then those of
+    which a year is unknown; then those that never meet, by the smaller gap. Of equal ones the smaller code."""
+    return pairs.groupBy(unit).agg(F.min_by(code, _by_years(code, y0, y1, f0, f1)).alias(code), F.count_distinct(code).alias("candidates"))
+
+
+def name_by_years(left: DataFrame, right: DataFrame, name: str, unit: str, code: str, y0: str, y1: str, f0: str, f1: str) -> DataFrame:
+    """by_years over all pairs of a unit and a code of its name, without the pairs: of codes with the same name and years the smallest
+    decides, and units with the same name and years have the same holder. So only the distinct spans of a name meet, whose number
+    the years bound, whatever the number of units and codes. Null names and codes meet nothing. A unit has one name; more are an
+    error, as the codes of several names would have to be counted as one set."""
+    known = staged(right.filter(F.col(name).isNotNull() & F.col(code).isNotNull()).select(name, code, f0, f1), "names-of-codes")
+    spans = known.groupBy(name, f0, f1).agg(F.min(code).alias(code))
+    candidates = known.groupBy(name).agg(F.count_distinct(code).alias("candidates"))
+    units = staged(left.filter(F.col(name).isNotNull()).select(unit, name, y0, y1), "names-of-units")  # read three times, and names cost much
+    best = units.select(name, y0, y1).distinct().join(spans, name).groupBy(name, y0, y1).agg(F.min(_by_years(code, y0, y1, f0, f1)).alias("__rank"))
+    # as a struct the key is never null, though its years may be
+    key = lambda df: df.withColumn("__key", F.struct(name, y0, y1)).drop(y0, y1)
+    found = spread.spread_join(key(units), key(best.join(candidates, name)).drop(name), ["__key"], by=[unit])
+    one_name = F.when(F.min(name) == F.max(name), F.max("candidates")).otherwise(F.raise_error("a unit has several names"))
+    return found.groupBy(unit).agg(F.min("__rank")["k"].alias(code), one_name.alias("candidates"))
 
 
 def fuzzy(left: DataFrame, right: DataFrame, name: str, code: str, cutoff: float = 95.0, least: int = 4, *, count: str | None = None, least_count: int = 5, top: int | None = None) -> DataFrame:

@@ -133,9 +133,9 @@ k AS (SELECT c_custkey, code, CASE WHEN e IS NULL THEN 1 WHEN e - s >= 0 THEN 0
 n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY c, a, b, code) AS r, count(*) OVER (PARTITION BY c_custkey) AS candidates FROM (SELECT DISTINCT * FROM k)) SELECT c_custkey, code, candidates FROM n WHERE r = 1""")
 def name_link_by_years(t):
     c, k = F.col("c_custkey"), F.col("code").cast("int")
-    spans = [(1995 + c % 4).alias("y0"), F.when(c % 13 != 0, 1997 + c % 5).alias("y1"), F.when(k % 5 != 0, 1989 + k % 17).alias("f0"), (1991 + k % 17 + k % 3).alias("f1")]
-    p = _left(t).join(_right(t), "name").select("c_custkey", "code", *spans)
-    return linkage.by_years(p, "c_custkey", "code", "y0", "y1", "f0", "f1")
+    left = _left(t).select("c_custkey", "name", (1995 + c % 4).alias("y0"), F.when(c % 13 != 0, 1997 + c % 5).alias("y1"))
+    right = _right(t).select("code", "name", F.when(k % 5 != 0, 1989 + k % 17).alias("f0"), (1991 + k % 17 + k % 3).alias("f1"))
+    return linkage.name_by_years(left, right, "name", "c_custkey", "code", "y0", "y1", "f0", "f1")
 
 
 @query()

@@ -120,3 +120,45 @@ def test_merged_panels_and_their_coverage(spark):
     assert out.columns == ["k", "yr", "filed", "v_filed", "d_s"] and out.count() == 5
     got = panels.coverage(out, F.col("filed") > 0, "yr", {"work": "v_filed", "lead": "d_s"}).collect()
     assert [tuple(r) for r in got] == [("work", 2001, 2002, 1, 1, 1.0)]
+
+
+def test_holders_of_names_without_the_pairs_equal_those_of_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    year = lambda: None if rng.random() < 0.1 else int(rng.integers(1990, 2010))
+    name = lambda: [None, "", "a", "b", "c", "d"][rng.integers(6)]
+    units = [(i, name(), year(), year()) for i in range(300)]
+    units += units[:20] + [(i, n, year(), year()) for i, n, *_ in units[20:40]] + [(None, "a", 2000, 2001), (None, "a", None, 2001), (900, "alone", 2000, 2001)]
+    codes = [(None if rng.random() < 0.05 else str(rng.integers(60)), name(), year(), year()) for _ in range(200)] + [("x", "held by none", 1990, 2000)]
+    left, right = spark.createDataFrame(units, "u int, n string, y0 int, y1 int"), spark.createDataFrame(codes, "c string, n string, f0 int, f1 int")
+    want = linkage.by_years(left.join(right.filter("c IS NOT NULL"), "n"), "u", "c", "y0", "y1", "f0", "f1").collect()
+    got = linkage.name_by_years(left, right, "n", "u", "c", "y0", "y1", "f0", "f1")
+    assert got.columns == ["u", "c", "candidates"] and len(want) > 200 and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want), key=str)
+    assert linkage.name_by_years(left, right.limit(0), "n", "u", "c", "y0", "y1", "f0", "f1").count() == 0
+    two = spark.createDataFrame([(1, "a", 2000, 2001), (1, "b", 2000, 2001)], left.schema)
+    with pytest.raises(Exception, match="several names"):
+        linkage.name_by_years(two, right, "n", "u", "c", "y0", "y1", "f0", "f1").collect()
+
+
+def _rows_joined(node) -> int:
+    """Rows that the joins below a node of an executed plan made."""
+    kind = node.getClass().getSimpleName()
+    inner = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan() if kind.endswith("QueryStageExec") else None
+    below = [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+    return (node.metrics().get("numOutputRows").get().value() if "Join" in kind else 0) + sum(map(_rows_joined, below))
+
+
+def test_a_name_of_many_units_and_codes_makes_no_pairs(spark, tmp_path):
+    """A million pairs of one name were shuffled."""
+    import duckdb
+
+    from panelspark.plans import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT 400 * i + 7 AS c_custkey FROM range(1000) t(i)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT 80 * i + 7 AS s_suppkey FROM range(1000) t(i)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    for table in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    df = QUERIES["name_link_by_years"](spark, str(tmp_path))
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(con.execute(ORACLES["name_link_by_years"]).fetchall()) and len(got) == 1000 and {r[2] for r in got} == {1000}
+    assert _rows_joined(df._jdf.queryExecution().executedPlan()) < 20_000
